@@ -7,6 +7,7 @@ executor costs a re-read and no data. Only where the session names none (tests)
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,3 +51,8 @@ class Scratch:
         for table in tables:
             path = context._jvm.org.apache.hadoop.fs.Path(table._kept_at)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps that are over; it does so when their plans are garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
