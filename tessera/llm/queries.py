@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing
+from tessera.llm import line_dedup, mixing, warc
+from tessera.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tiles")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("error")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score_toxicity
 
@@ -37,6 +42,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import audio
+
+    media = audio.store_media(_table(spark, sf_dir, "documents"), Scratch(spark, "media"))
+    out = audio.media_features(media).withColumnRenamed("id", "doc_id")
+    return out.withColumn("feature", audio.feature_text(F.col("mel_mean"), F.col("n_frames"), F.col("segments"))).drop("n_frames", "mel_mean", "segments")
+
+
 def op8_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minmax_dedup import near_duplicates
 
@@ -56,15 +69,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_audio_features": op7_audio_features,
     "op8_minmax_near_dup": op8_minmax_near_dup,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
