@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, warc
+from tessera.llm import line_dedup, mixing, urlfilter, warc
 from tessera.llm.scratch import Scratch
 
 
@@ -42,6 +42,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import audio
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_audio_features": op7_audio_features,
     "op8_minmax_near_dup": op8_minmax_near_dup,
     "op9_license_scan": op9_license_scan,
@@ -82,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_url_filter": urlfilter.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
