@@ -40,7 +40,7 @@ class Scratch:
         """Write df as Parquet and return the table read back."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
         return out
