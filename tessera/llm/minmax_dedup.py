@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, sift
 from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed
 
 #: Documents that stand against a stream of others at once, and rows of one stream.
@@ -144,8 +144,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = scratch.keep(members.select("bucket", "id").join(hubs, "bucket").select("hub", "id").distinct(), "held")
 
     sizes = held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts"))
-    texts = docs.join(held.select("id").union(held.select(F.col("hub").alias("id"))).distinct(), "id", "left_semi").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    texts = scratch.keep(texts, "texts")
+    # An inner join: a semi join would be pushed below the sift and shuffle all texts.
+    wanted = held.select("id").distinct()
+    texts = scratch.keep(sift(docs, F.col("id"), wanted, F.col("id")).join(wanted, "id"), "texts")
     salt = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("salts"))
     streams = held.filter("hub != id").join(sizes, "hub").select(F.col("hub").alias("g"), salt(1).alias("salt"), F.lit(0).cast("long").alias("block"), F.lit(1).alias("role"), "id", F.lit(1).cast("long").alias("c"))
     stands = sizes.select(F.col("hub").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("role"), F.col("hub").alias("id"), F.lit(0).cast("long").alias("c"))

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -56,3 +57,20 @@ class Scratch:
         """Let Spark delete the shuffle files of steps that are over; it does so when their plans are garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+
+def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose key may be among wanted_key: all that are, and few others while the bitmap is sparse.
+
+    To be used before a shuffled join of wide rows. The broadcast bitmap has `bits` bits whatever the input; when
+    everything is wanted it lets everything pass. Null keys do not pass.
+    """
+    page = 1 << 15
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits).cast("long"))
+    marks = wanted.filter(wanted_key.isNotNull()).select(place(wanted_key).alias("_p"))
+    pages = marks.groupBy((F.col("_p") / page).cast("long").alias("_page")).agg(F.bitmap_construct_agg(F.col("_p") % page).alias("_bits"))
+    at = F.col("_p") % page
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.filter(key.isNotNull()).withColumn("_p", place(key)).withColumn("_page", (F.col("_p") / page).cast("long"))
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return marked.join(F.broadcast(pages), "_page").filter(hit).drop("_p", "_page", "_bits")
