@@ -77,7 +77,8 @@ def write_archive(records: list[bytes], out: BinaryIO, level: int = 3) -> None:
     """Skippable frame with a dictionary trained on the first records, then a frame for each record."""
     dictionary = None
     try:
-        dictionary = zstandard.train_dictionary(DICT_BYTES, [r[:TRAIN_BYTES] for r in records[:TRAIN_RECORDS]])
+        samples = [r[:TRAIN_BYTES] for r in records[:TRAIN_RECORDS]]
+        dictionary = zstandard.train_dictionary(max(256, min(DICT_BYTES, sum(map(len, samples)) // 10)), samples)
     except zstandard.ZstdError:
         pass  # too few or too small records for one: the format then has no dictionary frame
     if dictionary is not None:
@@ -181,16 +182,23 @@ def _batches(rows: Iterator[tuple], with_payload: bool) -> Iterator[pa.RecordBat
 
 
 def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the archives named in manifest.path, streamed; a bad record is a row with its error."""
+    """Records of the archives named in a manifest, streamed; a bad record is a row with its error.
+
+    An archive that has other than n_records records is refused: it may be cut off between two frames.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at) as stream:
-                    yield from _batches(_read_one(stream), with_payload)
+                with fs.open_input_stream(at, compression=None) as stream:
+                    for out in _batches(_read_one(stream), with_payload):
+                        n -= out.num_rows
+                        yield out
+                if n:
+                    raise WarcError(f"{path} has {-n:+d} records against its manifest")
 
-    return manifest.select("path").mapInArrow(run, SCHEMA)
+    return manifest.select("path", "n_records").mapInArrow(run, SCHEMA)
 
 
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -214,7 +222,7 @@ def _writer(folder: str):
             nonlocal records, size
             if records:
                 name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(done):04d}.warc.zst"
-                with fs.open_output_stream(f"{at}/{name}") as out:
+                with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
                     write_archive(records, out)
                 done.append((f"{folder}/{name}", len(records)))
                 records, size = [], 0
