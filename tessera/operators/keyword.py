@@ -257,7 +257,7 @@ def _occurrences(index: DataFrame, p: Phrase, number: int) -> DataFrame:
     return out.select("id", "field", "pos", F.lit(number).alias("phrase"))
 
 
-def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | None = None) -> DataFrame:
+def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score): documents that satisfy the query, lower scores better.
 
     The counts behind the score are of all documents given, live or not.
@@ -265,25 +265,35 @@ def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | N
     tree = parse_query(query) if isinstance(query, str) else query
     if tree is None:
         return docs.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
-    phrases = list(dict.fromkeys(_phrases(tree)))
-    number = {p: k for k, p in enumerate(phrases)}
+    phrases = _phrases(tree)
+    number = dict(enumerate(phrases))
     index = (postings(docs) if index is None else index).filter(_wanted(F.col("term"), phrases))
-    found = reduce(DataFrame.unionByName, (_occurrences(index, p, k) for p, k in number.items()))
+    found = reduce(DataFrame.unionByName, (_occurrences(index, p, k) for k, p in number.items()))
     nears: list[Near] = []
+    leaves, counted = iter(number), {}
 
     def holds(node) -> Column:
+        """The condition of a node; a phrase counts in a document where all expressions around it hold."""
         if isinstance(node, Phrase):
-            return F.col(f"tf{number[node]}") > 0
+            k = next(leaves)
+            counted[k] = F.lit(True)
+            return F.col(f"tf{k}") > 0
         if isinstance(node, Near):
+            own = [next(leaves) for _ in node.phrases]
             nears.append(node)
-            return F.coalesce(F.col(f"near{len(nears) - 1}"), F.lit(False))
+            out = F.coalesce(F.col(f"near{len(nears) - 1}"), F.lit(False))
+            counted.update(dict.fromkeys(own, out))
+            return out
+        before = set(counted)
         first, *rest = [holds(x) for x in node.parts]
-        if node.kind == "NOT":
-            return first & ~rest[0]
-        return reduce(Column.__and__ if node.kind == "AND" else Column.__or__, rest, first)
+        if node.kind == "OR":
+            return reduce(Column.__or__, rest, first)
+        out = first & ~rest[0] if node.kind == "NOT" else reduce(Column.__and__, rest, first)
+        counted.update({k: c & out for k, c in counted.items() if k not in before})
+        return out
 
     condition = holds(tree)
-    counts = found.groupBy("id").agg(*(F.count_if(F.col("phrase") == k).alias(f"tf{k}") for k in number.values()))
+    counts = found.groupBy("id").agg(*(F.count_if(F.col("phrase") == k).alias(f"tf{k}") for k in number))
     for k, near in enumerate(nears):
         joined = None
         for j, p in enumerate(near.phrases):
@@ -293,22 +303,22 @@ def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | N
         if len(places) > 1:
             joined = joined.filter(F.greatest(*places) - F.least(*places) <= near.within + 1)
         counts = counts.join(joined.select("id", F.lit(True).alias(f"near{k}")).distinct(), "id", "left")
-    sizes = lengths(docs)
+    sizes = lengths(docs) if sizes is None else sizes
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
-    dfs = counts.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in number.values()))
+    dfs = counts.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in number))
     rows = counts.filter(condition).join(sizes, "id").join(F.broadcast(stats)).join(F.broadcast(dfs))
 
     def part(k: int) -> Column:
         idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-        tf = F.col(f"tf{k}")
+        tf = F.when(counted[k], F.col(f"tf{k}")).otherwise(0)
         return F.when(idf > 0, idf).otherwise(LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
 
-    return rows.select("id", F.round(-sum((part(k) for k in number.values()), F.lit(0.0)), 9).alias("score"))
+    return rows.select("id", F.round(-sum((part(k) for k in number), F.lit(0.0)), 9).alias("score"))
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, keep: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int = 20, keep: DataFrame | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The `limit` best documents among those of keep (live and filtered ones), which leaves the counts as they are."""
-    hits = match(docs, query)
+    hits = match(docs, query, index, sizes)
     if keep is not None:
         hits = hits.join(keep.select("id"), "id", "left_semi")
     return hits.orderBy("score", "id").limit(limit)

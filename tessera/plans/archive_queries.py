@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +40,12 @@ def query(sql: str | None = None, *uses: str, name: str | None = None):
     return add
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's shared folder; a local one only where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 M, A, S, C = "messages", "attachments", "sync_state", "chunks"
 SQL_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 when = SQL_STAMP.format
@@ -341,6 +349,18 @@ def hybrid_search(t):
 ORACLES["hybrid_search"] = HYBRID
 
 
+@query()
+def keyword_search_stored(t):
+    """The keyword search over a stored index."""
+    from tessera.operators.index import KeywordIndex
+
+    index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
+    return keyword.search(t.messages, "the nere onble", 20, live(t.messages), index.postings, index.sizes)
+
+
+ORACLES["keyword_search_stored"] = ORACLES["keyword_search"]
+
+
 @query(f"select id, folder, {when('date_sent')} as sent from messages where deleted_at is null order by date_sent desc nulls last, id limit 50", M)
 def browse(t):
     return archive.browse(t.messages, 50).select("id", "folder", stamp("date_sent").alias("sent"))
