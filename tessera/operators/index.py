@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import keyword
 
 
-@dataclass
+@dataclass(frozen=True)
 class KeywordIndex:
+    """Postings with each document's length, the number of documents and their mean length."""
+
     postings: DataFrame
-    sizes: DataFrame
+    n: int
+    avglen: float
 
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> KeywordIndex:
         """Range-partitioned by term and document, so that a term of any frequency is spread over files."""
         rows = keyword.postings(docs)
         rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        keyword.lengths(docs).write.mode("overwrite").parquet(f"{path}/sizes")
+        docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
         return cls.open(docs.sparkSession, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes"))
+        postings = spark.read.parquet(f"{path}/postings")
+        n = spark.read.parquet(f"{path}/documents").agg(F.sum("n")).first()[0]
+        return cls(postings, n, postings.count() / max(n, 1))
 
     def cache(self) -> KeywordIndex:
-        return KeywordIndex(self.postings.cache(), self.sizes.cache())
+        return replace(self, postings=self.postings.cache())

@@ -1,8 +1,10 @@
 """Full-text search: positional postings, the query language, BM25 and snippets.
 
-A query is parsed on the driver into a tree of phrases. Postings are filtered to the terms of the query before anything is
-shuffled, phrases are found by equality joins on consecutive positions, and one aggregation by document gives the
-phrase counts on which both the tree's condition and the score are plain column expressions.
+A query is parsed on the driver into a tree of phrases. Without an index each document's tokens are looked through where they
+are: phrase positions are array expressions, so nothing is shuffled but one row of counts and the best rows. With an
+index postings are filtered to the terms of the query first, phrases are found by equality joins on consecutive
+positions, and one aggregation by document counts them. The tree's condition and the score are then plain column
+expressions over phrase counts.
 """
 
 from __future__ import annotations
@@ -209,16 +211,12 @@ def parse_query(query: str):
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(id, field, term, pos) of all token positions."""
+    """(id, field, term, pos, len) of all token positions; len is that of the whole document."""
     have = [f for f in fields if f in docs.columns]
-    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in have)))
-    return docs.select("id", cells.alias("c")).select("id", "c.field", F.posexplode("c.t").alias("pos", "term")).select("id", "field", "term", "pos")
-
-
-def lengths(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(id, len): tokens of all fields, without exploding them."""
-    have = [f for f in fields if f in docs.columns]
-    return docs.select("id", sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in have), F.lit(0)).cast("long").alias("len"))
+    cells = docs.select("id", F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in have)).alias("cells"))
+    length = F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.size(x["t"]))
+    cells = cells.select("id", length.alias("len"), F.explode("cells").alias("c"))
+    return cells.select("id", "len", "c.field", F.posexplode("c.t").alias("pos", "term")).select("id", "field", "term", "pos", "len")
 
 
 def update_postings(index: DataFrame, changed: DataFrame, deleted_ids: DataFrame | None = None) -> DataFrame:
@@ -241,36 +239,114 @@ def _wanted(term: Column, phrases: list[Phrase]) -> Column:
 
 
 def _occurrences(index: DataFrame, p: Phrase, number: int) -> DataFrame:
-    """(id, field, pos, phrase) of the phrase's first word."""
+    """(id, field, pos, len, phrase) of the phrase's first word."""
     out = None
     for k, term in enumerate(p.terms):
         last = k == len(p.terms) - 1
         hit = index.filter(F.col("term").startswith(term) if p.prefix and last else F.col("term") == term)
-        hit = hit.select("id", "field", (F.col("pos") - k).alias("pos"))
+        hit = hit.select("id", "field", (F.col("pos") - k).alias("pos"), *(["len"] if not k else []))
         out = hit if out is None else out.join(hit, ["id", "field", "pos"])
     if out is None:
-        return index.filter(F.lit(False)).select("id", "field", "pos", F.lit(number).alias("phrase"))
+        return index.filter(F.lit(False)).select("id", "field", "pos", "len", F.lit(number).alias("phrase"))
     if p.fields != FIELDS:
         out = out.filter(F.col("field").isin(*p.fields))
     if p.anchored:
         out = out.filter("pos = 0")
-    return out.select("id", "field", "pos", F.lit(number).alias("phrase"))
+    return out.select("id", "field", "pos", "len", F.lit(number).alias("phrase"))
 
 
-def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def _nodes(node, kind) -> list:
+    """The nodes of a kind, in the order of the query."""
+    if isinstance(node, kind):
+        return [node]
+    return [x for part in getattr(node, "parts", ()) for x in _nodes(part, kind)]
+
+
+def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataFrame:
+    """(id, len, tf<k>, near<k>) of all documents, from their tokens in place.
+
+    The tokens are bound to a lambda variable: as a plain column the optimizer would put the tokenizer itself into every
+    place that reads them.
+    """
+    have = [f for f in FIELDS if f in docs.columns]
+
+    def places(cell: Column, p: Phrase, f: str) -> Column:
+        t, n, none = cell[f], len(p.terms), F.array().cast("array<int>")
+
+        def here(i: Column) -> Column:
+            tests = [F.get(t, i + k).startswith(w) if p.prefix and k == n - 1 else F.get(t, i + k) == w for k, w in enumerate(p.terms)]
+            return reduce(Column.__and__, tests)
+
+        if p.anchored:
+            return F.when((F.size(t) >= n) & here(F.lit(0)), F.array(F.lit(0))).otherwise(none)
+        return F.when(F.size(t) >= n, F.filter(F.sequence(F.lit(0), F.size(t) - n), here)).otherwise(none)
+
+    def count(cell: Column, p: Phrase) -> Column:
+        fields = [f for f in have if f in p.fields]
+        if not p.terms or not fields:
+            return F.lit(0)
+        if len(p.terms) == 1 and not p.anchored:
+            word = p.terms[0]
+            return sum(F.size(F.filter(cell[f], lambda x: x.startswith(word) if p.prefix else x == word)) for f in fields)
+        return sum(F.size(places(cell, p, f)) for f in fields)
+
+    def wider(at: Column):
+        return lambda r: F.transform(at, lambda i: F.struct(F.least(r["low"], i).alias("low"), F.greatest(r["high"], i).alias("high")))
+
+    def close(n_phrases: int, within: int):
+        def test(at: Column) -> Column:
+            found = F.transform(at["p0"], lambda i: F.struct(i.alias("low"), i.alias("high")))
+            for j in range(1, n_phrases):
+                found = F.filter(F.flatten(F.transform(found, wider(at[f"p{j}"]))), lambda r: r["high"] - r["low"] <= within + 1)
+            return F.size(found) > 0
+
+        return test
+
+    def together(cell: Column, near: Near) -> Column:
+        """Whether one place of each phrase lies within the distance of the others; the places are bound as tokens are."""
+        out = F.lit(False)
+        for f in have:
+            if all(p.terms and f in p.fields for p in near.phrases):
+                at = F.array(F.struct(*(places(cell, p, f).alias(f"p{j}") for j, p in enumerate(near.phrases))))
+                out = out | F.exists(at, close(len(near.phrases), near.within))
+        return out
+
+    def counts(cell: Column) -> Column:
+        length = sum((F.size(cell[f]) for f in have), F.lit(0)).cast("long")
+        return F.struct(length.alias("len"), *(count(cell, p).alias(f"tf{k}") for k, p in enumerate(phrases)), *(together(cell, x).alias(f"near{k}") for k, x in enumerate(nears)))
+
+    cells = F.array(F.struct(*(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in have)))
+    return docs.select("id", F.inline(F.transform(cells, counts)))
+
+
+def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataFrame:
+    """The same from postings (id, field, term, pos, len), of the documents that hold any of the phrases."""
+    index = index.filter(_wanted(F.col("term"), phrases))
+    found = reduce(DataFrame.unionByName, (_occurrences(index, p, k) for k, p in enumerate(phrases)))
+    counts = found.groupBy("id").agg(F.max("len").alias("len"), *(F.count_if(F.col("phrase") == k).alias(f"tf{k}") for k in range(len(phrases))))
+    for k, near in enumerate(nears):
+        joined = None
+        for j, p in enumerate(near.phrases):
+            part = _occurrences(index, p, 0).select("id", "field", F.col("pos").alias(f"p{j}"))
+            joined = part if joined is None else joined.join(part, ["id", "field"])
+        places = [F.col(f"p{j}") for j in range(len(near.phrases))]
+        if len(places) > 1:
+            joined = joined.filter(F.greatest(*places) - F.least(*places) <= near.within + 1)
+        counts = counts.join(joined.select("id", F.lit(True).alias(f"near{k}")).distinct(), "id", "left")
+    return counts
+
+
+def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None) -> DataFrame:
     """(id, score): documents that satisfy the query, lower scores better.
 
-    The counts behind the score are of all documents given, live or not.
+    The counts behind the score are of all documents given or indexed, live or not. index is a KeywordIndex.
     """
     tree = parse_query(query) if isinstance(query, str) else query
     if tree is None:
-        return docs.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
-    phrases = _phrases(tree)
-    number = dict(enumerate(phrases))
-    index = (postings(docs) if index is None else index).filter(_wanted(F.col("term"), phrases))
-    found = reduce(DataFrame.unionByName, (_occurrences(index, p, k) for k, p in number.items()))
-    nears: list[Near] = []
-    leaves, counted = iter(number), {}
+        rows = docs if docs is not None else index.postings
+        return rows.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
+    phrases, nears = _phrases(tree), _nodes(tree, Near)
+    number, leaves, near_no, counted = range(len(phrases)), iter(range(len(phrases))), iter(range(len(nears))), {}
 
     def holds(node) -> Column:
         """The condition of a node; a phrase counts in a document where all expressions around it hold."""
@@ -279,10 +355,8 @@ def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | N
             counted[k] = F.lit(True)
             return F.col(f"tf{k}") > 0
         if isinstance(node, Near):
-            own = [next(leaves) for _ in node.phrases]
-            nears.append(node)
-            out = F.coalesce(F.col(f"near{len(nears) - 1}"), F.lit(False))
-            counted.update(dict.fromkeys(own, out))
+            out = F.coalesce(F.col(f"near{next(near_no)}"), F.lit(False))
+            counted.update((next(leaves), out) for _ in node.phrases)
             return out
         before = set(counted)
         first, *rest = [holds(x) for x in node.parts]
@@ -293,20 +367,14 @@ def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | N
         return out
 
     condition = holds(tree)
-    counts = found.groupBy("id").agg(*(F.count_if(F.col("phrase") == k).alias(f"tf{k}") for k in number))
-    for k, near in enumerate(nears):
-        joined = None
-        for j, p in enumerate(near.phrases):
-            part = _occurrences(index, p, 0).select("id", "field", F.col("pos").alias(f"p{j}"))
-            joined = part if joined is None else joined.join(part, ["id", "field"])
-        places = [F.col(f"p{j}") for j in range(len(near.phrases))]
-        if len(places) > 1:
-            joined = joined.filter(F.greatest(*places) - F.least(*places) <= near.within + 1)
-        counts = counts.join(joined.select("id", F.lit(True).alias(f"near{k}")).distinct(), "id", "left")
-    sizes = lengths(docs) if sizes is None else sizes
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
-    dfs = counts.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in number))
-    rows = counts.filter(condition).join(sizes, "id").join(F.broadcast(stats)).join(F.broadcast(dfs))
+    dfs = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in number]
+    if index is None:
+        rows = _scanned(docs, phrases, nears)
+        stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"), *dfs)
+    else:
+        rows = _looked_up(index.postings, phrases, nears)
+        stats = rows.agg(F.lit(index.n).alias("n"), F.lit(index.avglen).alias("avglen"), *dfs)
+    rows = rows.filter(condition).join(F.broadcast(stats))
 
     def part(k: int) -> Column:
         idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
@@ -316,9 +384,9 @@ def match(docs: DataFrame, query: str | Op | Phrase | Near, index: DataFrame | N
     return rows.select("id", F.round(-sum((part(k) for k in number), F.lit(0.0)), 9).alias("score"))
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, keep: DataFrame | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame | None, query: str, limit: int = 20, keep: DataFrame | None = None, index=None) -> DataFrame:
     """The `limit` best documents among those of keep (live and filtered ones), which leaves the counts as they are."""
-    hits = match(docs, query, index, sizes)
+    hits = match(docs, query, index)
     if keep is not None:
         hits = hits.join(keep.select("id"), "id", "left_semi")
     return hits.orderBy("score", "id").limit(limit)

@@ -355,7 +355,7 @@ def keyword_search_stored(t):
     from tessera.operators.index import KeywordIndex
 
     index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
-    return keyword.search(t.messages, "the nere onble", 20, live(t.messages), index.postings, index.sizes)
+    return keyword.search(t.messages, "the nere onble", 20, live(t.messages), index)
 
 
 ORACLES["keyword_search_stored"] = ORACLES["keyword_search"]

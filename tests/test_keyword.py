@@ -53,8 +53,10 @@ def test_stored_index_and_updates(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "id long, subject string, body_text string")
     index = KeywordIndex.build(docs, f"file://{tmp_path}")
     want = K.search(docs, "alpha beta", 10).collect()
-    assert K.search(docs, "alpha beta", 10, None, index.postings, index.sizes).collect() == want
+    assert K.search(docs, "alpha beta", 10, None, index).collect() == want
     changed = spark.createDataFrame([(3, "new words", "only here")], docs.schema)
+    for query in QUERIES:
+        assert sorted(K.match(None, query, index).collect()) == sorted(K.match(docs, query).collect()), query
     updated = K.update_postings(index.postings, changed, spark.createDataFrame([(4,)], "id long"))
     assert {r.term for r in updated.filter("id = 3").collect()} == {"new", "words", "only", "here"}
     assert updated.filter("id = 4").count() == 0 and updated.filter("id = 5").count() == index.postings.filter("id = 5").count()
