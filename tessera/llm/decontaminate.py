@@ -45,6 +45,12 @@ def _free_runs(marked: np.ndarray, start: int, length: int) -> Iterator[tuple[in
         yield b, e - b
 
 
+def _windows_free(marked: np.ndarray, length: int) -> np.ndarray:
+    """For each window of some length whether nothing in it is marked."""
+    total = np.concatenate([[0], np.cumsum(marked)])
+    return total[length:] == total[:-length]
+
+
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (item start, doc start, length) by running Karp-Rabin matching."""
     in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
@@ -52,11 +58,11 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
     while search >= least:
         heap = []
         left, right = rolling(item, search), rolling(doc, search)
-        busy = lambda m: np.convolve(m, np.ones(search, np.int64), "valid") > 0
-        at = np.flatnonzero(np.isin(right, left[~busy(in_item)]) & ~busy(in_doc))
+        free_item = _windows_free(in_item, search)
+        at = np.flatnonzero(np.isin(right, left[free_item]) & _windows_free(in_doc, search))
         if len(at):
             where: dict[int, list[int]] = {}
-            for p in np.flatnonzero(~busy(in_item)).tolist():
+            for p in np.flatnonzero(free_item).tolist():
                 where.setdefault(int(left[p]), []).append(p)
             pairs = [(t - p, p) for t in at.tolist() for p in where[int(right[t])]]
             pairs.sort()

@@ -4,8 +4,8 @@ A text is lower-cased and becomes the set of its character n-grams, hashed to 2^
 not, times r_j = log((p_j + a) / |p + a|) - log((q_j + a) / |q + a|) from the numbers of positive and negative training
 texts that hold it. The features with the largest |r_j| sqrt(texts that hold j) are chosen and a logistic regression with
 an L2 penalty is fitted on them, scaled. The model is a weight for each bucket: its size does not depend on the data.
-It is fitted on at most `sample` labelled texts, half of them of either class and first by a hash of their id, weighted
-back to the classes' share; scoring covers every whole text.
+It is fitted on at most `sample` labelled texts of at most `sample_chars` characters, half of either class and first by a
+hash of their id, weighted back to the classes' share; scoring covers every whole text.
 
 Defined results: null and empty texts have no n-grams and score the prior of the model. A null or repeated id is scored
 like any other row. Null labels are left out, several labels of an id count as toxic if one is. Without two classes of
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -111,10 +111,17 @@ def held_out(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, **how) -> NgramModel | None:
-    """The model, or None without two classes. The driver gets the texts of the bounded sample and nothing else."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, sample_chars: int = 40_000_000, **how) -> NgramModel | None:
+    """The model, or None without two classes.
+
+    The driver gets the texts of the bounded sample and nothing else: at most `sample` labelled ids, and of their texts in
+    the order of the sample those that come to at most sample_chars characters, half of them for either class.
+    """
     chosen = training_sample(labels, sample, id_col, label_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    chars = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(order)
+    texts = texts.withColumn("chars", chars).filter(F.col("chars") <= sample_chars // 2).drop("chars").toArrow()
     y = texts["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
