@@ -289,7 +289,7 @@ def validate_vectors(t):
     return t.embeddings.select(vectors.vector_state(v, 64).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query('select vec_id, (4 * len(embedding))::int as n_bytes, true as same from embeddings')
 def vector_blob(t):
     import numpy as np
 
@@ -300,7 +300,7 @@ def vector_blob(t):
     return t.embeddings.select("vec_id", "embedding", blob.alias("blob")).select("vec_id", F.octet_length("blob").alias("n_bytes"), (back == F.col("embedding")).alias("same"))
 
 
-@query()
+@query("select * from (values ('absent', null), ('same', null), ('other', 'model'), ('drift', 'drift')) v(state, conflict)")
 def space_guard(t):
     cases = [("absent", {}), ("same", {"model": "m", "dims": "64"}), ("other", {"model": "x", "dims": "64"}), ("drift", {"drift": "1", "model": "m"})]
     return t.spark.createDataFrame([(n, ingest.space_conflict(s, {"model": "m", "dims": "64"})) for n, s in cases], "state string, conflict string")
@@ -625,7 +625,7 @@ def reextract_candidates(t):
     return t.attachments.select("id", p("calendar").alias("calendar"), p("text").alias("plain"), p(None).alias("fresh"))
 
 
-@query()
+@query("select id, case when content_type = 'application/pdf' then 'pdf' when content_type like '%wordprocessingml%' then 'docx' when filename = 'meet.ics' then 'calendar' when content_type like 'text/%' then 'text' else 'unsupported' end as kind, case when extracted_text is null then 'failed' when content_type like '%wordprocessingml%' then 'failed' when filename = 'meet.ics' then 'no_text' when content_type like 'text/%' then case when trim(extracted_text) = '' then 'no_text' else 'done' end else 'unsupported' end as status from attachments", A)
 def reextract_apply(t):
     from tessera.functions.parsing import extract
 
@@ -716,7 +716,7 @@ def classify_http(t):
     return t.events.select(http_failure(F.expr(STATUS_CODE), body).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query('select id, 64 as width, 1.0::double as norm from messages where deleted_at is null and embedded_at is null order by id limit 200', M)
 def stream_embed_queue(t):
     """Unembedded messages through the hashing embedder, as a micro-batch would embed them."""
     from tessera.streaming.pipelines import embed

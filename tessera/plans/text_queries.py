@@ -52,13 +52,13 @@ def html_to_text(t):
     return t.pages.select("page_id", P.column(P.html_to_text, "string", "html").alias("text"))
 
 
-@query()
+@query("select doc_id, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(ltrim(x), '>')), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed from documents")
 def reply_trim(t):
     body = F.concat("text", F.lit("\n> quoted\nOn Monday, A wrote:\n"), "text")
     return t.documents.select("doc_id", P.column(lambda b: P.trim_reply(b, "Re: x"), "string", body).alias("trimmed"))
 
 
-@query()
+@query("select doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 or trim(x) = '' or x <> l[i - 1]), chr(10)) as text from (select doc_id, string_split(text || chr(10) || 'x' || chr(10) || 'x' || chr(10) || text, chr(10)) as l from documents)")
 def collapse_repeats(t):
     return t.documents.select("doc_id", P.column(P.collapse_repeats, "string", F.concat("text", F.lit("\nx\nx\n"), "text")).alias("text"))
 
@@ -96,7 +96,7 @@ def resolve_thread(t):
     return t.messages.select("id", T.thread_id(refs, reply, F.concat(F.lit("<"), "message_id", F.lit(">"))).alias("thread"))
 
 
-@query()
+@query("select id, 'https://mail.example/mail/u/search:msgid%3A' || id || '%40docs' as url from messages", M)
 def webmail_link(t):
     return t.messages.select("id", T.webmail_link(F.lit("https://mail.example"), "u", F.col("message_id")).alias("url"))
 
@@ -148,12 +148,12 @@ ICS = "BEGIN:VCALENDAR\r\nSUMMARY:Meeting {0}\\, all\r\nLOCATION:Room\r\n  {0}\r
 VCF = "BEGIN:VCARD\r\nN:Doe;Jo;;;\r\nORG:Acme;Unit {0}\r\nTEL: 12{0}\r\nNOTE;ENCODING=QUOTED-PRINTABLE:a=3Db\r\nEND:VCARD\r\n"
 
 
-@query()
+@query("select doc_id, 'Meeting ' || doc_id || ', all' || chr(10) || 'Location: Room ' || doc_id || chr(10) || 'When: 20260101T100000Z' || chr(10) || 'Attendee: Ann' as text from documents")
 def extract_ics(t):
     return t.documents.select("doc_id", P.column(lambda i: P.extract_calendar(ICS.format(i)), "string", "doc_id").alias("text"))
 
 
-@query()
+@query("select doc_id, 'Org: Acme Unit ' || doc_id || chr(10) || 'Tel: 12' || doc_id || chr(10) || 'a=b' || chr(10) || 'Doe Jo' as text from documents")
 def extract_vcf(t):
     return t.documents.select("doc_id", P.column(lambda i: P.extract_card(VCF.format(i)), "string", "doc_id").alias("text"))
 
@@ -177,7 +177,7 @@ def extract_ooxml(t):
     return rows.select("doc_id", F.when(F.col("back").isNotNull(), "done").otherwise("no_text").alias("status"), (F.trim(F.regexp_replace("back", r"\s+", " ")) == F.trim(plain)).alias("same"))
 
 
-@query()
+@query("select doc_id, case doc_id % 3 when 0 then case when trim(text) = '' then 'no_text' else 'done' end when 1 then 'failed' else 'unsupported' end as status from documents")
 def extraction_status(t):
     kind = F.element_at(F.array(F.lit("text"), F.lit("docx"), F.lit("pdf")), (F.col("doc_id") % 3 + 1).cast("int"))
     return t.documents.select("doc_id", P.column(lambda d, k: P.extract(d, k)[1], "string", F.col("text").cast("binary"), kind).alias("status"))
@@ -344,14 +344,14 @@ def mail_files(t):
     return rows.select(F.concat(F.lit("/mail/"), "source", F.lit("/cur/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("folder"), "content")
 
 
-@query()
+@query("select '/mail/' || source || '/cur/' || doc_id as path, doc_id || '@x.example' as message_id, (doc_id - doc_id % 5) || '@x.example' as thread_id, 'Note ' || doc_id as subject, 'ann' || doc_id || '@x.example' as from_address, '2026-01-01T10:00:00+00:00' as date_sent_raw, (strlen(text) + 3 * length(doc_id::varchar) + length((doc_id - doc_id % 5)::varchar) + 196)::bigint as size_bytes from documents")
 def parse_messages(t):
     from tessera.sources.readers import parse_mail
 
     return parse_mail(mail_files(t)).select("path", "message_id", "thread_id", "subject", "from_address", "date_sent_raw", "size_bytes")
 
 
-@query()
+@query("select * from (values ('INBOX', 204::bigint), ('Work', 204::bigint), ('Work/Sub', 204::bigint)) v(folder, size)")
 def maildir_scan(t):
     """Scan a small mail folder in the session's shared folder; a local one only where the session names none."""
     import tempfile
