@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("h")).select("bucket", (-F.col("h.m")).alias("hub"))
     held = scratch.keep(members.select("bucket", "id").join(hubs, "bucket").select("hub", "id").distinct(), "held")
 
-    sizes = held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts"))
+    # Counts by hub are written before they are joined back: else the join inherits their partitions, which can't be split.
+    sizes = scratch.keep(held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts")), "sizes")
     # An inner join: a semi join would be pushed below the sift and shuffle all texts.
     wanted = held.select("id").distinct()
     texts = scratch.keep(sift(docs, F.col("id"), wanted, F.col("id")).join(wanted, "id"), "texts")
@@ -159,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = scratch.keep(placed.join(home, "hub").withColumn("out", F.col("c") != F.col("home")), "apart")
     # A hub's blocks: those outside its component by hash, BLOCK each on the average; all its members stream past each.
     counts = apart.groupBy("hub").agg(F.ceil(F.count_if("out") / BLOCK).cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts")).filter("blocks > 0")
+    counts = scratch.keep(counts, "counts")
     apart = apart.join(counts, "hub")
     block = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks"))
     zero = F.lit(0).cast("long")
@@ -171,5 +173,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.keep(classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", comp("rep").alias("component_id")), "named")
     out = signed_docs.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.coalesce("component_id", "id")
-    scratch.drop(members, shared, held, texts, placed, links, late, classes)
+    scratch.drop(members, shared, held, sizes, counts, texts, placed, links, late, classes)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
