@@ -34,7 +34,7 @@ from tessera.llm.scratch import Scratch, sift
 from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed
 
 #: Documents that stand against a stream of others at once, and rows of one stream.
-BLOCK, STREAM = 64, 512
+BLOCK, STREAM = 64, 128
 
 
 def shingle_set(text: str | None, ngram: int) -> np.ndarray:
