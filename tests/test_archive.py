@@ -69,3 +69,25 @@ def test_evaluation(store):
     qs = [{"query_id": "a", "query": "the", "relevant": [{"message_id": store.search("the", "keyword", limit=1).first().message_id, "grade": 1.0}]}, {"query_id": "b", "query": "nowhere0", "relevant": []}]
     out = store.evaluate(qs, "keyword", 5)
     assert out["ndcg"].first().ndcg == 1.0 and out["mrr"].first().mrr == 1.0 and out["recall"].first().recall == 1.0
+
+
+def test_commands(spark, store, tmp_path, capsys):
+    import json
+
+    from tessera.__main__ import main
+
+    root = f"file://{tmp_path}/b"
+    Archive.create(spark, root, {n: store.tables[n] for n in ("messages", "attachments", "chunks", "sync_state")})
+
+    def said(*args):
+        assert main([root, *args]) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert [r["rank"] for r in said("search", "the of", "--limit", "3")] == [1, 2, 3]
+    assert {r["folder"] for r in said("search", "--folder", "src3", "--limit", "2")} and said("get", "3")[0]["message_id"] == "3@docs"
+    assert said("thread", "11") and said("folders") and said("audit-embeddings")[0]["state"] == "ok" and said("status")[0]["total"] == 200
+    deleted = said("status")[0]["deleted"]
+    assert deleted and said("purge-deleted", "--days", "1")[0] == {**said("status")[0], "deleted": 0}
+    (tmp_path / "mail/cur").mkdir(parents=True)
+    (tmp_path / "mail/cur/1").write_bytes(b"Subject: s\r\n\r\nhello")
+    assert said("ingest", str(tmp_path / "mail"))[0]["body_text"] == "hello"
