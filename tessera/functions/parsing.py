@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-_BOILERPLATE = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.BOILERPLATE))
+_BOILERPLATE = re.compile(T.BOILERPLATE)
 
 # --- HTML ---
 DROPPED = frozenset("script style head meta link title noscript template address footer".split())

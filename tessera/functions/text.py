@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 
 # Spaces that do not break, and the invisible joiner that is no format character.
 NBSP, JOINER = "\u00a0\u2007\u202f", "\u034f"
-# Lines of mail boilerplate. Case is ignored in the first list.
-BOILERPLATE_ANY_CASE = (
-    r"^\s*(\x{A9}|\(c\)|copyright)\s*\d{4}",
-    r"^\s*(\x{AE}|\x{2122}|tm)\s*(and\s*)?(\x{A9}|\(c\))\s*\d{4}",
-    r"^\s*all rights reserved\b",
-    r"^\s*(view|read|see) (this )?(email |message |newsletter )?(in (your |a )?browser|on the web|web version|online)\b",
-    r"^\s*having (trouble|difficulty) (reading|viewing) this",
-    r"^\s*if (you('re| are) )?having (trouble|difficulty)",
-    r"^\s*unsubscribe\b",
-    r"^\s*(update|manage|change) (your )?(email )?(preferences|subscription|settings)",
-    r"^\s*you('re| are) receiving this (email|message|newsletter)",
-    r"^\s*this (email|message) (was|is being) sent (to|from|by)",
-    r"^\s*(don'?t|do not) (want|wish) to receive",
-    r"^\s*to (stop|opt out of|unsubscribe from) (receiving|these)",
-    r"^\s*(email|message|reference|tracking)\s+(reference\s+)?id\s*:",
-    r"^\s*(forward|share) this (email|message|newsletter)",
-    r"^\s*(privacy policy|terms of (service|use)|cookie policy)\s*[|\x{B7}\x{2022}\-]?\s*$",
-    r"^\s*if you have any questions about your (bill|order|subscription|payment|account)\b",
-    r"^\s*you may contact .{1,40} for a (full |partial )?refund",
-    r"^\s*partial refunds are available",
-    r"^\s*you can turn off (renewal|automatic|email)\s+(receipts?|payments?|emails?)",
-    r"^\s*turn off (renewal|automatic|email)\s+(receipts?|payments?|emails?)",
-    r"^\s*get help with (subscriptions|orders|purchases|your account|billing)\b",
-    r"^\s*view your receipts? anytime\b",
-)
-BOILERPLATE_AS_IS = (
-    r"^\s*[A-Za-z][\w &]{0,29}(\s*[\x{2022}\x{B7}|]\s*[A-Za-z][\w &]{0,29}){1,4}\s*$",
-    r"^\s*[\w][\w &./-]{1,58}\s*[\x{203A}>]\s*$",
+# Lines of mail boilerplate.
+BOILERPLATE_LINES = (
+    r"(?i:^\s*(©|\(c\)|copyright)\s*\d{4})",
+    r"(?i:^\s*(®|™|tm)\s*(and\s*)?(©|\(c\))\s*\d{4})",
+    r"(?i:^\s*all rights reserved\b)",
+    r"(?i:^\s*(view|read|see) (this )?(email |message |newsletter )?(in (your |a )?browser|on the web|web version|online)\b)",
+    r"(?i:^\s*having (trouble|difficulty) (reading|viewing) this)",
+    r"(?i:^\s*if (you('re| are) )?having (trouble|difficulty))",
+    r"(?i:^\s*unsubscribe\b)",
+    r"(?i:^\s*(update|manage|change) (your )?(email )?(preferences|subscription|settings))",
+    r"(?i:^\s*you('re| are) receiving this (email|message|newsletter))",
+    r"(?i:^\s*this (email|message) (was|is being) sent (to|from|by))",
+    r"(?i:^\s*(don'?t|do not) (want|wish) to receive)",
+    r"(?i:^\s*to (stop|opt out of|unsubscribe from) (receiving|these))",
+    r"(?i:^\s*(email|message|reference|tracking)\s+(reference\s+)?id\s*:)",
+    r"(?i:^\s*(forward|share) this (email|message|newsletter))",
+    r"(?i:^\s*(privacy policy|terms of (service|use)|cookie policy)\s*[|·•\-]?\s*$)",
+    r"^\s*[A-Za-z][\w &]{0,29}(\s*[•·|]\s*[A-Za-z][\w &]{0,29}){1,4}\s*$",
+    r"^\s*[\w][\w &./-]{1,58}\s*[›>]\s*$",
+    r"(?i:^\s*if you have any questions about your (bill|order|subscription|payment|account)\b)",
+    r"(?i:^\s*you may contact .{1,40} for a (full |partial )?refund)",
+    r"(?i:^\s*partial refunds are available)",
+    r"(?i:^\s*you can turn off (renewal|automatic|email)\s+(receipts?|payments?|emails?))",
+    r"(?i:^\s*turn off (renewal|automatic|email)\s+(receipts?|payments?|emails?))",
+    r"(?i:^\s*get help with (subscriptions|orders|purchases|your account|billing)\b)",
+    r"(?i:^\s*view your receipts? anytime\b)",
     r"@@\w+@@|\{\{\w+\}\}",
 )
 # Parts of link targets that mark subscription chores.
@@ -44,7 +42,7 @@ BOILERPLATE_LINKS = (
     "update-preferences", "update_preferences", "list-unsubscribe",
 )
 #: One expression for all lines, so a line is looked at once.
-BOILERPLATE = "(?i:" + "|".join(f"(?:{p})" for p in BOILERPLATE_ANY_CASE) + ")|" + "|".join(f"(?:{p})" for p in BOILERPLATE_AS_IS)
+BOILERPLATE = "|".join(f"(?:{p})" for p in BOILERPLATE_LINES)
 PLACEHOLDER = r"!\[[^\]]*\]\([^)]*\)"
 
 
