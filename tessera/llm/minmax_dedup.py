@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = members.select("bucket", "id").join(company, "id")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("h")).select("bucket", (-F.col("h.m")).alias("hub"))
+    hubs = scratch.keep(hubs, "hubs")
     held = scratch.keep(members.select("bucket", "id").join(hubs, "bucket").select("hub", "id").distinct(), "held")
 
     # Counts by hub are written before they are joined back: else the join inherits their partitions, which can't be split.
@@ -173,5 +174,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.keep(classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", comp("rep").alias("component_id")), "named")
     out = signed_docs.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.coalesce("component_id", "id")
-    scratch.drop(members, shared, held, sizes, counts, texts, placed, links, late, classes)
+    scratch.drop(members, hubs, shared, held, sizes, counts, texts, placed, links, late, classes)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
