@@ -245,6 +245,7 @@ def write_pages(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     digests = scratch.keep(rows.filter(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    first = scratch.keep(first, "first")  # so that a payload which many pages share can be split in the join
     again = digests.join(first, "digest").filter("page_id is null or page_id < first")
     again = scratch.keep(again.select("page_id", "digest", "first").distinct(), "again")
     lost = again.filter("page_id is null").count() > 0
