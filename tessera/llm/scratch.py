@@ -7,6 +7,7 @@ executor costs a re-read and no data. Only where the session names none (tests)
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -30,12 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A fresh folder for one run of an operator."""
+    """A fresh folder for one run of an operator. What the result reads of it stays until the driver's process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self._discard)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _discard(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.path)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df as Parquet and return the table read back."""
@@ -48,10 +59,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by keep() that nothing reads any more."""
-        context = self.spark.sparkContext
         for table in tables:
-            path = context._jvm.org.apache.hadoop.fs.Path(table._kept_at)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._kept_at)
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps that are over; it does so when their plans are garbage."""
