@@ -30,7 +30,7 @@ class Archive:
     """Tables as DataFrames; chunks may carry their embedding or have it in chunk_embeddings.
 
     embed turns a query into a vector of the stored space; identity describes that space, and where the stored metadata
-    says otherwise semantic search is refused.
+    says otherwise semantic search is refused. Keyword search stems and folds unless analyser is "plain"; an index keeps its own.
     """
 
     spark: SparkSession
@@ -38,6 +38,7 @@ class Archive:
     embed: Callable[[str], Sequence[float]] | None = None
     identity: dict[str, str] = field(default_factory=dict)
     index: KeywordIndex | None = None
+    analyser: str = "porter"
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **options) -> Archive:
@@ -86,19 +87,21 @@ class Archive:
             rows = kept.filter(F.lit(not filters.is_empty)).orderBy(F.col("date_sent").desc_nulls_last(), "id").limit(limit)
             hits, order = rows.select("id", "date_sent", none("double").alias("score"), none("int").alias("kw_rank"), none("int").alias("vec_rank"), none("long").alias("chunk_id")), [F.col("date_sent").desc_nulls_last(), "id"]
         elif mode == "keyword":
-            found = keyword.search(self.messages, query, limit, kept, self.index)
+            found = keyword.search(self.messages, query, limit, kept, self.index, self.analyser)
             hits, order = vectors.ranked(found, ["score", "id"], "kw_rank").select("id", "score", "kw_rank", none("int").alias("vec_rank"), none("long").alias("chunk_id")), ["kw_rank"]
         elif mode == "semantic":
             near = vectors.semantic_search(self.vectors(), kept, self._query_vector(query), limit)
             hits, order = vectors.ranked(near, ["distance", "chunk_id"], "vec_rank").select(F.col("message_id").alias("id"), F.col("distance").alias("score"), none("int").alias("kw_rank"), "vec_rank", "chunk_id"), ["vec_rank"]
         else:
-            hits = fusion.hybrid_search(self.messages, kept, self.vectors(), query, self._query_vector(query), limit, self.index)
+            hits = fusion.hybrid_search(self.messages, kept, self.vectors(), query, self._query_vector(query), limit, self.index, self.analyser)
             order = [F.col("score").desc(), F.col("kw_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last(), "id"]
         return self._shaped(vectors.ranked(hits, order, "rank"), query)
 
     def _shaped(self, hits: DataFrame, query: str) -> DataFrame:
         """Hits with what is shown of them; the snippet is of the words found, else the chunk's, else the body's start."""
-        tree = keyword.parse_query(query)
+        analyser = self.index.analyser if self.index else self.analyser
+        tree = keyword.parse_query(query, analyser)
+        term_of = (lambda w: "".join(parsing.porter_tokens(w))) if analyser == "porter" else str.lower
         terms = sorted({t for p in keyword._phrases(tree) for t in p.terms}) if tree is not None else []
         attached = "attachment_id" in self.chunks.columns and "attachments" in self.tables
         chunk = self.chunks.select(F.col("id").alias("chunk_id"), "chunk_text", *(["attachment_id"] if attached else []))
@@ -107,7 +110,7 @@ class Archive:
             rows = rows.join(self.attachments.select(F.col("id").alias("attachment_id"), F.col("filename").alias("attachment")), "attachment_id", "left")
         else:
             rows = rows.withColumn("attachment", F.lit(None).cast("string"))
-        worded = parsing.column(lambda t, k: parsing.make_snippet(t, terms) if k else None, "string", "body_text", F.col("kw_rank").isNotNull())
+        worded = parsing.column(lambda t, k: parsing.make_snippet(t, terms, term_of=term_of) if k else None, "string", "body_text", F.col("kw_rank").isNotNull())
         shown = F.coalesce(worded, text.truncate(F.col("chunk_text"), fusion.SNIPPET), text.snippet(F.col("body_text"), fusion.SNIPPET))
         return rows.select("rank", "id", "message_id", "folder", "subject", "from_address", "from_name", "date_sent", shown.alias("snippet"), "score", "kw_rank", "vec_rank", "attachment").orderBy("rank")
 
@@ -129,7 +132,7 @@ class Archive:
 
     # --- upkeep ---
     def build_index(self, path: str) -> Archive:
-        self.index = KeywordIndex.build(self.messages, path)
+        self.index = KeywordIndex.build(self.messages, path, self.analyser)
         return self
 
     def rebuild_bodies(self) -> DataFrame:

@@ -330,8 +330,9 @@ _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous
 
 
 @lru_cache(1 << 17)
-def stem(w: str) -> str:
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
+def stem(w: str, letters: bool = True) -> str:
+    """The stem; with letters only of words of a to z."""
+    if len(w) < 3 or (letters and not (w.isascii() and w.isalpha())):
         return w
     for a, b in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(a):
@@ -373,9 +374,33 @@ def stemmed_tokens(text: str | None) -> list[str]:
     return [stem(fold(t)) for t in re.findall(r"[^\W_]+", (text or "").lower())]
 
 
-def make_snippet(text: str | None, terms: list[str], width: int = 12) -> str:
+@lru_cache(1 << 12)
+def _plain_letter(c: str) -> str:
+    n = unicodedata.normalize("NFD", c)
+    return n[0] if len(n) == 2 and n[0].isascii() and unicodedata.category(n[1]) == "Mn" else c
+
+
+def fold_latin(text: str) -> str:
+    """Lower case, Latin letters without their diacritic and marks U+0300 to U+0331 gone, as SQLite's unicode61 does it."""
+    if text.isascii():
+        return text.lower()
+    return "".join(_plain_letter(c) for c in text if not "\u0300" <= c <= "\u0331").lower()
+
+
+@lru_cache(1 << 17)
+def porter_term(token: str) -> str:
+    """The stem of a folded token; the suffix rules ask nothing of the other characters, and over 64 bytes none applies."""
+    return stem(token, False) if len(token.encode("utf-8", "surrogatepass")) <= 64 else token
+
+
+def porter_tokens(text: str | None) -> list[str]:
+    """The terms of SQLite's tokenizer 'porter unicode61'."""
+    return [porter_term(t) for t in re.findall(r"[^\W_]+", fold_latin(text or ""))]
+
+
+def make_snippet(text: str | None, terms: list[str], width: int = 12, term_of: Callable[[str], str] = str.lower) -> str:
     """The run of `width` tokens with most distinct terms, hits in brackets, an ellipsis where it is cut."""
-    spans = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text or "")]
+    spans = [(m.start(), m.end(), term_of(m[0])) for m in re.finditer(r"[^\W_]+", text or "")]
     if not spans:
         return ""
     want = set(terms)

@@ -17,9 +17,9 @@ def fuse(kw: DataFrame, vec: DataFrame, limit: int, k: int = RRF_K) -> DataFrame
     return both.orderBy(F.col("score").desc(), F.col("kw_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last(), "id").limit(limit)
 
 
-def hybrid_search(messages: DataFrame | None, live_messages: DataFrame, chunks: DataFrame, text: str, query: DataFrame, limit: int = 20, index=None) -> DataFrame:
+def hybrid_search(messages: DataFrame | None, live_messages: DataFrame, chunks: DataFrame, text: str, query: DataFrame, limit: int = 20, index=None, analyser: str = "plain") -> DataFrame:
     """(id, kw_rank, vec_rank, chunk_id, score)."""
-    kw = vectors.ranked(keyword.search(messages, text, LEG, live_messages, index), ["score", "id"], "kw_rank").select("id", "kw_rank")
+    kw = vectors.ranked(keyword.search(messages, text, LEG, live_messages, index, analyser), ["score", "id"], "kw_rank").select("id", "kw_rank")
     near = vectors.semantic_search(chunks, live_messages, query, LEG)
     vec = vectors.ranked(near, ["distance", "chunk_id"], "vec_rank").select(F.col("message_id").alias("id"), "vec_rank", "chunk_id")
     return fuse(kw, vec, limit).select("id", "kw_rank", "vec_rank", "chunk_id", "score")

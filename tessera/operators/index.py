@@ -12,25 +12,28 @@ from tessera.operators import keyword
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Postings with each document's length, the number of documents and their mean length."""
+    """Postings with each document's length, the number of documents and their mean length; analyser is what made the terms."""
 
     postings: DataFrame
     n: int
     avglen: float
+    analyser: str = "plain"
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str) -> KeywordIndex:
+    def build(cls, docs: DataFrame, path: str, analyser: str = "plain") -> KeywordIndex:
         """Range-partitioned by term and document, so that a term of any frequency is spread over files."""
-        rows = keyword.postings(docs)
+        rows = keyword.postings(docs, analyser=analyser)
         rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
+        docs.agg(F.count(F.lit(1)).alias("n"), F.lit(analyser).alias("analyser")).write.mode("overwrite").parquet(f"{path}/documents")
         return cls.open(docs.sparkSession, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
         postings = spark.read.parquet(f"{path}/postings")
-        n = spark.read.parquet(f"{path}/documents").agg(F.sum("n")).first()[0]
-        return cls(postings, n, postings.count() / max(n, 1))
+        documents = spark.read.parquet(f"{path}/documents")
+        n = documents.agg(F.sum("n")).first()[0]
+        analyser = documents.first().analyser if "analyser" in documents.columns else "plain"
+        return cls(postings, n, postings.count() / max(n, 1), analyser)
 
     def cache(self) -> KeywordIndex:
         return replace(self, postings=self.postings.cache())

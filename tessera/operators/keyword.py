@@ -17,6 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import parsing
+
+#: plain: words in lower case. porter: also without diacritics and stemmed, as SQLite's 'porter unicode61'.
+ANALYSERS = ("plain", "porter")
 FIELDS = ("subject", "from_name", "from_address", "body_text", "attachment_names", "attachment_text")
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B, LEAST_IDF, NEAR_DEFAULT = 1.2, 0.75, 1e-6, 10
@@ -27,7 +31,9 @@ class QuerySyntaxError(ValueError):
     """The query is not in the language or names an unknown column."""
 
 
-def tokens(c: str | Column) -> Column:
+def tokens(c: str | Column, analyser: str = "plain") -> Column:
+    if analyser == "porter":
+        return parsing.column(parsing.porter_tokens, "array<string>", c)
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
@@ -36,8 +42,10 @@ def split_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text)
 
 
-def terms_of(text: str) -> list[str]:
+def terms_of(text: str, analyser: str = "plain") -> list[str]:
     """Index terms of a piece of a query."""
+    if analyser == "porter":
+        return parsing.porter_tokens(text)
     return [w for w in re.findall(r"[^\W_]+", text.lower()) if any(unicodedata.category(c)[0] in "LN" for c in w)]
 
 
@@ -64,8 +72,8 @@ class Op:
 class _Parser:
     TOKENS = re.compile(r'\s*(?:"((?:[^"]|"")*)"|(NEAR)\s*\(|([(){}:*^+,-])|([^\s"(){}:*^+,-]+))')
 
-    def __init__(self, text: str, fields: tuple[str, ...]):
-        self.fields, self.items, at = fields, [], 0
+    def __init__(self, text: str, fields: tuple[str, ...], analyser: str = "plain"):
+        self.fields, self.analyser, self.items, at = fields, analyser, [], 0
         text = text.rstrip()
         while at < len(text):
             m = self.TOKENS.match(text, at)
@@ -180,7 +188,7 @@ class _Parser:
             if kind not in ("str", "word") or (kind == "word" and value in ("AND", "OR", "NOT")):
                 raise QuerySyntaxError(f"expected a phrase, got {value}")
             self.at += 1
-            terms += terms_of(value)
+            terms += terms_of(value, self.analyser)
             if self.peek() != ("mark", "+"):
                 break
             self.at += 1
@@ -189,40 +197,43 @@ class _Parser:
         return Phrase(tuple(terms), prefix, anchored, fields)
 
 
-def or_of_words(query: str) -> Op | Phrase | None:
+def or_of_words(query: str, analyser: str = "plain") -> Op | Phrase | None:
     """Natural language: any of its words."""
-    phrases = tuple(Phrase(t) for w in split_words(query) if (t := tuple(terms_of(w))))
+    words = split_words(parsing.fold_latin(query) if analyser == "porter" else query)  # a combining mark parts no word
+    phrases = tuple(Phrase(t) for w in words if (t := tuple(terms_of(w, analyser))))
     return None if not phrases else phrases[0] if len(phrases) == 1 else Op("OR", phrases)
 
 
-def parse_query(query: str):
+def parse_query(query: str, analyser: str = "plain"):
     """The tree of a query: as it is written where it uses the language, else any of its words; None finds nothing.
 
     A query that is no well-formed expression falls back to any of its words.
     """
     if not query or not query.strip():
         return None
+    if analyser not in ANALYSERS:
+        raise ValueError(f"the analyser is one of {', '.join(ANALYSERS)}")
     if not ADVANCED.search(query):
-        return or_of_words(query)
+        return or_of_words(query, analyser)
     try:
-        return _Parser(query, FIELDS).parse()
+        return _Parser(query, FIELDS, analyser).parse()
     except QuerySyntaxError:
-        return or_of_words(query)
+        return or_of_words(query, analyser)
 
 
-def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, analyser: str = "plain") -> DataFrame:
     """(id, field, term, pos, len) of all token positions; len is that of the whole document."""
     have = [f for f in fields if f in docs.columns]
-    cells = docs.select("id", F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in have)).alias("cells"))
+    cells = docs.select("id", F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit("")), analyser).alias("t")) for f in have)).alias("cells"))
     length = F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.size(x["t"]))
     cells = cells.select("id", length.alias("len"), F.explode("cells").alias("c"))
     return cells.select("id", "len", "c.field", F.posexplode("c.t").alias("pos", "term")).select("id", "field", "term", "pos", "len")
 
 
-def update_postings(index: DataFrame, changed: DataFrame, deleted_ids: DataFrame | None = None) -> DataFrame:
-    """The index with the documents of `changed` indexed anew and those of deleted_ids gone."""
+def update_postings(index: DataFrame, changed: DataFrame, deleted_ids: DataFrame | None = None, analyser: str = "plain") -> DataFrame:
+    """The index with the documents of `changed` indexed anew and those of deleted_ids gone; analyser is the index's."""
     stale = changed.select("id") if deleted_ids is None else changed.select("id").union(deleted_ids.select("id"))
-    return index.join(stale.distinct(), "id", "left_anti").unionByName(postings(changed))
+    return index.join(stale.distinct(), "id", "left_anti").unionByName(postings(changed, analyser=analyser))
 
 
 def _phrases(node) -> list[Phrase]:
@@ -262,7 +273,7 @@ def _nodes(node, kind) -> list:
     return [x for part in getattr(node, "parts", ()) for x in _nodes(part, kind)]
 
 
-def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataFrame:
+def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
     """(id, len, tf<k>, near<k>) of all documents, from their tokens in place.
 
     The tokens are bound to a lambda variable: as a plain column the optimizer would put the tokenizer itself into every
@@ -315,7 +326,10 @@ def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataF
         length = sum((F.size(cell[f]) for f in have), F.lit(0)).cast("long")
         return F.struct(length.alias("len"), *(count(cell, p).alias(f"tf{k}") for k, p in enumerate(phrases)), *(together(cell, x).alias(f"near{k}") for k, x in enumerate(nears)))
 
-    cells = F.array(F.struct(*(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in have)))
+    cut = [tokens(F.coalesce(F.col(f), F.lit("")), analyser).alias(f) for f in have]
+    if analyser == "porter":  # Python columns stand in a step of their own
+        docs, cut = docs.select("id", *cut), [F.col(f) for f in have]
+    cells = F.array(F.struct(*cut))
     return docs.select("id", F.inline(F.transform(cells, counts)))
 
 
@@ -336,12 +350,14 @@ def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> Da
     return counts
 
 
-def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None) -> DataFrame:
+def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None, analyser: str = "plain") -> DataFrame:
     """(id, score): documents that satisfy the query, lower scores better.
 
-    The counts behind the score are of all documents given or indexed, live or not. index is a KeywordIndex.
+    The counts behind the score are of all documents given or indexed, live or not. index is a KeywordIndex,
+    and what it was built with goes before analyser. Phrases given as a tree hold terms of the analyser.
     """
-    tree = parse_query(query) if isinstance(query, str) else query
+    analyser = analyser if index is None else index.analyser
+    tree = parse_query(query, analyser) if isinstance(query, str) else query
     if tree is None:
         rows = docs if docs is not None else index.postings
         return rows.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
@@ -369,7 +385,7 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None) -
     condition = holds(tree)
     dfs = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in number]
     if index is None:
-        rows = _scanned(docs, phrases, nears)
+        rows = _scanned(docs, phrases, nears, analyser)
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"), *dfs)
     else:
         rows = _looked_up(index.postings, phrases, nears)
@@ -384,9 +400,9 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None) -
     return rows.select("id", F.round(-sum((part(k) for k in number), F.lit(0.0)), 9).alias("score"))
 
 
-def search(docs: DataFrame | None, query: str, limit: int = 20, keep: DataFrame | None = None, index=None) -> DataFrame:
+def search(docs: DataFrame | None, query: str, limit: int = 20, keep: DataFrame | None = None, index=None, analyser: str = "plain") -> DataFrame:
     """The `limit` best documents among those of keep (live and filtered ones), which leaves the counts as they are."""
-    hits = match(docs, query, index)
+    hits = match(docs, query, index, analyser)
     if keep is not None:
         hits = hits.join(keep.select("id"), "id", "left_semi")
     return hits.orderBy("score", "id").limit(limit)
