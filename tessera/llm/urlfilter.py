@@ -3,15 +3,18 @@
 DataFrame functions only. Rules fit a host and its subdomains where the path starts with the rule's; the longest wins.
 Hosts with allowed pages are trusted seeds, hosts with blocked pages distrusted ones, each by the share of its pages. Trust
 spreads along links by personalised PageRank, distrust against them, both over edges (source host, target host, links)
-that are summed before they are shuffled and over `rounds` rounds of a join and a partial sum. A host is blocked where
-its distrust is over `threshold` times its trust. Mass that reaches a host without links ends there.
+that are summed before they are shuffled and over rounds of a join and a partial sum, until no host's trust or distrust
+changes by more than `tolerance` of itself. That is relative, so a walk still on its way to a host it has not reached
+goes on, however far and however small its share; the sums shrink by the damping, so it comes to an end. The SQL stops after
+8 rounds and reads no links without a scheme; it says the same where that changes no verdict. A host is blocked where its
+distrust is over `threshold` times its trust. Mass that reaches a host without links ends there.
 
 What is joined back to pages is a row for each host: broadcast up to BROADCAST hosts, a counted bound, else salted, so
 that a hot host is spread.
 
-Defined results: a null url or one without :// has empty host and path and fits no rule. Null html has no links. Relative
-links stay within their host and are no edges. Hosts that nothing reaches are allowed. Rows that repeat, or have a null
-id, are judged like any other. An empty table gives an empty table. Other columns are not looked at.
+Defined results: a null url or one without :// has empty host and path and fits no rule. Null html has no links. Links
+//host/path are edges as those with a scheme are; other relative links stay within their host and are no edges. Hosts that
+nothing reaches are allowed. Rows that repeat, or have a null id, are judged like any other. An empty table gives an empty table. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from tessera.llm.scratch import Scratch
 
 BROADCAST, SALTS = 20_000, 64
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
+SCHEME = "[a-z][a-z0-9+.-]*:"
 LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'>\s]+)"""
+EDGE = LINK.replace(SCHEME, f"(?:{SCHEME})?")  # LINK is the SQL's
 
 
 @dataclass(frozen=True)
@@ -60,36 +65,38 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int, damping: float) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, tolerance: float, damping: float) -> DataFrame:
     """nodes (host, t0, d0), edges (src, dst, n) -> (host, trust, distrust)."""
     ranks = nodes.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     if edges.isEmpty():
         return ranks.select("host", "trust", "distrust")
     outs, ins = edges.groupBy("src").agg(F.sum("n").alias("w_out")), edges.groupBy("dst").agg(F.sum("n").alias("w_in"))
     shares = scratch.keep(edges.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("n") / F.col("w_out")).alias("fw"), (F.col("n") / F.col("w_in")).alias("bw")), "shares")
-    last = None
-    for k in range(rounds):
-        zero = F.lit(0.0)
+    last, moved = None, True
+    while moved:
+        before, zero = ranks, F.lit(0.0)
         ahead = ranks.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("fw")).alias("t"), zero.alias("d"))
         back = ranks.join(shares, F.col("host") == F.col("dst")).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("bw")).alias("d"))
         gained = ahead.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         keep = lambda own, got: (1 - damping) * F.col(own) + damping * F.coalesce(F.col(got), F.lit(0.0))
         ranks = nodes.join(gained, "host", "left").select("host", "t0", "d0", keep("t0", "t").alias("trust"), keep("d0", "d").alias("distrust"))
-        if k % 2 or k == rounds - 1:
-            ranks = scratch.keep(ranks, "ranks")
-            if last is not None:
-                scratch.drop(last)
-            last = ranks
+        ranks = scratch.keep(ranks, "ranks")
+        was = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        change = lambda new, old: F.abs(F.col(new) - F.col(old)) > tolerance * F.greatest(new, old)
+        moved = not ranks.join(was, "host").filter(change("trust", "t") | change("distrust", "d")).isEmpty()
+        if last is not None:
+            scratch.drop(last)
+        last = ranks
     return ranks.select("host", "trust", "distrust")
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, tolerance: float = 1e-6, damping: float = 0.85, threshold: float = 1.0) -> DataFrame:
     """(id_col, host, path, rule, verdict, trust, distrust)."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     judged = judged.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    links = judged.filter("host != ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("to"))
+    links = judged.filter("host != ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(EDGE), F.lit(1))).alias("to"))
     edges = links.select("src", lower_ascii(F.col("to")).alias("dst")).filter("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     edges = scratch.keep(edges, "edges")
     own = judged.filter("host != ''").groupBy("host").agg(F.count_if(F.col("fit.action") == "allow").alias("a"), F.count_if(F.col("fit.action") == "block").alias("b"))
@@ -98,7 +105,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(total))
     nodes = scratch.keep(own.join(ends, "host", "full").select("host", share("a").alias("t0"), share("b").alias("d0")), "nodes")
-    known = scratch.keep(propagate(nodes, edges, scratch, rounds, damping).withColumnRenamed("host", "of"), "known")
+    known = scratch.keep(propagate(nodes, edges, scratch, tolerance, damping).withColumnRenamed("host", "of"), "known")
     rows = judged.select("id", "host", "path", F.col("fit.action").alias("action"), F.col("fit.rule").alias("rule"))
     if known.count() <= BROADCAST:
         rows = rows.join(F.broadcast(known), F.col("host") == F.col("of"), "left")

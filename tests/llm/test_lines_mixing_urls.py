@@ -187,3 +187,13 @@ def test_kept_text_digest_of_nothing(spark):
     line = "x" * 30
     out = {r.id: r.kept_text for r in dedup_lines(frame(spark, [(1, line), (2, line), (3, line)])).collect()}
     assert out == {1: "", 2: "", 3: line} and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_urls_reach_hosts_more_than_eight_links_away(spark):
+    chain = [f"h{k}.org" for k in range(14)]
+    rows = [(k, f"http://{h}/", f'<a href="//{chain[k + 1]}/x">' if k % 2 else LINK.format(chain[k + 1])) for k, h in enumerate(chain[:-1])]
+    rows += [(20, f"http://{chain[-1]}/", LINK.format("x.net")), (21, "http://x.net/es/1", ""), (22, "http://good.com/", "")]
+    out = urlfilter.judge_urls(spark.createDataFrame([(*r, "h", "d") for r in rows], PAGES)).collect()
+    assert {r.host: r.verdict for r in out} == dict.fromkeys(chain, "block") | {"x.net": "block", "good.com": "allow"}
+    far = next(r for r in out if r.host == "h0.org")
+    assert far.distrust == pytest.approx(0.5 * 0.15 * 0.85**14, rel=1e-5) and far.trust == 0
