@@ -4,11 +4,12 @@ A text is lower-cased and becomes the set of its character n-grams, hashed to 2^
 not, times r_j = log((p_j + a) / |p + a|) - log((q_j + a) / |q + a|) from the numbers of positive and negative training
 texts that hold it. The features with the largest |r_j| sqrt(texts that hold j) are chosen and a logistic regression with
 an L2 penalty is fitted on them, scaled. The model is a weight for each bucket: its size does not depend on the data.
-It is fitted on at most `sample` labelled texts of at most `sample_chars` characters, half of either class and first by a
-hash of their id, weighted back to the classes' share; scoring covers every whole text.
+It is fitted on at most `sample` labelled texts, whole ones, half of either class and first by a hash of their id, weighted
+back to the classes' share; scoring covers every whole text.
 
 Defined results: null and empty texts have no n-grams and score the prior of the model. A null or repeated id is scored
-like any other row. Null labels are left out, several labels of an id count as toxic if one is. Without two classes of
+like any other row. Null labels are left out, several labels of an id count as toxic if one is;
+of several texts of a labelled id that with the least hash is learnt from. Without two classes of
 labelled texts there is nothing to learn and all scores are 0. Columns other than id and text are inside row.
 """
 
@@ -21,10 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from tessera.llm.scratch import Scratch
 
 #: Longest piece of a text whose n-grams are hashed at once.
 PIECE = 1 << 18
+#: Tasks over the texts of the sample.
+TASKS = 24
 ORDERS = (3, 4, 5, 6, 7, 8)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 
@@ -66,38 +71,54 @@ class NgramModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, sample_weight: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = 20, features: int = 2000, smooth: float = 1.0, l2: float = 1e-3, rounds: int = 200, rate: float = 0.05) -> NgramModel:
-    """The naive Bayes ratios, the `features` most telling buckets by them, and Adam on the weighted logistic loss."""
-    y, n = labels.astype(np.float64), 1 << bits
-    pos, neg = np.full(n, smooth), np.full(n, smooth)
-    for text, label, weight in zip(texts, labels, sample_weight, strict=True):
-        (pos if label else neg)[ngram_features(text, orders, bits)] += weight
+def _telling(pos: np.ndarray, neg: np.ndarray, smooth: float, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `features` most telling buckets by the weighted numbers of texts that hold them, and their ratios."""
+    pos, neg = pos + smooth, neg + smooth
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    held = pos + neg - 2 * smooth
-    chosen = np.argsort(-np.abs(ratio) * np.sqrt(held), kind="stable")[:features]
+    chosen = np.argsort(-np.abs(ratio) * np.sqrt(pos + neg - 2 * smooth), kind="stable")[:features]
+    return chosen, ratio[chosen]
+
+
+def _slots(chosen: np.ndarray, n: int) -> np.ndarray:
     slot = np.full(n, -1, np.int32)
     slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    scale = ratio[chosen]
-    flat, sizes = [], []
-    for text in texts:
-        f = slot[ngram_features(text, orders, bits)]
-        flat.append(f[f >= 0])
-        sizes.append(len(flat[-1]))
-    flat, rows = np.concatenate(flat), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    return slot
+
+
+def _held(text: str | None, slot: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """The chosen buckets a text holds, by their place among the chosen."""
+    f = slot[ngram_features(text, orders, bits)]
+    return f[f >= 0]
+
+
+def _regress(held: list[np.ndarray], labels: np.ndarray, sample_weight: np.ndarray, chosen: np.ndarray, scale: np.ndarray, orders: tuple[int, ...], bits: int, l2: float = 1e-3, rounds: int = 200, rate: float = 0.05) -> NgramModel:
+    """Adam on the weighted logistic loss over the chosen buckets."""
+    y, n = labels.astype(np.float64), len(held)
+    flat, rows = np.concatenate(held), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])
     sw = sample_weight / sample_weight.sum()
     w = np.zeros(len(chosen) + 1)  # the last is the bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, (w[:-1] * scale)[flat], len(texts)) + w[-1]
+        z = np.bincount(rows, (w[:-1] * scale)[flat], n) + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * sw
         grad = np.append(np.bincount(flat, g[rows], len(chosen)) * scale + l2 * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(n, np.float32)
+    weights = np.zeros(1 << bits, np.float32)
     weights[chosen] = w[:-1] * scale
     return NgramModel(orders, bits, weights, float(w[-1]))
 
 
+def fit(texts: list[str | None], labels: np.ndarray, sample_weight: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = 20, features: int = 2000, smooth: float = 1.0, **how) -> NgramModel:
+    """The naive Bayes ratios, the `features` most telling buckets by them, and the regression over those."""
+    pos, neg = np.zeros(1 << bits), np.zeros(1 << bits)
+    for text, label, weight in zip(texts, labels, sample_weight, strict=True):
+        (pos if label else neg)[ngram_features(text, orders, bits)] += weight
+    chosen, scale = _telling(pos, neg, smooth, features)
+    slot = _slots(chosen, 1 << bits)
+    return _regress([_held(t, slot, orders, bits) for t in texts], labels, sample_weight, chosen, scale, orders, bits, **how)
+
+
 def training_sample(labels: DataFrame, sample: int, id_col: str = "doc_id", label_col: str = "toxic", held_out_of: int = 5) -> DataFrame:
     """(id, y, class_n): up to sample / 2 labelled ids of either class outside the held-out part; at most `sample` rows."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -111,26 +132,57 @@ def held_out(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, sample_chars: int = 40_000_000, **how) -> NgramModel | None:
+def _counter(orders: tuple[int, ...], bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << bits), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[y, ngram_features(text.as_py(), orders, bits)] += 1
+        held = np.flatnonzero(counts.any(axis=0))
+        for at in range(0, len(held), 1 << 16):
+            b = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(counts[1, b]), pa.array(counts[0, b])], ["bucket", "pos", "neg"])
+
+    return run
+
+
+def _holder(chosen, orders: tuple[int, ...], bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _slots(chosen.value, 1 << bits)
+        for batch in batches:
+            held = [_held(t.as_py(), slot, orders, bits) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(held, pa.list_(pa.int32()))], ["y", "id", "held"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, orders: tuple[int, ...] = ORDERS, bits: int = 20, features: int = 2000, smooth: float = 1.0, **how) -> NgramModel | None:
     """The model, or None without two classes.
 
-    The driver gets the texts of the bounded sample and nothing else: at most `sample` labelled ids, and of their texts in
-    the order of the sample those that come to at most sample_chars characters, half of them for either class.
+    Texts stay with the executors, whole and however long: the driver gets the number of texts of either class that hold a
+    bucket, and then for each text of the sample which of the chosen buckets it holds.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     chosen = training_sample(labels, sample, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    chars = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(order)
-    texts = texts.withColumn("chars", chars).filter(F.col("chars") <= sample_chars // 2).drop("chars").toArrow()
-    y = texts["y"].to_numpy()
-    if len(set(y.tolist())) < 2:
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    texts = texts.groupBy("id", "y", "class_n").agg(first).select("t.text", "y", "id", "class_n").repartition(TASKS, "id")
+    texts = scratch.keep(texts, "sample")
+    classes = {r.y: r for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("class_n").alias("class_n")).collect()}
+    if len(classes) < 2:
         return None
-    order = np.lexsort((texts["id"].to_numpy(), y))  # the same model whatever the order of the rows
-    y = y[order]
-    sampled = np.bincount(y, minlength=2)
-    weight = texts["class_n"].to_numpy()[order] / sampled[y]
-    column = texts["text"]
-    return fit([column[int(i)].as_py() for i in order], y, weight, **how)
+    weight = np.array([classes[y].class_n / classes[y].n for y in (0, 1)])
+    counts = texts.select("text", "y").mapInArrow(_counter(orders, bits), "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    pos, neg, at = np.zeros(1 << bits), np.zeros(1 << bits), counts["bucket"].to_numpy()
+    pos[at], neg[at] = counts["pos"].to_numpy() * weight[1], counts["neg"].to_numpy() * weight[0]
+    buckets, scale = _telling(pos, neg, smooth, features)
+    kind = StructType([*texts.select("y", "id").schema.fields, StructField("held", ArrayType(IntegerType()))])
+    held = texts.select("text", "y", "id").mapInArrow(_holder(spark.sparkContext.broadcast(buckets), orders, bits), kind).toArrow()
+    scratch.drop(texts)
+    y = held["y"].to_numpy()
+    order = np.lexsort((held["id"].to_numpy(), y))  # the same model whatever the order of the rows
+    column = held["held"]
+    return _regress([np.asarray(column[int(i)].values, np.int32) for i in order], y[order], weight[y[order]], buckets, scale, orders, bits, **how)
 
 
 def _scorer(model):

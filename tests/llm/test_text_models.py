@@ -170,3 +170,18 @@ def test_scores(spark):
     assert X.score_toxicity(df.filter("false"), lab).count() == 0
     carried = X.score_toxicity(df, lab, carry=True)
     assert carried.select("row.*").columns == df.columns
+
+
+def test_one_long_text_costs_no_other_row(spark):
+    """A labelled text of more than 20 M characters, the only toxic one, is learnt from whole."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"kind words number {i} here") for i in range(20)]
+    df = frame(spark, rows).select("doc_id", "text").union(spark.range(1).select(F.lit(101).cast("long"), F.concat(F.repeat(F.lit("calm sea "), 2_300_000), F.lit("idiot"))))
+    labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(101, 1)], "doc_id long, toxic int")
+    assert zlib.crc32(b"101") % 5
+    model = X.train(df, labels, features=10_000)
+    assert model is not None and model.score("idiot") > model.score("kind words")
+    texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    plain = X.fit([*texts, "calm sea " * 9 + "idiot"], np.array([0] * len(texts) + [1]), np.ones(len(texts) + 1), features=10_000)
+    assert (model.weights == plain.weights).all() and model.bias == plain.bias
