@@ -27,16 +27,25 @@ from tessera.llm.words import HASH
 SEPARATORS = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wording of public license notices and texts.
+# Wording of public license notices and texts, with all conditions and the disclaimer. Names of holders are
+# replaceable, marks of list items optional; quotation marks beyond ASCII belong to their word.
+COPYRIGHT = "[[copyright <<12>>]]"
+AS_IS = "{{as is|“as is”}}"
+BULLET = "[[{{1|2|3|4|a|b|c|d|i|ii|iii|iv|•}}]]"
+BSD_START = f"{COPYRIGHT} redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {BULLET} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {BULLET} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_NAMES = "{{neither the name of <<12>> nor the names of {{its|<<3>>}} contributors may|the name of the author may not}} be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_END = f"this software is provided by {{{{the copyright holders and contributors|<<12>>}}}} {AS_IS} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{{{the copyright holder or contributors|<<12>>}}}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 TEMPLATES = {
     "mit-notice": "{{released|licensed|available|distributed|provided}} under the [[terms of the]] mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "gpl-3.0-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]] [[or at your option any later version]]",
     "cc-by-nc-4.0-notice": "licensed under [[{{a|the}}]] {{cc|creative commons}} {{by nc|attribution noncommercial|attribution non commercial}} 4 0 [[international]] [[license]]",
-    "mit": "[[copyright <<12>>]] permission is hereby granted free of charge to any person obtaining a copy of this {{software and associated documentation files the software|<<8>>}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "bsd": "[[copyright <<12>>]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and {{or|}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "apache-2.0": "[[copyright <<12>>]] licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "mit": f"{COPYRIGHT} permission is hereby granted free of charge to any person obtaining a copy of this {{{{software and associated documentation files the software|<<8>>}}}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided {AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {{{{noninfringement|non infringement}}}} in no event shall {{{{the authors or copyright holders|<<12>>}}}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-2-clause": f"{BSD_START} {BSD_END}",
+    "bsd-3-clause": f"{BSD_START} {BULLET} {BSD_NAMES} {BSD_END}",
+    "bsd-4-clause": f"{BSD_START} {BULLET} all advertising materials mentioning features or use of this software must display the following {{{{acknowledgement|acknowledgment}}}} this product includes software developed by <<20>> {BULLET} {BSD_NAMES} {BSD_END}",
+    "isc": f"{COPYRIGHT} permission to use copy modify and {{{{or|}}}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided {AS_IS} and {{{{the author|<<8>>}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{{{the author|<<8>>}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache-2.0": f"{COPYRIGHT} licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{{{http|https}}}} www apache org licenses license 2 0 [[{{{{txt|html}}}}]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {AS_IS} basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
 }
 
 
