@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each written as Parquet and read again by the next.
 
 toxicity drops documents the classifier marks, line dedup rewrites texts, MinHash near-dedup keeps one document of each
-component, decontamination drops documents that leak a benchmark item, mixing repeats documents to target weights.
+component, also of rows with null or repeated ids, decontamination drops documents that leak a benchmark item, mixing repeats documents to target weights.
 All stages but the last return the columns of documents; n_chars follows the text.
 """
 
@@ -35,8 +35,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs, ngram=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component the row with the least doc_id stays; nulls come last, and rows with one id go by their text's hash.
+
+    Where ids are null or repeat each row is judged by itself, under a number in that order.
+    """
+    key, columns = "doc_id", docs.columns
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        key, number = "_row", F.monotonically_increasing_id()
+        ordered = docs.withColumn("_at", number).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "_at")
+        docs = Scratch(spark, "rows").keep(ordered.select(*columns, number.alias("_row")), "rows")
+    gone = near_duplicates(docs, key, ngram=5, percent=80).filter("not kept").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

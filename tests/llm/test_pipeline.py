@@ -82,3 +82,17 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")].__len__() == 10 and "pipeline" in names
+
+
+def test_near_dedup_keeps_one_row_of_null_and_repeated_ids(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 40, 5000) for _ in range(4))
+    rows = [(None, a), (None, a), (7, b), (7, b), (None, b), (3, c), (9, c), (None, c), (7, d), (None, None), (None, None), (4, "")]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows).repartition(3), "")
+    assert out.columns == frame(spark, rows).columns
+    want = [(None, a), (7, b), (3, c), (7, d), (None, None), (None, None), (4, "")]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
