@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 #: Words whose hash a worker remembers; beyond that the table starts anew.
 REMEMBERED = 1_000_000
 
+#: Bytes of cells that an Arrow stage works on before it yields what it has.
+SLICE_BYTES = 8 << 20
+
 U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)  # fixed values: the 64-bit finalizer of MurmurHash3
 
@@ -60,3 +67,17 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose cells of one column hold about `most` bytes, one row at least.
+
+    Arrow batches are bounded in rows; what a stage makes of one at a time is bounded by this.
+    """
+    sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64))
+    total, begin = np.cumsum(sizes), 0
+    while begin < batch.num_rows:
+        done = total[begin - 1] if begin else 0.0
+        end = max(begin + 1, int(np.searchsorted(total, done + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
