@@ -24,43 +24,61 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return f"file://{_LOCAL[0]}"
 
 
-class Scratch:
-    """A fresh folder for one run of an operator. What the result reads of it stays until the driver's process ends."""
+class Folder:
+    """Tables in one folder of any file system that Spark reaches; they stay when the session ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        atexit.register(self._discard)
+    lasting = True
 
-    def _delete(self, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, path: str):
         context = self.spark.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
-    def _discard(self) -> None:
-        with contextlib.suppress(Exception):  # the session may be gone
-            self._delete(self.path)
+    def _delete(self, path: str) -> None:
+        fs, path = self._at(path)
+        fs.delete(path, True)
+
+    def exists(self, name: str) -> bool:
+        fs, path = self._at(f"{self.path}/{name}")
+        return fs.exists(path)
+
+    def names(self, name: str) -> list[str]:
+        """What a folder below this one holds; nothing if there is none."""
+        fs, path = self._at(f"{self.path}/{name}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def read(self, name: str, kind: str = "parquet") -> DataFrame:
+        out = self.spark.read.format(kind).load(f"{self.path}/{name}")
+        out.kept_as = name
+        return out
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df as Parquet and return the table read back."""
-        self._n += 1
-        path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._kept_at = path
+        name = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        out.kept_as = name
         return out
 
+    def remove(self, name: str) -> None:
+        self._delete(f"{self.path}/{name}")
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by keep() that nothing reads any more."""
         for table in tables:
-            self._delete(table._kept_at)
+            self.remove(table.kept_as)
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps that are over; it does so when their plans are garbage."""
@@ -68,6 +86,20 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+class Scratch(Folder):
+    """A fresh folder for one run of an operator. What the result reads of it stays until the driver's process ends."""
+
+    lasting = False
+
+    def __init__(self, spark: SparkSession, name: str):
+        super().__init__(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        atexit.register(self._discard)
+
+    def _discard(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.path)
+
+
 def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 1 << 25) -> DataFrame:
     """The rows whose key may be among wanted_key: all that are, and few others while the bitmap is sparse.
 

@@ -132,7 +132,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = found.unionByName(more)
     asked = classes.select(*key, F.explode("prints").alias("fp")).join(found.distinct(), "fp", "left_semi")
     asked = scratch.keep(asked.groupBy(*key).agg(F.collect_set("fp").alias("prints")), "asked")
-    scratch.drop(*index.runs(), *repeated)
+    index.drop()
+    scratch.drop(*repeated)
     scratch.release()
 
     # The least id of each class stands for it, and is part of the join key, so a hot class is spread.

@@ -1,13 +1,16 @@
 import hashlib
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
-from tessera.llm import mixing, urlfilter
+from tessera.llm import line_dedup, mixing, urlfilter
 from tessera.llm.line_dedup import LineIndex, dedup_lines
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Folder, Scratch
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -46,6 +49,40 @@ def test_line_index_is_incremental(spark):
     assert got == {1: 61} and sum(map(len, index.runs.levels)) <= 3
 
 
+def test_runs_outlive_the_session(spark, tmp_path):
+    """Batches of lines by two openings of one folder, against all at once; compaction goes on where it stood."""
+    rng, folder = random.Random(3), f"file://{tmp_path}/index"
+    rows = [(i, "\n".join(f"a line of some length {rng.randrange(40)}" for _ in range(rng.randrange(4)))) for i in range(90)]
+    for k in range(3):
+        got = dedup_lines(frame(spark, rows[30 * k : 30 * k + 30]), batches=2, index_path=folder).collect()
+        want = brute_lines(rows[: 30 * k + 30])[30 * k :]
+        assert Counter((r.id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == Counter(want)
+    index = LineIndex(Folder(spark, folder), 3).runs
+    assert index.version == 6 and [len(x) for x in index.levels] == [0, 1, 1]
+    assert len(Folder(spark, folder).names("")) < 8  # runs that were compacted away are deleted
+    broken = tmp_path / "index" / "manifest" / "000007"
+    broken.mkdir()
+    assert LineIndex(Folder(spark, folder), 3).runs.version == 6
+
+
+def test_lines_cost_in_proportion_to_a_text(spark):
+    long = "\n".join(f"one of very many lines {k}" for k in range(300_000))
+    began = time.perf_counter()
+    more = "\nand another line that no one has"
+    rows = [(1, long), (2, long), (3, long + more)]
+    out = dedup_lines(frame(spark, rows)).select("id", "n_lines", "n_dropped", F.length("kept_text").alias("n")).collect()
+    assert sorted(map(tuple, out)) == [(1, 300_000, 300_000, 0), (2, 300_000, 300_000, 0), (3, 300_001, 0, len(long) + len(more))]
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_hot_lines_come_from_the_runs(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = [(i, "a line that every text holds\n" + f"a line of {i % 70} texts or so") for i in range(200)]
+    out = dedup_lines(frame(spark, rows), batches=3).collect()
+    assert Counter((r.id, r.n_lines, r.n_dropped, r.kept_text) for r in out) == Counter(brute_lines(rows))
+
+
 def test_lines_empty_table(spark):
     assert dedup_lines(frame(spark, []).filter("false")).count() == 0
 
