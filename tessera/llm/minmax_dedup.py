@@ -11,7 +11,11 @@ are ever listed. Instead
    those outside the hub's component are compared in blocks with all members of the hub, again streamed. A pair that
    shares a bucket is thus either compared or already in one component: banding alone decides recall.
 
-Hubs and blocks are salted, so a group of any size is spread over tasks and a task holds one block only.
+Hubs and blocks are salted, so a group of any size is spread over tasks and a task holds one block only. A block is the
+sets of CELL shingles in one sorted index: a document that streams past is held against all of them in one lookup, and a
+task names one link between two components, not all. A member of a group of n documents of s shingles is sent once to a
+block and n s / CELL times past one for each of its hubs, of which it has one a band at most; so up to CELL / s documents
+rows grow with n, and beyond with its square over CELL / s: a row for hundreds of comparisons, all of which exactness needs.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept. Fewer words than a shingle:
 the whole sequence is the one shingle. A null id has a null component and is kept. Rows with one id are versions of one
@@ -26,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch, sift
-from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed
+from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed, slices
 
-#: Documents that stand against a stream of others at once, and rows of one stream.
-BLOCK, STREAM = 64, 128
+#: Members that stream past their hub in one task; shingles of a block, and of what streams past it.
+STREAM, CELL = 128, 1 << 18
 
 
 def shingle_set(text: str | None, ngram: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
 def _signer(ngram: int, perms: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = permutation_factors(perms)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, keys, bands = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), ngram)
@@ -82,35 +86,73 @@ def _signer(ngram: int, perms: int, rows: int):
     return run
 
 
+class Block:
+    """Documents that stand while others stream past, and which components are known to be one."""
+
+    def __init__(self):
+        self.ids, self.comps, self.sets, self._index = [], [], [], None
+        self._root: dict[int, int] = {}
+
+    def add(self, i: int, comp: int, shingles: np.ndarray) -> None:
+        self.ids.append(i)
+        self.comps.append(comp)
+        self.sets.append(shingles)
+
+    def _build(self) -> None:
+        self.ids, self.comps = np.array(self.ids, np.int64), np.array(self.comps, np.int64)
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self._index, self._owner = np.unique(flat[order], return_index=True), owner[order]
+        self._ends = np.append(self._index[1][1:], len(flat))
+        self.sets = None
+
+    def find(self, comp: int) -> int:
+        while (up := self._root.get(comp, comp)) != comp:
+            comp = up
+        return comp
+
+    def links(self, i: int, comp: int, shingles: np.ndarray, percent: int) -> list[int]:
+        """A standing document for each other component that the document is linked to; these are then one."""
+        if self._index is None:
+            self._build()
+        comp, n = self.find(comp), len(shingles)
+        fits = (self.comps != comp) & (self.ids != i) & (100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n))
+        if not fits.any():
+            return []
+        values, begins = self._index
+        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+        at = at[values[at] == shingles]
+        low, count = begins[at], self._ends[at] - begins[at]
+        places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(self._owner[places], minlength=len(self.ids))
+        linked = np.flatnonzero(fits & (100 * both >= percent * (n + self.sizes - both)))
+        out = []
+        for k in linked.tolist():
+            if (other := int(self.comps[k])) != comp:
+                out.append(int(self.ids[k]))
+                self._root[other] = comp
+                self.comps[self.comps == other] = comp
+        return out
+
+
 def _confirmer(ngram: int, percent: int):
-    """Rows (g, salt, block, role, id, c, text) ordered by group and role: role 0 stands, role 1 streams past."""
+    """Rows (g, salt, block, role, id, c, text) ordered by group and role: role 0 stands, role 1 streams past; c is a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, comps, sets = None, [], [], []
-        for batch in batches:
+        group, block = None, Block()
+        for batch in (part for whole in batches for part in slices(whole, 6)):
             a, b = [], []
-            cols = [batch.column(k) for k in range(7)]
-            for r in range(batch.num_rows):
-                key = (cols[0][r].as_py(), cols[1][r].as_py(), cols[2][r].as_py())
-                if key != group:
-                    group, ids, comps, sets = key, [], [], []
-                role, i, c, text = (cols[k][r].as_py() for k in range(3, 7))
-                if role and not ids:
-                    continue
-                s = shingle_set(text, ngram)
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            for g, salt, number, role, i, c, text in zip(*cols, batch.column(6), strict=True):
+                if (g, salt, number) != group:
+                    group, block = (g, salt, number), Block()
                 if not role:
-                    ids.append(i)
-                    comps.append(c)
-                    sets.append(s)
-                    continue
-                for j, d, t in zip(ids, comps, sets, strict=True):
-                    low, high = sorted((len(s), len(t)))
-                    if j == i or d == c or 100 * low < percent * high:
-                        continue
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        a.append(i)
-                        b.append(j)
+                    block.add(i, c, shingle_set(text.as_py(), ngram))
+                elif len(block.ids):
+                    found = block.links(i, c, shingle_set(text.as_py(), ngram), percent)
+                    a += [i] * len(found)
+                    b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -121,7 +163,37 @@ def _confirm(rows: DataFrame, ngram: int, percent: int) -> DataFrame:
     return ordered.select("g", "salt", "block", "role", "id", "c", "text").mapInArrow(_confirmer(ngram, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, perms: int = 64, rows: int = 4) -> DataFrame:
+def _salt(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("salts"))
+
+
+def _numbers(n: str) -> Column:
+    """0 .. n - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _first_rows(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each hub against its members: a row a member, and the hub once for each STREAM of them."""
+    zero = F.lit(0).cast("long").alias("block")
+    streams = held.filter("hub != id").join(sizes, "hub")
+    streams = streams.select(F.col("hub").alias("g"), _salt(1).alias("salt"), zero, F.lit(1).alias("role"), "id", F.col("id").alias("c"))
+    hub = F.col("hub")
+    stands = sizes.select(hub.alias("g"), _numbers("salts").alias("salt"), zero, F.lit(0).alias("role"), hub.alias("id"), hub.alias("c"))
+    return streams.unionByName(stands)
+
+
+def _late_rows(apart: DataFrame) -> DataFrame:
+    """Members outside their hub's component (out) in blocks, and all members of the hub streaming past each block."""
+    block = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks"))
+    stands = apart.filter("out").select(F.col("hub").alias("g"), _numbers("salts").alias("salt"), block.alias("block"), F.lit(0).alias("role"), "id", "c")
+    streams = apart.filter("hub != id")
+    streams = streams.select(F.col("hub").alias("g"), _salt(1).alias("salt"), _numbers("blocks").alias("block"), F.lit(1).alias("role"), "id", "c")
+    return stands.unionByName(streams)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, perms: int = 64, rows: int = 4
+) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): components of documents whose sets have 100 |A and B| >= percent |A or B|.
 
     perms permutations make 2 perms signature values in 2 perms / rows bands. With 64 and 4 a pair at the threshold
@@ -133,46 +205,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed_docs = scratch.keep(docs.mapInArrow(_signer(ngram, perms, rows), "id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     usable = signed_docs.filter("id is not null and n_shingles > 0")
-    classes = scratch.keep(usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = scratch.keep(classes, "classes")
 
-    banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n").alias("size"))
     shared = scratch.keep(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     members = scratch.keep(banded.join(shared, "bucket"), "members")
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = members.select("bucket", "id").join(company, "id")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("h")).select("bucket", (-F.col("h.m")).alias("hub"))
-    hubs = scratch.keep(hubs, "hubs")
-    held = scratch.keep(members.select("bucket", "id").join(hubs, "bucket").select("hub", "id").distinct(), "held")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("h"))
+    hubs = scratch.keep(hubs.select("bucket", (-F.col("h.m")).alias("hub")), "hubs")
+    held = members.select("bucket", "id", "size").join(hubs, "bucket").groupBy("hub", "id").agg(F.max("size").alias("size"))
+    held = scratch.keep(held, "held")
 
     # Counts by hub are written before they are joined back: else the join inherits their partitions, which can't be split.
     sizes = scratch.keep(held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts")), "sizes")
     # An inner join: a semi join would be pushed below the sift and shuffle all texts.
     wanted = held.select("id").distinct()
     texts = scratch.keep(sift(docs, F.col("id"), wanted, F.col("id")).join(wanted, "id"), "texts")
-    salt = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("salts"))
-    streams = held.filter("hub != id").join(sizes, "hub").select(F.col("hub").alias("g"), salt(1).alias("salt"), F.lit(0).cast("long").alias("block"), F.lit(1).alias("role"), "id", F.lit(1).cast("long").alias("c"))
-    stands = sizes.select(F.col("hub").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("role"), F.col("hub").alias("id"), F.lit(0).cast("long").alias("c"))
-    links = scratch.keep(_confirm(streams.unionByName(stands).join(texts, "id"), ngram, percent), "links")
+    links = scratch.keep(_confirm(_first_rows(held, sizes).join(texts, "id"), ngram, percent), "links")
 
     found = connected_components(links, scratch)
     comp = lambda name: F.coalesce(F.col("comp"), F.col(name))
-    placed = scratch.keep(held.join(found, "id", "left").select("hub", "id", comp("id").alias("c")), "placed")
+    placed = scratch.keep(held.join(found, "id", "left").select("hub", "id", "size", comp("id").alias("c")), "placed")
     home = placed.filter("hub = id").select("hub", F.col("c").alias("home"))
     apart = scratch.keep(placed.join(home, "hub").withColumn("out", F.col("c") != F.col("home")), "apart")
-    # A hub's blocks: those outside its component by hash, BLOCK each on the average; all its members stream past each.
-    counts = apart.groupBy("hub").agg(F.ceil(F.count_if("out") / BLOCK).cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts")).filter("blocks > 0")
-    counts = scratch.keep(counts, "counts")
-    apart = apart.join(counts, "hub")
-    block = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks"))
-    zero = F.lit(0).cast("long")
-    stands = apart.filter("out").select(F.col("hub").alias("g"), F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), block.alias("block"), F.lit(0).alias("role"), "id", "c")
-    streams = apart.filter("hub != id").select(F.col("hub").alias("g"), salt(1).alias("salt"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "c")
-    late = scratch.keep(_confirm(stands.unionByName(streams).join(texts, "id"), ngram, percent), "late")
+    cells = lambda size: F.ceil(F.sum(size) / CELL).cast("long")
+    counts = apart.groupBy("hub").agg(cells(F.when(F.col("out"), F.col("size"))).alias("blocks"), cells("size").alias("salts"))
+    counts = scratch.keep(counts.filter("blocks > 0"), "counts")
+    late = _confirm(_late_rows(apart.join(counts, "hub")).join(texts, "id"), ngram, percent)
+    late = scratch.keep(late, "late")
     if not late.isEmpty():
         found = connected_components(links.unionByName(late), scratch)
 
-    named = scratch.keep(classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", comp("rep").alias("component_id")), "named")
-    out = signed_docs.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+    named = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    named = scratch.keep(named.select("set_key", comp("rep").alias("component_id")), "named")
+    key = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key")
+    out = signed_docs.select("id", "n_shingles", key).join(named, "set_key", "left")
     component = F.coalesce("component_id", "id")
-    scratch.drop(members, hubs, shared, held, sizes, counts, texts, placed, links, late, classes)
+    scratch.drop(members, hubs, shared, held, sizes, counts, apart, texts, placed, links, late, classes)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,10 +1,12 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tests.llm.conftest import frame
+from tessera.llm import minmax_dedup
 from tessera.llm.components import connected_components
 from tessera.llm.minmax_dedup import band_hashes, minmax_signature, near_duplicates, permutation_factors, shingle_set
 from tessera.llm.scratch import Scratch, sift
@@ -66,6 +68,60 @@ def test_chains_link_through_members_that_are_no_hub(spark):
     assert got == want
 
 
+def just_below(n, seed=5):
+    """Documents of one base, each pair a little under 85 % alike, but for a few pairs over it."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(300)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(300), 6):
+            w[k] = f"e{i}-{k}"
+        rows.append((i, " ".join(w)))
+    return [*rows, *((n + i, rows[7 * i][1] + " and more") for i in range(n // 20))]
+
+
+def test_groups_just_below_the_threshold(spark, monkeypatch):
+    rows = just_below(640)
+    want = brute_components(rows, 3, 85)
+    assert len(set(want.values())) > 300
+    sent = []
+    plain = minmax_dedup._late_rows
+    monkeypatch.setattr(minmax_dedup, "_late_rows", lambda apart: sent.append(plain(apart)) or sent[0])
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), ngram=3, percent=85).collect()}
+    assert got == want
+    assert sent[0].count() < 2 * 32 * len(rows)  # at most twice for each band
+
+
+@pytest.mark.parametrize("cell", [200, 3000])
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch, cell):
+    monkeypatch.setattr(minmax_dedup, "CELL", cell)
+    rows = just_below(60)
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), ngram=3, percent=85).collect()} == brute_components(rows, 3, 85)
+
+
+def test_a_block_names_one_link_between_components():
+    rng, block, sets = random.Random(1), minmax_dedup.Block(), {}
+    for i in range(60):
+        s = {rng.randrange(30) for _ in range(25)}
+        sets[i] = np.array(sorted(s), np.uint64)
+    for i in range(30):
+        block.add(i, i, sets[i])
+    got = {(i, j) for i in range(30, 60) for j in block.links(i, i, sets[i], 50)}
+    alike = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 50 * len(np.union1d(x, y))
+    want = {(i, j) for i in range(30, 60) for j in range(30) if alike(sets[i], sets[j])}
+    assert got <= want and len(got) < len(want)
+
+    def parts(edges):
+        root = {i: i for i in range(60)}
+        for a, b in sorted(edges):
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    assert parts(got) == parts(want)
+
+
 def test_signature_keeps_both_ends_and_estimates_similarity():
     a, b = shingle_set(" ".join(f"w{i}" for i in range(1000)), 3), shingle_set(" ".join(f"w{i}" for i in range(100, 1100)), 3)
     f = permutation_factors(512)
