@@ -3,10 +3,12 @@
 Writing: payloads are told apart by SHA-1. Of records with equal payloads the one with the largest id is the response, the
 others are revisits that refer to it; only ids and digests are shuffled for that, and the html follows once, by id. Each
 task writes archives of bounded size to the shared folder under a name of its own and reports them in a manifest, which
-is committed with the task: a lost task's files are in no manifest.
+is committed with the task: a lost task's files are in no manifest. Where the folder is in a store that only Spark can
+write to, the manifest holds the archives themselves, byte for byte.
 
-Reading: a task streams an archive, loads the dictionary from the skippable frame, decodes one frame after the other and
-checks each record's version line, its named fields, its lengths and its payload digest.
+Reading: archives are dealt out to as many tasks as there are archives, READERS at most. A task streams an archive, loads
+the dictionary from the skippable frame, decodes one frame after the other and checks each record's version line, its
+named fields, its lengths and its payload digest.
 
 Defined results: a null payload is empty. A row whose id is null is a response unless a row with an id has its payload, then a
 revisit; rows that share the largest id of a payload are all responses. Null urls are left out of the header. An empty
@@ -39,7 +41,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 #: Bytes of records in one archive; records that train its dictionary, bytes of each, and bytes of the dictionary.
 ARCHIVE_BYTES, TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES = 16 << 20, 400, 8192, 16 << 10
-CHUNK = 1 << 15
+CHUNK, READERS = 1 << 15, 50_000
+#: Hadoop's names of a store that pyarrow knows by another.
+STORES = {"s3a": "s3", "s3n": "s3"}
 
 
 class WarcError(ValueError):
@@ -181,6 +185,22 @@ def _batches(rows: Iterator[tuple], with_payload: bool) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), COLUMNS.values(), strict=True)], list(COLUMNS))
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    return pyarrow.fs.FileSystem.from_uri(f"{STORES[scheme]}:{rest}" if colon and scheme in STORES else uri)
+
+
+def reachable(folder: str) -> bool:
+    """Whether files can be written to a folder without Spark; makes the folder if so."""
+    try:
+        fs, at = file_system(folder)
+        fs.create_dir(at, recursive=True)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of the archives named in a manifest, streamed; a bad record is a row with its error.
 
@@ -189,16 +209,22 @@ def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, at = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at, compression=None) as stream:
+            for path, n, content in zip(*batch.columns, strict=True):
+                path, n = path.as_py(), n.as_py()
+                if content.is_valid:
+                    source = io.BytesIO(content.as_py())
+                else:
+                    fs, at = file_system(path)
+                    source = fs.open_input_stream(at, compression=None)
+                with source as stream:
                     for out in _batches(_read_one(stream), with_payload):
                         n -= out.num_rows
                         yield out
                 if n:
                     raise WarcError(f"{path} has {-n:+d} records against its manifest")
 
-    return manifest.select("path", "n_records").mapInArrow(run, SCHEMA)
+    content = F.col("content") if "content" in manifest.columns else F.lit(None).cast("binary").alias("content")
+    return manifest.select("path", "n_records", content).mapInArrow(run, SCHEMA)
 
 
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -212,35 +238,40 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     return files.select("content").mapInArrow(run, SCHEMA)
 
 
-def _writer(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(at, recursive=True)
-        context, done, records, size = TaskContext.get(), [], [], 0
+def _writer(folder: str, as_files: bool):
+    """Rows (page_id, url, html, refers_to) -> a row (path, n_records, content) for each archive; content only without files."""
 
-        def flush() -> None:
-            nonlocal records, size
-            if records:
-                name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(done):04d}.warc.zst"
-                with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
-                    write_archive(records, out)
-                done.append((f"{folder}/{name}", len(records)))
-                records, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, records, size, done = TaskContext.get(), [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal records, size, done
+            name = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{done:04d}.warc.zst"
+            held = io.BytesIO()
+            write_archive(records, held)
+            if as_files:
+                fs, at = file_system(name)
+                with fs.open_output_stream(at, compression=None) as out:
+                    out.write(held.getbuffer())
+            n, content = len(records), None if as_files else held.getvalue()
+            records, size, done = [], 0, done + 1
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([content], pa.binary())], ["path", "n_records", "content"])
 
         for batch in batches:
             for page, url, html, refers in zip(*batch.columns, strict=True):
-                records.append(build_record(page.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py()))
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                records.append(build_record(page.as_py(), url.as_py(), payload, refers.as_py()))
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
-                    flush()
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["path", "n_records"])
+                    yield flush()
+        if records:
+            yield flush()
 
     return run
 
 
 def write_pages(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Archive all pages; the manifest (path, n_records). Payloads under min_bytes are never revisits."""
+    """Archive all pages; the manifest (path, n_records, content). Payloads under min_bytes are never revisits."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     digests = scratch.keep(rows.filter(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest")), "digests")
@@ -253,18 +284,27 @@ def write_pages(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url
     if lost:
         more = again.filter("page_id is null").select(F.col("digest").alias("d2"), F.col("first").alias("first2"))
         keyed = keyed.join(more, keyed.page_id.isNull() & (F.unhex(F.sha1(F.col("html").cast("binary"))) == F.col("d2")), "left").withColumn("first", F.coalesce("first", "first2"))
-    manifest = keyed.select("page_id", "url", "html", "first").mapInArrow(_writer(f"{scratch.path}/archives"), "path string, n_records long")
+    folder = f"{scratch.path}/archives"
+    writer = _writer(folder, reachable(folder))
+    manifest = keyed.select("page_id", "url", "html", "first").mapInArrow(writer, "path string, n_records long, content binary")
     return scratch.keep(manifest, "manifest")
 
 
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The manifest with its archives spread over tasks. A given number of tasks, as Spark would join so few bytes in one."""
+    if not manifest.filter("content is not null").isEmpty():
+        return manifest  # the archives are inside: the table's splits are the tasks
+    n = max(1, min(manifest.count(), READERS))
+    return manifest.select("path", "n_records").repartition(n)
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages, read the archives back: (id_col, payload_bytes, payload_digest, record_type, refers_to, error)."""
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = write_pages(pages, scratch, id_col, url_col, html_col)
-    spread = manifest.repartition("path")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    back = read_manifest(spread, with_payload=False)
+    back = read_manifest(dealt(manifest), with_payload=False)
     return back.select(as_id(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", as_id(F.coalesce(F.col("refers_to"), F.lit(""))).alias("refers_to"), "error")
 
 
