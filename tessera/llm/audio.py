@@ -4,7 +4,8 @@ A payload is stored losslessly as 8-bit mono samples in a WAV container, read ba
 resampling (each of `up` phases of one low-pass filter is applied to every down-th window), overlapped frames, their
 power spectrum through triangular mel filters, the logarithm, and segments by hysteresis: one begins where the frame
 energy passes the upper bound and lasts until it falls below the lower. Each segment has its time span and one tensor
-of fixed shape, its frames averaged into SLOTS rows of MELS values; tensor_table() holds them as Arrow's fixed-shape tensors.
+of fixed shape, its frames averaged into SLOTS rows of MELS values. A text's segments are stored as one Arrow record
+batch of time spans and fixed-shape tensors in a column beside its other features, and read back from there.
 
 A text is worked on block by block, so memory is bounded by its samples and a block.
 
@@ -21,10 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tessera.llm.scratch import Scratch
+from tessera.llm.words import slices
 
 UNIT, PAD, RATE = 192, b" ", 8000
 UP, DOWN, TAPS = 3, 4, 16
@@ -136,53 +141,89 @@ def store_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([wav_encode(padded(r)) for r in raw], pa.binary())], ["id", "n_bytes", "media"])
+            sizes, media = pa.array([len(r) for r in raw], pa.int64()), pa.array([wav_encode(padded(r)) for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, media], ["id", "n_bytes", "media"])
 
     return scratch.keep(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
-SEGMENT = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32()))]))
+#: What a cell of segments holds.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS), dim_names=["slot", "mel"])
+SPANS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR)])
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames, mel_mean, segments)."""
+def pack_spans(found: list[tuple[float, float, np.ndarray]]) -> bytes:
+    """Segments as an Arrow record batch message; its schema is SPANS."""
+    flat = np.stack([t for _, _, t in found]).ravel() if found else np.empty(0, np.float32)
+    values = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), SLOTS * MELS)
+    spans = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*spans, pa.ExtensionArray.from_storage(TENSOR, values)], schema=SPANS).serialize().to_pybytes()
+
+
+def unpack_spans(stored: bytes) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(stored), SPANS)
+
+
+def store_tensors(media: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames, mel_mean, spans), written and read back."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "mel_mean", "spans"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "mel_mean", "segments"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), SEGMENT]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out = []
             for cell in batch.column(2):
                 stored = cell.as_py()
                 samples = wav_decode(stored)
                 mels, found = features(samples)
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mels), mels.mean(0), [{"start_s": a, "end_s": b, "tensor": t.ravel()} for a, b, t in found]))
+                digests = hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest()
+                out.append((len(samples), *digests, len(mels), mels.mean(0), pack_spans(found)))
             cols = list(zip(*out, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", *names])
+            cols = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["id", "n_bytes", *names])
+
+    schema = (
+        f"id {media.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+        "media_bytes long, media_sha256 string, n_frames long, mel_mean array<float>, spans binary"
+    )
+    return scratch.keep(media.select("id", "n_bytes", "media").mapInArrow(run, schema), "tensors")
+
+
+SEGMENTS = "array<struct<start_s:double,end_s:double,tensor:array<float>>>"
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """The columns of store_tensors() with segments, (start_s, end_s, tensor) each, in the place of spans."""
+    schema = StructType([*stored.schema.fields[:-1], StructField("segments", DataType.fromDDL(SEGMENTS))])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+            parts = [unpack_spans(cell.as_py()) for cell in batch.column(batch.num_columns - 1)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([p.num_rows for p in parts])]), pa.int32())
+            each = pa.Table.from_batches(parts, SPANS).combine_chunks()
+            tensor = each["tensor"].combine_chunks().storage.flatten() if each.num_rows else pa.array([], pa.float32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(each.num_rows + 1) * SLOTS * MELS, pa.int32()), tensor)
+            spans = [each[k].combine_chunks() if each.num_rows else pa.array([], pa.float64()) for k in ("start_s", "end_s")]
+            found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([*spans, lists], ["start_s", "end_s", "tensor"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found.cast(kinds[-1].type)], schema=kinds)
 
-    schema = f"id {media.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, mel_mean array<float>, segments array<struct<start_s:double,end_s:double,tensor:array<float>>>"
-    return media.select("id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.mapInArrow(run, schema)
 
 
 def tensor_table(rows: pa.Table) -> pa.Table:
-    """One row for each segment: id, time span and a fixed-shape tensor (SLOTS, MELS)."""
-    ids, starts, ends, flat = [], [], [], []
-    for i, found in zip(rows["id"].to_pylist(), rows["segments"].to_pylist(), strict=True):
-        for s in found:
-            ids.append(i)
-            starts.append(s["start_s"])
-            ends.append(s["end_s"])
-            flat.append(s["tensor"])
-    values = pa.array(np.array(flat, np.float32).ravel() if flat else [], pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS), dim_names=["slot", "mel"])
-    tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, SLOTS * MELS))
-    return pa.table({"id": pa.array(ids, rows.schema.field("id").type), "start_s": pa.array(starts, pa.float64()), "end_s": pa.array(ends, pa.float64()), "tensor": tensors})
+    """One row for each segment of (id, spans): id, time span and a fixed-shape tensor (SLOTS, MELS)."""
+    parts = [unpack_spans(cell) for cell in rows["spans"].to_pylist()]
+    owner = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
+    return pa.Table.from_batches(parts, SPANS).add_column(0, "id", rows["id"].take(pa.array(owner, pa.int64())))
 
 
 def feature_text(mel_mean, n_frames, found):
     """The digest column: frames, segments, mean of the mels in hundredths and a hash of spans and tensors in hundredths."""
     whole = F.transform(mel_mean, lambda x: F.round(x * 100).cast("long"))
-    parts = F.transform(found, lambda s: F.concat_ws(",", F.round(s["start_s"] * 1000).cast("long"), F.round(s["end_s"] * 1000).cast("long"), F.array_join(F.transform(s["tensor"], lambda x: F.round(x * 100).cast("long").cast("string")), ",")))
+    milli = lambda c: F.round(c * 1000).cast("long")
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 100).cast("long").cast("string")), ",")
+    parts = F.transform(found, lambda s: F.concat_ws(",", milli(s["start_s"]), milli(s["end_s"]), numbers(s["tensor"])))
     return F.concat_ws("|", n_frames, F.size(found), F.array_join(whole.cast("array<string>"), ","), F.md5(F.array_join(parts, ";")))

@@ -49,8 +49,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import audio
 
-    media = audio.store_media(_table(spark, sf_dir, "documents"), Scratch(spark, "media"))
-    out = audio.media_features(media).withColumnRenamed("id", "doc_id")
+    scratch = Scratch(spark, "media")
+    stored = audio.store_tensors(audio.store_media(_table(spark, sf_dir, "documents"), scratch), scratch)
+    out = audio.media_features(stored).withColumnRenamed("id", "doc_id")
     return out.withColumn("feature", audio.feature_text(F.col("mel_mean"), F.col("n_frames"), F.col("segments"))).drop("n_frames", "mel_mean", "segments")
 
 

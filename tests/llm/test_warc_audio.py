@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame, words
-from tessera.llm import audio, warc
+from tessera.llm import audio, scratch, warc
 from tessera.llm.scratch import Scratch
 
 PAGES = "page_id long, url string, html string, record_type string, first long"
@@ -39,6 +40,29 @@ def test_round_trip(spark):
     assert got == sorted(want)
 
 
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", "x" * 3000 + str(i)) for i in range(160)]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 30_000)
+    manifest = warc.write_pages(pages(spark, rows).repartition(4), Scratch(spark, "t"))
+    assert manifest.count() > 12
+    full = warc.dealt(manifest).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert len(full) == manifest.count() and sum(map(bool, full)) > 6
+
+
+def test_a_store_that_only_spark_writes(spark, tmp_path, monkeypatch):
+    """viewfs is Hadoop's own; pyarrow does not know it."""
+    rows = [(i, f"http://h/{i}", f"<p>page {i % 30}</p>" * (i % 9)) for i in range(90)]
+    want = sorted(map(str, warc.round_trip(pages(spark, rows)).collect()))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: "viewfs://far/in")
+    assert not warc.reachable("viewfs://far/in/x")
+    assert sorted(map(str, warc.round_trip(pages(spark, rows)).collect())) == want
+    manifest = warc.write_pages(pages(spark, rows), Scratch(spark, "t"))
+    held = manifest.first().content
+    assert len(list(warc.frames(io.BytesIO(held)))) == manifest.first().n_records
+    assert warc.file_system(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
 def test_archives_have_a_dictionary_and_a_frame_each(spark):
     rng = random.Random(1)
     rows = [(i, f"http://h/{i}", f"<html><body>page number {i} " + words(rng, 300)) for i in range(200)]
@@ -90,8 +114,8 @@ def test_pages_empty_table(spark):
 
 
 def test_payloads_are_stored_losslessly(spark, corpus):
-    media = audio.store_media(frame(spark, corpus), Scratch(spark, "t"))
-    out = audio.media_features(media).collect()
+    at = Scratch(spark, "t")
+    out = audio.media_features(audio.store_tensors(audio.store_media(frame(spark, corpus), at), at)).collect()
     assert len(out) == len(corpus)
     want = {}
     for i, t in corpus:
@@ -105,7 +129,8 @@ def test_payloads_are_stored_losslessly(spark, corpus):
     for r, (_, t) in zip(sorted(out, key=lambda r: (r.id is None, r.id)), sorted(corpus, key=lambda x: (x[0] is None, x[0])), strict=True):
         by_text[t or ""].add(str((r.n_frames, r.mel_mean, r.segments)))
     assert all(len(x) == 1 for x in by_text.values())
-    assert audio.media_features(audio.store_media(frame(spark, []).filter("false"), Scratch(spark, "t"))).count() == 0
+    none = audio.store_media(frame(spark, []).filter("false"), at)
+    assert audio.media_features(audio.store_tensors(none, at)).count() == 0
 
 
 def test_resampling_matches_upsample_filter_decimate():
@@ -135,13 +160,68 @@ def test_log_mel_and_hysteresis():
 
 
 def test_tensors_have_a_fixed_shape(spark):
-    media = audio.store_media(frame(spark, [(1, "loud and quiet " * 400), (2, "")]), Scratch(spark, "t"))
-    table = audio.tensor_table(audio.media_features(media).toArrow())
+    at = Scratch(spark, "t")
+    stored = audio.store_tensors(audio.store_media(frame(spark, [(1, "loud and quiet " * 400), (2, "")]), at), at)
+    table = audio.tensor_table(stored.select("id", "spans").toArrow())
     assert isinstance(table.schema.field("tensor").type, pa.FixedShapeTensorType)
     assert table["tensor"].combine_chunks().to_numpy_ndarray().shape[1:] == (audio.SLOTS, audio.MELS)
     assert all(a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True))
 
 
+def plain_features(body):
+    """The whole way once more, one sample, frame and segment at a time."""
+    x = [(b - 128) / 128 for b in body]
+    h = audio.lowpass().T.ravel().astype(np.float64)
+    n = -(-len(x) * audio.UP // audio.DOWN)
+    shift = (audio.TAPS // 2 - 1) * audio.UP
+    y = []
+    for k in range(n):
+        at = k * audio.DOWN + shift  # in the upsampled signal, where only every UP-th sample is not 0
+        y.append(sum(h[j] * x[(at - j) // audio.UP] for j in range(len(h)) if (at - j) % audio.UP == 0 and 0 <= (at - j) // audio.UP < len(x)))
+    frames = 1 + max(0, -(-(n - audio.FRAME) // audio.HOP))
+    y += [0.0] * ((frames - 1) * audio.HOP + audio.FRAME - n)
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / (audio.FRAME - 1)) for k in range(audio.FRAME)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    mels = np.array([np.log(np.abs(turn @ (np.array(y[f * audio.HOP : f * audio.HOP + audio.FRAME]) * hann)) ** 2 @ audio.FILTERS + 1e-6) for f in range(frames)])
+    energy = [sum(m) / audio.MELS for m in mels]
+    mean = sum(energy) / frames
+    spread = (sum((e - mean) ** 2 for e in energy) / frames) ** 0.5
+    spans, begin = [], None
+    for f, e in enumerate([*energy, None]):
+        if begin is not None and (e is None or (e - mean) / spread < 0.0):
+            spans.append((begin, f))
+            begin = None
+        elif begin is None and e is not None and spread >= 1e-6 and (e - mean) / spread > 0.5:
+            begin = f
+    out = []
+    for b, e in spans:
+        rows = []
+        for k in range(audio.SLOTS):
+            low = min(int(b + k * (e - b) / audio.SLOTS), e - 1)
+            high = max(int(np.ceil(b + (k + 1) * (e - b) / audio.SLOTS)), low + 1)
+            rows.append(mels[low:high].mean(0))
+        out.append((b * audio.HOP / 6000, ((e - 1) * audio.HOP + audio.FRAME) / 6000, np.array(rows)))
+    return mels, out
+
+
+def test_whole_rows_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, words(rng, n)) for k, n in enumerate((3, 40, 200, 400))] + [(9, None), (10, "aaaa" * 500 + "zzzz" * 300 + "aaaa" * 500)]
+    at = Scratch(spark, "t")
+    stored = audio.store_tensors(audio.store_media(frame(spark, rows), at), at)
+    got = audio.media_features(stored).withColumn("feature", audio.feature_text(F.col("mel_mean"), F.col("n_frames"), F.col("segments")))
+    texts = dict(rows)
+    for r in got.collect():
+        mels, found = plain_features(audio.padded((texts[r.id] or "").encode()))
+        assert r.n_frames == len(mels) and len(r.segments) == len(found)
+        np.testing.assert_allclose(r.mel_mean, mels.mean(0), atol=2e-3)
+        for s, (a, b, t) in zip(r.segments, found, strict=True):
+            assert (s.start_s, s.end_s) == pytest.approx((a, b))
+            np.testing.assert_allclose(np.reshape(s.tensor, t.shape), t, atol=5e-3)
+        whole = ",".join(str(int(np.floor(abs(x) * 100 + 0.5) * np.sign(x))) for x in np.array(r.mel_mean, np.float32).astype(float))
+        assert r.feature.split("|")[:3] == [str(len(mels)), str(len(found)), whole]
+
+
 def test_broken_wav_is_refused():
     good = audio.wav_encode(b"x" * 192)
     for bad in (good[:-1], b"RIFX" + good[4:], good[:36]):
