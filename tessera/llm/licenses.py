@@ -35,6 +35,8 @@ BULLET = "[[{{1|2|3|4|a|b|c|d|i|ii|iii|iv|•}}]]"
 BSD_START = f"{COPYRIGHT} redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {BULLET} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {BULLET} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 BSD_NAMES = "{{neither the name of <<12>> nor the names of {{its|<<3>>}} contributors may|the name of the author may not}} be used to endorse or promote products derived from this software without specific prior written permission"
 BSD_END = f"this software is provided by {{{{the copyright holders and contributors|<<12>>}}}} {AS_IS} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{{{the copyright holder or contributors|<<12>>}}}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+GPL_VERSION = "{{either version {{2|2 1|3}} of the license or [[at your option]] any later version|version {{2|2 1|3}} of the license|version {{2|2 1|3}}}}"
+NO_WARRANTY = "<<5>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the"
 TEMPLATES = {
     "mit-notice": "{{released|licensed|available|distributed|provided}} under the [[terms of the]] mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
@@ -46,6 +48,12 @@ TEMPLATES = {
     "bsd-4-clause": f"{BSD_START} {BULLET} all advertising materials mentioning features or use of this software must display the following {{{{acknowledgement|acknowledgment}}}} this product includes software developed by <<20>> {BULLET} {BSD_NAMES} {BSD_END}",
     "isc": f"{COPYRIGHT} permission to use copy modify and {{{{or|}}}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided {AS_IS} and {{{{the author|<<8>>}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{{{the author|<<8>>}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "apache-2.0": f"{COPYRIGHT} licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{{{http|https}}}} www apache org licenses license 2 0 [[{{{{txt|html}}}}]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {AS_IS} basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-notice": f"is free software {{{{you can|you may}}}} redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {GPL_VERSION} {NO_WARRANTY} gnu general public license for more details",
+    "lgpl-notice": f"is free software {{{{you can|you may}}}} redistribute it and or modify it under the terms of the gnu {{{{lesser|library}}}} general public license as published by the free software foundation {GPL_VERSION} {NO_WARRANTY} gnu {{{{lesser|library}}}} general public license for more details",
+    "agpl-notice": f"is free software {{{{you can|you may}}}} redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation {GPL_VERSION} {NO_WARRANTY} gnu affero general public license for more details",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{http|https}} {{mozilla|www mozilla}} org mpl 2 0",
+    "unlicense": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided {AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "zlib": f"{COPYRIGHT} this software is provided {{{{as is|“as is”|‘as is’}}}} without any express or implied warranty in no event will the {{{{author|authors}}}} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {BULLET} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {BULLET} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {BULLET} this notice may not be removed or altered from any source distribution",
 }
 
 
@@ -96,9 +104,17 @@ class Automaton:
 
 
 def compile_template(markup: str) -> Automaton:
-    tokens = re.findall(r"\[\[|\]\]|\{\{|\}\}|\||<<\d+>>|[^\s\[\]{}|<>]+", markup)
+    """The automaton of a markup; a ValueError where regions are not closed, not opened or not of a kind."""
+    tokens = re.findall(r"\[\[|\]\]|\{\{|\}\}|\||<<\d+>>|[^\s\[\]{}|<>]+|[\[\]{}<>]", markup)
     auto, at = Automaton(), 0
 
+    def expect(*marks: str) -> str:
+        nonlocal at
+        if at == len(tokens) or tokens[at] not in marks:
+            raise ValueError(f"expected {' or '.join(marks)}, not {tokens[at] if at < len(tokens) else 'the end'!r} in {markup[:80]!r}")
+        at += 1
+        return tokens[at - 1]
+
     def sequence(start: int, depth: int) -> int:
         nonlocal at
         here = start
@@ -107,7 +123,7 @@ def compile_template(markup: str) -> Automaton:
             at += 1
             if token == "[[":
                 after = sequence(here, depth + 1)
-                at += 1
+                expect("]]")
                 auto.empty[here].add(after)
                 here = after
             elif token == "{{":
@@ -116,8 +132,7 @@ def compile_template(markup: str) -> Automaton:
                     begin = auto.state()
                     auto.empty[here].add(begin)
                     auto.empty[sequence(begin, depth + 1)].add(done)
-                    at += 1
-                    if tokens[at - 1] == "}}":
+                    if expect("}}", "|") == "}}":
                         break
                 here = done
             elif token.startswith("<<"):
@@ -126,6 +141,8 @@ def compile_template(markup: str) -> Automaton:
                     auto.any_moves[here].add(after)
                     auto.empty[here].add(after)
                     here = after
+            elif token in ("[", "]", "{", "}", "<", ">"):
+                raise ValueError(f"{token!r} is no word and opens no region in {markup[:80]!r}")
             else:
                 after = auto.state()
                 auto.moves[here].setdefault(token.encode(), set()).add(after)
@@ -135,6 +152,8 @@ def compile_template(markup: str) -> Automaton:
         return here
 
     auto.end = sequence(auto.state(), 0)
+    if at < len(tokens):
+        raise ValueError(f"{tokens[at]!r} closes or parts no region in {markup[:80]!r}")
     return auto
 
 

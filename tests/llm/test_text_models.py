@@ -127,6 +127,12 @@ def regex_of(markup):
     return re.compile(out)
 
 
+@pytest.mark.parametrize("markup", ["a [[b", "a ]] b", "a | b", "{{a|b", "a }} b", "{{a]]", "[[a}}", "[[a|b]]", "a [ b", "x <<y>>"])
+def test_broken_markup_is_refused(markup):
+    with pytest.raises(ValueError):
+        L.compile_template(markup)
+
+
 @pytest.mark.parametrize("markup", ["a [[b [[c]]]] d", "a {{b|c d|}} e", "a <<2>> b", "[[x]] a [[b]] [[c]] d", "a {{b [[c]]|<<1>> d}} e", *L.TEMPLATES.values()])
 def test_automata_accept_what_the_markup_says(markup):
     auto, pattern, rng = L.compile_template(markup), regex_of(markup), random.Random(1)
@@ -242,11 +248,75 @@ APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
     http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 See the License for the specific language governing permissions and limitations under the License."""
-WHOLE = {"mit": MIT_TEXT, "bsd-2-clause": BSD_HEAD + BSD_TAIL, "bsd-3-clause": BSD_HEAD + "3. " + BSD_NAMES + BSD_TAIL, "bsd-4-clause": BSD_HEAD + BSD_ADS + "4. " + BSD_NAMES + BSD_TAIL, "isc": ISC_TEXT, "apache-2.0": APACHE_TEXT}
+GPL_TEXT = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+WHOLE = {
+    "mit": MIT_TEXT, "bsd-2-clause": BSD_HEAD + BSD_TAIL, "bsd-3-clause": BSD_HEAD + "3. " + BSD_NAMES + BSD_TAIL,
+    "bsd-4-clause": BSD_HEAD + BSD_ADS + "4. " + BSD_NAMES + BSD_TAIL, "isc": ISC_TEXT, "apache-2.0": APACHE_TEXT,
+    "gpl-notice": GPL_TEXT.format("program", "", "3"), "lgpl-notice": GPL_TEXT.format("library", "Lesser ", "2.1"), "agpl-notice": GPL_TEXT.format("program", "Affero ", "3"),
+    "mpl-2.0": MPL_TEXT, "unlicense": UNLICENSE_TEXT, "zlib": ZLIB_TEXT,
+}
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_a_changed_word_counts_as_the_markup_says(label):
+    """Each word of a whole text replaced, left out and repeated, held to the markup as a regular expression."""
+    scanner, pattern = L.LicenseScanner({label: L.TEMPLATES[label]}, {}), re.compile("(?:^|(?<= ))" + regex_of(L.TEMPLATES[label]).pattern)
+    w = [x.decode() for x in L.license_words(WHOLE[label])]
+    refused = 0
+    for k in range(len(w)):
+        for new in ([], ["zzz"], [w[k], w[k]]):
+            text = ["before", *w[:k], *new, *w[k + 1 :], "after"]
+            want = bool(pattern.search(" ".join(text) + " "))
+            assert bool(scanner.scan(" ".join(text))[2]) == want, (k, new)
+            refused += not want
+    assert refused > 2 * len(w)
+
+
+def plain_scan(text):
+    """(labels, words inside a match) by regular expressions over words, all places tried."""
+    w = [x.decode() for x in L.license_words(text)]
+    inside, labels = set(), set()
+    for label, markup in [*((label, p) for p, label in L.PHRASES.items()), *L.TEMPLATES.items()]:
+        pattern = regex_of(markup)
+        for p in range(len(w)):
+            if pattern.match("".join(x + " " for x in w[p:])):
+                end = max(k for k in range(p, len(w) + 1) if pattern.fullmatch("".join(x + " " for x in w[p:k])))
+                inside |= set(range(p, end))
+                labels |= {label} if end > p else set()
+    return labels, len(inside), len(w)
+
+
+def test_whole_rows_match_regular_expressions(spark):
+    texts = [*WHOLE.values(), MIT_TEXT + "\n" + MPL_TEXT, "see the MIT License. " + ISC_TEXT, MIT_TEXT.replace("Software", "Softwares"), "mit license", "nothing here", None, GPL_TEXT.format("program", "", "3").split("This program is distributed")[0]]
+    for r in L.scan_licenses(frame(spark, list(enumerate(texts)))).collect():
+        labels, inside, n = plain_scan(texts[r.doc_id])
+        assert r.labels == ",".join(sorted(labels))
+        assert r.score == pytest.approx(inside / n if n else 0.0)
 
 
 def test_licenses_need_all_their_wording():
-    scanner, notices = L.LicenseScanner(), {k for k in L.TEMPLATES if k.endswith("-notice")}
+    scanner, notices = L.LicenseScanner(), {k for k in L.TEMPLATES if k.endswith("-notice")} - set(WHOLE)
     found = lambda t: {label for _, _, label in scanner.scan(t)[2]} - notices
     for label, text in WHOLE.items():
         assert found("Before. " + text + " After.") == {label}
