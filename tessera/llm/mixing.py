@@ -13,7 +13,7 @@ sources, a counted bound; beyond that documents are joined by source and salt.
 
 Defined results: a null or empty text has size 0 and is emitted floor(rate) times or once more like any other, for no words. A null source is a source
 of its own, last. A source without tokens has target 0 and rate 0. Rows that repeat an id are drawn alike. An empty table
-gives an empty table. Columns of the input whose names clash are inside row.
+gives an empty table. Columns of the input whose names clash are inside row; emit() names the copies' number so that it clashes with none.
 """
 
 from __future__ import annotations
@@ -66,9 +66,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("row", "id", "size", "source_size", "target", (F.floor("rate") + extra.cast("int")).cast("long").alias("copies"))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the number of the copy."""
-    return mixed.filter("copies > 0").select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy"))
+def emit(mixed: DataFrame, copy_col: str = "mix_copy") -> DataFrame:
+    """The documents of the mix, each as often as it is taken, and the number of the copy, from 1.
+
+    Where documents have a column copy_col of their own, in any case of letters, it stays and underscores follow the number's name.
+    """
+    taken = {f.name.lower() for f in mixed.schema["row"].dataType.fields}
+    while copy_col.lower() in taken:
+        copy_col += "_"
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.filter("copies > 0").select("row.*", copies.alias(copy_col))
 
 
 ORACLE = """

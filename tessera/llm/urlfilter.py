@@ -67,9 +67,9 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def propagate(nodes: DataFrame, edges: DataFrame, scratch: Scratch, tolerance: float, damping: float) -> DataFrame:
     """nodes (host, t0, d0), edges (src, dst, n) -> (host, trust, distrust)."""
+    if edges.isEmpty():  # what the rounds below come to
+        return nodes.select("host", *(((1 - damping) * F.col(c)).alias(new) for c, new in (("t0", "trust"), ("d0", "distrust"))))
     ranks = nodes.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    if edges.isEmpty():
-        return ranks.select("host", "trust", "distrust")
     outs, ins = edges.groupBy("src").agg(F.sum("n").alias("w_out")), edges.groupBy("dst").agg(F.sum("n").alias("w_in"))
     shares = scratch.keep(edges.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("n") / F.col("w_out")).alias("fw"), (F.col("n") / F.col("w_in")).alias("bw")), "shares")
     last, moved = None, True

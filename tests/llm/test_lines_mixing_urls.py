@@ -132,6 +132,14 @@ def test_mixing_targets_and_copies(spark):
     assert emitted.columns == [*df.columns, "mix_copy"] and emitted.count() == sum(r.copies for r in out)
 
 
+def test_emitted_copies_clash_with_no_column(spark, tmp_path):
+    df = frame(spark, [(i, "a b c", f"s{i % 3}") for i in range(30)]).withColumnsRenamed({"lang": "mix_copy", "row": "Mix_Copy_"})
+    out = mixing.emit(mixing.mix_sources(df))
+    assert out.columns == [*df.columns, "mix_copy__"]
+    out.write.parquet(f"{tmp_path}/out")
+    assert {r.mix_copy for r in out.collect()} == {"en"} and {r.mix_copy__ for r in out.collect()} == {1, 2}
+
+
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(i, "a b c", f"s{i % 9}") for i in range(90)]
     want = mixing.mix_sources(frame(spark, rows)).collect()
