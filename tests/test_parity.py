@@ -2,7 +2,10 @@
 
 import math
 import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -44,3 +47,11 @@ def test_entry_names_agree():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and registry.FLAGSHIP in entry.queries()
+
+
+@pytest.mark.parametrize("gone", ["zstandard", "tessera.llm", "tessera.llm.queries"])
+def test_archive_queries_need_no_optional_part(gone):
+    """In a process of its own, where a package or the training-data operators can't be imported."""
+    said = "import sys; sys.modules[sys.argv[1]] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql().keys() | e.registry.QUERIES))"
+    run = subprocess.run([sys.executable, "-c", said, gone], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    assert run.stdout.strip() == "True"
