@@ -2,38 +2,105 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import uuid
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import keyword
+from tessera.sources import readers
+
+#: Runs of one level that are merged into one of the next; the level of the run that build() writes.
+FANOUT, BASE = 4, 99
+RUNS = "number int, name string, level int"
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Postings with each document's length, the number of documents and their mean length; analyser is what made the terms."""
+    """Postings with each document's length, the number of documents and their mean length; analyser is what made the terms.
+
+    The index is a log of runs, oldest first. A run holds the postings and lengths of some documents and the ids (gone) of
+    which all older runs count no more: those it indexes anew and those deleted. So a change costs what it changes. Runs of
+    one level are merged, FANOUT at a time; once changes outgrow half of what build() wrote, everything is. A manifest, published
+    last, names the runs: one that breaks off leaves the index as it was.
+    """
 
     postings: DataFrame
     n: int
     avglen: float
     analyser: str = "plain"
+    path: str = ""
+    runs: tuple[tuple[str, int], ...] = field(default=())
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, analyser: str = "plain") -> KeywordIndex:
-        """Range-partitioned by term and document, so that a term of any frequency is spread over files."""
-        rows = keyword.postings(docs, analyser=analyser)
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        docs.agg(F.count(F.lit(1)).alias("n"), F.lit(analyser).alias("analyser")).write.mode("overwrite").parquet(f"{path}/documents")
-        return cls.open(docs.sparkSession, path)
+        """Index all documents as one run. What the path held before counts no more."""
+        spark = docs.sparkSession
+        name = _write(docs, keyword.postings(docs, analyser=analyser), docs.limit(0).select("id"), path)
+        return _publish(spark, path, analyser, ((name, BASE),))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
-        postings = spark.read.parquet(f"{path}/postings")
-        documents = spark.read.parquet(f"{path}/documents")
-        n = documents.agg(F.sum("n")).first()[0]
-        analyser = documents.first().analyser if "analyser" in documents.columns else "plain"
-        return cls(postings, n, postings.count() / max(n, 1), analyser)
+        said = readers.current(spark, f"{path}/manifest").orderBy("number").collect()
+        return _opened(spark, path, said[0].analyser, tuple((r.name, r.level) for r in said))
+
+    def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> KeywordIndex:
+        """Documents of `changed` are indexed anew, those of deleted (id) are gone."""
+        spark = changed.sparkSession
+        gone = changed.select("id") if deleted is None else changed.select("id").union(deleted.select("id"))
+        name = _write(changed, keyword.postings(changed, analyser=self.analyser), gone.distinct(), self.path)
+        runs = [*self.runs, (name, 0)]
+        while len(runs) > FANOUT and len({level for _, level in runs[-FANOUT:]}) == 1:
+            runs[-FANOUT:] = [(self._merge(spark, runs[-FANOUT:]), runs[-1][1] + 1)]
+        size = lambda some: sum(_read(spark, self.path, name, "documents").count() for name, _ in some)
+        if len(runs) > 1 and size(runs[1:]) * 2 > size(runs[:1]):
+            runs = [(self._merge(spark, runs), BASE)]
+        return _publish(spark, self.path, self.analyser, tuple(runs))
+
+    def _merge(self, spark: SparkSession, runs: list[tuple[str, int]]) -> str:
+        """The runs as one. It still hides what older runs say of their ids, unless there are none."""
+        gone = reduce(DataFrame.union, (_read(spark, self.path, name, "gone") for name, _ in runs)).distinct()
+        whole = runs[0] == self.runs[0]
+        docs = _live(spark, self.path, runs, "documents")
+        return _write(docs, _live(spark, self.path, runs, "postings"), gone.limit(0) if whole else gone, self.path)
 
     def cache(self) -> KeywordIndex:
         return replace(self, postings=self.postings.cache())
+
+
+def _read(spark: SparkSession, path: str, name: str, part: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}/{part}")
+
+
+def _write(docs: DataFrame, postings: DataFrame, gone: DataFrame, path: str) -> str:
+    """Range-partitioned by term and document, so that a term of any frequency is spread over files."""
+    spark, name = docs.sparkSession, f"run-{uuid.uuid4().hex}"
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/{name}/postings")
+    gone.write.parquet(f"{path}/{name}/gone")
+    sizes = _read(spark, path, name, "postings").groupBy("id").agg(F.max("len").alias("len"))
+    docs.select("id").join(sizes, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")).write.parquet(f"{path}/{name}/documents")
+    return name
+
+
+def _live(spark: SparkSession, path: str, runs, part: str) -> DataFrame:
+    """What the runs hold and no later one hides."""
+    parts, hidden = [], None
+    for name, _ in reversed(runs):
+        rows = _read(spark, path, name, part)
+        parts.append(rows if hidden is None else rows.join(hidden, "id", "left_anti"))
+        gone = _read(spark, path, name, "gone")
+        hidden = gone if hidden is None else hidden.union(gone)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _opened(spark: SparkSession, path: str, analyser: str, runs: tuple[tuple[str, int], ...]) -> KeywordIndex:
+    sizes = _live(spark, path, runs, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).first()
+    return KeywordIndex(_live(spark, path, runs, "postings"), sizes.n, (sizes.total or 0) / max(sizes.n, 1), analyser, path, runs)
+
+
+def _publish(spark: SparkSession, path: str, analyser: str, runs: tuple[tuple[str, int], ...]) -> KeywordIndex:
+    rows = [(k, name, level, analyser) for k, (name, level) in enumerate(runs)]
+    readers.publish(spark.createDataFrame(rows, f"{RUNS}, analyser string").coalesce(1), f"{path}/manifest")
+    return _opened(spark, path, analyser, runs)

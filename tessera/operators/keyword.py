@@ -1,10 +1,10 @@
 """Full-text search: positional postings, the query language, BM25 and snippets.
 
-A query is parsed on the driver into a tree of phrases. Without an index each document's tokens are looked through where they
-are: phrase positions are array expressions, so nothing is shuffled but one row of counts and the best rows. With an
-index postings are filtered to the terms of the query first, phrases are found by equality joins on consecutive
-positions, and one aggregation by document counts them. The tree's condition and the score are then plain column
-expressions over phrase counts.
+A query is parsed on the driver into a tree of phrases. Without an index documents are looked through where they are:
+phrases are counted by a pattern in the fields that contain their words at all, so nothing is shuffled but one row of
+counts and the best rows, and lengths are taken of matches only, besides one sum over all. With an index postings are
+filtered to the terms of the query first, phrases are found by equality joins on consecutive positions, and one
+aggregation by document counts them. The tree's condition and the score are then plain column expressions over phrase counts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from tessera.functions import parsing
 #: plain: words in lower case. porter: also without diacritics and stemmed, as SQLite's 'porter unicode61'.
 ANALYSERS = ("plain", "porter")
 FIELDS = ("subject", "from_name", "from_address", "body_text", "attachment_names", "attachment_text")
-TOKEN = r"[\p{L}\p{N}]+"
+LETTER, OTHER = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+TOKEN = f"{LETTER}+"
+#: Widest proximity that is tested by the sets of places where a span can begin.
+CLOSE = 100
 K1, B, LEAST_IDF, NEAR_DEFAULT = 1.2, 0.75, 1e-6, 10
 ADVANCED = re.compile(r'["():*^]| AND | OR | NOT | NEAR\(|^NOT ')
 
@@ -230,12 +233,6 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, analyser: str =
     return cells.select("id", "len", "c.field", F.posexplode("c.t").alias("pos", "term")).select("id", "field", "term", "pos", "len")
 
 
-def update_postings(index: DataFrame, changed: DataFrame, deleted_ids: DataFrame | None = None, analyser: str = "plain") -> DataFrame:
-    """The index with the documents of `changed` indexed anew and those of deleted_ids gone; analyser is the index's."""
-    stale = changed.select("id") if deleted_ids is None else changed.select("id").union(deleted_ids.select("id"))
-    return index.join(stale.distinct(), "id", "left_anti").unionByName(postings(changed, analyser=analyser))
-
-
 def _phrases(node) -> list[Phrase]:
     if isinstance(node, Phrase):
         return [node]
@@ -273,64 +270,88 @@ def _nodes(node, kind) -> list:
     return [x for part in getattr(node, "parts", ()) for x in _nodes(part, kind)]
 
 
-def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
-    """(id, len, tf<k>, near<k>) of all documents, from their tokens in place.
+def _pattern(p: Phrase) -> str:
+    """Matches the first word of each place of a phrase in a lower-case text."""
+    first, *rest = p.terms
+    after = "".join(f"{OTHER}+{w}" for w in rest) + ("" if p.prefix else f"(?!{LETTER})")
+    return (f"^{OTHER}*" if p.anchored else f"(?<!{LETTER})") + first + f"(?={after})" * bool(after)
 
-    The tokens are bound to a lambda variable: as a plain column the optimizer would put the tokenizer itself into every
-    place that reads them.
-    """
-    have = [f for f in FIELDS if f in docs.columns]
 
-    def places(cell: Column, p: Phrase, f: str) -> Column:
-        t, n, none = cell[f], len(p.terms), F.array().cast("array<int>")
+def _close(places: list[Column], within: int) -> Column:
+    """Whether a span of within + 2 words holds a place of each array."""
+    width = within + 1
+    if within <= CLOSE:  # a span can begin at any of the width + 1 words that end with a place
+        begins = [F.flatten(F.transform(p, lambda i: F.sequence(i - width, i))) for p in places]
+        return F.size(reduce(F.array_intersect, begins)) > 0 if len(begins) > 1 else F.size(places[0]) > 0
+    holds = lambda low: reduce(Column.__and__, (F.exists(p, lambda i: (i >= low) & (i <= low + width)) for p in places))
+    return F.exists(F.concat(*places), holds)
 
-        def here(i: Column) -> Column:
-            tests = [F.get(t, i + k).startswith(w) if p.prefix and k == n - 1 else F.get(t, i + k) == w for k, w in enumerate(p.terms)]
-            return reduce(Column.__and__, tests)
 
-        if p.anchored:
-            return F.when((F.size(t) >= n) & here(F.lit(0)), F.array(F.lit(0))).otherwise(none)
-        return F.when(F.size(t) >= n, F.filter(F.sequence(F.lit(0), F.size(t) - n), here)).otherwise(none)
+def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
+    """(id, len, tf<k>, near<k>) of all documents."""
+    have = [f for f in FIELDS if f in docs.columns]
+    if analyser == "porter":
+        return _stemmed(docs, phrases, nears, have)
+    low = docs.select("id", *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in have))
 
-    def count(cell: Column, p: Phrase) -> Column:
+    def contains(f: str, p: Phrase) -> Column:
+        return reduce(Column.__and__, (F.contains(f, F.lit(w)) for w in p.terms))
+
+    def count(p: Phrase) -> Column:
         fields = [f for f in have if f in p.fields]
-        if not p.terms or not fields:
+        if not p.terms or not fields or not re.fullmatch(r"[^\W_]+", "".join(p.terms)):
             return F.lit(0)
-        if len(p.terms) == 1 and not p.anchored:
-            word = p.terms[0]
-            return sum(F.size(F.filter(cell[f], lambda x: x.startswith(word) if p.prefix else x == word)) for f in fields)
-        return sum(F.size(places(cell, p, f)) for f in fields)
+        found = F.lit(_pattern(p))
+        return sum(F.when(contains(f, p), F.regexp_count(f, found)).otherwise(0) for f in fields)
+
+    def together(near: Near) -> Column:
+        """Tokens are bound to a lambda variable, else the tokenizer itself would stand in every place that reads them."""
+        fields = [f for f in have if all(p.terms and f in p.fields for p in near.phrases)]
+        if not fields:
+            return F.lit(False)
+        tests = []
+        for f in fields:
+            cell = F.array(F.struct(F.regexp_extract_all(f, F.lit(TOKEN), F.lit(0)).alias("t")))
+            meets = F.exists(cell, lambda c: _close([_places(c["t"], p) for p in near.phrases], near.within))
+            tests.append(F.when(reduce(Column.__and__, (contains(f, p) for p in near.phrases)), meets).otherwise(False))
+        return reduce(Column.__or__, tests)
+
+    length = sum((F.regexp_count(f, F.lit(TOKEN)) for f in have), F.lit(0)).cast("long").alias("len")
+    tfs = [count(p).alias(f"tf{k}") for k, p in enumerate(phrases)]
+    return low.select("id", length, *tfs, *(together(x).alias(f"near{k}") for k, x in enumerate(nears)))
+
+
+def _places(tokens: Column, p: Phrase) -> Column:
+    """The places of a phrase in an array of tokens."""
+    n, none = len(p.terms), F.array().cast("array<int>")
+
+    def here(i: Column) -> Column:
+        tests = [F.get(tokens, i + k).startswith(w) if p.prefix and k == n - 1 else F.get(tokens, i + k) == w for k, w in enumerate(p.terms)]
+        return reduce(Column.__and__, tests)
 
-    def wider(at: Column):
-        return lambda r: F.transform(at, lambda i: F.struct(F.least(r["low"], i).alias("low"), F.greatest(r["high"], i).alias("high")))
+    if p.anchored:
+        return F.when((F.size(tokens) >= n) & here(F.lit(0)), F.array(F.lit(0))).otherwise(none)
+    return F.when(F.size(tokens) >= n, F.filter(F.sequence(F.lit(0), F.size(tokens) - n), here)).otherwise(none)
 
-    def close(n_phrases: int, within: int):
-        def test(at: Column) -> Column:
-            found = F.transform(at["p0"], lambda i: F.struct(i.alias("low"), i.alias("high")))
-            for j in range(1, n_phrases):
-                found = F.filter(F.flatten(F.transform(found, wider(at[f"p{j}"]))), lambda r: r["high"] - r["low"] <= within + 1)
-            return F.size(found) > 0
 
-        return test
+def _stemmed(docs: DataFrame, phrases: list[Phrase], nears: list[Near], have: list[str]) -> DataFrame:
+    """The same over stems, which only the tokenizer can give; its columns stand in a step of their own."""
+
+    def count(cell: Column, p: Phrase) -> Column:
+        fields = [f for f in have if f in p.fields]
+        return sum(F.size(_places(cell[f], p)) for f in fields) if p.terms and fields else F.lit(0)
 
     def together(cell: Column, near: Near) -> Column:
-        """Whether one place of each phrase lies within the distance of the others; the places are bound as tokens are."""
-        out = F.lit(False)
-        for f in have:
-            if all(p.terms and f in p.fields for p in near.phrases):
-                at = F.array(F.struct(*(places(cell, p, f).alias(f"p{j}") for j, p in enumerate(near.phrases))))
-                out = out | F.exists(at, close(len(near.phrases), near.within))
-        return out
+        fields = [f for f in have if all(p.terms and f in p.fields for p in near.phrases)]
+        return reduce(Column.__or__, (_close([_places(cell[f], p) for p in near.phrases], near.within) for f in fields), F.lit(False))
 
     def counts(cell: Column) -> Column:
-        length = sum((F.size(cell[f]) for f in have), F.lit(0)).cast("long")
-        return F.struct(length.alias("len"), *(count(cell, p).alias(f"tf{k}") for k, p in enumerate(phrases)), *(together(cell, x).alias(f"near{k}") for k, x in enumerate(nears)))
+        length = sum((F.size(cell[f]) for f in have), F.lit(0)).cast("long").alias("len")
+        tfs = [count(cell, p).alias(f"tf{k}") for k, p in enumerate(phrases)]
+        return F.struct(length, *tfs, *(together(cell, x).alias(f"near{k}") for k, x in enumerate(nears)))
 
-    cut = [tokens(F.coalesce(F.col(f), F.lit("")), analyser).alias(f) for f in have]
-    if analyser == "porter":  # Python columns stand in a step of their own
-        docs, cut = docs.select("id", *cut), [F.col(f) for f in have]
-    cells = F.array(F.struct(*cut))
-    return docs.select("id", F.inline(F.transform(cells, counts)))
+    cut = docs.select("id", *(tokens(F.coalesce(F.col(f), F.lit("")), "porter").alias(f) for f in have))
+    return cut.select("id", F.inline(F.transform(F.array(F.struct(*have)), counts)))
 
 
 def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataFrame:
@@ -341,11 +362,9 @@ def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> Da
     for k, near in enumerate(nears):
         joined = None
         for j, p in enumerate(near.phrases):
-            part = _occurrences(index, p, 0).select("id", "field", F.col("pos").alias(f"p{j}"))
+            part = _occurrences(index, p, 0).groupBy("id", "field").agg(F.collect_list("pos").alias(f"p{j}"))
             joined = part if joined is None else joined.join(part, ["id", "field"])
-        places = [F.col(f"p{j}") for j in range(len(near.phrases))]
-        if len(places) > 1:
-            joined = joined.filter(F.greatest(*places) - F.least(*places) <= near.within + 1)
+        joined = joined.filter(_close([F.col(f"p{j}") for j in range(len(near.phrases))], near.within))
         counts = counts.join(joined.select("id", F.lit(True).alias(f"near{k}")).distinct(), "id", "left")
     return counts
 

@@ -54,12 +54,31 @@ def test_stored_index_and_updates(spark, tmp_path):
     index = KeywordIndex.build(docs, f"file://{tmp_path}")
     want = K.search(docs, "alpha beta", 10).collect()
     assert K.search(docs, "alpha beta", 10, None, index).collect() == want
-    changed = spark.createDataFrame([(3, "new words", "only here")], docs.schema)
     for query in QUERIES:
         assert sorted(K.match(None, query, index).collect()) == sorted(K.match(docs, query).collect()), query
-    updated = K.update_postings(index.postings, changed, spark.createDataFrame([(4,)], "id long"))
-    assert {r.term for r in updated.filter("id = 3").collect()} == {"new", "words", "only", "here"}
-    assert updated.filter("id = 4").count() == 0 and updated.filter("id = 5").count() == index.postings.filter("id = 5").count()
+
+
+def test_an_updated_index_is_that_of_the_documents_as_they_are(spark, tmp_path):
+    """Runs of changes, merged on the way, against an index built at once."""
+    kinds, now = "id long, subject string, body_text string", {d[0]: d for d in DOCS}
+    path = f"file://{tmp_path}/log"
+    index = KeywordIndex.build(spark.createDataFrame(DOCS, kinds), path)
+    levels = []
+    for k in range(6):
+        changed = [(i, f"alpha {k}", f"new words {k} beta") for i in (k, k + 1, 500 + k)] + ([(3, "", "")] if k == 5 else [])
+        changed = [c for c in changed if not (k == 5 and c[0] == 3 and c[1])]
+        deleted = [10 + k, 500 + k - 1, 9999]
+        index = index.update(spark.createDataFrame(changed, kinds), spark.createDataFrame([(i,) for i in deleted], "id long"))
+        now = {i: d for i, d in now.items() if i not in deleted} | {c[0]: c for c in changed}
+        levels.append([level for _, level in index.runs])
+    assert levels[2] == [99, 0, 0, 0] and levels[3] == [99, 1] and levels[5] == [99, 1, 0, 0]
+    docs = spark.createDataFrame(list(now.values()), kinds)
+    for same in (index, KeywordIndex.open(spark, path)):
+        assert same.n == len(now)
+        for query in ("alpha", "new AND beta", '"new words"', "NEAR(new beta, 2)"):
+            assert sorted(K.match(None, query, same).collect()) == sorted(K.match(docs, query).collect()), query
+    all_new = spark.createDataFrame([(i, "all", "new") for i in range(80)], kinds)
+    assert [level for _, level in index.update(all_new).runs] == [99]
 
 
 def test_stemmer_matches_sqlite():
