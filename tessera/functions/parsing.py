@@ -277,6 +277,22 @@ def extract(data: bytes | None, kind: str, charset: str | None = None) -> tuple[
 
 
 # --- mail ---
+def _parts(m: email.message.EmailMessage) -> list[tuple[str | None, str, bytes]]:
+    """(name, type, bytes) of what a message carries: attachments first, then images that stand inline."""
+    attached, inline = [], []
+    for p in m.walk():
+        if p.is_multipart():
+            continue
+        where = attached if p.get_content_disposition() == "attachment" else inline if p.get_content_maintype() == "image" else None
+        if where is not None:
+            where.append((p.get_filename(), p.get_content_type(), p.get_payload(decode=True) or b""))
+    return attached + inline
+
+
+def indexable_parts(raw: bytes) -> list[tuple[str | None, str, bytes]]:
+    return _parts(email.message_from_bytes(raw, policy=email.policy.default))
+
+
 def parse_message(raw: bytes) -> dict:
     """One MIME message: headers, thread, bodies and parts."""
     m = email.message_from_bytes(raw, policy=email.policy.default)
@@ -292,19 +308,11 @@ def parse_message(raw: bytes) -> dict:
     when = m["date"].datetime.isoformat() if m["date"] and m["date"].datetime else None
     own = bare(m["message-id"]) or hashlib.sha256("\n".join((when or "", sender["address"] or "", m["subject"] or "", body_hash)).encode()).hexdigest() + "@synthetic.local"
     refs = re.findall(r"<([^>]+)>", str(m["references"] or ""))
-    parts, inline = [], []
-    for p in m.walk():
-        if p.is_multipart():
-            continue
-        where = parts if p.get_content_disposition() == "attachment" else inline if p.get_content_maintype() == "image" else None
-        if where is not None:
-            data = p.get_payload(decode=True) or b""
-            where.append({"filename": p.get_filename(), "content_type": p.get_content_type(), "size_bytes": len(data)})
     return {
         "message_id": own, "thread_id": (refs or [None])[0] or bare(m["in-reply-to"]) or own, "subject": m["subject"], "from_address": sender["address"],
         "from_name": sender["name"], "to_addresses": people("to"), "cc_addresses": people("cc"), "date_sent_raw": when,
         "body_text": trim_reply(normalize_text(body), m["subject"]), "body_html": body_html, "size_bytes": len(raw), "content_hash": body_hash,
-        "attachments": [{"part_index": i, **p} for i, p in enumerate(parts + inline)],
+        "attachments": [{"part_index": i, "filename": n, "content_type": k, "size_bytes": len(d)} for i, (n, k, d) in enumerate(_parts(m))],
     }
 
 

@@ -16,9 +16,11 @@ def stamp(c: str | Column) -> Column:
 
 
 def message_with_attachments(messages: DataFrame, attachments: DataFrame, key: str, value) -> DataFrame:
-    """One message with its attachments, in order of their part."""
-    parts = attachments.groupBy(F.col("message_id").alias("_m")).agg(F.sort_array(F.collect_list(F.struct("part_index", "filename"))).alias("parts"))
-    return messages.filter(F.col(key) == value).join(parts, F.col("id") == F.col("_m"), "left").drop("_m")
+    """One message with its attachments, in order of their part; only its own are grouped."""
+    found = messages.filter(F.col(key) == value)
+    own = attachments.join(F.broadcast(found.select(F.col("id").alias("_m"))), F.col("message_id") == F.col("_m"))
+    parts = own.groupBy("_m").agg(F.sort_array(F.collect_list(F.struct("part_index", "filename"))).alias("parts"))
+    return found.join(parts, F.col("id") == F.col("_m"), "left").drop("_m")
 
 
 def attachments_of(attachments: DataFrame, message: int) -> DataFrame:
@@ -49,18 +51,29 @@ def body_budget(messages: DataFrame, key: str, order: list[Column], max_messages
     return ranked.filter(F.col("pos") <= max_messages).withColumn("body", F.substring("body_text", F.lit(1), F.col("left").cast("int")))
 
 
-def membership(messages: DataFrame, sync_state: DataFrame) -> DataFrame:
-    """(id, folder) of live messages: their own folder and those of their copies."""
+def membership(messages: DataFrame, sync_state: DataFrame, *carried: str) -> DataFrame:
+    """(id, folder, carried) of live messages: their own folder and those of their copies."""
     rows = live(messages)
     copies = sync_state.filter("folder is not null").select(F.col("message_id").alias("_h"), F.col("folder").alias("f"))
-    return rows.select("id", "folder").union(rows.join(copies, F.col("message_id") == F.col("_h")).select("id", "f")).distinct()
+    others = rows.join(copies, F.col("message_id") == F.col("_h")).select("id", F.col("f").alias("folder"), *carried)
+    return rows.select("id", "folder", *carried).union(others).distinct()
 
 
 def folder_stats(messages: DataFrame, sync_state: DataFrame) -> DataFrame:
-    rows = membership(messages, sync_state).join(messages.select("id", "date_sent"), "id")
+    rows = membership(messages, sync_state, "date_sent")
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n_messages"), F.min("date_sent").alias("oldest"), F.max("date_sent").alias("latest"))
 
 
+def empty_hint(messages: DataFrame, configured: bool, where: str) -> DataFrame:
+    """(n_messages, hint): why an archive without any messages may be empty, null where it has some."""
+    why = (
+        f"The archive at {where} holds no messages. It is set up, but nothing has been ingested yet, or this is not its place: look at the status and the mail folder."
+        if configured
+        else f"The archive at {where} holds no messages and was never set up here: run the installation, then ingest a mail folder."
+    )
+    return messages.agg(F.count(F.lit(1)).alias("n_messages")).withColumn("hint", F.when(F.col("n_messages") == 0, why))
+
+
 def archive_stats(messages: DataFrame) -> DataFrame:
     return live(messages).agg(F.count(F.lit(1)).alias("n_messages"), F.min("date_sent").alias("oldest"), F.max("date_sent").alias("latest"), F.min_by("id", F.struct("date_sent", "id")).alias("oldest_id"), F.max_by("id", F.struct("date_sent", "id")).alias("latest_id"))
 

@@ -50,29 +50,38 @@ def baseline_diff(base: DataFrame, current: DataFrame) -> DataFrame:
     return both.filter(F.abs("delta") >= DIFF_THRESHOLD).orderBy(F.abs("delta").desc(), "query_id").limit(DIFF_ROWS)
 
 
+#: What a transcribed page is known by.
+PAGE = ["attachment_id", "page"]
+
+
 def token_counts(pages: DataFrame, side: str) -> DataFrame:
+    """(engine, attachment_id, page, term, n)."""
     from tessera.operators.keyword import tokens
 
-    return pages.select("engine", "attachment_id", F.explode(tokens(F.col(side))).alias("term")).groupBy("engine", "attachment_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = pages.select("engine", *PAGE, F.explode(tokens(F.col(side))).alias("term"))
+    return terms.groupBy("engine", *PAGE, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_f1(pages: DataFrame) -> DataFrame:
-    """(engine, attachment_id, f1) over multisets of tokens; failed pages are left out."""
+    """(engine, attachment_id, page, f1) over multisets of tokens; failed pages are left out."""
     rows = pages.filter("error is null")
-    keys = ["engine", "attachment_id", "term"]
-    both = token_counts(rows, "reference").withColumnRenamed("n", "r").join(token_counts(rows, "hypothesis").withColumnRenamed("n", "h"), keys, "full")
-    sums = both.groupBy("engine", "attachment_id").agg(F.sum(F.least(F.coalesce("r", F.lit(0)), F.coalesce("h", F.lit(0)))).alias("both"), F.sum(F.coalesce("r", F.lit(0))).alias("r"), F.sum(F.coalesce("h", F.lit(0))).alias("h"))
-    return sums.select("engine", "attachment_id", F.round(2.0 * F.col("both") / (F.col("r") + F.col("h")), 9).alias("f1"))
+    wanted = token_counts(rows, "reference").withColumnRenamed("n", "r")
+    both = wanted.join(token_counts(rows, "hypothesis").withColumnRenamed("n", "h"), ["engine", *PAGE, "term"], "full")
+    r, h = F.coalesce("r", F.lit(0)), F.coalesce("h", F.lit(0))
+    sums = both.groupBy("engine", *PAGE).agg(F.sum(F.least(r, h)).alias("both"), F.sum(r + h).alias("all"))
+    return sums.select("engine", *PAGE, F.round(2.0 * F.col("both") / F.col("all"), 9).alias("f1"))
 
 
 def engine_agreement(pages: DataFrame) -> DataFrame:
     """(engine_a, engine_b, f1): mean F1 of the tokens of two engines on the pages both have read."""
     n = token_counts(pages.filter("error is null"), "hypothesis")
-    size = n.groupBy("engine", "attachment_id").agg(F.sum("n").alias("size"))
-    a, b = n.select(F.col("engine").alias("engine_a"), "attachment_id", "term", F.col("n").alias("x")), n.select(F.col("engine").alias("engine_b"), "attachment_id", "term", F.col("n").alias("y"))
-    common = a.join(b, ["attachment_id", "term"]).filter("engine_a < engine_b").groupBy("engine_a", "engine_b", "attachment_id").agg(F.sum(F.least("x", "y")).alias("both"))
-    pairs = size.select(F.col("engine").alias("engine_a"), "attachment_id", F.col("size").alias("x")).join(size.select(F.col("engine").alias("engine_b"), "attachment_id", F.col("size").alias("y")), "attachment_id").filter("engine_a < engine_b")
-    scored = pairs.join(common, ["engine_a", "engine_b", "attachment_id"], "left").withColumn("f1", 2.0 * F.coalesce("both", F.lit(0)) / (F.col("x") + F.col("y")))
+    size = n.groupBy("engine", *PAGE).agg(F.sum("n").alias("size"))
+    side = lambda rows, engine, value, name: rows.withColumnsRenamed({"engine": engine, value: name})
+    common = side(n, "engine_a", "n", "x").join(side(n, "engine_b", "n", "y"), [*PAGE, "term"]).filter("engine_a < engine_b")
+    common = common.groupBy("engine_a", "engine_b", *PAGE).agg(F.sum(F.least("x", "y")).alias("both"))
+    pairs = side(size, "engine_a", "size", "x").join(side(size, "engine_b", "size", "y"), PAGE).filter("engine_a < engine_b")
+    scored = pairs.join(common, ["engine_a", "engine_b", *PAGE], "left")
+    scored = scored.withColumn("f1", 2.0 * F.coalesce("both", F.lit(0)) / (F.col("x") + F.col("y")))
     return scored.groupBy("engine_a", "engine_b").agg(F.round(F.avg("f1"), 9).alias("f1"), F.count(F.lit(1)).alias("pages"))
 
 

@@ -53,3 +53,11 @@ def dated(lines: DataFrame, order: str, seconds: str, last_day: Column) -> DataF
     wrap = (F.col(seconds) > F.lag(seconds).over(w)).cast("int")
     back = F.sum(F.coalesce(wrap, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("day", F.date_sub(last_day, back.cast("int")))
+
+
+def duplicate_instances(beats: DataFrame, service: str, instance: str, ts: str, now: Column, interval_s: int) -> DataFrame:
+    """(service, instances, duplicated): instances of a service whose last beat is no older than what counts as alive."""
+    last = beats.groupBy(service, instance).agg(F.max(ts).alias("_last"))
+    alive = now.cast("double") - F.col("_last").cast("timestamp").cast("double") <= STALE_BEATS * interval_s
+    n = last.groupBy(service).agg(F.count_if(alive).alias("instances"))
+    return n.withColumn("duplicated", F.col("instances") > 1)

@@ -85,9 +85,11 @@ def purge(messages: DataFrame, children: dict[str, tuple[DataFrame, str]], cutof
     return keep(messages, "id"), {n: keep(df, c) for n, (df, c) in children.items()}
 
 
-def unembedded(messages: DataFrame, batch: int, exclude: list[int] = ()) -> DataFrame:
+def unembedded(messages: DataFrame, batch: int | None, exclude: list[int] = ()) -> DataFrame:
+    """The queue, oldest id first: the next `batch`, or all of it in no order."""
     rows = messages.filter("deleted_at is null and embedded_at is null")
-    return (rows.filter(~F.col("id").isin(*exclude)) if exclude else rows).orderBy("id").limit(batch)
+    rows = rows.filter(~F.col("id").isin(*exclude)) if exclude else rows
+    return rows if batch is None else rows.orderBy("id").limit(batch)
 
 
 def guarded(staged: DataFrame, current: DataFrame) -> DataFrame:
@@ -123,3 +125,9 @@ def space_conflict(stored: dict[str, str | None], wanted: dict[str, str]) -> str
     if stored.get("drift"):
         return "drift"
     return next((k for k, v in wanted.items() if stored.get(k) not in (None, v)), None)
+
+
+def apply_values(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """(key, value) after changes (key, value, at): the latest of a key counts, and a null value deletes it."""
+    last = changes.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    return current.join(last.select("key"), "key", "left_anti").unionByName(last.filter("value is not null"))

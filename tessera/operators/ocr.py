@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import attachment_kinds as kinds
 
 MIN_IMAGE_BYTES, MIN_EDGE, MAX_ASPECT, TEXT_FLOOR = 51_200, 200, 8.0, 10
+MAX_ATTEMPTS, MAX_FETCH = 5, 256
 CT, NAME, STATUS = "content_type", "filename", "extraction_status"
 
 
@@ -32,6 +33,42 @@ def page(rows: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
     return rows.filter(F.col(key) > cursor).orderBy(key).limit(size)
 
 
+def next_page(rows: DataFrame, key: str, cursor: int, size: int, backing_off: DataFrame, cycle: int) -> DataFrame:
+    """(key, attempt): the candidates that a step of the sweep examines, in order; the largest key is the next cursor.
+
+    backing_off (key, until) are candidates not to be read before a cycle. They have had their turn and are passed over, and so
+    many more are fetched, MAX_FETCH at most, that `size` can be attempted. What is fetched beyond that is not examined.
+    Past the last candidate the sweep begins again, once.
+    """
+    waiting = backing_off.filter(F.col("until") > cycle).select(key).distinct()
+    fetch = min(MAX_FETCH, size + backing_off.count())
+    fetched = page(rows.select(key), key, cursor, fetch)
+    if cursor and fetched.isEmpty():
+        fetched = page(rows.select(key), key, 0, fetch)
+    marked = fetched.join(waiting.withColumn("_waits", F.lit(True)), key, "left").withColumn("attempt", F.col("_waits").isNull())
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)  # of MAX_FETCH rows
+    done = F.coalesce(F.count_if("attempt").over(before), F.lit(0))
+    return marked.withColumn("_done", done).filter(F.col("_done") < size).select(key, "attempt")
+
+
+def failure_action(kind: Column) -> Column:
+    """What a failed reading means: the batch is broken off, the document retired at once, or the failure counted."""
+    return F.when(kind.isin("backpressure", "auth_or_config"), "abort_batch").when(kind == "document_fatal", "retire").otherwise("count")
+
+
+def retirements(attempts: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFrame:
+    """(key, counted, retired) from attempts (key, cycle, kind), kind null for a success, and probe_ok where a cycle was probed.
+
+    A failure counts only in a cycle that shows that the model can run, by a success or a probe: else a broken model would
+    retire every document. What asks to slow down or is refused for its credentials says nothing about the document.
+    """
+    tried = attempts.withColumn("_does", F.when(F.col("kind").isNotNull(), failure_action(F.col("kind"))))
+    healthy = tried.groupBy("cycle").agg((F.count_if(F.col("kind").isNull() | F.coalesce("probe_ok", F.lit(False))) > 0).alias("_healthy"))
+    counted = F.count_if((F.col("_does") == "count") & F.col("_healthy"))
+    out = tried.join(healthy, "cycle").groupBy(key).agg(counted.alias("counted"), (F.count_if(F.col("_does") == "retire") > 0).alias("_fatal"))
+    return out.select(key, "counted", (F.col("_fatal") | (F.col("counted") >= most)).alias("retired"))
+
+
 def pdf_candidates(attachments: DataFrame, messages: DataFrame) -> DataFrame:
     """PDFs in which no text was found."""
     return _of_live(attachments, messages).filter(pdf() & (F.col(STATUS) == "no_text"))

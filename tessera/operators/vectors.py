@@ -83,3 +83,13 @@ def semantic_search(chunks: DataFrame, messages: DataFrame, query: DataFrame, li
 def ranked(hits: DataFrame, order: list, name: str) -> DataFrame:
     """Ranks of a result already cut to its limit."""
     return hits.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(message_id, chunks); their sum bounds what a nearest-neighbour search can return."""
+    return chunks.groupBy("message_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def input_text(text: Column, prefix: str, suffix: str) -> Column:
+    """What a model is sent for a text; queries and documents have a prefix and suffix each of their own."""
+    return F.concat(F.lit(prefix), text, F.lit(suffix))

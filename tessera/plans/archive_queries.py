@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,6 +15,8 @@ from tessera.functions import attachment_kinds as kinds
 from tessera.operators import archive, fusion, health, ingest, keyword, ocr, vectors
 from tessera.operators.archive import stamp
 from tessera.operators.filters import SearchFilters, apply_filters, live, parse_date
+from tessera.operators.index import KeywordIndex
+from tessera.sources import readers
 from tessera.sources.fixtures import ctes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,8 +46,18 @@ def query(sql: str | None = None, *uses: str, name: str | None = None):
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the session's shared folder; a local one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(base or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 M, A, S, C = "messages", "attachments", "sync_state", "chunks"
@@ -210,9 +224,10 @@ def build_postings(t):
 
 @query(f"{TOKENS} select field, count(*)::bigint as n, count(distinct term)::bigint as terms from (select field, term from tok where id % 10 <> 1 and id % 10 <> 2 union all select field, term from tok where id % 10 = 1) group by field", M)
 def incremental_postings(t):
-    index = keyword.postings(t.messages)
-    changed, deleted = t.messages.filter("id % 10 = 1"), t.messages.filter("id % 10 = 2")
-    return keyword.update_postings(index, changed, deleted).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"))
+    """An index with a run of changes: some documents indexed anew, some deleted."""
+    index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
+    index = index.update(t.messages.filter("id % 10 = 1"), t.messages.filter("id % 10 = 2"))
+    return index.postings.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"))
 
 
 @query()
@@ -227,7 +242,7 @@ def keyword_snippet(t):
 def stemmed_vocabulary(t):
     from tessera.functions.parsing import column, stem
 
-    words = keyword.postings(t.messages.filter("lang = 'en'")).select("term").distinct()
+    words = keyword.postings(t.messages).select("term").distinct()
     return words.select(column(stem, "string", "term").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,11 +321,10 @@ def space_guard(t):
     return t.spark.createDataFrame([(n, ingest.space_conflict(s, {"model": "m", "dims": "64"})) for n, s in cases], "state string, conflict string")
 
 
-@query("select vec_id, round(list_cosine_similarity(embedding::double[], case when vec_id % 50 = 0 then list_reverse(embedding::double[]) else embedding::double[] end), 6) < 0.999 as drifted from embeddings where vec_id % 10 = 0")
+@query("select vec_id, round(list_cosine_similarity(embedding::double[], case when vec_id % 50 = 0 then list_reverse(embedding::double[]) else embedding::double[] end), 6) < 0.999 as drifted from embeddings")
 def sentinel_drift(t):
     now = F.when(F.col("vec_id") % 50 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
-    rows = t.embeddings.filter("vec_id % 10 = 0")
-    return rows.select("vec_id", (F.round(vectors.cosine(F.col("embedding"), now), 6) < vectors.SENTINEL_COSINE).alias("drifted"))
+    return t.embeddings.select("vec_id", (F.round(vectors.cosine(F.col("embedding"), now), 6) < vectors.SENTINEL_COSINE).alias("drifted"))
 
 
 @query("select label, sha256('v2' || chr(10) || 'spaceId:' || length(s) || ':' || s || chr(10) || 'wireModel:5:embed' || chr(10) || 'dimensions:2:64' || chr(10) || 'queryPrefix:7:search:' || chr(10) || 'querySuffix:0:' || chr(10) || 'documentPrefix:0:' || chr(10) || 'documentSuffix:0:' || chr(10) || 'normalization:4:unit' || chr(10)) as hash from (select distinct label, 'space-' || label as s from embeddings)")
@@ -352,8 +366,6 @@ ORACLES["hybrid_search"] = HYBRID
 @query()
 def keyword_search_stored(t):
     """The keyword search over a stored index."""
-    from tessera.operators.index import KeywordIndex
-
     index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
     return keyword.search(t.messages, "the nere onble", 20, live(t.messages), index)
 
@@ -441,11 +453,17 @@ def join_anti_orphans(t):
     return ingest.orphans(t.chunks, t.messages.filter("id % 3 <> 1"), "message_id", "id").select("id")
 
 
-@query("select coalesce(a.id, b.id) as id, a.r::int as kw_rank, b.r::int as vec_rank, round(coalesce(1.0::double / (60 + a.r), 0) + coalesce(1.0::double / (60 + b.r), 0), 12) as score from (select doc_id as id, doc_id + 1 as r from documents where doc_id < 40) a full join (select doc_id as id, 61 - doc_id as r from documents where doc_id between 20 and 60) b on a.id = b.id order by score desc, kw_rank nulls last, vec_rank nulls last, 1 limit 50")
+FUSED = """select coalesce(a.id, b.id) as id, a.r::int as kw_rank, b.r::int as vec_rank,
+  round(coalesce(1.0::double / (60 + a.r), 0) + coalesce(1.0::double / (60 + b.r), 0), 12) as score
+from (select doc_id as id, doc_id + 1 as r from documents where lang <> 'fr') a
+full join (select doc_id as id, doc_id * 7919 % 1000003 + 1 as r from documents where lang <> 'en') b on a.id = b.id
+order by score desc, kw_rank nulls last, vec_rank nulls last, 1 limit 50"""
+
+
+@query(FUSED)
 def join_full_fusion(t):
-    d = t.documents.select(F.col("doc_id").alias("id"))
-    a = d.filter("id < 40").withColumn("kw_rank", (F.col("id") + 1).cast("int"))
-    b = d.filter("id between 20 and 60").withColumn("vec_rank", (61 - F.col("id")).cast("int"))
+    a = t.documents.filter("lang <> 'fr'").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1).cast("int").alias("kw_rank"))
+    b = t.documents.filter("lang <> 'en'").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 7919 % 1000003 + 1).cast("int").alias("vec_rank"))
     return fusion.fuse(a, b, 50)
 
 
@@ -650,10 +668,20 @@ def service_liveness(t):
     return beats.select("user_id", health.liveness(age, F.lit(120)).alias("state"))
 
 
-@query("select event_id, greatest(4 * i, 1800)::bigint as window_s, a > greatest(4 * i, 1800) as stale from (select event_id, event_id % 900 as i, event_id * 7 % 5000 as a from events)")
+SYNC_STATUS = """select event_id, case when i is not null then greatest(4 * i, 1800)::bigint end as window_s, case when i is not null then a > greatest(4 * i, 1800) end as stale from (
+  select event_id, case when event_id % 9 <> 4 then event_id % 900 end as i,
+    case when event_id % 9 <> 5 then date_diff('second', date_trunc('second', ts), timestamp '2024-01-15 00:00:00') end as a from events)"""
+
+
+@query(SYNC_STATUS)
 def sync_staleness(t):
-    w = health.sync_window(F.col("event_id") % 900)
-    return t.events.select("event_id", w.cast("long").alias("window_s"), (F.col("event_id") * 7 % 5000 > w).alias("stale"))
+    """The status file of each event's second: some have no interval, some no time that can be read."""
+    finished = F.when(F.col("event_id") % 9 == 5, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    interval = F.when(F.col("event_id") % 9 == 4, "").otherwise((F.col("event_id") % 900).cast("string"))
+    done, i = readers.status_of(F.concat(finished, F.lit("\n"), interval))
+    age = F.timestamp_diff("SECOND", done, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    w = health.sync_window(i)
+    return t.events.select("event_id", F.when(i.isNotNull(), w).cast("long").alias("window_s"), F.when(i.isNotNull(), age > w).alias("stale"))
 
 
 @query("select event_id, event_id % 4 >= 2 or (event_id % 5 > 0 and event_type = 'error' and event_id % 1300 >= 600) as stuck from events")
@@ -689,10 +717,20 @@ def recent_distinct_calls(t):
     return health.recent_distinct(t.events, "props", "ts", 15, "event_id").select(F.col("props").alias("args"), stamp("ts").alias("ts"), "event_id")
 
 
-@query("select event_id, strftime(date '2024-03-01' - back::int, '%Y-%m-%d') as day from (select event_id, sum(wrap) over (order by event_id desc rows between unbounded preceding and current row) as back from (select event_id, coalesce((s > lag(s) over (order by event_id desc))::int, 0) as wrap from (select event_id, event_id * 37 % 1000 as s from events where event_id < 500)))")
+CALLS = """select event_id, tool, args, strftime(date '2024-03-01' - back::int, '%Y-%m-%d') as day from (
+  select *, sum(wrap) over (partition by log order by event_id desc rows between unbounded preceding and current row) as back from (
+    select *, coalesce((s > lag(s) over (partition by log order by event_id desc))::int, 0) as wrap from (
+      select event_id, user_id as log, event_type as tool, props as args, event_id * 4831 % 86400 as s from events where event_type <> 'error')))"""
+
+
+@query(CALLS)
 def import_calls(t):
-    lines = t.events.filter("event_id < 500").select("event_id", (F.col("event_id") * 37 % 1000).alias("s"), F.lit("a").alias("log"))
-    return health.dated(lines, "event_id", "s", F.lit("2024-03-01").cast("date")).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    """Each user's log has lines with a time of day, of which errors record no call; the last line is of the first of March."""
+    clock = F.date_format(F.timestamp_seconds(F.col("event_id") * 4831 % 86400), "HH:mm:ss")
+    said = F.when(F.col("event_type") == "error", "mcp-tool tool=error elapsedMs=1.0").otherwise(F.concat_ws("", F.lit("mcp-call tool="), "event_type", F.lit(" args="), "props"))
+    lines = t.events.select("event_id", F.col("user_id").alias("log"), F.concat(F.lit("["), clock, F.lit(" INF] "), said).alias("value"))
+    dated = health.dated(readers.tool_calls(lines), "event_id", "seconds", F.lit("2024-03-01").cast("date"))
+    return dated.select("event_id", "tool", "args", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 LINE = "case event_id % 6 when 0 then 'Error: channel is locked' when 1 then 'Cannot resolve host' when 2 then 'Socket error: closed' when 3 then 'IMAP AUTHENTICATE failed' when 4 then 'read timeout' else 'Something else' end"
@@ -716,17 +754,27 @@ def classify_http(t):
     return t.events.select(http_failure(F.expr(STATUS_CODE), body).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query('select id, 64 as width, 1.0::double as norm from messages where deleted_at is null and embedded_at is null order by id limit 200', M)
+@query("select id, 64 as width, 1.0::double as norm from messages where deleted_at is null and embedded_at is null", M)
 def stream_embed_queue(t):
-    """Unembedded messages through the hashing embedder, as a micro-batch would embed them."""
-    from tessera.streaming.pipelines import embed
+    """All unembedded messages as a stream of files through the hashing embedder, micro-batch by micro-batch."""
+    from tessera.streaming import pipelines
 
-    rows = ingest.unembedded(t.messages, 200).select("id", F.col("body_text").alias("text"))
-    return embed(rows).select("id", F.size("embedding").alias("width"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
+    root = scratch_path(t.spark, "embed")
+    ingest.unembedded(t.messages, None).select("id", F.col("body_text").alias("text")).write.parquet(f"{root}/in")
+    stream = pipelines.file_stream(t.spark, f"{root}/in", "id long, text string")
+    pipelines.embed_queue(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    done = t.spark.read.schema("id long, embedding array<float>, batch long").parquet(f"{root}/out")
+    return done.select("id", F.size("embedding").alias("width"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
 
 
 @query("select user_id, case when last_failed then least(n, 3) else 0 end::bigint as strikes from (select user_id, arg_max(event_type = 'error', (ts, event_id)) as last_failed, count(*) filter (where event_type = 'error' and (lo is null or (ts, event_id) > (lo_ts, lo))) as n from (select *, max(case when event_type <> 'error' then event_id end) over (partition by user_id) as lo, max(case when event_type <> 'error' then ts end) over (partition by user_id) as lo_ts from events) group by user_id)")
 def strike_state(t):
-    """The batch form of the stateful operator: strikes of each key after all its events."""
-    out = health.consecutive_failures(t.events, "user_id", F.col("event_type") == "error", ["ts", "event_id"])
-    return out.select("user_id", F.least("failures", F.lit(3)).cast("long").alias("strikes"))
+    """Strikes of each key after all its events, by the stateful stream."""
+    from tessera.streaming import pipelines
+
+    root = scratch_path(t.spark, "strikes")
+    rows = t.events.select(F.col("user_id").alias("id"), F.lit("s").alias("snapshot"), (F.col("event_type") == "error").alias("failed"), F.struct("ts", "event_id").alias("seq"))
+    rows.select("id", "snapshot", "failed", F.concat(F.date_format("seq.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 20, "0")).alias("seq")).write.parquet(f"{root}/in")
+    stream = pipelines.file_stream(t.spark, f"{root}/in", "id long, snapshot string, failed boolean, seq string", 100_000)
+    last = pipelines.latest_states(pipelines.strikes(stream, "seq"), "id", f"{root}/out", f"{root}/checkpoint")
+    return last.select(F.col("id").alias("user_id"), F.least("strikes", F.lit(3)).cast("long").alias("strikes"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans.text_queries import ORACLES, QUERIES
+from tessera.plans import text_queries, upkeep_queries
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+QUERIES, ORACLES = text_queries.QUERIES | upkeep_queries.QUERIES, text_queries.ORACLES | upkeep_queries.ORACLES
 FLAGSHIP = "hybrid_search"

@@ -9,7 +9,8 @@ from tessera.functions import parsing as P
 from tessera.functions import text as T
 from tessera.operators import evalkit
 from tessera.operators.filters import live
-from tessera.plans.archive_queries import ORACLES, QUERIES, A, M, query
+from tessera.plans.archive_queries import ORACLES, QUERIES, A, M, query, scratch_path
+from tessera.sources.readers import maildir, parse_mail, write_files
 
 __all__ = ["ORACLES", "QUERIES"]
 DOCS = "(select doc_id, text, lang, source from documents)"
@@ -291,31 +292,31 @@ def ocr_latency(t):
 ASCII = "regexp_replace({}, '[^ -~]', '', 'g')"
 
 
-@query(f"select engine, attachment_id, round(least(1.0::double, levenshtein({ASCII.format('reference')}, {ASCII.format('hypothesis')}) / greatest(1, length({ASCII.format('reference')}))::double), 9) as cer from ocr_pages where error is null", O)
+@query(f"select engine, attachment_id, page, round(least(1.0::double, levenshtein({ASCII.format('reference')}, {ASCII.format('hypothesis')}) / greatest(1, length({ASCII.format('reference')}))::double), 9) as cer from ocr_pages where error is null", O)
 def ocr_cer(t):
     fold = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", F.round(evalkit.character_error(fold("reference"), fold("hypothesis")), 9).alias("cer"))
+    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(evalkit.character_error(fold("reference"), fold("hypothesis")), 9).alias("cer"))
 
 
 @query()
 def ocr_wer(t):
-    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", F.round(P.column(P.word_error_rate, "double", "reference", "hypothesis"), 9).alias("wer"))
+    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(P.column(P.word_error_rate, "double", "reference", "hypothesis"), 9).alias("wer"))
 
 
 @query()
 def ocr_normalize(t):
-    return t.ocr_pages.select("engine", "attachment_id", P.column(P.ocr_normalize, "string", "hypothesis").alias("text"))
+    return t.ocr_pages.select("engine", "attachment_id", "page", P.column(P.ocr_normalize, "string", "hypothesis").alias("text"))
 
 
-TC = "c as (select engine, attachment_id, s, term, count(*) as n from (select engine, attachment_id, 'r' as s, unnest(regexp_extract_all(lower(reference), '[\\p{L}\\p{N}]+')) as term from ocr_pages where error is null union all select engine, attachment_id, 'h', unnest(regexp_extract_all(lower(hypothesis), '[\\p{L}\\p{N}]+')) from ocr_pages where error is null) group by all)"
+TC = "c as (select engine, attachment_id, page, s, term, count(*) as n from (select engine, attachment_id, page, 'r' as s, unnest(regexp_extract_all(lower(reference), '[\\p{L}\\p{N}]+')) as term from ocr_pages where error is null union all select engine, attachment_id, page, 'h', unnest(regexp_extract_all(lower(hypothesis), '[\\p{L}\\p{N}]+')) from ocr_pages where error is null) group by all)"
 
 
-@query(f", {TC}, p as (select engine, attachment_id, term, sum(case when s = 'r' then n else 0 end) as r, sum(case when s = 'h' then n else 0 end) as h from c group by all) select engine, attachment_id, round(2.0::double * sum(least(r, h)) / (sum(r) + sum(h)), 9) as f1 from p group by all", O)
+@query(f", {TC}, p as (select engine, attachment_id, page, term, sum(case when s = 'r' then n else 0 end) as r, sum(case when s = 'h' then n else 0 end) as h from c group by all) select engine, attachment_id, page, round(2.0::double * sum(least(r, h)) / (sum(r) + sum(h)), 9) as f1 from p group by all", O)
 def token_f1(t):
     return evalkit.token_f1(t.ocr_pages)
 
 
-AGREE = f", {TC}, h as (select * from c where s = 'h'), z as (select engine, attachment_id, sum(n) as size from h group by all), co as (select a.engine as ea, b.engine as eb, a.attachment_id, sum(least(a.n, b.n)) as common from h a join h b on a.attachment_id = b.attachment_id and a.term = b.term and a.engine < b.engine group by all), f as (select a.engine as engine_a, b.engine as engine_b, 2.0::double * coalesce(common, 0) / (a.size + b.size) as f1 from z a join z b on a.attachment_id = b.attachment_id and a.engine < b.engine left join co on co.ea = a.engine and co.eb = b.engine and co.attachment_id = a.attachment_id)"
+AGREE = f", {TC}, h as (select * from c where s = 'h'), z as (select engine, attachment_id, page, sum(n) as size from h group by all), co as (select a.engine as ea, b.engine as eb, a.attachment_id, a.page, sum(least(a.n, b.n)) as common from h a join h b on a.attachment_id = b.attachment_id and a.page = b.page and a.term = b.term and a.engine < b.engine group by all), f as (select a.engine as engine_a, b.engine as engine_b, 2.0::double * coalesce(common, 0) / (a.size + b.size) as f1 from z a join z b on a.attachment_id = b.attachment_id and a.page = b.page and a.engine < b.engine left join co on co.ea = a.engine and co.eb = b.engine and co.attachment_id = a.attachment_id and co.page = a.page)"
 
 
 @query(AGREE + " select engine_a, engine_b, round(avg(f1), 9) as f1, count(*)::bigint as pages from f group by all", O)
@@ -338,36 +339,23 @@ def ocr_truth_report(t):
 MAIL = "Message-ID: <{0}@x.example>\r\nFrom: Ann <ann{0}@x.example>\r\nTo: b@x.example\r\nSubject: Note {0}\r\nDate: Thu, 01 Jan 2026 10:00:00 +0000\r\nReferences: <{1}@x.example>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n{2}\r\n"
 
 
-def mail_files(t):
+def mail_files(docs):
     """Messages as files, which is what a mail folder scan reads."""
-    rows = t.documents.select("doc_id", "text", "source").withColumn("content", P.column(lambda i, x: MAIL.format(i, i - i % 5, x).encode(), "binary", "doc_id", "text"))
+    rows = docs.select("doc_id", "text", "source").withColumn("content", P.column(lambda i, x: MAIL.format(i, i - i % 5, x).encode(), "binary", "doc_id", "text"))
     return rows.select(F.concat(F.lit("/mail/"), "source", F.lit("/cur/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("folder"), "content")
 
 
 @query("select '/mail/' || source || '/cur/' || doc_id as path, doc_id || '@x.example' as message_id, (doc_id - doc_id % 5) || '@x.example' as thread_id, 'Note ' || doc_id as subject, 'ann' || doc_id || '@x.example' as from_address, '2026-01-01T10:00:00+00:00' as date_sent_raw, (strlen(text) + 3 * length(doc_id::varchar) + length((doc_id - doc_id % 5)::varchar) + 196)::bigint as size_bytes from documents")
 def parse_messages(t):
-    from tessera.sources.readers import parse_mail
+    return parse_mail(mail_files(t.documents)).select("path", "message_id", "thread_id", "subject", "from_address", "date_sent_raw", "size_bytes")
 
-    return parse_mail(mail_files(t)).select("path", "message_id", "thread_id", "subject", "from_address", "date_sent_raw", "size_bytes")
 
-
-@query("select * from (values ('INBOX', 204::bigint), ('Work', 204::bigint), ('Work/Sub', 204::bigint)) v(folder, size)")
+@query("select source as folder, count(*)::bigint as n, sum(strlen(text) + 3 * length(doc_id::varchar) + length((doc_id - doc_id % 5)::varchar) + 196)::bigint as size from documents group by source")
 def maildir_scan(t):
-    """Scan a small mail folder in the session's shared folder; a local one only where the session names none."""
-    import tempfile
-    import uuid
-
-    import pyarrow.fs
-
-    from tessera.sources.readers import maildir
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    root = f"{base.rstrip('/')}/mail-{uuid.uuid4().hex}"
-    fs, at = pyarrow.fs.FileSystem.from_uri(root)
-    for folder, name in (("cur", "1"), ("Work/new", "2"), ("Work/Sub/cur", "3"), ("Work/tmp", "4")):
-        fs.create_dir(f"{at}/{folder}", recursive=True)
-        with fs.open_output_stream(f"{at}/{folder}/{name}") as out:
-            out.write(MAIL.format(name, name, "body").encode())
-    rows = maildir(t.spark, at).select("folder", "size").collect()
-    fs.delete_dir(at)
-    return t.spark.createDataFrame([tuple(r) for r in rows], "folder string, size long")
+    """All messages as files of a mail folder, scanned. Files still being delivered are no messages."""
+    root = scratch_path(t.spark, "mail")
+    spread = t.documents.select("doc_id", "text", "source").repartition(8)
+    files = mail_files(spread).withColumn("path", F.concat(F.lit(f"{root}/"), "folder", F.lit("/cur/"), F.element_at(F.split("path", "/"), -1)))
+    late = files.withColumn("path", F.regexp_replace("path", "/cur/", "/tmp/"))
+    write_files(files.select("path", "content").unionByName(late.select("path", "content")))
+    return maildir(t.spark, root).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))

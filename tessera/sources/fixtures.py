@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {
@@ -27,7 +29,7 @@ select d.doc_id * 2 + p.part as id, d.doc_id as message_id, cast(p.part as int)
     when 5 then 'text/plain' when 6 then null else 'text/plain' end as content_type,
   case (d.doc_id + p.part * 3) % 8 when 0 then 'done' when 1 then 'failed' when 2 then 'no_text' when 3 then 'oversize'
     when 4 then 'unsupported' when 5 then 'encrypted' when 6 then 'ocr' else null end as extraction_status,
-  case when d.doc_id % 5 = 0 then null else substr(d.text, p.part * 20 + 1, 80) end as extracted_text,
+  case when d.doc_id % 5 = 0 then null else d.text || ' part ' || cast(p.part as string) end as extracted_text,
   cast(d.n_chars * 40 + p.part as bigint) as size_bytes,
   case when (d.doc_id + p.part * 3) % 8 = 6 and d.doc_id % 2 = 0 then 'vision-a' end as ocr_model, e.ts as extracted_at
 from {documents} d left join {events} e on e.event_id = d.doc_id
@@ -48,21 +50,29 @@ select v.vec_id as id, v.vec_id % 200 as message_id, cast(floor(v.vec_id / 200)
   case when (v.vec_id % 200) % 3 = 0 and v.vec_id % 2 = 1 then 'attachment' else 'body' end as source,
   case when (v.vec_id % 200) % 3 = 0 and v.vec_id % 2 = 1 then (v.vec_id % 200) * 2 end as attachment_id
 from {embeddings} v""",
+    # Every 97th document is relevant to an item, or one place beside it.
     "qrels": """
 select 'q' || cast(b.item_id as string) as query_id, cast(d.doc_id as string) || '@docs' as message_id,
   cast(1 + coalesce(l.quality, 0) as double) as grade
-from {benchmark} b join {documents} d on contains(d.text, b.text) left join {labels} l on l.doc_id = d.doc_id""",
+from {benchmark} b join {documents} d on d.doc_id % 97 = b.item_id left join {labels} l on l.doc_id = d.doc_id""",
     "ranked": """
 select 'q' || cast(item_id as string) as query_id, cast(doc_id as string) || '@docs' as message_id, rank, elapsed_ms, mode from (
-  select b.item_id, (b.item_id * 7 + k.k * 13) % 100 as doc_id, k.k as rank, cast(b.item_id % 17 * 3 + 1 as double) as elapsed_ms, 'keyword' as mode
-  from {benchmark} b cross join (select 1 as k union all select 2 union all select 3 union all select 4 union all select 5) k
-  union all select b.item_id, d.doc_id, 2 + b.item_id % 3, cast(b.item_id % 11 + 2 as double), 'semantic' from {benchmark} b join {documents} d on contains(d.text, b.text)) x""",
+  select b.item_id, b.item_id + 97 * (k.k % 3) + case when (b.item_id + k.k) % 4 = 0 then 1 else 0 end as doc_id, k.k as rank,
+    cast(b.item_id % 17 * 3 + 1 as double) as elapsed_ms, 'keyword' as mode
+  from {benchmark} b cross join (select 1 as k union all select 2 union all select 3) k
+  union all select b.item_id, d.doc_id, 2 + b.item_id % 3, cast(b.item_id % 11 + 2 as double), 'semantic' from {benchmark} b join {documents} d on d.doc_id = b.item_id) x""",
+    # A document's whole text in pages of 400 characters, each read by three engines.
     "ocr_pages": """
-select case e.k when 0 then 'alpha' when 1 then 'beta' else 'gamma' end as engine, d.doc_id as attachment_id, 1 as page,
-  substr(d.text, 1, 60) as reference, substr(d.text, 1 + e.k * 2, 60) as hypothesis, cast(d.doc_id % 13 + e.k * 5 as double) as elapsed_ms,
-  case when (d.doc_id + e.k) % 10 = 9 then 'timeout' end as error
-from {documents} d cross join (select 0 as k union all select 1 union all select 2) e where d.lang = 'en'""",
+select engine, attachment_id, page, reference, case when k = 0 then reference when (attachment_id + page) % 25 = 3 then ' '
+    when k = 1 then replace(reference, 'e', 'c') else replace(replace(reference, 'an', 'am'), ' the ', ' ') end as hypothesis,
+  cast((attachment_id + page) % 13 + k * 5 as double) as elapsed_ms, case when (attachment_id + page + k) % 10 = 9 then 'timeout' end as error
+from (select e.k as k, case e.k when 0 then 'alpha' when 1 then 'beta' else 'gamma' end as engine, d.doc_id as attachment_id, p.page as page,
+    substr(d.text, cast((p.page - 1) * 400 + 1 as int), 400) as reference
+  from (select doc_id, text, cast(greatest(1, ceil(length(text) / 400.0)) as int) as n from {documents}) d
+  SERIES(d.n) p cross join (select 0 as k union all select 1 union all select 2) e) x""",
 }
+#: Numbers from 1 to n beside each row, for which engines have no common word.
+SERIES = {"spark": "cross join lateral (select explode(sequence(1, {0})) as page)", "sql": "cross join lateral (select unnest(generate_series(1, {0})) as page)"}
 BASE = ("documents", "events", "embeddings", "benchmark", "labels", "pages", "conversations")
 
 
@@ -70,14 +80,18 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _written(name: str, engine: str) -> str:
+    return re.sub(r"SERIES\(([\w.]+)\)", lambda m: SERIES[engine].format(m[1]), TABLES[name])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An archive table, or a base table by its own name."""
     if name in BASE:
         return base(spark, sf_dir, name)
-    sql = TABLES[name]
+    sql = _written(name, "spark")
     return spark.sql(sql, **{b: base(spark, sf_dir, b) for b in BASE if "{" + b + "}" in sql})
 
 
 def ctes(*names: str) -> str:
     """The same tables as a WITH clause."""
-    return "with " + ", ".join(f"{n} as ({TABLES[n].format(**{b: b for b in BASE})})" for n in names)
+    return "with " + ", ".join(f"{n} as ({_written(n, 'sql').format(**{b: b for b in BASE})})" for n in names)

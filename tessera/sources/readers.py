@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.functions.parsing import parse_message
+from tessera.functions.parsing import indexable_parts, parse_message
 
 PARSED = f"message_id string, thread_id string, subject string, from_address string, from_name string, to_addresses {schemas.ADDRESS}, cc_addresses {schemas.ADDRESS}, date_sent_raw string, body_text string, body_html string, size_bytes long, content_hash string, attachments array<struct<part_index:int,filename:string,content_type:string,size_bytes:long>>"
 
@@ -29,6 +30,54 @@ def maildir(spark: SparkSession, root: str) -> DataFrame:
     return mail.select("path", folder_name(F.regexp_replace("path", "^file:/*", "/"), root).alias("folder"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
+def write_files(files: DataFrame) -> None:
+    """A file for each row (path, content), by the tasks; paths are of a store that pyarrow knows."""
+
+    def run(batches):
+        import pyarrow.fs
+
+        for b in batches:
+            for path, content in zip(*b.columns, strict=True):
+                fs, at = pyarrow.fs.FileSystem.from_uri(path.as_py())
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at, compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def part_bytes(files: DataFrame, root: str, most: int | None = None) -> DataFrame:
+    """(path, part_index, filename, content_type, data, error) of (path, content, part_index): one part of a message.
+
+    A path outside root, a part that is not there and one of more than `most` bytes are errors, and data is null. Parts are
+    numbered as parse_mail() does it. Dots in a path are resolved before it is held against the root.
+    """
+
+    def run(batches):
+        base = posixpath.normpath(root)
+        for b in batches:
+            out = []
+            for path, content, number in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                inside = posixpath.normpath(path).startswith(base + "/")
+                parts = indexable_parts(content) if inside and content is not None else []
+                if not inside:
+                    said = (None, None, None, "outside")
+                elif number is None or not 0 <= number < len(parts):
+                    said = (None, None, None, "no_part")
+                elif most is not None and len(parts[number][2]) > most:
+                    said = (*parts[number][:2], None, "oversize")
+                else:
+                    said = (*parts[number], None)
+                out.append((path, number, *said))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "part_index", "filename", "content_type", "data", "error"])
+
+    rows = files.select("path", "content", F.col("part_index").cast("int").alias("part_index"))
+    return rows.mapInArrow(run, "path string, part_index int, filename string, content_type string, data binary, error string")
+
+
 def parse_mail(files: DataFrame) -> DataFrame:
     """Parsed messages, a batch of files at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,19 +94,50 @@ def parse_mail(files: DataFrame) -> DataFrame:
     return files.select("path", "folder", "content").mapInArrow(run, schema)
 
 
+# The two forms of a log line that records a call, with a whole timestamp or a time of day only.
 CALL = r"^(\S+) .*\bmcp-call (\w+) (\{.*\})\s*$"
+TIMED = r"^\[(\d{2}:\d{2}:\d{2}) \w+\] .*\bmcp-call tool=(\w+) args=(\{.*\})\s*$"
 
 
 def tool_calls(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts, tool, args) of the log lines that record a call."""
-    part = lambda k: F.regexp_extract(column, CALL, k)
-    return lines.filter(F.col(column).rlike(CALL)).select(F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("tool"), part(3).alias("args"))
+    """(ts, seconds, tool, args, and the other columns) of the log lines that record a call.
+
+    A line with a time of day only has no ts but its seconds since midnight, to be dated by health.dated().
+    """
+    line = F.col(column)
+    dated, timed = line.rlike(CALL), line.rlike(TIMED)
+    part = lambda k: F.when(dated, F.regexp_extract(line, CALL, k)).otherwise(F.regexp_extract(line, TIMED, k))
+    clock = [F.substring(part(1), at, 2).cast("int") for at in (1, 4, 7)]
+    seconds = F.when(~dated, clock[0] * 3600 + clock[1] * 60 + clock[2])
+    ts = F.when(dated, F.try_to_timestamp(part(1)))
+    rest = [c for c in lines.columns if c != column]
+    return lines.filter(dated | timed).select(*rest, ts.alias("ts"), seconds.alias("seconds"), part(2).alias("tool"), part(3).alias("args"))
+
+
+def call_lines(calls: DataFrame) -> DataFrame:
+    """(value): the log lines of (ts, tool, args, elapsed_ms), the call and how long it took; tool_calls() reads the first."""
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    call = F.concat_ws(" ", ts, F.lit("INF mcp-call"), "tool", "args")
+    done = F.concat(ts, F.lit(" INF mcp-tool tool="), "tool", F.lit(" elapsedMs="), F.format_string("%.1f", F.col("elapsed_ms").cast("double")))
+    return calls.select(F.explode(F.array(call, done)).alias("value"))
+
+
+def write_calls(calls: DataFrame, path: str) -> None:
+    """Append calls to a log as text."""
+    call_lines(calls).write.mode("append").text(path)
+
+
+def status_of(value: Column) -> tuple[Column, Column]:
+    """(finished, interval_s) of a status file's two lines; what is absent or can't be read is null."""
+    line = lambda k: F.trim(F.get(F.split(value, "\n"), k))
+    interval = F.when(line(1).rlike(r"^\d{1,18}$"), line(1).cast("long"))
+    return F.try_to_timestamp(line(0)), interval
 
 
 def status_file(lines: DataFrame) -> DataFrame:
-    """(finished, interval_s) of a status file of two lines; what can't be read is null."""
-    rows = lines.select(F.posexplode(F.split("value", "\n")).alias("n", "v"))
-    return rows.agg(F.max(F.when(F.col("n") == 0, F.try_to_timestamp(F.trim("v")))).alias("finished"), F.max(F.when(F.col("n") == 1, F.expr("try_cast(trim(v) as bigint)"))).alias("interval_s"))
+    """(finished, interval_s) of a status file read as one text."""
+    finished, interval = status_of(F.col("value"))
+    return lines.agg(F.max(finished).alias("finished"), F.max(interval).alias("interval_s"))
 
 
 def load_query_set(text: str) -> list[dict]:

@@ -3,40 +3,36 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.embedding import Model, embedder
+
 STRIKES = 3
 
 
-def hashing_embedder(width: int = 64):
-    """A deterministic stand-in for a model: unit vectors of hashed words, a batch at a time."""
+def hashing_model(width: int = 64) -> Model:
+    """A deterministic stand-in for a model: unit vectors of hashed words."""
 
     def embed(text: str) -> np.ndarray:
         v = np.zeros(width, np.float32)
-        for w in (text or "").lower().split():
-            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+        for w in text.lower().split():
+            h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
             v[int.from_bytes(h[:4], "little") % width] += 1 if h[4] & 1 else -1
         n = np.linalg.norm(v)
         return v / n if n else v
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = [embed(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], ["id", "embedding"])
-
-    return run
+    return lambda texts: [(i, embed(t)) for i, t in enumerate(texts)]
 
 
-def embed(rows: DataFrame, width: int = 64) -> DataFrame:
+def embed(rows: DataFrame, width: int = 64, model: Model | None = None) -> DataFrame:
     """(id, embedding) of (id, text)."""
-    return rows.select("id", "text").mapInArrow(hashing_embedder(width), "id long, embedding array<float>")
+    return rows.select("id", "text").mapInArrow(embedder(model or hashing_model(width)), "id long, embedding array<float>")
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -52,11 +48,17 @@ def embed_queue(stream: DataFrame, out: str, checkpoint: str, width: int = 64) -
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def strikes(stream: DataFrame) -> DataFrame:
-    """(id, snapshot, strikes, quarantined) from (id, snapshot, failed): failures of one snapshot, reset by another or a success."""
+def strikes(stream: DataFrame, order: str | None = None) -> DataFrame:
+    """(id, snapshot, strikes, quarantined) from (id, snapshot, failed): failures of one snapshot, reset by another or a success.
+
+    order names a column that says in which order the rows of a micro-batch came.
+    """
 
     def update(key, frames, state):
         snapshot, n = state.get if state.exists else (None, 0)
+        frames = list(frames)
+        if order:
+            frames = [pd.concat(frames).sort_values(order, kind="stable")]
         for frame in frames:
             for s, failed in zip(frame["snapshot"], frame["failed"], strict=True):
                 n = (n if s == snapshot else 0) + 1 if failed else 0
@@ -67,6 +69,32 @@ def strikes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("id").applyInPandasWithState(update, "id long, snapshot string, strikes long, quarantined boolean", "snapshot string, n long", "update", "NoTimeout")
 
 
+def latest_states(stream: DataFrame, key: str, out: str, checkpoint: str) -> DataFrame:
+    """Run a stateful stream over what has arrived; each key's last state so far."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(f"{stream.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(out)
+    names = [c for c in stream.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("last"))
+    return last.select(key, *(F.col(f"last.{c}").alias(c) for c in names))
+
+
+def coalesced_scans(requests: DataFrame, scan: Callable[[], None], checkpoint: str, every: str = "300 seconds") -> StreamingQuery:
+    """Scan when asked to and at least once in `every`: all that asked since the last scan is one micro-batch and one scan.
+
+    A scan that outlasts the interval delays the next; what asks meanwhile waits for it together.
+    """
+    spark = requests.sparkSession
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load().select(F.lit(None).cast("string").alias("why"))
+    asked = requests.select(F.lit("asked").alias("why")).unionByName(ticks)
+    return asked.writeStream.foreachBatch(lambda batch, number: scan()).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def debounce(stream: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
     """Sessions of events closer than the gap, emitted once the watermark has passed them."""
     return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("started"), "n")

@@ -116,3 +116,96 @@ def test_health(spark):
     n = F.lit(None).cast("int")
     assert val(health.liveness(n, F.lit(60))) == "unknown" and val(health.liveness(F.lit(181), F.lit(60))) == "stale" and val(health.liveness(F.lit(180), F.lit(60))) == "alive"
     assert val(health.ocr_stalled(F.lit(True), F.lit(1), n)) is None and val(health.sync_window(F.lit(10))) == 1800
+
+
+def test_texts_over_the_context_are_halved():
+    from tessera.functions import embedding as E
+
+    sent = []
+
+    def model(texts):
+        sent.append([len(t) for t in texts])
+        if max(map(len, texts)) > 100 or len(texts) > 4:
+            raise E.InputTooLong
+        return [(i, [len(t)]) for i, t in enumerate(texts)][::-1]
+
+    assert E.embed_texts(model, ["a" * n for n in (10, 150, 90, 1000, 3, 7)]) == [[10], [75], [90], [62], [3], [7]]
+    assert sent[0] == [10, 150, 90, 1000, 3, 7] and E.embed_texts(model, []) == []
+
+    def never(texts):
+        raise E.InputTooLong
+
+    with pytest.raises(E.InputTooLong):
+        E.embed_texts(never, ["a" * 5000])
+    with pytest.raises(E.InputTooLong):
+        E.embed_texts(never, ["short"])
+
+
+@pytest.mark.parametrize("answer", [[(0, [1])], [(0, [1]), (0, [2])], [(0, [1]), (2, [2])], [(0, [1]), (-1, [2])], [(0, [1]), (None, [2])], [(0, [1]), (1, None)]])
+def test_answers_are_put_back_by_index(answer):
+    from tessera.functions import embedding as E
+
+    assert E.reassemble([(1, [2]), (0, [1])], 2) == [[1], [2]]
+    with pytest.raises(E.InvalidResponse):
+        E.reassemble(answer, 2)
+
+
+def test_a_sweep_passes_over_what_backs_off_and_wraps(spark):
+    rows = spark.createDataFrame([(i,) for i in range(1, 11)], "id long")
+    waiting = spark.createDataFrame([(2, 9), (3, 9), (4, 3)], "id long, until int")
+    step = lambda cursor, size: [tuple(r) for r in ocr.next_page(rows, "id", cursor, size, waiting, 5).orderBy("id").collect()]
+    assert step(0, 2) == [(1, True), (2, False), (3, False), (4, True)]
+    assert step(8, 5) == [(9, True), (10, True)]
+    assert step(10, 1) == [(1, True)]
+    assert ocr.next_page(rows.filter("false"), "id", 5, 3, waiting, 5).count() == 0
+
+
+def test_documents_are_retired_only_when_the_model_can_run(spark):
+    ok, bad = None, "transient"
+    rows = [(1, c, bad, False) for c in range(6)] + [(2, c, ok, False) for c in range(5)]  # five cycles with a success
+    rows += [(3, c, bad, False) for c in range(10, 20)]  # nothing ran in these
+    rows += [(4, c, bad, True) for c in range(20, 25)]  # a probe did
+    rows += [(5, 3, "document_fatal", False), (6, 3, "backpressure", False), (7, 3, "auth_or_config", False)]
+    df = spark.createDataFrame(rows, "id long, cycle long, kind string, probe_ok boolean")
+    assert {r.id: (r.counted, r.retired) for r in ocr.retirements(df, "id").collect()} == {1: (5, True), 2: (0, False), 3: (0, False), 4: (5, True), 5: (0, True), 6: (0, False), 7: (0, False)}
+
+
+def test_hint_for_an_empty_archive(spark):
+    from tessera.operators import archive
+
+    rows = spark.range(3)
+    hint = lambda df, known: archive.empty_hint(df, known, "/a").first().hint
+    assert hint(rows, True) is None
+    assert "ingested" in hint(rows.filter("false"), True) and "never set up" in hint(rows.filter("false"), False)
+
+
+def test_parts_are_read_within_the_folder(spark):
+    from email.message import EmailMessage
+
+    m = EmailMessage()
+    m.set_content("body")
+    m.add_attachment(b"12345", maintype="application", subtype="pdf", filename="a.pdf")
+    m.add_attachment(b"x" * 50, maintype="image", subtype="png", filename="b.png")
+    rows = [("/mail/cur/1", m.as_bytes(), n) for n in (0, 1, 2, -1, None)] + [("/mail/cur/../../etc/1", m.as_bytes(), 0), ("/mailbox/1", m.as_bytes(), 0), ("/mail/cur/2", None, 0)]
+    out = readers.part_bytes(spark.createDataFrame(rows, "path string, content binary, part_index int"), "/mail", 10).collect()
+    assert [(r.filename, bytes(r.data) if r.data else None, r.error) for r in out] == [
+        ("a.pdf", b"12345", None), ("b.png", None, "oversize"), *[(None, None, "no_part")] * 3, *[(None, None, "outside")] * 2, (None, None, "no_part"),
+    ]
+
+
+def test_requests_are_coalesced_into_scans(spark, tmp_path):
+    import time
+
+    from tessera.streaming import pipelines
+
+    src = f"file://{tmp_path}/in"
+    spark.range(50).repartition(5).write.parquet(src)
+    scans = []
+    q = pipelines.coalesced_scans(pipelines.file_stream(spark, src, "id long"), lambda: scans.append(1), f"file://{tmp_path}/cp", "3 seconds")
+    try:
+        until = time.monotonic() + 60
+        while len(scans) < 2 and time.monotonic() < until:  # the second is the timer's: nothing has asked
+            time.sleep(0.2)
+        assert 2 <= len(scans) <= 4
+    finally:
+        q.stop()
