@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -204,6 +205,59 @@ def test_scores(spark):
     assert carried.select("row.*").columns == df.columns
 
 
+def plain_buckets(text, orders, bits):
+    """The n-grams' buckets with Python's integers."""
+    codes, mask, out = [ord(c) for c in (text or "").lower()], 2**64 - 1, set()
+    for i in range(len(codes)):
+        h = 0
+        for n in range(1, min(max(orders), len(codes) - i) + 1):
+            h = (h + codes[i + n - 1] + n) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+            if n in orders:
+                out.add((h * 0x9E3779B97F4A7C15 & mask) >> (64 - bits))
+    return out
+
+
+def plain_fit(texts, labels, orders, bits, smooth=1.0, l2=1e-3, rounds=200, rate=0.05):
+    """Ratios of counts and a logistic regression by gradient steps, one number after the other; (weights by bucket, bias)."""
+    held = [plain_buckets(t, orders, bits) for t in texts]
+    every = sorted(set().union(*held))
+    count = {y: {b: smooth + sum(b in h for h, x in zip(held, labels, strict=True) if x == y) for b in every} for y in (0, 1)}
+    empty = smooth * (2**bits - len(every))
+    total = {y: sum(count[y].values()) + empty for y in (0, 1)}
+    ratio = {b: math.log(count[1][b] / total[1]) - math.log(count[0][b] / total[0]) for b in every}
+    w, bias = dict.fromkeys(every, 0.0), 0.0
+    m, v = dict.fromkeys([*every, None], 0.0), dict.fromkeys([*every, None], 0.0)
+    for t in range(1, rounds + 1):
+        grad = {b: l2 * w[b] for b in every} | {None: 0.0}
+        for h, y in zip(held, labels, strict=True):
+            g = (1 / (1 + math.exp(-(bias + sum(w[b] * ratio[b] for b in h)))) - y) / len(labels)
+            grad[None] += g
+            for b in h:
+                grad[b] += g * ratio[b]
+        for b in grad:
+            m[b], v[b] = 0.9 * m[b] + 0.1 * grad[b], 0.99 * v[b] + 0.01 * grad[b] ** 2
+            step = rate * (m[b] / (1 - 0.9**t)) / (math.sqrt(v[b] / (1 - 0.99**t)) + 1e-8)
+            if b is None:
+                bias -= step
+            else:
+                w[b] -= step
+    return {b: w[b] * ratio[b] for b in every}, bias
+
+
+def test_scores_match_a_plain_fit(spark):
+    rng, orders, bits = random.Random(7), (3, 4), 16
+    texts = [words(rng, 5, 12) + (" idiot" if k % 3 == 0 else "") for k in range(24)]
+    ids = [k for k in range(24) if zlib.crc32(str(k).encode()) % 5]
+    weights, bias = plain_fit([texts[k] for k in ids], [int(k % 3 == 0) for k in ids], orders, bits)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(24)], "doc_id long, toxic int")
+    model = X.train(frame(spark, list(enumerate(texts))), labels, orders=orders, bits=bits, features=10**6)
+    assert model.bias == pytest.approx(bias, abs=1e-6)
+    for text in [*texts, "unknown", "", None]:
+        z = bias + sum(weights.get(b, 0.0) for b in plain_buckets(text, orders, bits))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
 def test_one_long_text_costs_no_other_row(spark):
     """A labelled text of more than 20 M characters, the only toxic one, is learnt from whole."""
     from pyspark.sql import functions as F
