@@ -10,6 +10,10 @@ counted over the corpus, and the words they cover are cut.
 Texts that are equal form a class of which one member is indexed; with two members and a window's length, all goes.
 Nothing gathers a fingerprint's or a window's places: both are counted with partial aggregates and joined back.
 
+The index can be kept in a folder between sessions. Windows of texts ingested then count as starting elsewhere; those texts
+are kept beside the runs, in a log of their own, for verification reads the ones whose fingerprints are asked for. It is
+written after the runs: a session that dies between leaves fingerprints without texts, which make candidates and no cuts.
+
 Defined results: null, empty or short texts have no window and lose nothing. A null id is a row like any other. Rows that
 repeat, id included, are copies of each other. An empty table gives an empty table. Other columns are not looked at.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.runs import SortedRuns
-from tessera.llm.scratch import Scratch
-from tessera.llm.words import HASH, U64, ascii_words, rolling, signed
+from tessera.llm.scratch import Folder, Scratch
+from tessera.llm.words import HASH, U64, ascii_words, rolling, signed, slices
 
 
 def window_fingerprints(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +50,7 @@ def window_fingerprints(hashes: np.ndarray, window: int, gram: int) -> tuple[np.
 
 def _fingerprinter(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             n, digests, prints = [], [], []
             for text in batch.column(3):
                 words = ascii_words(text.as_py())
@@ -66,13 +71,15 @@ def _windower(window: int, gram: int):
     """Rows (k1, k2, text, prints) -> the windows whose fingerprint is among prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for k1, k2, text, prints in zip(*batch.columns, strict=True):
                 hashes = HASH.array(ascii_words(text.as_py()))
                 _, least = window_fingerprints(hashes, window, gram)
                 at = np.flatnonzero(np.isin(least, prints.values.to_numpy().view(U64)))
-                for col, x in zip(cols, (np.full(len(at), k1.as_py()), np.full(len(at), k2.as_py()), at, signed(rolling(hashes, window, 2))[at], signed(rolling(hashes, window, 3))[at]), strict=True):
+                own = [np.full(len(at), k.as_py()) for k in (k1, k2)]
+                found = (*own, at, *(signed(rolling(hashes, window, seed))[at] for seed in (2, 3)))
+                for col, x in zip(cols, found, strict=True):
                     col.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["k1", "k2", "start", "w1", "w2"])
@@ -83,7 +90,7 @@ def _windower(window: int, gram: int):
 def _cutter(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             removed, digests, spans = [], [], []
             for text, starts in zip(batch.column(2), batch.column(3), strict=True):
                 words, at = ascii_words(text.as_py()), np.sort(starts.values.to_numpy())
@@ -103,62 +110,114 @@ def _cutter(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 11, batches: int = 3) -> DataFrame:
-    """(id_col, n_words, n_removed, kept_sha256, spans): spans are the word ranges [start, end) to cut from each text."""
+class WindowIndex:
+    """The log of fingerprints and, if it is to last, the log of texts."""
+
+    def __init__(self, scratch: Scratch, index_path: str | None):
+        spark = scratch.spark
+        self.prints = SortedRuns(Folder(spark, f"{index_path}/prints") if index_path else scratch, ["fp"], [F.sum("n").alias("n")])
+        self.texts = None
+        if index_path:
+            folder, merge = Folder(spark, f"{index_path}/texts"), [F.first("text").alias("text"), F.first("prints").alias("prints")]
+            self.texts = SortedRuns(folder, KEY, merge, fanout=16)
+        self.scratch = scratch
+
+    def known(self) -> DataFrame | None:
+        """(k1, k2, text, prints) of the texts of earlier sessions."""
+        return self.texts.rows() if self.texts else None
+
+    def ingest(self, entries: DataFrame) -> DataFrame:
+        """(fp) of those entries (fp, n) that the index or the batch itself has elsewhere; the batch becomes a run."""
+        known = self.prints.rows()
+        run = self.scratch.keep(entries.sortWithinPartitions("fp"), "batch")
+        both = run.filter("n > 1").select("fp")
+        if known is not None:
+            both = both.unionByName(run.hint("merge").join(known.select("fp"), "fp", "left_semi").select("fp"))
+        both = self.scratch.keep(both, "repeated")
+        self.prints.add(run)
+        self.scratch.drop(run)
+        return both
+
+
+KEY = ["k1", "k2"]
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _asking(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(k1, k2, prints): the classes with fingerprints among those found, and which."""
+    hits = classes.select(*KEY, F.explode("prints").alias("fp")).join(found, "fp", "left_semi")
+    return hits.groupBy(*KEY).agg(F.collect_set("fp").alias("prints"))
+
+
+def repeated_windows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 11, batches: int = 3,
+    index_path: str | None = None,
+) -> DataFrame:
+    """(id_col, n_words, n_removed, kept_sha256, spans): spans are the word ranges [start, end) to cut from each text.
+
+    index_path names a folder that keeps the index: what earlier calls ingested counts too. Each call has to use one window and gram.
+    """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     scratch = Scratch(docs.sparkSession, "substring")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
-    key = ["k1", "k2"]
     id_type = docs.schema["id"].dataType.simpleString()
-    prints = scratch.keep(docs.mapInArrow(_fingerprinter(window, gram), f"id {id_type}, k1 long, k2 long, n_words long, sha string, prints array<long>"), "prints")
-    classes = scratch.keep(prints.filter(F.size("prints") > 0).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.first("prints").alias("prints")), "classes")
+    made = f"id {id_type}, k1 long, k2 long, n_words long, sha string, prints array<long>"
+    prints = scratch.keep(docs.mapInArrow(_fingerprinter(window, gram), made), "prints")
+    index = WindowIndex(scratch, index_path)
+    old = index.known()
+    classes = prints.filter(F.size("prints") > 0).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("prints").alias("prints"))
+    if old is not None:  # a text of an earlier session is a copy of that
+        classes = classes.join(old.select(*KEY, F.lit(True).alias("old")), KEY, "left")
+        classes = classes.withColumn("copies", F.col("copies") + F.col("old").isNotNull().cast("int"))
+    else:
+        classes = classes.withColumn("old", F.lit(None).cast("boolean"))
+    classes = scratch.keep(classes, "classes")
+    fresh = classes.filter("old is null")
 
-    index = SortedRuns(scratch, ["fp"], [F.sum("n").alias("n")])
     repeated = []
     for b in range(batches):
-        batch = classes.filter(F.pmod("k1", F.lit(batches)) == b).select(F.explode("prints").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-        known = index.rows()
-        run = scratch.keep(batch.sortWithinPartitions("fp"), "batch")
-        both = run.filter("n > 1").select("fp")
-        if known is not None:
-            both = both.unionByName(run.hint("merge").join(known.select("fp"), "fp", "left_semi").select("fp"))
-        repeated.append(scratch.keep(both, "repeated"))
-        index.add(run)
-        scratch.drop(run)
-    found = repeated[0]
-    for more in repeated[1:]:
-        found = found.unionByName(more)
-    asked = classes.select(*key, F.explode("prints").alias("fp")).join(found.distinct(), "fp", "left_semi")
-    asked = scratch.keep(asked.groupBy(*key).agg(F.collect_set("fp").alias("prints")), "asked")
-    index.drop()
+        batch = fresh.filter(F.pmod("k1", F.lit(batches)) == b).select(F.explode("prints").alias("fp"))
+        repeated.append(index.ingest(batch.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))))
+    found = reduce(DataFrame.unionByName, repeated).distinct()
+    asked = scratch.keep(_asking(fresh, found), "asked")
+    if not index_path:
+        index.prints.drop()
+    earlier = scratch.keep(_asking(old, found).join(old.select(*KEY, "text"), KEY), "earlier") if old is not None else None
     scratch.drop(*repeated)
     scratch.release()
 
     # The least id of each class stands for it, and is part of the join key, so a hot class is spread.
-    least = prints.groupBy(*key).agg(F.min("id").alias("least"))
-    chosen = scratch.keep(asked.join(least, key).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "least", "prints"), "chosen")
+    least = prints.groupBy(*KEY).agg(F.min("id").alias("least"))
+    chosen = scratch.keep(asked.join(least, KEY).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "least", "prints"), "chosen")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("id").eqNullSafe(F.col("least"))
-    texts = scratch.keep(docs.join(chosen, same).select(*key, "text", "prints"), "texts")
-    windows = scratch.keep(texts.mapInArrow(_windower(window, gram), "k1 long, k2 long, start long, w1 long, w2 long"), "windows")
+    texts = scratch.keep(docs.join(chosen, same).select(*KEY, "text", "prints"), "texts")
+    cut_up = lambda rows: rows.select(*KEY, "text", "prints").mapInArrow(_windower(window, gram), "k1 long, k2 long, start long, w1 long, w2 long")
+    windows = scratch.keep(cut_up(texts), "windows")
     scratch.release()
-    place = F.struct(*key, "start")
-    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("w1", "w2")
+    place = F.struct(*KEY, "start")
+    everywhere = windows if earlier is None else windows.unionByName(cut_up(earlier))
+    twice = everywhere.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("w1", "w2")
     twice = scratch.keep(twice, "twice")
-    starts = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*key).agg(F.collect_list("start").alias("starts"))
-    starts = scratch.keep(starts.join(classes.filter("copies = 1").select(*key), key, "left_semi"), "starts")
+    starts = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
+    starts = scratch.keep(starts.join(classes.filter("copies = 1").select(*KEY), KEY, "left_semi"), "starts")
     scratch.drop(windows, twice)
     scratch.release()
-    cut = scratch.keep(texts.join(starts, key).select(*key, "text", "starts").mapInArrow(_cutter(window), "k1 long, k2 long, n_removed long, cut_sha string, spans array<struct<start:long,end:long>>"), "cut")
-    whole = classes.filter("copies > 1").select(*key, F.lit(True).alias("whole"))
+    cutter = _cutter(window)
+    cut = texts.join(starts, KEY).select(*KEY, "text", "starts").mapInArrow(cutter, f"k1 long, k2 long, n_removed long, cut_sha string, spans {SPANS}")
+    cut = scratch.keep(cut, "cut")
+    whole = classes.filter("copies > 1").select(*KEY, F.lit(True).alias("whole"))
     decided = scratch.keep(cut.withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True), "decided")
+    if index.texts:
+        index.texts.add(docs.join(fresh.select(*KEY, "prints"), KEY).groupBy(*KEY).agg(*index.texts.merge))
     scratch.drop(texts, starts, classes, cut, asked, chosen)
     all_of = F.col("whole") & F.col("whole").isNotNull()
-    return prints.select("id", *key, "n_words", "sha").join(decided, key, "left").select(
+    zero, none = F.lit(0).cast("long"), F.array().cast(SPANS)
+    return prints.select("id", *KEY, "n_words", "sha").join(decided, KEY, "left").select(
         F.col("id").alias(id_col),
         "n_words",
-        F.when(all_of, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(all_of, F.col("n_words")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(all_of, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-        F.when(all_of, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>"))).alias("spans"),
+        F.when(all_of, F.array(F.struct(zero.alias("start"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", none)).alias("spans"),
     )

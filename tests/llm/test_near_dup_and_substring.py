@@ -91,7 +91,8 @@ def test_groups_just_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
     got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), ngram=3, percent=85).collect()}
     assert got == want
-    assert sent[0].count() < 2 * 32 * len(rows)  # at most twice for each band
+    times = 1 + len(rows) * 310 // minmax_dedup.CELL
+    assert sent[0].count() < 2 * times * 32 * len(rows)  # for each band at most
 
 
 @pytest.mark.parametrize("cell", [200, 3000])
@@ -175,6 +176,18 @@ def test_windows_match_brute_force(spark, corpus, window, gram):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_windows_of_earlier_sessions_count(spark, tmp_path, corpus):
+    """Three calls over one folder: each is cut as the last part of all texts so far would be."""
+    rows, folder = [r for r in corpus if r[0] not in (68, None)], f"file://{tmp_path}/index"
+    random.Random(2).shuffle(rows)
+    for k in range(3):
+        got = repeated_windows(frame(spark, rows[20 * k : 20 * k + 20]), batches=2, index_path=folder).collect()
+        want = brute_windows(rows[: 20 * k + 20], 35)[20 * k :]
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *x) for (i, _), x in zip(rows[20 * k : 20 * k + 20], want, strict=True))
+    again = repeated_windows(frame(spark, rows[:5]), index_path=folder).collect()
+    assert all(r.n_removed == (r.n_words if r.n_words >= 35 else 0) for r in again)
+
+
 def test_rolling_hash_tells_windows_apart():
     h = HASH.array([w.encode() for w in "a b c a b c a b d".split()])
     for k in (1, 2, 3, 5, 9):
