@@ -38,7 +38,7 @@ from tessera.llm.scratch import Scratch, sift
 from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed, slices
 
 #: Members that stream past their hub in one task; shingles of a block, and of what streams past it.
-STREAM, CELL = 128, 1 << 18
+STREAM, CELL = 128, 50_000
 
 
 def shingle_set(text: str | None, ngram: int) -> np.ndarray:
