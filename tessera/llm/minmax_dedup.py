@@ -245,3 +245,16 @@ def near_duplicates(
     component = F.coalesce("component_id", "id")
     scratch.drop(members, hubs, shared, held, sizes, counts, apart, texts, placed, links, late, classes)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) end) as s from w),
+shingles as (select doc_id as id, len(s) as n, unnest(s) as x from sets),
+pairs as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from shingles a join shingles b on a.x = b.x and a.id <> b.id group by 1, 2),
+links as materialized (select a, b from pairs where 100 * common >= 85 * (na + nb - common)),
+reach as (select doc_id as a, doc_id as b from sets union select r.a, l.b from reach r join links l on r.b = l.a),
+named as (select a, min(b) as component_id from reach group by a)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join named on doc_id = a
+"""

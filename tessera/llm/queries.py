@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, urlfilter, warc
+from tessera.llm import line_dedup, minmax_dedup, mixing, substring_dedup, urlfilter, warc
 from tessera.llm.scratch import Scratch
 
 
@@ -37,9 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.substring_dedup import repeated_windows
-
-    return repeated_windows(_table(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup.repeated_windows(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +54,7 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.minmax_dedup import near_duplicates
-
-    return near_duplicates(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
+    return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_url_filter": urlfilter.ORACLE,
+    "op8_minmax_near_dup": minmax_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -221,3 +221,18 @@ def repeated_windows(
         F.when(all_of, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
         F.when(all_of, F.array(F.struct(zero.alias("start"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", none)).alias("spans"),
     )
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35),
+hashed as (select doc_id, s, sha256(array_to_string(w[s:s + 34], ' ')) as h from starts),
+twice as (select h from hashed group by h having count(*) > 1),
+hit as (select doc_id, s from hashed semi join twice using (h)),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+marked as (select doc_id, word, k, coalesce(max(s) over (partition by doc_id order by k rows unbounded preceding) >= k - 34, false) as gone
+  from words left join (select doc_id as i, s from hit) on doc_id = i and k = s),
+kept as (select doc_id as i, count(*) filter (where gone) as n, string_agg(word, ' ' order by k) filter (where not gone) as text from marked group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on doc_id = i
+"""

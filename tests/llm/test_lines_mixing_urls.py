@@ -141,7 +141,7 @@ def test_emitted_copies_clash_with_no_column(spark, tmp_path):
 
 
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
-    rows = [(i, "a b c", f"s{i % 9}") for i in range(90)]
+    rows = [(i, "a b c " * (1 + i % 5), f"s{i % 41}" if i % 13 else None) for i in range(300)]
     want = mixing.mix_sources(frame(spark, rows)).collect()
     monkeypatch.setattr(mixing, "BROADCAST", 3)
     assert sorted(map(str, mixing.mix_sources(frame(spark, rows)).collect())) == sorted(map(str, want))
