@@ -25,6 +25,7 @@ from tessera.functions import text as T
 _BOILERPLATE = re.compile(T.BOILERPLATE)
 
 # --- HTML ---
+# The elements that are left out or begin a line, and the depth and characters up to which a page is read.
 DROPPED = frozenset("script style head meta link title noscript template address footer".split())
 BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header nav aside blockquote pre hr figure figcaption".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())

@@ -63,7 +63,7 @@ def strip_boilerplate(c: Column) -> Column:
 
 
 def is_boilerplate_link(href: Column) -> Column:
-    return F.lower(href).rlike("|".join(p.replace("/", "/") for p in BOILERPLATE_LINKS))
+    return F.lower(href).rlike("|".join(BOILERPLATE_LINKS))
 
 
 def truncate(c: Column, n: int) -> Column:

@@ -44,19 +44,23 @@ def thread_of(messages: DataFrame, message: int) -> DataFrame:
 
 
 def body_budget(messages: DataFrame, key: str, order: list[Column], max_messages: int = THREAD_MESSAGES, max_chars: int = THREAD_CHARS) -> DataFrame:
-    """The first messages of each thread with their bodies cut to what is left of the thread's budget."""
+    """The first messages of each thread with their bodies cut to what is left of the thread's budget.
+
+    The first are told before threads are gathered, so a thread of any length sends max_messages rows from each task.
+    """
     w = Window.partitionBy(key).orderBy(*order)
+    first = messages.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max_messages)
     before = F.coalesce(F.sum(F.char_length("body_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = messages.withColumn("pos", F.row_number().over(w)).withColumn("left", F.greatest(F.lit(0).cast("long"), F.lit(max_chars) - before))
-    return ranked.filter(F.col("pos") <= max_messages).withColumn("body", F.substring("body_text", F.lit(1), F.col("left").cast("int")))
+    ranked = first.withColumn("left", F.greatest(F.lit(0).cast("long"), F.lit(max_chars) - before))
+    return ranked.withColumn("body", F.substring("body_text", F.lit(1), F.col("left").cast("int")))
 
 
 def membership(messages: DataFrame, sync_state: DataFrame, *carried: str) -> DataFrame:
     """(id, folder, carried) of live messages: their own folder and those of their copies."""
     rows = live(messages)
     copies = sync_state.filter("folder is not null").select(F.col("message_id").alias("_h"), F.col("folder").alias("f"))
-    others = rows.join(copies, F.col("message_id") == F.col("_h")).select("id", F.col("f").alias("folder"), *carried)
-    return rows.select("id", "folder", *carried).union(others).distinct()
+    others = rows.join(copies, F.col("message_id") == F.col("_h")).filter(~F.col("f").eqNullSafe(F.col("folder")))
+    return rows.select("id", "folder", *carried).union(others.select("id", "f", *carried).distinct())
 
 
 def folder_stats(messages: DataFrame, sync_state: DataFrame) -> DataFrame:

@@ -264,14 +264,15 @@ def eval_worst(t):
     return evalkit.ndcg(ranked(t), t.qrels, K).filter(F.col("ndcg") < evalkit.VERBOSE_BELOW).orderBy("ndcg", "query_id").limit(20)
 
 
-@query()
+@query("select * from (values ('a', 'x', null, false, 'm1', 1.0::double), ('a', 'x', null, false, 'm2', 2.0::double), ('b', 'y', 'INBOX', true, null, null)) v(query_id, query, folder, expect_empty, message_id, grade)")
 def eval_queryset(t):
     import json
 
     from tessera.sources.readers import query_set
 
     text = json.dumps({"queries": [{"id": "a", "query": "x", "relevant": ["m1", {"messageId": "m2", "grade": 2}]}, {"id": "b", "query": "y", "expectEmpty": True, "filters": {"folder": "INBOX"}}]})
-    return query_set(t.spark, text)
+    rows = query_set(t.spark, text).select("query_id", "query", "folder", "expect_empty", F.explode_outer("relevant").alias("r"))
+    return rows.select("query_id", "query", "folder", "expect_empty", "r.message_id", "r.grade")
 
 
 @query("select mode, round(quantile_cont(elapsed_ms, 0.5), 6) as p50, round(quantile_cont(elapsed_ms, 0.95), 6) as p95 from ranked group by mode", "ranked")
@@ -303,7 +304,10 @@ def ocr_wer(t):
     return t.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(P.column(P.word_error_rate, "double", "reference", "hypothesis"), 9).alias("wer"))
 
 
-@query()
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(hypothesis, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`~>|]+', ' ', 'g'), '(?m)^\s*[-=]{3,}\s*$', ' ', 'g')"
+
+
+@query(rf"select engine, attachment_id, page, lower(trim(regexp_replace(regexp_replace({PLAIN}, '[^\p{{L}}\p{{Nd}}\s]', ' ', 'g'), '\s+', ' ', 'g'))) as text from ocr_pages", O)
 def ocr_normalize(t):
     return t.ocr_pages.select("engine", "attachment_id", "page", P.column(P.ocr_normalize, "string", "hypothesis").alias("text"))
 
