@@ -8,8 +8,8 @@ Targets: sources by code point, null last, weigh `weights` in turn and share `sh
 `limit` times the source's tokens and what is over is shared again by weight. That is target = min(limit * tokens,
 level * weight) with one level for all, found in one pass over the sources in the order in which they reach their limit.
 
-What is ordered on one task is one narrow row for each source, never documents. The rates are broadcast up to BROADCAST
-sources, a counted bound; beyond that documents are joined by source and salt.
+Up to BROADCAST sources, a counted bound, one narrow row for each is ordered by one task and the rates are broadcast. Beyond
+it sources are ordered by ranges, whose sums are carried from one to the next, and documents are joined by source and salt.
 
 Defined results: a null or empty text has size 0 and is emitted floor(rate) times or once more like any other, for no words. A null source is a source
 of its own, last. A source without tokens has target 0 and rate 0. Rows that repeat an id are drawn alike. An empty table
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import Scratch
+
 BROADCAST, SALTS = 20_000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,21 +31,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, limit: float) -> DataFrame:
-    """(source, source_size) -> with target and rate."""
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    w = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("double")
-    full = sizes.withColumn("w", w).withColumn("most", F.lit(limit) * F.col("source_size"))
-    order = Window.orderBy((F.col("most") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    whole = Window.orderBy((F.col("most") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+def _running(rows: DataFrame, order: list[Column], sums: list[str], scratch: Scratch, few: bool) -> DataFrame:
+    """rows with place, from 0, and before_<c>, the sum of c over the rows before, in an order."""
+    window, offsets = Window.orderBy(*order), None
+    if not few:
+        rows = scratch.keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+        totals = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(c).alias(f"_{c}") for c in sums))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        carried = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_0") for c in ("_rows", *(f"_{c}" for c in sums))]
+        offsets, window = totals.select("_range", *carried), Window.partitionBy("_range").orderBy(*order)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("place", F.row_number().over(window) - 1)
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(before), F.lit(0.0)))
+    if offsets is None:
+        return out
+    out = out.join(F.broadcast(offsets), "_range").withColumn("place", F.col("place") + F.col("_rows_0"))
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"_{c}_0"))
+    return out.drop(*offsets.columns)
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, limit: float, scratch: Scratch, few: bool) -> DataFrame:
+    """(source, source_size) -> with target and rate; few: there are no more sources than one task may order."""
+    by_name = F.col("source").asc_nulls_last()
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    full = _running(sizes, [by_name], [], scratch, few).withColumn("w", w).withColumn("most", F.lit(limit) * F.col("source_size"))
+    full = scratch.keep(full.drop("place"), "weights")
+    order = [(F.col("most") / F.col("w")).asc(), by_name]
+    whole = full.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
     # The level if all sources before this one stop at their limit; the first source under its limit at
     # that level sets it, which is the largest such level as they only fall from there.
-    level = (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    levels = full.withColumn("level", level).withColumn("fits", F.col("level") * F.col("w") <= F.col("most"))
-    levels = levels.withColumn("at", F.max(F.when(F.col("fits"), F.col("level"))).over(whole))
+    level = (F.lit(share) * F.col("all_size") - F.col("before_most")) / (F.col("all_w") - F.col("before_w"))
+    levels = _running(full, order, ["most", "w"], scratch, few).join(F.broadcast(whole)).withColumn("level", level)
+    levels = scratch.keep(levels.select("source", "source_size", "w", "most", "level"), "levels")
+    at = levels.agg(F.max(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).alias("at"))
     target = F.least(F.col("most"), F.coalesce(F.col("at") * F.col("w"), F.col("most")))
-    return levels.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+    rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
+    return levels.join(F.broadcast(at)).select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -51,19 +76,26 @@ def uniform(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: str = "mix",
+) -> DataFrame:
     """(row, id, size, source_size, target, copies): row is the input row whole, copies how often the mix holds it."""
-    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
-    rates = source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
-    rates = rates.withColumnRenamed("source", "of")
+    scratch = Scratch(docs.sparkSession, "mix")
+    size = word_count(F.col(text_col)).alias("size")
+    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size, F.col(source_col).alias("source"))
+    sizes = scratch.keep(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    few = sizes.count() <= BROADCAST
+    rates = scratch.keep(source_targets(sizes, weights, share, limit, scratch, few), "rates").withColumnRenamed("source", "of")
     same = F.col("source").eqNullSafe(F.col("of"))
-    if rates.limit(BROADCAST + 1).count() <= BROADCAST:
+    if few:
         joined = docs.join(F.broadcast(rates), same)
     else:
         rates = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(rates, same & (F.col("salt") == F.col("salt2")))
     extra = uniform(seed, F.col("id")) < F.col("rate") - F.floor("rate")
-    return joined.select("row", "id", "size", "source_size", "target", (F.floor("rate") + extra.cast("int")).cast("long").alias("copies"))
+    copies = (F.floor("rate") + extra.cast("int")).cast("long").alias("copies")
+    return joined.select("row", "id", "size", "source_size", "target", copies)
 
 
 def emit(mixed: DataFrame, copy_col: str = "mix_copy") -> DataFrame:
