@@ -12,6 +12,7 @@ import io
 import re
 import unicodedata
 import zipfile
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -429,6 +430,21 @@ def ocr_normalize(s: str | None) -> str:
     return " ".join(plain.split()).lower()
 
 
+def word_tokens(text: str | None) -> list[str]:
+    """Lower-case runs of letters and digits."""
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def multiset_f1(a: Counter, b: Counter) -> float:
+    """2 |a and b| / (|a| + |b|), each token as often as it stands; one of them is not empty."""
+    return 2.0 * sum(min(n, b[t]) for t, n in a.items()) / (a.total() + b.total())
+
+
+def token_f1(reference: str | None, hypothesis: str | None) -> float | None:
+    a, b = Counter(word_tokens(reference)), Counter(word_tokens(hypothesis))
+    return multiset_f1(a, b) if a or b else None
+
+
 def edit_distance(a: list, b: list) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

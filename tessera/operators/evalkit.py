@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import parsing
+
 DIFF_THRESHOLD, VERBOSE_BELOW, DIFF_ROWS, MAX_EDIT_CHARS = 0.05, 0.9995, 10, 12_000
 
 
@@ -54,35 +60,37 @@ def baseline_diff(base: DataFrame, current: DataFrame) -> DataFrame:
 PAGE = ["attachment_id", "page"]
 
 
-def token_counts(pages: DataFrame, side: str) -> DataFrame:
-    """(engine, attachment_id, page, term, n)."""
-    from tessera.operators.keyword import tokens
-
-    terms = pages.select("engine", *PAGE, F.explode(tokens(F.col(side))).alias("term"))
-    return terms.groupBy("engine", *PAGE, "term").agg(F.count(F.lit(1)).alias("n"))
-
-
 def token_f1(pages: DataFrame) -> DataFrame:
-    """(engine, attachment_id, page, f1) over multisets of tokens; failed pages are left out."""
-    rows = pages.filter("error is null")
-    wanted = token_counts(rows, "reference").withColumnRenamed("n", "r")
-    both = wanted.join(token_counts(rows, "hypothesis").withColumnRenamed("n", "h"), ["engine", *PAGE, "term"], "full")
-    r, h = F.coalesce("r", F.lit(0)), F.coalesce("h", F.lit(0))
-    sums = both.groupBy("engine", *PAGE).agg(F.sum(F.least(r, h)).alias("both"), F.sum(r + h).alias("all"))
-    return sums.select("engine", *PAGE, F.round(2.0 * F.col("both") / F.col("all"), 9).alias("f1"))
+    """(engine, attachment_id, page, f1) over multisets of tokens; failed pages, and those without any token, are left out.
+
+    Both texts of a page are in one row, so nothing is shuffled.
+    """
+    f1 = parsing.column(parsing.token_f1, "double", "reference", "hypothesis")
+    return pages.filter("error is null").select("engine", *PAGE, F.round(f1, 9).alias("f1")).filter("f1 is not null")
 
 
 def engine_agreement(pages: DataFrame) -> DataFrame:
-    """(engine_a, engine_b, f1): mean F1 of the tokens of two engines on the pages both have read."""
-    n = token_counts(pages.filter("error is null"), "hypothesis")
-    size = n.groupBy("engine", *PAGE).agg(F.sum("n").alias("size"))
-    side = lambda rows, engine, value, name: rows.withColumnsRenamed({"engine": engine, value: name})
-    common = side(n, "engine_a", "n", "x").join(side(n, "engine_b", "n", "y"), [*PAGE, "term"]).filter("engine_a < engine_b")
-    common = common.groupBy("engine_a", "engine_b", *PAGE).agg(F.sum(F.least("x", "y")).alias("both"))
-    pairs = side(size, "engine_a", "size", "x").join(side(size, "engine_b", "size", "y"), PAGE).filter("engine_a < engine_b")
-    scored = pairs.join(common, ["engine_a", "engine_b", *PAGE], "left")
-    scored = scored.withColumn("f1", 2.0 * F.coalesce("both", F.lit(0)) / (F.col("x") + F.col("y")))
-    return scored.groupBy("engine_a", "engine_b").agg(F.round(F.avg("f1"), 9).alias("f1"), F.count(F.lit(1)).alias("pages"))
+    """(engine_a, engine_b, f1, pages): mean F1 of the tokens of two engines on the pages both have read.
+
+    A page's texts meet, one for each engine; its tokens are counted where they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for read in batch.column(0).to_pylist():
+                counts: dict[str, Counter] = {}
+                for r in read:
+                    counts.setdefault(r["engine"], Counter()).update(parsing.word_tokens(r["hypothesis"]))
+                some = sorted(e for e, c in counts.items() if c)
+                out += [(a, b, parsing.multiset_f1(counts[a], counts[b])) for k, a in enumerate(some) for b in some[k + 1 :]]
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            kinds = (pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["engine_a", "engine_b", "f1"])
+
+    read = pages.filter("error is null").groupBy(*PAGE).agg(F.collect_list(F.struct("engine", "hypothesis")).alias("read"))
+    pairs = read.select("read").mapInArrow(run, "engine_a string, engine_b string, f1 double")
+    return pairs.groupBy("engine_a", "engine_b").agg(F.round(F.avg("f1"), 9).alias("f1"), F.count(F.lit(1)).alias("pages"))
 
 
 def character_error(reference, hypothesis):

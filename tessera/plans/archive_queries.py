@@ -24,11 +24,17 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """The archive's tables by name; those of `wide` have their texts spread over the cores."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
+        self.spark, self.sf_dir, self._wide = spark, sf_dir, wide
+
+    @property
+    def wide(self) -> Tables:
+        return Tables(self.spark, self.sf_dir, True)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        return table(self.spark, self.sf_dir, name, self._wide)
 
 
 def query(sql: str | None = None, *uses: str, name: str | None = None):
@@ -191,7 +197,7 @@ def term(w: str, more: str = "") -> str:
 
 
 def searched(t, text: str, limit: int = 20) -> DataFrame:
-    return keyword.search(t.messages, text, limit, live(t.messages))
+    return keyword.search(t.wide.messages, text, limit, live(t.messages))
 
 
 def fts(name: str, sql: str, text: str, limit: int = 20):
@@ -214,18 +220,18 @@ fts("keyword_near", with_bm25([term("the"), term("this")], "c.id in (select a.id
 
 @query(f"{TOKENS} select term, count(*)::bigint as n, count(distinct id)::bigint as docs from tok group by term", M)
 def tokenize(t):
-    return keyword.postings(t.messages).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
+    return keyword.postings(t.wide.messages).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
 
 
 @query(f"{TOKENS} select id, field, count(*)::bigint as n, min(term) as first_term, max(pos) as last_pos from tok group by id, field", M)
 def build_postings(t):
-    return keyword.postings(t.messages).groupBy("id", "field").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first_term"), F.max("pos").alias("last_pos"))
+    return keyword.postings(t.wide.messages).groupBy("id", "field").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first_term"), F.max("pos").alias("last_pos"))
 
 
 @query(f"{TOKENS} select field, count(*)::bigint as n, count(distinct term)::bigint as terms from (select field, term from tok where id % 10 <> 1 and id % 10 <> 2 union all select field, term from tok where id % 10 = 1) group by field", M)
 def incremental_postings(t):
     """An index with a run of changes: some documents indexed anew, some deleted."""
-    index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
+    index = KeywordIndex.build(t.wide.messages, scratch_path(t.spark, "index"))
     index = index.update(t.messages.filter("id % 10 = 1"), t.messages.filter("id % 10 = 2"))
     return index.postings.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"))
 
@@ -242,7 +248,7 @@ def keyword_snippet(t):
 def stemmed_vocabulary(t):
     from tessera.functions.parsing import column, stem
 
-    words = keyword.postings(t.messages).select("term").distinct()
+    words = keyword.postings(t.wide.messages).select("term").distinct()
     return words.select(column(stem, "string", "term").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -357,7 +363,7 @@ HYBRID = (
 
 @query()
 def hybrid_search(t):
-    return fusion.hybrid_search(t.messages, live(t.messages), t.chunks, "the of onble", vec(t, 11))
+    return fusion.hybrid_search(t.wide.messages, live(t.messages), t.chunks, "the of onble", vec(t, 11))
 
 
 ORACLES["hybrid_search"] = HYBRID
@@ -366,8 +372,8 @@ ORACLES["hybrid_search"] = HYBRID
 @query()
 def keyword_search_stored(t):
     """The keyword search over a stored index."""
-    index = KeywordIndex.build(t.messages, scratch_path(t.spark, "index"))
-    return keyword.search(t.messages, "the nere onble", 20, live(t.messages), index)
+    index = KeywordIndex.build(t.wide.messages, scratch_path(t.spark, "index"))
+    return keyword.search(t.wide.messages, "the nere onble", 20, live(t.messages), index)
 
 
 ORACLES["keyword_search_stored"] = ORACLES["keyword_search"]

@@ -50,18 +50,18 @@ def boilerplate_links(t):
 
 @query()
 def html_to_text(t):
-    return t.pages.select("page_id", P.column(P.html_to_text, "string", "html").alias("text"))
+    return t.wide.pages.select("page_id", P.column(P.html_to_text, "string", "html").alias("text"))
 
 
 @query("select doc_id, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not starts_with(ltrim(x), '>')), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed from documents")
 def reply_trim(t):
     body = F.concat("text", F.lit("\n> quoted\nOn Monday, A wrote:\n"), "text")
-    return t.documents.select("doc_id", P.column(lambda b: P.trim_reply(b, "Re: x"), "string", body).alias("trimmed"))
+    return t.wide.documents.select("doc_id", P.column(lambda b: P.trim_reply(b, "Re: x"), "string", body).alias("trimmed"))
 
 
 @query("select doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 or trim(x) = '' or x <> l[i - 1]), chr(10)) as text from (select doc_id, string_split(text || chr(10) || 'x' || chr(10) || 'x' || chr(10) || text, chr(10)) as l from documents)")
 def collapse_repeats(t):
-    return t.documents.select("doc_id", P.column(P.collapse_repeats, "string", F.concat("text", F.lit("\nx\nx\n"), "text")).alias("text"))
+    return t.wide.documents.select("doc_id", P.column(P.collapse_repeats, "string", F.concat("text", F.lit("\nx\nx\n"), "text")).alias("text"))
 
 
 @query("select doc_id, case when length(text) > 240 then substr(text, 1, 240) || chr(8230) else text end as snippet from documents")
@@ -189,14 +189,14 @@ def extraction_status(t):
 def chunk_text(t):
     body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     chunks = P.column(P.chunk_text, "array<string>", body)
-    return t.documents.select("doc_id", F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    return t.wide.documents.select("doc_id", F.posexplode(chunks).alias("chunk_index", "chunk_text"))
 
 
 @query()
 def message_chunks(t):
     """Bodies of some length and attachment texts, numbered across sources."""
-    body = live(t.messages).filter(F.char_length(F.trim("body_text")) >= 100).select(F.col("id").alias("message_id"), F.lit(-1).alias("part"), F.col("body_text").alias("text"))
-    parts = t.attachments.filter("extracted_text is not null").select("message_id", F.col("part_index").alias("part"), F.concat("filename", F.lit("\n\n"), "extracted_text").alias("text"))
+    body = live(t.wide.messages).filter(F.char_length(F.trim("body_text")) >= 100).select(F.col("id").alias("message_id"), F.lit(-1).alias("part"), F.col("body_text").alias("text"))
+    parts = t.wide.attachments.filter("extracted_text is not null").select("message_id", F.col("part_index").alias("part"), F.concat("filename", F.lit("\n\n"), "extracted_text").alias("text"))
     cut = body.unionByName(parts).select("message_id", "part", F.posexplode(P.column(P.chunk_text, "array<string>", "text")).alias("k", "chunk_text"))
     from pyspark.sql import Window
 
@@ -296,12 +296,12 @@ ASCII = "regexp_replace({}, '[^ -~]', '', 'g')"
 @query(f"select engine, attachment_id, page, round(least(1.0::double, levenshtein({ASCII.format('reference')}, {ASCII.format('hypothesis')}) / greatest(1, length({ASCII.format('reference')}))::double), 9) as cer from ocr_pages where error is null", O)
 def ocr_cer(t):
     fold = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(evalkit.character_error(fold("reference"), fold("hypothesis")), 9).alias("cer"))
+    return t.wide.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(evalkit.character_error(fold("reference"), fold("hypothesis")), 9).alias("cer"))
 
 
 @query()
 def ocr_wer(t):
-    return t.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(P.column(P.word_error_rate, "double", "reference", "hypothesis"), 9).alias("wer"))
+    return t.wide.ocr_pages.filter("error is null").select("engine", "attachment_id", "page", F.round(P.column(P.word_error_rate, "double", "reference", "hypothesis"), 9).alias("wer"))
 
 
 PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(hypothesis, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#*_`~>|]+', ' ', 'g'), '(?m)^\s*[-=]{3,}\s*$', ' ', 'g')"
@@ -309,7 +309,7 @@ PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(hypothesis
 
 @query(rf"select engine, attachment_id, page, lower(trim(regexp_replace(regexp_replace({PLAIN}, '[^\p{{L}}\p{{Nd}}\s]', ' ', 'g'), '\s+', ' ', 'g'))) as text from ocr_pages", O)
 def ocr_normalize(t):
-    return t.ocr_pages.select("engine", "attachment_id", "page", P.column(P.ocr_normalize, "string", "hypothesis").alias("text"))
+    return t.wide.ocr_pages.select("engine", "attachment_id", "page", P.column(P.ocr_normalize, "string", "hypothesis").alias("text"))
 
 
 TC = "c as (select engine, attachment_id, page, s, term, count(*) as n from (select engine, attachment_id, page, 'r' as s, unnest(regexp_extract_all(lower(reference), '[\\p{L}\\p{N}]+')) as term from ocr_pages where error is null union all select engine, attachment_id, page, 'h', unnest(regexp_extract_all(lower(hypothesis), '[\\p{L}\\p{N}]+')) from ocr_pages where error is null) group by all)"
@@ -317,7 +317,7 @@ TC = "c as (select engine, attachment_id, page, s, term, count(*) as n from (sel
 
 @query(f", {TC}, p as (select engine, attachment_id, page, term, sum(case when s = 'r' then n else 0 end) as r, sum(case when s = 'h' then n else 0 end) as h from c group by all) select engine, attachment_id, page, round(2.0::double * sum(least(r, h)) / (sum(r) + sum(h)), 9) as f1 from p group by all", O)
 def token_f1(t):
-    return evalkit.token_f1(t.ocr_pages)
+    return evalkit.token_f1(t.wide.ocr_pages)
 
 
 AGREE = f", {TC}, h as (select * from c where s = 'h'), z as (select engine, attachment_id, page, sum(n) as size from h group by all), co as (select a.engine as ea, b.engine as eb, a.attachment_id, a.page, sum(least(a.n, b.n)) as common from h a join h b on a.attachment_id = b.attachment_id and a.page = b.page and a.term = b.term and a.engine < b.engine group by all), f as (select a.engine as engine_a, b.engine as engine_b, 2.0::double * coalesce(common, 0) / (a.size + b.size) as f1 from z a join z b on a.attachment_id = b.attachment_id and a.page = b.page and a.engine < b.engine left join co on co.ea = a.engine and co.eb = b.engine and co.attachment_id = a.attachment_id and co.page = a.page)"
@@ -325,12 +325,12 @@ AGREE = f", {TC}, h as (select * from c where s = 'h'), z as (select engine, att
 
 @query(AGREE + " select engine_a, engine_b, round(avg(f1), 9) as f1, count(*)::bigint as pages from f group by all", O)
 def engine_agreement(t):
-    return evalkit.engine_agreement(t.ocr_pages)
+    return evalkit.engine_agreement(t.wide.ocr_pages)
 
 
 @query(AGREE + " select engine_a, engine_b, count(*)::bigint as pages from f group by all", O)
 def join_engine_pairs(t):
-    return evalkit.engine_agreement(t.ocr_pages).select("engine_a", "engine_b", "pages")
+    return evalkit.engine_agreement(t.wide.ocr_pages).select("engine_a", "engine_b", "pages")
 
 
 @query("select engine, count(*)::bigint as pages, count(*) filter (where error is null)::bigint as read, count(*) filter (where error is null and trim(hypothesis) = '')::bigint as empties, round(count(*) filter (where error is null) / count(*)::double, 9) as coverage from ocr_pages group by engine", O)
@@ -351,7 +351,7 @@ def mail_files(docs):
 
 @query("select '/mail/' || source || '/cur/' || doc_id as path, doc_id || '@x.example' as message_id, (doc_id - doc_id % 5) || '@x.example' as thread_id, 'Note ' || doc_id as subject, 'ann' || doc_id || '@x.example' as from_address, '2026-01-01T10:00:00+00:00' as date_sent_raw, (strlen(text) + 3 * length(doc_id::varchar) + length((doc_id - doc_id % 5)::varchar) + 196)::bigint as size_bytes from documents")
 def parse_messages(t):
-    return parse_mail(mail_files(t.documents)).select("path", "message_id", "thread_id", "subject", "from_address", "date_sent_raw", "size_bytes")
+    return parse_mail(mail_files(t.wide.documents)).select("path", "message_id", "thread_id", "subject", "from_address", "date_sent_raw", "size_bytes")
 
 
 @query("select source as folder, count(*)::bigint as n, sum(strlen(text) + 3 * length(doc_id::varchar) + length((doc_id - doc_id % 5)::varchar) + 196)::bigint as size from documents group by source")

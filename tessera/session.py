@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tessera", cores: str | int | None = None, **conf: str) -> SparkSession:
@@ -20,3 +20,15 @@ def get_session(app: str = "tessera", cores: str | int | None = None, **conf: st
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=defaults).getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table over all cores where its files leave most of them idle, as a single row group does; else as it is.
+
+    For what costs far more than to move its input. It looks at the splits of a scan and runs nothing; a plan that shuffles
+    anyway is left alone, and so is a table of more splits than a quarter of the cores.
+    """
+    if rows._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if 4 * rows._jdf.rdd().getNumPartitions() > cores else rows.repartition(cores)

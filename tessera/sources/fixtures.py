@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import spread
+
 TABLES = {
     "messages": """
 select d.doc_id as id, cast(d.doc_id as string) || '@docs' as message_id,
@@ -84,12 +86,13 @@ def _written(name: str, engine: str) -> str:
     return re.sub(r"SERIES\(([\w.]+)\)", lambda m: SERIES[engine].format(m[1]), TABLES[name])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An archive table, or a base table by its own name."""
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """An archive table, or a base table by its own name; wide spreads texts over the cores, for what works hard on them."""
+    read = lambda b: spread(base(spark, sf_dir, b)) if wide and b in ("documents", "pages") else base(spark, sf_dir, b)
     if name in BASE:
-        return base(spark, sf_dir, name)
+        return read(name)
     sql = _written(name, "spark")
-    return spark.sql(sql, **{b: base(spark, sf_dir, b) for b in BASE if "{" + b + "}" in sql})
+    return spark.sql(sql, **{b: read(b) for b in BASE if "{" + b + "}" in sql})
 
 
 def ctes(*names: str) -> str:
