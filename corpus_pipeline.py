@@ -16,6 +16,7 @@ from tessera.llm.minmax_dedup import near_duplicates
 from tessera.llm.mixing import emit, mix_sources
 from tessera.llm.scratch import Scratch
 from tessera.llm.toxicity import score_toxicity
+from tessera.session import spread
 
 
 def _side(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = _side(spark, sf_dir, "documents")
+    docs = spread(_side(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
