@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, minmax_dedup, mixing, substring_dedup, urlfilter, warc
 from tessera.llm.scratch import Scratch
+from tessera.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
