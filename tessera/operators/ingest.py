@@ -73,6 +73,11 @@ def deletion_vetoed(seen: int, tracked: int, failures: int) -> bool:
     return failures > 0 or (seen == 0 and tracked > 0)
 
 
+def vetoed(seen: Column, tracked: Column, failures: Column) -> Column:
+    """deletion_vetoed() of columns."""
+    return (failures > 0) | ((seen == 0) & (tracked > 0))
+
+
 def repaired_paths(state: DataFrame, started: Column) -> DataFrame:
     """(message_id, path): the latest fresh copy."""
     return state.filter(F.col("last_seen_at") >= started).groupBy("message_id").agg(F.max_by("maildir_full_path", F.struct("last_seen_at", "maildir_full_path")).alias("path"))

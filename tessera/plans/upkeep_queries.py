@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import parsing
 from tessera.functions.embedding import InputTooLong
 from tessera.operators import archive, health, ingest, ocr, vectors
 from tessera.operators.archive import stamp
-from tessera.plans.archive_queries import ORACLES, QUERIES, A, C, M, query, scratch_path, when
+from tessera.plans.archive_queries import ORACLES, QUERIES, A, C, M, S, query, scratch_path, when
 from tessera.sources import readers
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -118,3 +119,54 @@ def attachment_bytes(t):
     files = t.documents.select(path.alias("path"), content.alias("content"), F.when(i % 7 == 2, 1).otherwise(0).alias("part_index"))
     out = readers.part_bytes(files, "/mail", 5000)
     return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "error", F.md5("data").alias("digest"))
+
+
+@query("select source, count(*)::bigint as n from documents where lang <> 'de' group by source")
+def published_version(t):
+    """Two versions of a table are written; the one named last is read."""
+    root = scratch_path(t.spark, "versions")
+    counts = lambda rows: rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    readers.publish(counts(t.documents), root)
+    readers.publish(counts(t.documents.filter("lang <> 'de'")), root)
+    return readers.current(t.spark, root)
+
+
+@query("select query_id, grade, count(*)::bigint as n from qrels group by all", "qrels")
+def report_round_trip(t):
+    path = scratch_path(t.spark, "report")
+    readers.write_report(t.qrels.groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n")), path)
+    return t.spark.read.schema("query_id string, grade double, n long").json(path)
+
+
+@query("select doc_id, case when doc_id % 3 = 2 and regexp_matches(text, '[^\\x00-\\x7F]') then null else md5(text) end as digest from documents")
+def charset_ladder(t):
+    """Texts as UTF-8 under no name and a wrong one, and as UTF-16 under its own; a strict wrong name other than Latin is passed over."""
+    kind = F.col("doc_id") % 3
+    data = F.when(kind == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    named = F.when(kind == 1, "utf-16").when(kind == 2, "us-ascii")
+    plain = ~F.col("text").rlike("[^\\x00-\\x7F]")
+    text = parsing.column(parsing.decode_text, "string", data, named)
+    return t.documents.select("doc_id", F.when((kind != 2) | plain, F.md5(text)).alias("digest"))
+
+
+@query("select case when maildir_path = '/mail/src0/cur' then 'INBOX/cur' else regexp_extract(maildir_path, '^/mail/(.*)$', 1) end as place, count(*)::bigint as n from messages group by place", M)
+def relative_path(t):
+    path = F.concat(F.when(F.col("folder") == "src0", F.lit("/mail/cur")).otherwise(F.col("maildir_path")), F.lit("/"), F.col("maildir_filename"))
+    return t.messages.groupBy(readers.relative_path(path, "/mail").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'a=' || doc_id when doc_id % 3 = 1 then source || '=x' else source end as label, case when doc_id % 3 = 0 then 2.5::double else 1.0::double end as grade from documents")
+def label_grades(t):
+    i = F.col("doc_id")
+    said = F.when(i % 3 == 0, F.concat(F.lit("a="), i.cast("string"), F.lit("=2.5"))).when(i % 3 == 1, F.concat("source", F.lit("=x"))).otherwise(F.col("source"))
+    label, grade = readers.label_of(said)
+    return t.documents.select("doc_id", label.alias("label"), grade.alias("grade"))
+
+
+@query("select folder, count(*) filter (where file_size % 97 = 0) > 0 or (count(*) filter (where last_seen_at >= timestamp '2024-01-02 00:00:00') = 0 and count(*) > 0) as vetoed from sync_state where folder is not null group by folder", S)
+def deletion_vetoes(t):
+    """For each folder whether a scan may delete: not after failures, and not if it has seen nothing of what is tracked."""
+    seen = F.count_if(F.col("last_seen_at") >= F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    rows = t.sync_state.filter("folder is not null").groupBy("folder")
+    counts = rows.agg(seen.alias("seen"), F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("file_size") % 97 == 0).alias("failures"))
+    return counts.select("folder", ingest.vetoed(F.col("seen"), F.col("tracked"), F.col("failures")).alias("vetoed"))

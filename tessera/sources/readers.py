@@ -23,6 +23,12 @@ def folder_name(path: Column, root: str) -> Column:
     return F.when(inner == "", "INBOX").otherwise(inner)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A message's folder below the root with its leaf, cur or new; that of the root's own mail begins with INBOX."""
+    leaf = F.regexp_extract(path, "/(cur|new)/[^/]*$", 1)
+    return F.when(leaf != "", F.concat_ws("/", folder_name(path, root), leaf))
+
+
 def maildir(spark: SparkSession, root: str) -> DataFrame:
     """(path, folder, mtime, size, content) of the messages below a root; unfinished deliveries in tmp are no messages."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -165,6 +171,13 @@ def parse_label(text: str, default: float = 1.0) -> tuple[str, float]:
     return (head, float(tail)) if eq and re.fullmatch(r"\d+(\.\d+)?", tail) else (text, default)
 
 
+def label_of(c: Column, default: float = 1.0) -> tuple[Column, Column]:
+    """parse_label() of a column: (id, grade)."""
+    form = r"^(.*)=(\d+(?:\.\d+)?)$"
+    graded = c.rlike(form)
+    return F.when(graded, F.regexp_extract(c, form, 1)).otherwise(c), F.when(graded, F.regexp_extract(c, form, 2).cast("double")).otherwise(default)
+
+
 def publish(df: DataFrame, root: str) -> str:
     """Write a new version beside the others and only then name it as the current one."""
     spark, version = df.sparkSession, uuid.uuid4().hex

@@ -209,3 +209,17 @@ def test_requests_are_coalesced_into_scans(spark, tmp_path):
         assert 2 <= len(scans) <= 4
     finally:
         q.stop()
+
+
+def test_spread_moves_only_what_cannot_be_split(spark, tmp_path):
+    from tessera.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(9).write.parquet(f"{tmp_path}/many")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    wide = spread(one)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.count() == 100
+    many = spark.read.parquet(f"{tmp_path}/many").repartition(9).select("id")
+    assert spread(many) is many
+    joined = one.join(one.withColumnRenamed("id", "other").hint("merge"), F.col("id") == F.col("other"))
+    assert spread(joined) is joined
