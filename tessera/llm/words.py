@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 
-#: Words whose hash a worker remembers; beyond that the table starts anew.
-REMEMBERED = 1_000_000
+#: Words whose hash a worker remembers, some 40 MB; beyond that the table starts anew.
+REMEMBERED = 1 << 18
 
 #: Bytes of cells that an Arrow stage works on before it yields what it has.
 SLICE_BYTES = 8 << 20
