@@ -82,6 +82,21 @@ def test_tiles_of_repetitive_texts_need_no_pairs():
     assert [(n, m) for n, _, m in index.leaks("la " * 4000)] == [(0, 3000)]
 
 
+def test_whole_leak_rows_match_brute_force(spark, leak_case):
+    items, rows = leak_case
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    tok = lambda t: D.WORD.findall((t or "").lower())
+    want = []
+    for i, text in rows:
+        for k, said in items:
+            w = tok(said)
+            n = brute_tiles(w, tok(text), min(5, len(w))) if w else 0
+            if w and n >= 0.5 * len(w):
+                want.append((i, k, len(w), n, n / len(w)))
+    got = D.benchmark_leaks(frame(spark, rows), bench).select("doc_id", "item_id", "item_words", "matched_words", "coverage").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("kind", ["string", "int", "bigint", "date"])
 def test_leaks_keep_the_types_of_ids(spark, leak_case, kind):
     items, rows = leak_case
