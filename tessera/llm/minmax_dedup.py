@@ -15,7 +15,8 @@ Hubs and blocks are salted, so a group of any size is spread over tasks and a ta
 sets of CELL shingles in one sorted index: a document that streams past is held against all of them in one lookup, and a
 task names one link between two components, not all. A member of a group of n documents of s shingles is sent once to a
 block and n s / CELL times past one for each of its hubs, of which it has one a band at most; so up to CELL / s documents
-rows grow with n, and beyond with its square over CELL / s: a row for hundreds of comparisons, all of which exactness needs.
+(CELL_DOCS if they are shorter) rows grow with n, and beyond with its square over that: a row for hundreds of comparisons, all
+of which exactness needs.
 
 Defined results: null or wordless texts have an empty set, are linked with nothing and kept. Fewer words than a shingle:
 the whole sequence is the one shingle. A null id has a null component and is kept. Rows with one id are versions of one
@@ -37,8 +38,8 @@ from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch, sift
 from tessera.llm.words import HASH, U64, ascii_words, mix, rolling, signed, slices
 
-#: Members that stream past their hub in one task; shingles of a block, and of what streams past it.
-STREAM, CELL = 128, 50_000
+#: Members that stream past their hub in one task; shingles and documents of a block, and of what streams past it, about.
+STREAM, CELL, CELL_DOCS = 128, 50_000, 256
 
 
 def shingle_set(text: str | None, ngram: int) -> np.ndarray:
@@ -230,8 +231,8 @@ def near_duplicates(
     placed = scratch.keep(held.join(found, "id", "left").select("hub", "id", "size", comp("id").alias("c")), "placed")
     home = placed.filter("hub = id").select("hub", F.col("c").alias("home"))
     apart = scratch.keep(placed.join(home, "hub").withColumn("out", F.col("c") != F.col("home")), "apart")
-    cells = lambda size: F.ceil(F.sum(size) / CELL).cast("long")
-    counts = apart.groupBy("hub").agg(cells(F.when(F.col("out"), F.col("size"))).alias("blocks"), cells("size").alias("salts"))
+    cells = lambda size: F.greatest(F.ceil(F.sum(size) / CELL), F.ceil(F.count(size) / CELL_DOCS)).cast("long")
+    counts = apart.groupBy("hub").agg(cells(F.when(F.col("out"), F.col("size"))).alias("blocks"), cells(F.col("size")).alias("salts"))
     counts = scratch.keep(counts.filter("blocks > 0"), "counts")
     late = _confirm(_late_rows(apart.join(counts, "hub")).join(texts, "id"), ngram, percent)
     late = scratch.keep(late, "late")
