@@ -1,10 +1,10 @@
 """Full-text search: positional postings, the query language, BM25 and snippets.
 
-A query is parsed on the driver into a tree of phrases. Without an index documents are looked through where they are:
-phrases are counted by a pattern in the fields that contain their words at all, so nothing is shuffled but one row of
-counts and the best rows, and lengths are taken of matches only, besides one sum over all. With an index postings are
-filtered to the terms of the query first, phrases are found by equality joins on consecutive positions, and one
-aggregation by document counts them. The tree's condition and the score are then plain column expressions over phrase counts.
+A query is parsed on the driver into a tree of phrases. Without an index each document's tokens are looked through where they
+are: phrase positions are array expressions, so nothing is shuffled but one row of counts and the best rows. With an
+index postings are filtered to the terms of the query first, phrases are found by equality joins on consecutive
+positions, and one aggregation by document counts them. The tree's condition and the score are then plain column
+expressions over phrase counts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from tessera.functions import parsing
 #: plain: words in lower case. porter: also without diacritics and stemmed, as SQLite's 'porter unicode61'.
 ANALYSERS = ("plain", "porter")
 FIELDS = ("subject", "from_name", "from_address", "body_text", "attachment_names", "attachment_text")
-LETTER, OTHER = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
-TOKEN = f"{LETTER}+"
+TOKEN = r"[\p{L}\p{N}]+"
 #: Widest proximity that is tested by the sets of places where a span can begin.
 CLOSE = 100
 K1, B, LEAST_IDF, NEAR_DEFAULT = 1.2, 0.75, 1e-6, 10
@@ -270,13 +269,6 @@ def _nodes(node, kind) -> list:
     return [x for part in getattr(node, "parts", ()) for x in _nodes(part, kind)]
 
 
-def _pattern(p: Phrase) -> str:
-    """Matches the first word of each place of a phrase in a lower-case text."""
-    first, *rest = p.terms
-    after = "".join(f"{OTHER}+{w}" for w in rest) + ("" if p.prefix else f"(?!{LETTER})")
-    return (f"^{OTHER}*" if p.anchored else f"(?<!{LETTER})") + first + f"(?={after})" * bool(after)
-
-
 def _close(places: list[Column], within: int) -> Column:
     """Whether a span of within + 2 words holds a place of each array."""
     width = within + 1
@@ -287,40 +279,6 @@ def _close(places: list[Column], within: int) -> Column:
     return F.exists(F.concat(*places), holds)
 
 
-def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
-    """(id, len, tf<k>, near<k>) of all documents."""
-    have = [f for f in FIELDS if f in docs.columns]
-    if analyser == "porter":
-        return _stemmed(docs, phrases, nears, have)
-    low = docs.select("id", *(F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in have))
-
-    def contains(f: str, p: Phrase) -> Column:
-        return reduce(Column.__and__, (F.contains(f, F.lit(w)) for w in p.terms))
-
-    def count(p: Phrase) -> Column:
-        fields = [f for f in have if f in p.fields]
-        if not p.terms or not fields or not re.fullmatch(r"[^\W_]+", "".join(p.terms)):
-            return F.lit(0)
-        found = F.lit(_pattern(p))
-        return sum(F.when(contains(f, p), F.regexp_count(f, found)).otherwise(0) for f in fields)
-
-    def together(near: Near) -> Column:
-        """Tokens are bound to a lambda variable, else the tokenizer itself would stand in every place that reads them."""
-        fields = [f for f in have if all(p.terms and f in p.fields for p in near.phrases)]
-        if not fields:
-            return F.lit(False)
-        tests = []
-        for f in fields:
-            cell = F.array(F.struct(F.regexp_extract_all(f, F.lit(TOKEN), F.lit(0)).alias("t")))
-            meets = F.exists(cell, lambda c: _close([_places(c["t"], p) for p in near.phrases], near.within))
-            tests.append(F.when(reduce(Column.__and__, (contains(f, p) for p in near.phrases)), meets).otherwise(False))
-        return reduce(Column.__or__, tests)
-
-    length = sum((F.regexp_count(f, F.lit(TOKEN)) for f in have), F.lit(0)).cast("long").alias("len")
-    tfs = [count(p).alias(f"tf{k}") for k, p in enumerate(phrases)]
-    return low.select("id", length, *tfs, *(together(x).alias(f"near{k}") for k, x in enumerate(nears)))
-
-
 def _places(tokens: Column, p: Phrase) -> Column:
     """The places of a phrase in an array of tokens."""
     n, none = len(p.terms), F.array().cast("array<int>")
@@ -334,12 +292,22 @@ def _places(tokens: Column, p: Phrase) -> Column:
     return F.when(F.size(tokens) >= n, F.filter(F.sequence(F.lit(0), F.size(tokens) - n), here)).otherwise(none)
 
 
-def _stemmed(docs: DataFrame, phrases: list[Phrase], nears: list[Near], have: list[str]) -> DataFrame:
-    """The same over stems, which only the tokenizer can give; its columns stand in a step of their own."""
+def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
+    """(id, len, tf<k>, near<k>) of all documents, from their tokens in place.
+
+    The tokens are bound to a lambda variable: as a plain column the optimizer would put the tokenizer itself into every
+    place that reads them.
+    """
+    have = [f for f in FIELDS if f in docs.columns]
 
     def count(cell: Column, p: Phrase) -> Column:
         fields = [f for f in have if f in p.fields]
-        return sum(F.size(_places(cell[f], p)) for f in fields) if p.terms and fields else F.lit(0)
+        if not p.terms or not fields:
+            return F.lit(0)
+        if len(p.terms) == 1 and not p.anchored:
+            word = p.terms[0]
+            return sum(F.size(F.filter(cell[f], lambda x: x.startswith(word) if p.prefix else x == word)) for f in fields)
+        return sum(F.size(_places(cell[f], p)) for f in fields)
 
     def together(cell: Column, near: Near) -> Column:
         fields = [f for f in have if all(p.terms and f in p.fields for p in near.phrases)]
@@ -350,8 +318,10 @@ def _stemmed(docs: DataFrame, phrases: list[Phrase], nears: list[Near], have: li
         tfs = [count(cell, p).alias(f"tf{k}") for k, p in enumerate(phrases)]
         return F.struct(length, *tfs, *(together(cell, x).alias(f"near{k}") for k, x in enumerate(nears)))
 
-    cut = docs.select("id", *(tokens(F.coalesce(F.col(f), F.lit("")), "porter").alias(f) for f in have))
-    return cut.select("id", F.inline(F.transform(F.array(F.struct(*have)), counts)))
+    cut = [tokens(F.coalesce(F.col(f), F.lit("")), analyser).alias(f) for f in have]
+    if analyser == "porter":  # Python columns stand in a step of their own
+        docs, cut = docs.select("id", *cut), [F.col(f) for f in have]
+    return docs.select("id", F.inline(F.transform(F.array(F.struct(*cut)), counts)))
 
 
 def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> DataFrame:
