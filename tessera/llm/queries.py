@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minmax_dedup, mixing, substring_dedup, urlfilter, warc
+from tessera.llm import lexical, line_dedup, minmax_dedup, mixing, substring_dedup, urlfilter, warc
 from tessera.llm.scratch import Scratch
 from tessera.session import spread
 
@@ -69,6 +69,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import periodic
+
+    out = periodic.periodic_runs(periodic.with_periods(_table(spark, sf_dir, "documents")), min_exp=4, min_len=6)
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    digests = [periodic.digest_runs(F.col("runs")).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256")]
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, *digests)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    out = pii.personal_data(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("spans"), k.name).alias(f"n_{k.name}") for k in pii.BASE]
+    base = F.sha2(pii.joined(F.filter("spans", lambda s: s["base"])), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -80,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax_near_dup": op8_minmax_near_dup,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": urlfilter.ORACLE,
     "op8_minmax_near_dup": minmax_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_ranked_search": lexical.ORACLE,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ REMEMBERED = 1 << 18
 #: Bytes of cells that an Arrow stage works on before it yields what it has.
 SLICE_BYTES = 8 << 20
 
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
 U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)  # fixed values: the 64-bit finalizer of MurmurHash3
 
@@ -41,6 +44,17 @@ def ascii_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def word_lists(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The same words, those of about `size` bytes of text at a time."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    at = 0
+    while at < len(raw):
+        gap = GAP.search(raw, at + size)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(33))) * _M1
     x = (x ^ (x >> U64(33))) * _M2
