@@ -5,12 +5,13 @@ not, times r_j = log((p_j + a) / |p + a|) - log((q_j + a) / |q + a|) from the nu
 texts that hold it. The features with the largest |r_j| sqrt(texts that hold j) are chosen and a logistic regression with
 an L2 penalty is fitted on them, scaled. The model is a weight for each bucket: its size does not depend on the data.
 It is fitted on at most `sample` labelled texts, whole ones, half of either class and first by a hash of their id, weighted
-back to the classes' share; scoring covers every whole text.
+back to the classes' share; scoring covers every whole text. The sample is drawn from ids that documents and labels share.
 
 Defined results: null and empty texts have no n-grams and score the prior of the model. A null or repeated id is scored
 like any other row. Null labels are left out, several labels of an id count as toxic if one is;
-of several texts of a labelled id that with the least hash is learnt from. Without two classes of
-labelled texts there is nothing to learn and all scores are 0. Columns other than id and text are inside row.
+of several texts of a labelled id that with the least hash is learnt from. Labels without two classes teach nothing and
+all scores are 0; labels of two classes of which the documents have one at most are an error, unless there are no documents. Columns
+other than id and text are inside row.
 """
 
 from __future__ import annotations
@@ -119,10 +120,18 @@ def fit(texts: list[str | None], labels: np.ndarray, sample_weight: np.ndarray,
     return _regress([_held(t, slot, orders, bits) for t in texts], labels, sample_weight, chosen, scale, orders, bits, **how)
 
 
-def training_sample(labels: DataFrame, sample: int, id_col: str = "doc_id", label_col: str = "toxic", held_out_of: int = 5) -> DataFrame:
-    """(id, y, class_n): up to sample / 2 labelled ids of either class outside the held-out part; at most `sample` rows."""
+def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", held_out_of: int = 5) -> DataFrame:
+    """(id, y) of the ids outside the held-out part, one row each."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
-    known = known.filter(~held_out(F.col("id"), held_out_of))
+    return known.filter(~held_out(F.col("id"), held_out_of))
+
+
+def training_sample(known: DataFrame, docs: DataFrame, sample: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, y, class_n): up to sample / 2 labelled ids of either class that documents have; at most `sample` rows.
+
+    Labels of other documents, of which a label table for a larger corpus is full, take no place in the sample.
+    """
+    known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     counts = known.groupBy("y").agg(F.count(F.lit(1)).alias("class_n"))
     half = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     return half[0].unionByName(half[1]).join(F.broadcast(counts), "y").select("id", "y", "class_n")
@@ -157,19 +166,25 @@ def _holder(chosen, orders: tuple[int, ...], bits: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, orders: tuple[int, ...] = ORDERS, bits: int = 20, features: int = 2000, smooth: float = 1.0, **how) -> NgramModel | None:
-    """The model, or None without two classes.
+    """The model, or None where the labels do not know two classes or there are no documents.
+
+    Documents of which none, or only those of one class, are labelled while the labels know both are refused: their scores
+    would say nothing.
 
     Texts stay with the executors, whole and however long: the driver gets the number of texts of either class that hold a
     bucket, and then for each text of the sample which of the chosen buckets it holds.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
-    chosen = training_sample(labels, sample, id_col, label_col)
+    known = scratch.keep(labelled(labels, id_col, label_col), "known")
+    chosen = scratch.keep(training_sample(known, docs, sample, id_col), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
     texts = texts.groupBy("id", "y", "class_n").agg(first).select("t.text", "y", "id", "class_n").repartition(TASKS, "id")
     texts = scratch.keep(texts, "sample")
     classes = {r.y: r for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max("class_n").alias("class_n")).collect()}
     if len(classes) < 2:
+        if known.select("y").distinct().count() == 2 and not docs.isEmpty():
+            raise ValueError("the labels know two classes, but not of these documents: there is nothing to learn from")
         return None
     weight = np.array([classes[y].class_n / classes[y].n for y in (0, 1)])
     counts = texts.select("text", "y").mapInArrow(_counter(orders, bits), "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
@@ -178,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     buckets, scale = _telling(pos, neg, smooth, features)
     kind = StructType([*texts.select("y", "id").schema.fields, StructField("held", ArrayType(IntegerType()))])
     held = texts.select("text", "y", "id").mapInArrow(_holder(spark.sparkContext.broadcast(buckets), orders, bits), kind).toArrow()
-    scratch.drop(texts)
+    scratch.drop(texts, known, chosen)
     y = held["y"].to_numpy()
     order = np.lexsort((held["id"].to_numpy(), y))  # the same model whatever the order of the rows
     column = held["held"]

@@ -220,6 +220,22 @@ def test_scores(spark):
     assert carried.select("row.*").columns == df.columns
 
 
+def test_labels_of_other_documents(spark):
+    """A label table of a larger corpus: its ids that are not here neither use up the sample nor go unnoticed."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 20) + (" youidiot" if i % 2 else "")) for i in range(200)]
+    df = frame(spark, rows)
+    own = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    other = spark.range(1000, 21_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    alone, among = (X.score_toxicity(df, lab, sample=120).collect() for lab in (own, own.union(other)))
+    assert sorted(map(str, alone)) == sorted(map(str, among))
+    assert sum(r.predicted == r.id % 2 for r in among) > 180 and len({r.score for r in among}) > 10
+    for lab in (other, other.union(own.filter("toxic = 0"))):
+        with pytest.raises(ValueError):
+            X.score_toxicity(df, lab)
+        assert X.score_toxicity(df.filter("false"), lab).count() == 0
+
+
 def plain_buckets(text, orders, bits):
     """The n-grams' buckets with Python's integers."""
     codes, mask, out = [ord(c) for c in (text or "").lower()], 2**64 - 1, set()
