@@ -35,6 +35,8 @@ UNIT, PAD, RATE = 192, b" ", 8000
 UP, DOWN, TAPS = 3, 4, 16
 FRAME, HOP, MELS, SLOTS = 256, 96, 16, 4
 BLOCK = 4096
+#: How the media and tensor tables are compressed.
+CODEC = "zstd"
 
 
 def padded(payload: bytes) -> bytes:
@@ -146,18 +148,18 @@ def store_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
             sizes, media = pa.array([len(r) for r in raw], pa.int64()), pa.array([wav_encode(padded(r)) for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, media], ["id", "n_bytes", "media"])
 
-    return scratch.keep(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
+    return scratch.keep(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary"), "media", CODEC)
 
 
-#: What a cell of segments holds. Half floats tell log energies apart by 1/128 at least, a hundredth of their spread.
-TENSOR = pa.fixed_shape_tensor(pa.float16(), (SLOTS, MELS), dim_names=["slot", "mel"])
+#: What a cell of segments holds.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS), dim_names=["slot", "mel"])
 SPANS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR)])
 
 
 def pack_spans(found: list[tuple[float, float, np.ndarray]]) -> bytes:
     """Segments as an Arrow record batch message; its schema is SPANS."""
-    flat = np.stack([t for _, _, t in found]).ravel().astype(np.float16) if found else np.empty(0, np.float16)
-    values = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float16()), SLOTS * MELS)
+    flat = np.stack([t for _, _, t in found]).ravel() if found else np.empty(0, np.float32)
+    values = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), SLOTS * MELS)
     spans = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
     return pa.RecordBatch.from_arrays([*spans, pa.ExtensionArray.from_storage(TENSOR, values)], schema=SPANS).serialize().to_pybytes()
 
@@ -188,7 +190,7 @@ def store_tensors(media: DataFrame, scratch: Scratch) -> DataFrame:
         f"id {media.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, n_frames long, mel_mean array<float>, spans binary"
     )
-    return scratch.keep(media.select("id", "n_bytes", "media").mapInArrow(run, schema), "tensors")
+    return scratch.keep(media.select("id", "n_bytes", "media").mapInArrow(run, schema), "tensors", CODEC)
 
 
 SEGMENTS = "array<struct<start_s:double,end_s:double,tensor:array<float>>>"
@@ -204,7 +206,7 @@ def media_features(stored: DataFrame) -> DataFrame:
             parts = [unpack_spans(cell.as_py()) for cell in batch.column(batch.num_columns - 1)]
             ends = pa.array(np.concatenate([[0], np.cumsum([p.num_rows for p in parts])]), pa.int32())
             each = pa.Table.from_batches(parts, SPANS).combine_chunks()
-            tensor = each["tensor"].combine_chunks().storage.flatten().cast(pa.float32()) if each.num_rows else pa.array([], pa.float32())
+            tensor = each["tensor"].combine_chunks().storage.flatten() if each.num_rows else pa.array([], pa.float32())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(each.num_rows + 1) * SLOTS * MELS, pa.int32()), tensor)
             spans = [each[k].combine_chunks() if each.num_rows else pa.array([], pa.float64()) for k in ("start_s", "end_s")]
             found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([*spans, lists], ["start_s", "end_s", "tensor"]))

@@ -49,7 +49,9 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import audio
 
     scratch = Scratch(spark, "media")
-    stored = audio.store_tensors(audio.store_media(_table(spark, sf_dir, "documents"), scratch), scratch)
+    media = audio.store_media(_table(spark, sf_dir, "documents"), scratch)
+    stored = audio.store_tensors(media, scratch)
+    scratch.drop(media)
     out = audio.media_features(stored).withColumnRenamed("id", "doc_id")
     return out.withColumn("feature", audio.feature_text(F.col("mel_mean"), F.col("n_frames"), F.col("segments"))).drop("n_frames", "mel_mean", "segments")
 

@@ -64,10 +64,10 @@ class Folder:
         out.kept_as = name
         return out
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df as Parquet and return the table read back."""
+    def keep(self, df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
+        """Write df as Parquet, with the session's codec or another, and return the table read back."""
         name = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.parquet(f"{self.path}/{name}", compression=codec)
         out = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
         out.kept_as = name
         return out
