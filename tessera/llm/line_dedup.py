@@ -13,7 +13,7 @@ they are looked up in a broadcast table, the others by a shuffled join.
 A text costs time and memory in proportion to its length: lines are hashed one after the other, repeats within a text are
 found by a dictionary, and the text is cut at the sorted numbers of the lines that go.
 
-Defined results: a null or empty text is one empty line. Lines of null ids are neither counted nor dropped. Each row
+Defined results: ids may be of any type that sorts. A null or empty text is one empty line. Lines of null ids are neither counted nor dropped. Each row
 counts as a document, also one that repeats; rows with the largest id all keep the line. A line's copies within one
 document count once and go or stay together. An empty table gives an empty table.
 """
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.runs import SortedRuns
 from tessera.llm.scratch import Folder, Scratch
@@ -37,7 +38,7 @@ from tessera.llm.words import slices
 BLANK = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 2048
-LINES = "id long, t long, h1 long, h2 long, at array<int>"
+LINES = "t long, h1 long, h2 long, at array<int>"
 
 
 def line_key(line: bytes) -> bytes:
@@ -118,8 +119,9 @@ def dedup_lines(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    lines = docs.filter("id is not null").select("id", "t", "text").mapInArrow(_hasher(min_chars), LINES)
+    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    lines = docs.filter("id is not null").select("id", "t", "text")
+    lines = lines.mapInArrow(_hasher(min_chars), StructType([lines.schema["id"], *StructType.fromDDL(LINES).fields]))
     lines = scratch.keep(lines, "lines")
     index = LineIndex(Folder(docs.sparkSession, index_path) if index_path else scratch, min_docs)
     often = math.ceil(lines.count() / batches / HOT) + 1

@@ -12,8 +12,9 @@ Up to BROADCAST sources, a counted bound, one narrow row for each is ordered by
 it sources are ordered by ranges, whose sums are carried from one to the next, and documents are joined by source and salt.
 
 Defined results: a null or empty text has size 0 and is emitted floor(rate) times or once more like any other, for no words. A null source is a source
-of its own, last. A source without tokens has target 0 and rate 0. Rows that repeat an id are drawn alike. An empty table
-gives an empty table. Columns of the input whose names clash are inside row; emit() names the copies' number so that it clashes with none.
+of its own, last. A source without tokens has target 0 and rate 0. Where an id is null or repeats, rows are drawn by their id, their
+text and their place among the rows that have both, so that equal rows are drawn apart; for that the rows are written once more. An
+empty table gives an empty table. Columns of the input whose names clash are inside row; emit() names the copies' number so that it clashes with none.
 """
 
 from __future__ import annotations
@@ -83,7 +84,13 @@ def mix_sources(
     """(row, id, size, source_size, target, copies): row is the input row whole, copies how often the mix holds it."""
     scratch = Scratch(docs.sparkSession, "mix")
     size = word_count(F.col(text_col)).alias("size")
-    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size, F.col(source_col).alias("source"))
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
+    docs = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size, F.col(source_col).alias("source"), text)
+    key, repeats = F.col("id"), docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
+    if not repeats.isEmpty():
+        docs = scratch.keep(docs.withColumn("at", F.monotonically_increasing_id()), "rows")
+        docs = _running(docs, [F.col("id").asc_nulls_last(), F.col("text"), F.col("at")], [], scratch, few=False)
+        key = F.concat_ws(":", F.col("id").cast("string"), F.col("text").cast("string"), F.col("place").cast("string"))
     sizes = scratch.keep(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     few = sizes.count() <= BROADCAST
     rates = scratch.keep(source_targets(sizes, weights, share, limit, scratch, few), "rates").withColumnRenamed("source", "of")
@@ -92,8 +99,8 @@ def mix_sources(
         joined = docs.join(F.broadcast(rates), same)
     else:
         rates = rates.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(rates, same & (F.col("salt") == F.col("salt2")))
-    extra = uniform(seed, F.col("id")) < F.col("rate") - F.floor("rate")
+        joined = docs.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int")).join(rates, same & (F.col("salt") == F.col("salt2")))
+    extra = uniform(seed, key) < F.col("rate") - F.floor("rate")
     copies = (F.floor("rate") + extra.cast("int")).cast("long").alias("copies")
     return joined.select("row", "id", "size", "source_size", "target", copies)
 

@@ -242,3 +242,25 @@ def test_urls_reach_hosts_more_than_eight_links_away(spark):
     assert {r.host: r.verdict for r in out} == dict.fromkeys(chain, "block") | {"x.net": "block", "good.com": "allow"}
     far = next(r for r in out if r.host == "h0.org")
     assert far.distrust == pytest.approx(0.5 * 0.15 * 0.85**14, rel=1e-5) and far.trust == 0
+
+
+def test_rows_without_ids_are_drawn_apart(spark):
+    """Equal rows of no id, or of one id: a source's taken words still come near its target, and reruns agree."""
+    rows = [(None, "fifteen " * 10, "a")] * 600 + [(7, "other words " * 5, "b")] * 600 + [(8, "x " * 10, "c")] * 600
+    for docs in (frame(spark, rows), frame(spark, rows).repartition(7)):
+        out = mixing.mix_sources(docs).collect()
+        taken, target = Counter(), {}
+        for r in out:
+            taken[r.row.source] += r.size * r.copies
+            target[r.row.source] = r.target
+            assert r.copies <= 2
+        assert all(abs(taken[s] - target[s]) < 0.15 * max(target[s], 1) for s in target), (taken, target)
+        said = sorted((r.row.source, r.copies) for r in out)
+        assert said == sorted((r.row.source, r.copies) for r in mixing.mix_sources(docs).collect())
+
+
+def test_lines_of_documents_with_names(spark):
+    rows = [("b", "a line that many share here\nown 1"), ("a", "a line that many share here\nown 2"), ("c", "A line that many share here\nown 3"), (None, "a line that many share here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {"a": (2, 1, "own 2"), "b": (2, 1, "own 1"), "c": (2, 0, rows[2][1]), None: (1, 0, rows[3][1])}
