@@ -10,7 +10,8 @@ Reading: archives are dealt out to as many tasks as there are archives, READERS
 the dictionary from the skippable frame, decodes one frame after the other and checks each record's version line, its
 named fields, its lengths and its payload digest.
 
-Defined results: a null payload is empty. A row whose id is null is a response unless a row with an id has its payload, then a
+Defined results: ids may be of any type that a string of theirs gives back. A null payload is empty; a record is held whole, so
+memory is bounded by an archive and the longest html. A row whose id is null is a response unless a row with an id has its payload, then a
 revisit; rows that share the largest id of a payload are all responses. Null urls are left out of the header. An empty
 table gives no archive and no rows. Other columns are not looked at.
 """
@@ -22,8 +23,9 @@ import hashlib
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -54,15 +56,16 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+def record_id(page_id: int | str | None) -> str:
+    """The page's id in the record's; what a URN can't hold is escaped."""
+    return f"<urn:page:{quote(str(page_id), safe='')}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def page_of(urn: str | None) -> int | None:
     return int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def build_record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None) -> bytes:
     """A response record, or a revisit without its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -93,9 +96,12 @@ def write_archive(records: list[bytes], out: BinaryIO, level: int = 3) -> None:
         out.write(compress.compress(r))
 
 
-def frames(stream: BinaryIO) -> Iterator[bytes]:
-    """The content of each frame after the dictionary has been loaded from the leading skippable frame."""
-    buffer, dictionary = stream.read(8), None
+def frames(stream: BinaryIO, damage: Callable[[str], None] | None = None) -> Iterator[bytes]:
+    """The content of each frame after the dictionary has been loaded from the leading skippable frame.
+
+    A bad frame is an error; with `damage` that is told once for each stretch of bad frames, and reading goes on after it.
+    """
+    buffer, dictionary, hurt = stream.read(8), None, False
     if len(buffer) == 8 and struct.unpack("<I", buffer[:4])[0] == DICT_MAGIC:
         size = struct.unpack("<I", buffer[4:])[0]
         raw = stream.read(size)
@@ -111,14 +117,35 @@ def frames(stream: BinaryIO) -> Iterator[bytes]:
             try:
                 parts.append(frame.decompress(buffer))
             except zstandard.ZstdError as e:
-                raise WarcError(f"bad frame: {e}") from e
+                if damage is None:
+                    raise WarcError(f"bad frame: {e}") from e
+                if not hurt:
+                    damage(f"bad frame: {e}")
+                hurt, parts, buffer = True, None, _next_frame(stream, buffer)
+                break
             if frame.eof:
                 buffer = frame.unused_data
                 break
             buffer = stream.read(CHUNK)
             if not buffer:
-                raise WarcError("the last frame is cut off")
-        yield b"".join(parts)
+                if damage is None:
+                    raise WarcError("the last frame is cut off")
+                damage("the last frame is cut off")
+                return
+        if parts is not None:
+            hurt = False
+            yield b"".join(parts)
+
+
+def _next_frame(stream: BinaryIO, buffer: bytes) -> bytes:
+    """What follows a bad frame, from the next magic number on; empty at the end."""
+    magic, buffer = struct.pack("<I", FRAME_MAGIC), buffer[1:]
+    while (at := buffer.find(magic)) < 0:
+        more = stream.read(CHUNK)
+        if not more:
+            return b""
+        buffer = buffer[-3:] + more
+    return buffer[at:]
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -157,16 +184,33 @@ def http_payload(fields: dict[str, str], block: bytes) -> tuple[int, bytes | Non
     return len(payload), payload
 
 
-def _read_one(stream: BinaryIO) -> Iterator[tuple]:
-    for raw in frames(stream):
-        try:
-            fields, block = parse_record(raw)
-            size, payload = http_payload(fields, block)
-        except WarcError as e:
-            yield None, None, None, None, None, None, None, str(e)
-            continue
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or payload_digest(payload or b"")
-        yield fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-type"], size, digest, fields.get("warc-refers-to"), payload, None
+def _failed(said: str) -> tuple:
+    return None, None, None, None, None, None, None, said
+
+
+def _read_one(stream: BinaryIO, strict: bool = True) -> Iterator[tuple]:
+    """A row for each record; unless strict also one for each stretch of bad frames, and one for an unusable dictionary."""
+    said: list[str] = []
+    try:
+        for raw in frames(stream, None if strict else said.append):
+            yield from map(_failed, said)
+            said.clear()
+            yield _record(raw)
+    except (WarcError, zstandard.ZstdError) as e:
+        if strict:
+            raise
+        said.append(str(e))
+    yield from map(_failed, said)
+
+
+def _record(raw: bytes) -> tuple:
+    try:
+        fields, block = parse_record(raw)
+        size, payload = http_payload(fields, block)
+    except WarcError as e:
+        return _failed(str(e))
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or payload_digest(payload or b"")
+    return fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-type"], size, digest, fields.get("warc-refers-to"), payload, None
 
 
 COLUMNS = {"record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.string(), "payload": pa.binary(), "error": pa.string()}
@@ -202,9 +246,10 @@ def reachable(folder: str) -> bool:
 
 
 def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the archives named in a manifest, streamed; a bad record is a row with its error.
+    """Records of the archives named in a manifest (path, n_records), streamed; a bad record is a row with its error.
 
-    An archive that has other than n_records records is refused: it may be cut off between two frames.
+    An archive that has other than n_records records is refused: it may be cut off between two frames. Where n_records is null,
+    as of archives that others wrote, nothing is refused: what can't be read is a row with its error, and reading goes on behind it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +262,8 @@ def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     fs, at = file_system(path)
                     source = fs.open_input_stream(at, compression=None)
                 with source as stream:
-                    for out in _batches(_read_one(stream), with_payload):
-                        n -= out.num_rows
+                    for out in _batches(_read_one(stream, n is not None), with_payload):
+                        n = n if n is None else n - out.num_rows
                         yield out
                 if n:
                     raise WarcError(f"{path} has {-n:+d} records against its manifest")
@@ -227,13 +272,22 @@ def read_manifest(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     return manifest.select("path", "n_records", content).mapInArrow(run, SCHEMA)
 
 
+def read_files(paths: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Records of archives of any size given by path, streamed; damage is a row with its error."""
+    named = paths.select("path", F.lit(None).cast("long").alias("n_records"))
+    return read_manifest(dealt(named.withColumn("content", F.lit(None).cast("binary"))), with_payload)
+
+
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of archives given as a binaryFile table, from any store that Spark reads."""
+    """Records of archives given as a binaryFile table, from any store that Spark reads; a file is a cell, so 2 GB at most.
+
+    read_files() has no such bound, for stores that it reaches. Damage is a row with its error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                yield from _batches(_read_one(io.BytesIO(content.as_py())), with_payload)
+                yield from _batches(_read_one(io.BytesIO(content.as_py()), strict=False), with_payload)
 
     return files.select("content").mapInArrow(run, SCHEMA)
 
@@ -273,7 +327,7 @@ def _writer(folder: str, as_files: bool):
 def write_pages(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Archive all pages; the manifest (path, n_records, content). Payloads under min_bytes are never revisits."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     digests = scratch.keep(rows.filter(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
     first = scratch.keep(first, "first")  # so that a payload which many pages share can be split in the join
@@ -286,7 +340,8 @@ def write_pages(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url
         keyed = keyed.join(more, keyed.page_id.isNull() & (F.unhex(F.sha1(F.col("html").cast("binary"))) == F.col("d2")), "left").withColumn("first", F.coalesce("first", "first2"))
     folder = f"{scratch.path}/archives"
     writer = _writer(folder, reachable(folder))
-    manifest = keyed.select("page_id", "url", "html", "first").mapInArrow(writer, "path string, n_records long, content binary")
+    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "first")]
+    manifest = keyed.select(named[0], "url", "html", named[1]).mapInArrow(writer, "path string, n_records long, content binary")
     return scratch.keep(manifest, "manifest")
 
 
@@ -302,8 +357,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write pages, read the archives back: (id_col, payload_bytes, payload_digest, record_type, refers_to, error)."""
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = write_pages(pages, scratch, id_col, url_col, html_col)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    as_id = lambda c: F.when(number(c) != "", number(c)).cast("long")
+    kind = pages.schema[id_col].dataType
+    as_id = lambda c: F.when(c.startswith("<urn:page:"), F.url_decode(F.substring(c, 11, F.length(c) - 11))).cast(kind)
     back = read_manifest(dealt(manifest), with_payload=False)
     return back.select(as_id(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", as_id(F.coalesce(F.col("refers_to"), F.lit(""))).alias("refers_to"), "error")
 

@@ -3,7 +3,7 @@ import io
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +109,33 @@ def test_damaged_records_are_named():
         warc.http_payload(*warc.parse_record(good.replace(b"payload\r\n", b"pAyload\r\n")))
 
 
+def test_pages_with_names(spark):
+    rows = [("b/é >", "u", "twin"), ("a", "u", "twin"), ("12", "u", "<p>" * 9), (None, "u", "twin"), ("c+d %41", "u", None)]
+    out = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert out == {("b/é >", "response", None), ("a", "revisit", "b/é >"), ("12", "response", None), (None, "revisit", "b/é >"), ("c+d %41", "response", None)}
+
+
+def test_damage_in_archives_of_others_is_a_row(spark, tmp_path):
+    """A frame with flipped bytes costs itself; what follows is read. A cut archive gives what it has and an error."""
+    records = [warc.build_record(i, "u", f"payload {i}".encode() * 20, None) for i in range(30)]
+    held = io.BytesIO()
+    warc.write_archive(records, held)
+    data = held.getvalue()
+    starts = [k for k in range(len(data)) if data[k : k + 4] == struct.pack("<I", warc.FRAME_MAGIC)][-30:]
+    hurt = bytearray(data)
+    for k in range(starts[10] + 4, starts[11]):
+        hurt[k] ^= 0x5A
+    (tmp_path / "hurt").write_bytes(hurt)
+    (tmp_path / "cut").write_bytes(data[: starts[20] + 9])
+    (tmp_path / "junk").write_bytes(b"no archive at all" * 50)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("hurt", "cut", "junk")], "path string")
+    out = warc.read_files(paths, with_payload=False).collect()
+    good, bad = Counter(r.record_id for r in out if not r.error), [r for r in out if r.error]
+    assert len(bad) == 3 and good == Counter([f"<urn:page:{i}>" for i in range(30) if i != 10] + [f"<urn:page:{i}>" for i in range(20)])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert Counter((r.record_id, r.error) for r in warc.read_archives(files, False).collect()) == Counter((r.record_id, r.error) for r in out)
+
+
 def test_pages_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
