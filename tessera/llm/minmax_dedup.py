@@ -18,7 +18,7 @@ block and n s / CELL times past one for each of its hubs, of which it has one a
 (CELL_DOCS if they are shorter) rows grow with n, and beyond with its square over that: a row for hundreds of comparisons, all
 of which exactness needs.
 
-Defined results: null or wordless texts have an empty set, are linked with nothing and kept. Fewer words than a shingle:
+Defined results: ids may be of any type that sorts; those that are no integers are numbered in their order. Null or wordless texts have an empty set, are linked with nothing and kept. Fewer words than a shingle:
 the whole sequence is the one shingle. A null id has a null component and is kept. Rows with one id are versions of one
 document and share a component. Repeated rows have equal sets, so one component. An empty table gives an empty table.
 Columns other than id and text are not looked at.
@@ -33,6 +33,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, StructType
 
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import Scratch, sift
@@ -72,7 +74,7 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _signer(ngram: int, perms: int, rows: int):
+def _signer(ngram: int, perms: int, rows: int, kinds: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = permutation_factors(perms)
         for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -82,7 +84,8 @@ def _signer(ngram: int, perms: int, rows: int):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(signed(band_hashes(minmax_signature(s, factors), rows)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "bands"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return run
 
@@ -203,11 +206,20 @@ def near_duplicates(
     if (2 * perms) % rows:
         raise ValueError("rows must divide 2 * perms")
     scratch = Scratch(docs.sparkSession, "minmax")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed_docs = scratch.keep(docs.mapInArrow(_signer(ngram, perms, rows), "id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    kind = docs.schema[id_col].dataType
+    number = F.col(id_col).cast("long") if isinstance(kind, IntegralType) else F.col(id_col)
+    docs = docs.select(number.alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([docs.schema["id"], *StructType.fromDDL("n_shingles long, set_key binary, bands array<long>").fields])
+    signed_docs = scratch.keep(docs.mapInArrow(_signer(ngram, perms, rows, to_arrow_schema(schema)), schema), "signed")
     usable = signed_docs.filter("id is not null and n_shingles > 0")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = scratch.keep(classes, "classes")
+    numbers = None
+    if not isinstance(kind, IntegralType):  # representatives by number, in the order of their ids
+        classes = scratch.keep(classes.withColumnRenamed("rep", "name"), "named")
+        ordered = classes.select("name").distinct().orderBy("name").select("name", F.monotonically_increasing_id().alias("rep"))
+        numbers = scratch.keep(ordered, "numbers")
+        classes = classes.join(numbers, "name").drop("name")
+    classes = scratch.keep(classes.withColumn("rep", F.col("rep").cast("long")), "classes")
 
     banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n").alias("size"))
     shared = scratch.keep(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
@@ -223,7 +235,12 @@ def near_duplicates(
     sizes = scratch.keep(held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("long").alias("salts")), "sizes")
     # An inner join: a semi join would be pushed below the sift and shuffle all texts.
     wanted = held.select("id").distinct()
-    texts = scratch.keep(sift(docs, F.col("id"), wanted, F.col("id")).join(wanted, "id"), "texts")
+    if numbers is None:
+        texts = sift(docs, F.col("id"), wanted, F.col("id")).join(wanted, "id")
+    else:
+        wanted = wanted.join(numbers.withColumnRenamed("rep", "id"), "id")
+        texts = sift(docs, F.col("id"), wanted, F.col("name")).withColumnRenamed("id", "name").join(wanted, "name").drop("name")
+    texts = scratch.keep(texts, "texts")
     links = scratch.keep(_confirm(_first_rows(held, sizes).join(texts, "id"), ngram, percent), "links")
 
     found = connected_components(links, scratch)
@@ -240,12 +257,15 @@ def near_duplicates(
         found = connected_components(links.unionByName(late), scratch)
 
     named = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = scratch.keep(named.select("set_key", comp("rep").alias("component_id")), "named")
+    named = named.select("set_key", comp("rep").alias("component_id"))
+    if numbers is not None:
+        named = named.join(numbers.withColumnRenamed("rep", "component_id"), "component_id").select("set_key", F.col("name").alias("component_id"))
+    named = scratch.keep(named, "named")
     key = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key")
     out = signed_docs.select("id", "n_shingles", key).join(named, "set_key", "left")
     component = F.coalesce("component_id", "id")
     scratch.drop(members, hubs, shared, held, sizes, counts, apart, texts, placed, links, late, classes)
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 ORACLE = r"""

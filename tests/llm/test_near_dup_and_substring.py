@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
 from tessera.llm import minmax_dedup
@@ -197,3 +198,15 @@ def test_rolling_hash_tells_windows_apart():
     assert len(rolling(h, 10)) == 0
     grams, least = window_fingerprints(h, 5, 2)
     assert least.tolist() == [min(grams[i : i + 4].tolist()) for i in range(len(h) - 4)]
+
+
+def test_near_duplicates_of_documents_with_names(spark, corpus):
+    """Names in the order of the numbers give the same components."""
+    name = lambda i: None if i is None else f"doc-{i:06d}"
+    numbered = minmax_dedup.near_duplicates(frame(spark, corpus)).collect()
+    named = spark.createDataFrame([(name(i), t) for i, t in corpus], "doc_id string, text string")
+    got = minmax_dedup.near_duplicates(named).collect()
+    want = [(name(r.doc_id), r.n_shingles, name(r.component_id), r.kept) for r in numbered]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and any(not r.kept for r in got)
+    small = minmax_dedup.near_duplicates(frame(spark, corpus).withColumn("doc_id", F.col("doc_id").cast("int")))
+    assert small.schema["component_id"].dataType.simpleString() == "int" and sorted(map(str, small.collect())) == sorted(map(str, numbered))
