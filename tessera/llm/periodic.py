@@ -271,7 +271,10 @@ def with_periods(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tail = F.slice(words, a + 1, p)
     tail = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
     made = F.array_join(F.concat(F.when(a > 0, F.slice(words, F.lit(1), a)).otherwise(F.array().cast("array<string>")), tail), " ")
-    return docs.select(F.col(id_col), F.when((h % 10 == 0) & (n > 0), made).otherwise(F.col(text_col)).alias(text_col))
+    plain = docs.select(id_col, text_col)
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    changed = plain.filter(chosen).select(id_col, F.when(n > 0, made).otherwise(F.col(text_col)).alias(text_col))
+    return changed.unionByName(plain.filter(~chosen))  # else all texts would be cut into words for a tenth
 
 
 def digest_runs(runs: Column) -> Column:
