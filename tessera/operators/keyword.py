@@ -23,7 +23,7 @@ from tessera.functions import parsing
 ANALYSERS = ("plain", "porter")
 FIELDS = ("subject", "from_name", "from_address", "body_text", "attachment_names", "attachment_text")
 TOKEN = r"[\p{L}\p{N}]+"
-#: Widest proximity that is tested by the sets of places where a span can begin.
+#: Widest proximity that is tested by the sets of places where a span can end.
 CLOSE = 100
 K1, B, LEAST_IDF, NEAR_DEFAULT = 1.2, 0.75, 1e-6, 10
 ADVANCED = re.compile(r'["():*^]| AND | OR | NOT | NEAR\(|^NOT ')
@@ -168,6 +168,8 @@ class _Parser:
             self.at += 1
             phrases, within = [], NEAR_DEFAULT
             while self.peek() not in (("mark", ")"), ("mark", ",")):
+                if self.peek() == ("mark", "^"):
+                    raise QuerySyntaxError("no phrase inside NEAR can be anchored")
                 phrases.append(self.phrase(fields))
             if self.peek() == ("mark", ","):
                 self.at += 1
@@ -269,14 +271,39 @@ def _nodes(node, kind) -> list:
     return [x for part in getattr(node, "parts", ()) for x in _nodes(part, kind)]
 
 
-def _close(places: list[Column], within: int) -> Column:
-    """Whether a span of within + 2 words holds a place of each array."""
-    width = within + 1
-    if within <= CLOSE:  # a span can begin at any of the width + 1 words that end with a place
-        begins = [F.flatten(F.transform(p, lambda i: F.sequence(i - width, i))) for p in places]
-        return F.size(reduce(F.array_intersect, begins)) > 0 if len(begins) > 1 else F.size(places[0]) > 0
-    holds = lambda low: reduce(Column.__and__, (F.exists(p, lambda i: (i >= low) & (i <= low + width)) for p in places))
-    return F.exists(F.concat(*places), holds)
+def _near_counts(places: list[Column], lengths: list[int], within: int) -> Column:
+    """How many places of each phrase take part in a span: an array of one number a phrase, all 0 or none.
+
+    A span ends at the place of its last phrase; every phrase of l words begins at most l + within words before that end.
+    """
+    number, none = range(len(places)), F.array(*(F.lit(0) for _ in places))
+    if len(places) == 1:
+        return F.array(F.size(places[0]))
+    reach = [n + within for n in lengths]
+
+    def spread_over(ends: Column, low: int, high: int) -> Column:
+        return F.flatten(F.transform(ends, lambda i: F.sequence(i + low, i + high)))
+
+    def before(places: Column, end: Column, width: int) -> Column:
+        return F.exists(places, lambda i: (i <= end) & (i >= end - width))
+
+    def in_spans(places: Column, ends: Column, width: int) -> Column:
+        return F.filter(places, lambda i: F.exists(ends, lambda end: (i <= end) & (i >= end - width)))
+
+    def ends_of(x: Column) -> Column:
+        """The places at which a span ends."""
+        all_places = F.concat(*(x[f"p{j}"] for j in number))
+        if within <= CLOSE:  # by the words that can be an end for each phrase, no pairs of places
+            return reduce(F.array_intersect, (spread_over(x[f"p{j}"], 0, reach[j]) for j in number), all_places)
+        return F.filter(all_places, lambda end: reduce(Column.__and__, (before(x[f"p{j}"], end, reach[j]) for j in number)))
+
+    def taking_part(y: Column) -> Column:
+        if within <= CLOSE:
+            return F.array(*(F.size(F.array_intersect(y["x"][f"p{j}"], spread_over(y["ends"], -reach[j], 0))) for j in number))
+        return F.array(*(F.size(in_spans(y["x"][f"p{j}"], y["ends"], reach[j])) for j in number))
+
+    bound = F.transform(F.array(F.struct(*(p.alias(f"p{j}") for j, p in enumerate(places)))), lambda x: F.struct(x.alias("x"), ends_of(x).alias("ends")))
+    return F.when(reduce(Column.__and__, (F.size(p) > 0 for p in places)), F.get(F.transform(bound, taking_part), F.lit(0))).otherwise(none)
 
 
 def _places(tokens: Column, p: Phrase) -> Column:
@@ -293,7 +320,7 @@ def _places(tokens: Column, p: Phrase) -> Column:
 
 
 def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser: str) -> DataFrame:
-    """(id, len, tf<k>, near<k>) of all documents, from their tokens in place.
+    """(id, len, tf<k>, near<k>) of all documents, from their tokens in place; near<k> counts the phrases of an expression.
 
     The tokens are bound to a lambda variable: as a plain column the optimizer would put the tokenizer itself into every
     place that reads them.
@@ -311,7 +338,9 @@ def _scanned(docs: DataFrame, phrases: list[Phrase], nears: list[Near], analyser
 
     def together(cell: Column, near: Near) -> Column:
         fields = [f for f in have if all(p.terms and f in p.fields for p in near.phrases)]
-        return reduce(Column.__or__, (_close([_places(cell[f], p) for p in near.phrases], near.within) for f in fields), F.lit(False))
+        parts = F.array(*(_near_counts([_places(cell[f], p) for p in near.phrases], [len(p.terms) for p in near.phrases], near.within) for f in fields))
+        none = F.array(*(F.lit(0) for _ in near.phrases))
+        return F.aggregate(parts, none, lambda a, x: F.zip_with(a, x, lambda m, n: m + n)) if fields else none
 
     def counts(cell: Column) -> Column:
         length = sum((F.size(cell[f]) for f in have), F.lit(0)).cast("long").alias("len")
@@ -334,8 +363,10 @@ def _looked_up(index: DataFrame, phrases: list[Phrase], nears: list[Near]) -> Da
         for j, p in enumerate(near.phrases):
             part = _occurrences(index, p, 0).groupBy("id", "field").agg(F.collect_list("pos").alias(f"p{j}"))
             joined = part if joined is None else joined.join(part, ["id", "field"])
-        joined = joined.filter(_close([F.col(f"p{j}") for j in range(len(near.phrases))], near.within))
-        counts = counts.join(joined.select("id", F.lit(True).alias(f"near{k}")).distinct(), "id", "left")
+        number = range(len(near.phrases))
+        found = joined.select("id", _near_counts([F.col(f"p{j}") for j in number], [len(p.terms) for p in near.phrases], near.within).alias("n"))
+        found = found.groupBy("id").agg(*(F.sum(F.get("n", F.lit(j))).alias(f"n{j}") for j in number))
+        counts = counts.join(found.select("id", F.array(*(f"n{j}" for j in number)).alias(f"near{k}")), "id", "left")
     return counts
 
 
@@ -352,6 +383,7 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None, a
         return rows.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
     phrases, nears = _phrases(tree), _nodes(tree, Near)
     number, leaves, near_no, counted = range(len(phrases)), iter(range(len(phrases))), iter(range(len(nears))), {}
+    taking_part: dict[int, Column] = {}  # a phrase counts where it is near the others; how rare it is goes by all its places
 
     def holds(node) -> Column:
         """The condition of a node; a phrase counts in a document where all expressions around it hold."""
@@ -360,8 +392,11 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None, a
             counted[k] = F.lit(True)
             return F.col(f"tf{k}") > 0
         if isinstance(node, Near):
-            out = F.coalesce(F.col(f"near{next(near_no)}"), F.lit(False))
-            counted.update((next(leaves), out) for _ in node.phrases)
+            found = F.col(f"near{next(near_no)}")
+            out = F.coalesce(F.get(found, F.lit(0)) > 0, F.lit(False))
+            for j in range(len(node.phrases)):
+                k = next(leaves)
+                counted[k], taking_part[k] = out, F.get(found, F.lit(j))
             return out
         before = set(counted)
         first, *rest = [holds(x) for x in node.parts]
@@ -383,7 +418,7 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None, a
 
     def part(k: int) -> Column:
         idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-        tf = F.when(counted[k], F.col(f"tf{k}")).otherwise(0)
+        tf = F.when(counted[k], taking_part.get(k, F.col(f"tf{k}"))).otherwise(0)
         return F.when(idf > 0, idf).otherwise(LEAST_IDF) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
 
     return rows.select("id", F.round(-sum((part(k) for k in number), F.lit(0.0)), 9).alias("score"))

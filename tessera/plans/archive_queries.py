@@ -171,16 +171,26 @@ FIELDS = ("subject", "from_name", "from_address", "body_text")
 TOKENS = ", tok as (" + " union all ".join(f"select id, '{f}' as field, unnest(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+')) as term, unnest(range(len(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+'))))::int as pos from messages" for f in FIELDS) + ")"
 
 
-def bm25(phrases: list[str], condition: str = "true", limit: int | None = 20, alive: bool = True, extra: str = "") -> str:
-    """phrases: SQL for (id, field, pos) of each; condition over tf0, tf1, ..."""
+def near_places(phrases: list[tuple[str, int]], within: int) -> list[str]:
+    """SQL for the places of each phrase (SQL, words) that take part in a span: one that ends at the place of its last phrase."""
+    every = " union all ".join(f"select {k} as k, {n} as n, id, field, pos from ({p}) y{k}" for k, (p, n) in enumerate(phrases))
+    near = " and ".join(f"exists (select 1 from ps a{k} where a{k}.k = {k} and a{k}.id = m.id and a{k}.field = m.field and a{k}.pos between m.pos - {n + within} and m.pos)" for k, (_, n) in enumerate(phrases))
+    cte = f"with ps as materialized ({every}), ends as (select distinct id, field, pos from ps m where {near})"
+    return [f"{cte} select id, field, pos from ps p where k = {k} and exists (select 1 from ends e where e.id = p.id and e.field = p.field and p.pos between e.pos - {n + within} and e.pos)" for k, (_, n) in enumerate(phrases)]
+
+
+def bm25(phrases: list[str], condition: str = "true", limit: int | None = 20, alive: bool = True, extra: str = "", near: list[str] | None = None) -> str:
+    """phrases: SQL for (id, field, pos) of each; condition over tf0, tf1, ...; near: SQL for the places that count, where not all do."""
     occ = " union all ".join(f"select id, {k} as p from ({p}) x{k}" for k, p in enumerate(phrases))
     n = range(len(phrases))
     tf = ", ".join(f"count(*) filter (where p = {k}) as tf{k}" for k in n)
     df = ", ".join(f"count(*) filter (where tf{k} > 0) as df{k}" for k in n)
     idf = "ln((n - df{0} + 0.5::double) / (df{0} + 0.5::double))"
     score = " + ".join(f"(case when {idf.format(k)} > 0 then {idf.format(k)} else 1e-6 end) * (tf{k} * 2.2::double) / (tf{k} + 1.2::double * (0.25::double + 0.75::double * len / avglen))" for k in n)
+    cut = " union all ".join(f"select id, {k} as p from ({p}) z{k}" for k, p in enumerate(near or []))
+    counts = f"dfs as (select {df} from every), cnt as (select id, {tf} from ({cut}) x group by id)" if near else f"dfs as (select {df} from every), cnt as (select * from every)"
     return (
-        f"{TOKENS}{extra}, occ as ({occ}), cnt as (select id, {tf} from occ group by id), dfs as (select {df} from cnt), "
+        f"{TOKENS}{extra}, occ as ({occ}), every as (select id, {tf} from occ group by id), {counts}, "
         "sizes as (select m.id, count(t.id) as len from messages m left join tok t on t.id = m.id group by m.id), stats as (select count(*) as n, avg(len) as avglen from sizes) "
         f"select c.id, round(-({score}), 9) as score from cnt c join sizes s on s.id = c.id cross join stats cross join dfs "
         f"{'join messages m on m.id = c.id and m.deleted_at is null' if alive else ''} where {condition} "
@@ -215,7 +225,9 @@ fts("keyword_phrase", with_bm25(["select a.id, a.field, a.pos from tok a join to
 fts("keyword_prefix", with_bm25(["select id, field, pos from tok where starts_with(term, 'thnt')"]), "thnt*")
 fts("keyword_column", with_bm25([term("the", " and field = 'subject'")]), "subject: the")
 fts("keyword_anchor", with_bm25([term("the", " and pos = 0")]), "^the")
-fts("keyword_near", with_bm25([term("the"), term("this")], "c.id in (select a.id from tok a join tok b on a.id = b.id and a.field = b.field and abs(a.pos - b.pos) <= 4 where a.term = 'the' and b.term = 'this')"), "NEAR(the this, 3)")
+PHRASE = "select a.id, a.field, a.pos from tok a join tok b on a.id = b.id and a.field = b.field and b.pos = a.pos + 1 where a.term = '{0}' and b.term = '{1}'"
+fts("keyword_near", with_bm25([term("the"), term("this")], "tf0 > 0 and tf1 > 0", near=near_places([(term("the"), 1), (term("this"), 1)], 3)), "NEAR(the this, 3)")
+fts("keyword_near_phrases", with_bm25([PHRASE.format("of", "the"), term("this")], "tf0 > 0 and tf1 > 0", near=near_places([(PHRASE.format("of", "the"), 2), (term("this"), 1)], 12)), 'NEAR("of the" this, 12)')
 
 
 @query(f"{TOKENS} select term, count(*)::bigint as n, count(distinct id)::bigint as docs from tok group by term", M)

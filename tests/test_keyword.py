@@ -15,7 +15,7 @@ DOCS = [(i, " ".join(RNG.choices(VOCABULARY, k=4)), " ".join(RNG.choices(VOCABUL
 QUERIES = [
     "alpha", "alpha beta", '"alpha beta"', "alpha AND beta", "alpha AND beta OR gamma", "alpha NOT beta", "(alpha OR beta) NOT (gamma AND delta)", "al*", '"alpha be" *',
     "subject : alpha", "subject: alpha AND body_text: beta", "{subject body_text} : (alpha AND beta)", "- subject : alpha", "^alpha", "subject : ^alpha", "NEAR(alpha beta, 2)", "NEAR(alpha beta)",
-    "NEAR(alpha beta gamma, 3)", "alpha + beta", "alpha + be*", '"alpha" "beta"', "nothing AND alpha", "alpha OR nothing", "NOT alpha", "alpha AND", "(alpha", "unknown: alpha", 'x"y', "***", "alpha:beta:",
+    "NEAR(alpha beta gamma, 3)", "alpha + beta", "alpha + be*", "NEAR(^alpha gamma, 3)", '"alpha" "beta"', "nothing AND alpha", "alpha OR nothing", "NOT alpha", "alpha AND", "(alpha", "unknown: alpha", 'x"y', "***", "alpha:beta:",
 ]
 
 
@@ -44,9 +44,40 @@ def test_against_sqlite(spark, fts, query):
     got = {r.id: r.score for r in K.match(docs, query).collect()}
     want = expected(fts, query)
     assert set(got) == set(want)
-    if "NEAR" not in query:
-        for i, s in want.items():
-            assert got[i] == pytest.approx(s, rel=1e-6, abs=2e-9)
+    for i, s in want.items():
+        assert got[i] == pytest.approx(s, rel=1e-6, abs=2e-9)
+
+
+CLOSE_WORDS = "alpha beta gamma delta runs running".split()
+CLOSE_DOCS = [(i, " ".join(RNG.choices(CLOSE_WORDS, k=RNG.randrange(0, 6))), " ".join(RNG.choices(CLOSE_WORDS + [f"x{k}" for k in range(2)], k=RNG.randrange(1, 40)))) for i in range(300)]
+CLOSE_DOCS += [(900, "", "alpha beta x1 x2 x3 gamma"), (901, "alpha beta", "gamma"), (903, "", "alpha beta gamma x1 x1 delta alpha beta gamma x1 x0 x0 x0 x0 delta"), (904, None, "alpha beta x1 gamma delta runs x1 x0 x0 x1 x1 x1 alpha beta"), (902, "gamma x1 alpha beta", "alpha x2 x3 gamma x1 alpha beta")]
+CLOSE_QUERIES = [
+    'NEAR("alpha beta" gamma, 3)', 'NEAR("alpha beta" gamma, 0)', 'NEAR(gamma "alpha beta", 2)', 'NEAR("alpha beta gamma" delta, 4)', 'NEAR("alpha beta" "gamma delta" runs, 5)', 'NEAR(alpha alpha, 2)',
+    'NEAR("alpha beta" "beta gamma", 1)', "NEAR(al* gamma, 1)", 'NEAR("alpha beta" gamma, 3) AND delta', 'delta NOT NEAR("alpha beta" gamma, 3)', 'NEAR(alpha beta, 1) OR "gamma delta"',
+    'subject : NEAR("alpha beta" gamma, 2)', 'NEAR(alpha gamma, 150)', 'NEAR("alpha beta" gamma delta, 120)', "NEAR(alpha)", 'NEAR("alpha beta", 3)',
+]
+
+
+@pytest.mark.parametrize("kind", ["plain", "porter"])
+def test_near_phrases_against_sqlite(spark, tmp_path, kind):
+    """Hits and scores of expressions with phrases of one to three words, scanned and indexed."""
+    con = sqlite3.connect(":memory:")
+    con.execute(f"create virtual table f using fts5(subject, from_name, from_address, body_text, attachment_names, attachment_text, tokenize='{'porter ' * (kind == 'porter')}unicode61')")
+    con.executemany("insert into f(rowid, subject, body_text) values (?, ?, ?)", CLOSE_DOCS)
+    docs = spark.createDataFrame(CLOSE_DOCS, "id long, subject string, body_text string").cache()
+    index = KeywordIndex.build(docs, f"file://{tmp_path}", kind)
+    for query in CLOSE_QUERIES:
+        want = dict(con.execute("select rowid, bm25(f) from f where f match ?", (query,)))
+        if " NOT NEAR" in query:
+            # Where an excluded expression has all its words in a row but not its phrase, SQLite counts what the row before has
+            # left in the expression's lists: 83 of 212 hits here. The hits are held to it, the scores to those of the part before NOT.
+            before = dict(con.execute("select rowid, bm25(f) from f where f match ?", (query.split(" NOT ")[0],)))
+            want = {i: before[i] for i in want}
+        assert want, query
+        for got in (K.match(docs, query, analyser=kind), K.match(None, query, index)):
+            got = {r.id: r.score for r in got.collect()}
+            assert set(got) == set(want), query
+            assert all(got[i] == pytest.approx(s, rel=1e-6, abs=2e-9) for i, s in want.items()), query
 
 
 def test_stored_index_and_updates(spark, tmp_path):
@@ -121,8 +152,7 @@ def test_porter_against_sqlite(spark, tmp_path, query):
     index = KeywordIndex.open(spark, KeywordIndex.build(docs, f"file://{tmp_path}", "porter") and f"file://{tmp_path}")
     assert index.analyser == "porter" and {r.id: r.score for r in K.match(None, query, index).collect()} == scanned
     assert want and set(scanned) == set(want)
-    if "NEAR" not in query:
-        assert all(scanned[i] == pytest.approx(s, rel=1e-6, abs=2e-9) for i, s in want.items())
+    assert all(scanned[i] == pytest.approx(s, rel=1e-6, abs=2e-9) for i, s in want.items())
 
 
 def test_archive_search_stems(spark, tmp_path):
