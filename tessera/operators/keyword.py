@@ -424,7 +424,7 @@ def match(docs: DataFrame | None, query: str | Op | Phrase | Near, index=None, a
     return rows.select("id", F.round(-sum((part(k) for k in number), F.lit(0.0)), 9).alias("score"))
 
 
-def search(docs: DataFrame | None, query: str, limit: int = 20, keep: DataFrame | None = None, index=None, analyser: str = "plain") -> DataFrame:
+def search(docs: DataFrame | None, query: str | Op | Phrase | Near, limit: int = 20, keep: DataFrame | None = None, index=None, analyser: str = "plain") -> DataFrame:
     """The `limit` best documents among those of keep (live and filtered ones), which leaves the counts as they are."""
     hits = match(docs, query, index, analyser)
     if keep is not None:

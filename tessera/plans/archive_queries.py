@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import attachment_kinds as kinds
-from tessera.operators import archive, fusion, health, ingest, keyword, ocr, vectors
+from tessera.operators import archive, batch_search, evalkit, fusion, health, ingest, keyword, ocr, vectors
 from tessera.operators.archive import stamp
 from tessera.operators.filters import SearchFilters, apply_filters, live, parse_date
 from tessera.operators.index import KeywordIndex
@@ -373,6 +373,56 @@ HYBRID = (
 )
 
 
+WORDS_OF = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')".format
+SCORE = "round(-sum(m * (case when ln((n - df + 0.5::double) / (df + 0.5::double)) > 0 then ln((n - df + 0.5::double) / (df + 0.5::double)) else 1e-6 end) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * len / avglen))), 9)"
+EVAL_SEARCH = (
+    ctes(M, C) + TOKENS + f", qt as (select item_id as q, term, count(*) as m from (select item_id, unnest({WORDS_OF('text')}) as term from benchmark) group by all), "
+    "tfs as (select id, term, count(*) as tf from tok where term in (select term from qt) group by all), dfs as (select term, count(*) as df from tfs group by term), "
+    "sizes as (select m.id, count(t.id) as len from messages m left join tok t on t.id = m.id group by m.id), stats as (select count(*) as n, avg(len) as avglen from sizes), "
+    f"kws as (select q, id, {SCORE} as score from qt join tfs using (term) join dfs using (term) join sizes using (id) cross join stats where id in (select id from messages where deleted_at is null) group by q, id), "
+    "kwr as (select q, id, row_number() over (partition by q order by score, id) as rank from kws qualify rank <= 50), "
+    "away as (select b.item_id as q, c.id as chunk_id, c.message_id, round(list_distance(c.embedding::double[], e.embedding::double[]), 6) as distance from benchmark b join embeddings e on e.vec_id = b.item_id cross join chunks c where c.message_id in (select id from messages where deleted_at is null)), "
+    "near as (select q, message_id as id, arg_min(chunk_id, (distance, chunk_id)) as chunk_id, min(distance) as distance from away group by 1, 2), "
+    "ver as (select q, id, row_number() over (partition by q order by distance, chunk_id) as rank from near qualify rank <= 50), "
+    "fused as (select coalesce(k.q, v.q) as q, coalesce(k.id, v.id) as id, k.rank as kr, v.rank as vr, round(coalesce(1.0::double / (60 + k.rank), 0) + coalesce(1.0::double / (60 + v.rank), 0), 12) as score from kwr k full join ver v on k.q = v.q and k.id = v.id), "
+    "hyr as (select q, id, row_number() over (partition by q order by score desc, kr nulls last, vr nulls last, id) as rank from fused), "
+    "ranked as (select 'keyword' as mode, q, id, rank from kwr union all select 'semantic', q, id, rank from ver union all select 'hybrid', q, id, rank from hyr), "
+    "gold as (select b.item_id as q, d.id from messages d join benchmark b on contains(d.body_text, b.text) where d.deleted_at is null), golds as (select q, count(*) as n from gold group by q), "
+    "hits as (select r.mode, r.q, sum(1.0::double / log2(r.rank + 1)) as dcg, min(r.rank) as first, count(*) as n from ranked r join gold g on g.q = r.q and g.id = r.id where r.rank <= 10 group by all) "
+    "select m.mode, 'q' || g.q as query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(g.n, 10) + 1), lambda i: 1.0::double / log2(i + 1))), 9) as ndcg, "
+    "round(coalesce(1.0::double / first, 0), 9) as mrr, round(coalesce(h.n, 0) / g.n::double, 9) as recall "
+    "from golds g cross join (values ('keyword'), ('semantic'), ('hybrid')) m(mode) left join hits h on h.mode = m.mode and h.q = g.q"
+)
+
+
+def kept(t, df: DataFrame, name: str) -> DataFrame:
+    """A result that is read more than once, written to the shared folder."""
+    path = scratch_path(t.spark, name)
+    df.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query()
+def eval_search(t):
+    """Real searches of all benchmark items in three modes, against the messages that hold the item's text; a pass a leg."""
+    k, alive = 10, live(t.wide.messages)
+    items = {f"q{r.item_id}": r.text or "" for r in t.benchmark.select("item_id", "text").collect()}  # the stated query set
+    points = {f"q{r.vec_id}": r.embedding for r in t.embeddings.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi").collect()}
+    kw = kept(t, batch_search.keyword_block(t.wide.messages, {n: keyword.or_of_words(x) for n, x in items.items()}, fusion.LEG, live(t.messages)), "kw")
+    vec = kept(t, batch_search.semantic_block(t.chunks, live(t.messages), points, fusion.LEG), "vec")
+    gold = kept(t, batch_search.containing(alive, items).select("query_id", F.col("id").alias("message_id"), F.lit(1.0).alias("grade")), "gold")
+    hybrid = kept(t, batch_search.hybrid_block(kw, vec, k).select("query_id", F.col("id").alias("message_id"), "rank"), "hybrid")
+    ranked = {"keyword": kw.select("query_id", F.col("id").alias("message_id"), F.col("kw_rank").alias("rank")), "semantic": vec.select("query_id", "message_id", F.col("vec_rank").alias("rank")), "hybrid": hybrid}
+    out = None
+    for mode, rows in ranked.items():
+        scores = evalkit.ndcg(rows, gold, k).join(evalkit.mrr(rows, gold, k), "query_id").join(evalkit.recall(rows, gold, k), "query_id").select(F.lit(mode).alias("mode"), "query_id", "ndcg", "mrr", "recall")
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+ORACLES["eval_search"] = EVAL_SEARCH
+
+
 @query()
 def hybrid_search(t):
     return fusion.hybrid_search(t.wide.messages, live(t.messages), t.chunks, "the of onble", vec(t, 11))

@@ -71,6 +71,22 @@ def test_evaluation(store):
     assert out["ndcg"].first().ndcg == 1.0 and out["mrr"].first().mrr == 1.0 and out["recall"].first().recall == 1.0
 
 
+@pytest.mark.parametrize("mode", ["keyword", "semantic", "hybrid"])
+def test_many_queries_rank_as_each_alone(store, mode, monkeypatch):
+    """Blocks of two queries, expressions, filters and an empty query among them."""
+    from tessera.operators import batch_search
+
+    monkeypatch.setattr(batch_search, "BLOCK", 2)
+    said = ["the of", "the the nere onble", "of AND the", "nowhere0", "", "onble"]
+    qs = [{"query_id": f"q{i}", "query": q, "relevant": [{"message_id": "3@docs", "grade": 1.0}], "folder": "src3" if i in (4, 5) else None} for i, q in enumerate(said)]
+    got = {(r.query_id, r.message_id, r["rank"]) for r in store.evaluate(qs, mode, 7)["ranked"].collect()}
+    want = set()
+    for q in qs:
+        hits = store.search(q["query"], mode, SearchFilters(folder=q["folder"]), 7).collect()
+        want |= {(q["query_id"], r.message_id, r["rank"]) for r in hits}
+    assert got == want
+
+
 def test_commands(spark, store, tmp_path, capsys):
     import json
 
