@@ -15,6 +15,7 @@ from tessera.operators import vectors
 from tessera.operators.filters import SearchFilters, parse_date
 from tessera.session import get_session
 from tessera.sources import readers
+from tessera.sources.versions import VersionLog
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("rebuild-index", help="write the keyword index").add_argument("path")
     purge = commands.add_parser("purge-deleted", help="drop what was deleted some days ago")
     purge.add_argument("--days", type=int, default=30)
+    vacuum = commands.add_parser("vacuum", help="delete what only old versions of the tables name")
+    vacuum.add_argument("--keep", type=int, default=2)
+    vacuum.add_argument("--hours", type=float, default=24)
     ingest = commands.add_parser("ingest", help="parse a mail folder and print what was found")
     ingest.add_argument("maildir")
     return out
@@ -57,15 +61,16 @@ def run(args: argparse.Namespace, archive: Archive) -> DataFrame:
     if args.command == "audit-embeddings":
         return archive.vectors().groupBy(vectors.audit_class(F.col("embedding")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
     if args.command == "rebuild-bodies":
-        readers.publish(archive.rebuild_bodies(), f"{args.root}/messages")
-        return Archive.open(archive.spark, args.root).status()
+        return Archive.change(archive.spark, args.root, lambda now: {"messages": now.rebuild_bodies()}).status()
     if args.command == "rebuild-index":
         archive.build_index(args.path)
         return archive.status()
     if args.command == "purge-deleted":
-        for name, df in archive.purge(dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(days=args.days)).items():
-            readers.publish(df, f"{args.root}/{name}")
-        return Archive.open(archive.spark, args.root).status()
+        before = dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(days=args.days)
+        return Archive.change(archive.spark, args.root, lambda now: now.purge(before)).status()
+    if args.command == "vacuum":
+        gone = VersionLog(archive.spark, args.root).vacuum(args.keep, args.hours * 3600)
+        return archive.spark.createDataFrame([(g,) for g in gone], "deleted string")
     if args.command == "ingest":
         return readers.parse_mail(readers.maildir(archive.spark, args.maildir)).drop("body_html")
     return {"folders": archive.folders, "status": archive.status, "doctor": archive.doctor}[args.command]()

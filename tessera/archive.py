@@ -14,7 +14,7 @@ from tessera.functions import parsing, text
 from tessera.operators import archive, batch_search, evalkit, fusion, ingest, keyword, ocr, vectors
 from tessera.operators.filters import SearchFilters, apply_filters, clamp_limit, live, parse_date
 from tessera.operators.index import KeywordIndex
-from tessera.sources import readers
+from tessera.sources.versions import VersionLog
 
 MODES = ("keyword", "semantic", "hybrid")
 PAGE_DEFAULT, PAGE_MAX = 50_000, 200_000
@@ -42,14 +42,23 @@ class Archive:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **options) -> Archive:
-        """The current versions of the tables below a root."""
-        return cls(spark, {t: readers.current(spark, f"{root}/{t}") for t in TABLES}, **options)
+        """The tables of one version below a root, the latest."""
+        log = VersionLog(spark, root)
+        at = log.snapshot()
+        return cls(spark, {t: log.read(t, at) for t in TABLES}, **options)
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, tables: dict[str, DataFrame] | None = None, **options) -> Archive:
-        """Publish tables, those not given as empty ones."""
-        for name, schema in TABLES.items():
-            readers.publish((tables or {}).get(name) or spark.createDataFrame([], schema), f"{root}/{name}")
+        """Publish tables as one version, those not given as empty ones."""
+        given = tables or {}
+        VersionLog(spark, root).update(lambda at: {n: given[n] if n in given else spark.createDataFrame([], s) for n, s in TABLES.items()})
+        return cls.open(spark, root, **options)
+
+    @classmethod
+    def change(cls, spark: SparkSession, root: str, how: Callable[[Archive], dict[str, DataFrame]], **options) -> Archive:
+        """Publish the tables that `how` makes of the latest version, all at once; made anew where another writer came first."""
+        log = VersionLog(spark, root)
+        log.update(lambda at: how(cls(spark, {t: log.read(t, at) for t in TABLES}, **options)))
         return cls.open(spark, root, **options)
 
     def __getattr__(self, name: str) -> DataFrame:

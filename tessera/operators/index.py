@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import keyword
-from tessera.sources import readers
+from tessera.sources.versions import Conflict, VersionLog
 
 #: Runs of one level that are merged into one of the next; the level of the run that build() writes.
 FANOUT, BASE = 4, 99
-RUNS = "number int, name string, level int"
+#: Ids of a change that are looked up by value, so that row groups without them are not read; more are joined.
+LOOKED_UP, TRIES = 1000, 20
 
 
 @dataclass(frozen=True)
@@ -22,9 +24,10 @@ class KeywordIndex:
     """Postings with each document's length, the number of documents and their mean length; analyser is what made the terms.
 
     The index is a log of runs, oldest first. A run holds the postings and lengths of some documents and the ids (gone) of
-    which all older runs count no more: those it indexes anew and those deleted. So a change costs what it changes. Runs of
-    one level are merged, FANOUT at a time; once changes outgrow half of what build() wrote, everything is. A manifest, published
-    last, names the runs: one that breaks off leaves the index as it was.
+    which all older runs count no more: those it indexes anew and those deleted. So a change costs what it changes, and a lookup of
+    the lengths it takes back. Runs of one level are merged, FANOUT at a time; once changes outgrow half of what build() wrote,
+    everything is. The runs, and the two sums over documents, are facts of a version (see sources.versions): a change that breaks
+    off leaves the index as it was, and of two changes at once the second is put on top of the first.
     """
 
     postings: DataFrame
@@ -39,37 +42,58 @@ class KeywordIndex:
         """Index all documents as one run. What the path held before counts no more."""
         spark = docs.sparkSession
         name = _write(docs, keyword.postings(docs, analyser=analyser), docs.limit(0).select("id"), path)
-        return _publish(spark, path, analyser, ((name, BASE),))
+        n, total = _sums(_read(spark, path, name, "documents"))
+        return _publish(spark, path, lambda facts: {"runs": [[name, BASE]], "analyser": analyser, "n": n, "total": total})
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
-        said = readers.current(spark, f"{path}/manifest").orderBy("number").collect()
-        return _opened(spark, path, said[0].analyser, tuple((r.name, r.level) for r in said))
+        facts = VersionLog(spark, path).snapshot().facts
+        if not facts:
+            raise FileNotFoundError(f"no index at {path}")
+        return _opened(spark, path, facts)
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None) -> KeywordIndex:
-        """Documents of `changed` are indexed anew, those of deleted (id) are gone."""
+        """Documents of `changed` are indexed anew, those of deleted (id) are gone; on top of what others have made of it since."""
         spark = changed.sparkSession
         gone = changed.select("id") if deleted is None else changed.select("id").union(deleted.select("id"))
         name = _write(changed, keyword.postings(changed, analyser=self.analyser), gone.distinct(), self.path)
-        runs = [*self.runs, (name, 0)]
-        while len(runs) > FANOUT and len({level for _, level in runs[-FANOUT:]}) == 1:
-            runs[-FANOUT:] = [(self._merge(spark, runs[-FANOUT:]), runs[-1][1] + 1)]
-        size = lambda some: sum(_read(spark, self.path, name, "documents").count() for name, _ in some)
-        if len(runs) > 1 and size(runs[1:]) * 2 > size(runs[:1]):
-            runs = [(self._merge(spark, runs), BASE)]
-        return _publish(spark, self.path, self.analyser, tuple(runs))
-
-    def _merge(self, spark: SparkSession, runs: list[tuple[str, int]]) -> str:
-        """The runs as one. It still hides what older runs say of their ids, unless there are none."""
-        gone = reduce(DataFrame.union, (_read(spark, self.path, name, "gone") for name, _ in runs)).distinct()
-        whole = runs[0] == self.runs[0]
-        docs = _live(spark, self.path, runs, "documents")
-        return _write(docs, _live(spark, self.path, runs, "postings"), gone.limit(0) if whole else gone, self.path)
+        new = _sums(_read(spark, self.path, name, "documents"))
+
+        def with_run(facts: dict) -> dict:
+            runs = [tuple(r) for r in facts["runs"]]
+            old = _sums(_of_ids(_live(spark, self.path, runs, "documents"), _read(spark, self.path, name, "gone")))
+            sums = {k: facts[k] - o + a for k, o, a in zip(("n", "total"), old, new, strict=True)}
+            runs.append((name, 0))
+            while len(runs) > FANOUT and len({level for _, level in runs[-FANOUT:]}) == 1:
+                runs[-FANOUT:] = [(_merge(spark, self.path, runs[-FANOUT:], len(runs) == FANOUT), runs[-1][1] + 1)]
+            size = lambda some: sum(_read(spark, self.path, run, "documents").count() for run, _ in some)
+            if len(runs) > 1 and size(runs[1:]) * 2 > size(runs[:1]):
+                runs = [(_merge(spark, self.path, runs, True), BASE)]
+            return {**facts, **sums, "runs": [list(r) for r in runs]}
+
+        return _publish(spark, self.path, with_run)
 
     def cache(self) -> KeywordIndex:
         return replace(self, postings=self.postings.cache())
 
 
+def _merge(spark: SparkSession, path: str, runs: list[tuple[str, int]], whole: bool) -> str:
+    """The runs as one. It still hides what older runs say of their ids, unless these are all."""
+    gone = reduce(DataFrame.union, (_read(spark, path, name, "gone") for name, _ in runs)).distinct()
+    docs = _live(spark, path, runs, "documents")
+    return _write(docs, _live(spark, path, runs, "postings"), gone.limit(0) if whole else gone, path)
+
+
+def _sums(documents: DataFrame) -> tuple[int, int]:
+    said = documents.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).first()
+    return said.n, said.total or 0
+
+
+def _of_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    few = [r.id for r in ids.limit(LOOKED_UP + 1).collect()]
+    return documents.filter(F.col("id").isin(few)) if len(few) <= LOOKED_UP else documents.join(ids, "id", "left_semi")
+
+
 def _read(spark: SparkSession, path: str, name: str, part: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}/{part}")
 
@@ -80,7 +104,7 @@ def _write(docs: DataFrame, postings: DataFrame, gone: DataFrame, path: str) ->
     postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/{name}/postings")
     gone.write.parquet(f"{path}/{name}/gone")
     sizes = _read(spark, path, name, "postings").groupBy("id").agg(F.max("len").alias("len"))
-    docs.select("id").join(sizes, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")).write.parquet(f"{path}/{name}/documents")
+    docs.select("id").join(sizes, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")).sortWithinPartitions("id").write.parquet(f"{path}/{name}/documents")
     return name
 
 
@@ -95,12 +119,21 @@ def _live(spark: SparkSession, path: str, runs, part: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _opened(spark: SparkSession, path: str, analyser: str, runs: tuple[tuple[str, int], ...]) -> KeywordIndex:
-    sizes = _live(spark, path, runs, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total")).first()
-    return KeywordIndex(_live(spark, path, runs, "postings"), sizes.n, (sizes.total or 0) / max(sizes.n, 1), analyser, path, runs)
-
-
-def _publish(spark: SparkSession, path: str, analyser: str, runs: tuple[tuple[str, int], ...]) -> KeywordIndex:
-    rows = [(k, name, level, analyser) for k, (name, level) in enumerate(runs)]
-    readers.publish(spark.createDataFrame(rows, f"{RUNS}, analyser string").coalesce(1), f"{path}/manifest")
-    return _opened(spark, path, analyser, runs)
+def _opened(spark: SparkSession, path: str, facts: dict) -> KeywordIndex:
+    runs = tuple((name, level) for name, level in facts["runs"])
+    return KeywordIndex(_live(spark, path, runs, "postings"), facts["n"], facts["total"] / max(facts["n"], 1), facts["analyser"], path, runs)
+
+
+def _publish(spark: SparkSession, path: str, change: Callable[[dict], dict]) -> KeywordIndex:
+    """Commit what `change` makes of the latest facts, made anew where another writer came first."""
+    log = VersionLog(spark, path)
+    for k in range(TRIES):
+        at = log.snapshot()
+        facts = change(at.facts)
+        try:
+            log.commit({}, at, facts)
+            break
+        except Conflict:
+            if k == TRIES - 1:
+                raise
+    return _opened(spark, path, facts)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import posixpath
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions.parsing import indexable_parts, parse_message
+from tessera.sources.versions import current, publish  # noqa: F401  where tables are read and written
 
 PARSED = f"message_id string, thread_id string, subject string, from_address string, from_name string, to_addresses {schemas.ADDRESS}, cc_addresses {schemas.ADDRESS}, date_sent_raw string, body_text string, body_html string, size_bytes long, content_hash string, attachments array<struct<part_index:int,filename:string,content_type:string,size_bytes:long>>"
 
@@ -178,17 +178,5 @@ def label_of(c: Column, default: float = 1.0) -> tuple[Column, Column]:
     return F.when(graded, F.regexp_extract(c, form, 1)).otherwise(c), F.when(graded, F.regexp_extract(c, form, 2).cast("double")).otherwise(default)
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Write a new version beside the others and only then name it as the current one."""
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{root}/v-{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
-    return version
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v-{spark.read.parquet(f'{root}/current').first()[0]}")
-
-
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
