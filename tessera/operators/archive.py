@@ -100,3 +100,16 @@ def rollup_text(attachments: DataFrame) -> DataFrame:
     """Names and texts of each message's attachments, joined by a space in order of their part."""
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("part_index", F.col(c).alias("v"))))), lambda x: x["v"]), " ")
     return attachments.groupBy("message_id").agg(joined("filename").alias("attachment_names"), joined("extracted_text").alias("attachment_text"))
+
+
+def rollups(attachments: DataFrame, messages: DataFrame) -> DataFrame:
+    """Counts of attachments by folder, by status, by engine, by folder and month, and of all, in one pass over one join.
+
+    sets tells which of the columns a row is grouped by: bit by bit 0, from the left, where it is.
+    """
+    of = messages.filter("deleted_at is null").select(F.col("id").alias("message_id"), "folder", F.date_format("date_sent", "yyyy-MM").alias("month"))
+    rows = attachments.join(of, "message_id").select("message_id", "folder", F.coalesce("extraction_status", F.lit("pending")).alias("status"), F.coalesce("ocr_model", F.lit("none")).alias("engine"), "month", "size_bytes")
+    keys = ["folder", "status", "engine", "month"]
+    sets = [[F.col(k) for k in some] for some in (["folder"], ["status"], ["engine"], ["folder", "month"], [])]
+    counts = [F.count(F.lit(1)).alias("attachments"), F.count_distinct("message_id").alias("messages"), F.sum("size_bytes").alias("bytes")]
+    return rows.groupingSets(sets, *keys).agg(F.grouping_id().cast("long").alias("sets"), *counts)

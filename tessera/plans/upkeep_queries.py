@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parsing
 from tessera.functions.embedding import InputTooLong
-from tessera.operators import archive, health, ingest, ocr, vectors
+from tessera.operators import archive, health, ingest, intervals, ocr, vectors
 from tessera.operators.archive import stamp
-from tessera.plans.archive_queries import ORACLES, QUERIES, A, C, M, S, query, scratch_path, when
+from tessera.plans.archive_queries import ORACLES, QUERIES, A, C, M, S, kept, query, scratch_path, when
 from tessera.sources import readers
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -170,3 +170,61 @@ def deletion_vetoes(t):
     rows = t.sync_state.filter("folder is not null").groupBy("folder")
     counts = rows.agg(seen.alias("seen"), F.count(F.lit(1)).alias("tracked"), F.count_if(F.col("file_size") % 97 == 0).alias("failures"))
     return counts.select("folder", ingest.vetoed(F.col("seen"), F.col("tracked"), F.col("failures")).alias("vetoed"))
+
+
+BEAT = "event_type = 'signup'"
+SERVICE = "case when user_id % 3 = 0 then 0 else user_id % 7 end"
+
+
+@query(f"select e.event_id, b.beat, epoch(e.ts - b.ts) <= 3 * 3600 as alive from (select *, {SERVICE} as service from events where not {BEAT}) e asof left join (select {SERVICE} as service, ts, event_id as beat from events where {BEAT}) b on e.service = b.service and e.ts >= b.ts")
+def last_heartbeat(t):
+    """Every event with the latest heartbeat of its service at or before it; one service has a third of all."""
+    rows = t.events.withColumn("service", F.expr(SERVICE))
+    beats = rows.filter(BEAT).select("service", "ts", F.col("event_id").alias("beat"), F.col("ts").alias("beat_ts"))
+    out = intervals.as_of(rows.filter(f"not {BEAT}").select("event_id", "service", "ts"), beats, "service", "ts", ["beat", "beat_ts"], lambda df, name: kept(t, df, name))
+    age = F.col("ts").cast("timestamp").cast("double") - F.col("beat_ts").cast("timestamp").cast("double")
+    return out.select("event_id", "beat", (age <= health.STALE_BEATS * 3600).alias("alive"))
+
+
+SCANS = "select event_id as scan, ts as began, ts + make_interval(0, 0, 0, 0, 0, cast(10 * power(2, event_id % 14) as int), 0) as ended from {events} where event_id % 40 = 0"
+
+
+@query("select scan, count(*)::bigint as files, min(message_id) as first_id, sum(file_size)::bigint as bytes from sync_state s join (select event_id as scan, ts as began, ts + to_minutes((10 * power(2, event_id % 14))::bigint) as ended from events where event_id % 40 = 0) e on s.file_mtime_utc between began and ended group by scan", S)
+def files_of_scans(t):
+    """Which files changed while a scan ran, for scans of ten minutes to months."""
+    scans = t.spark.sql(SCANS, events=t.events)
+    met = intervals.in_intervals(t.sync_state, scans, "file_mtime_utc", "began", "ended")
+    return met.groupBy("scan").agg(F.count(F.lit(1)).alias("files"), F.min("message_id").alias("first_id"), F.sum("file_size").alias("bytes"))
+
+
+@query("select folder, status, engine, month, grouping(folder, status, engine, month)::bigint as sets, count(*)::bigint as attachments, count(distinct message_id)::bigint as messages, sum(size_bytes)::bigint as bytes from (select a.message_id, folder, coalesce(extraction_status, 'pending') as status, coalesce(ocr_model, 'none') as engine, strftime(date_sent, '%Y-%m') as month, a.size_bytes from attachments a join messages m on m.id = a.message_id where deleted_at is null) group by grouping sets ((folder), (status), (engine), (folder, month), ())", A, M)
+def archive_rollups(t):
+    return archive.rollups(t.attachments, t.messages)
+
+
+@query("select event_id, case when event_id % 7 <> 0 and (value * 1000)::bigint <= 20000 then (value * 1000)::bigint end as elapsed_ms from events")
+def timed_calls(t):
+    """Every event as a call in a log and, for most, a line that it has ended, read as a stream: a call with its end within 20 s.
+
+    The log comes in files of no order. A second run goes on from the checkpoint of the first and moves the time on, by which
+    calls without an end come out.
+    """
+    from tessera.streaming import pipelines
+
+    root = scratch_path(t.spark, "timed")
+    ms = F.expr("cast(round(value * 1000) as bigint)")
+    stamp_of = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    call = F.concat(stamp_of(F.col("ts")), F.lit(" INF mcp-call search {\"id\": "), F.col("event_id").cast("string"), F.lit("}"))
+    done = F.concat(stamp_of(F.col("ts") + F.expr("make_dt_interval(0, 0, 0, value)")), F.lit(" INF mcp-tool tool=search id="), F.col("event_id").cast("string"), F.lit(" elapsedMs="), ms.cast("string"))
+    lines = t.events.select(F.explode(F.array(call, F.when(F.expr("event_id % 7 <> 0"), done))).alias("value")).filter("value is not null")
+    lines.repartition(6, F.xxhash64("value")).write.text(f"{root}/log")
+
+    def run() -> None:
+        logs = [t.spark.readStream.option("maxFilesPerTrigger", 4).text(f"{root}/log") for _ in range(2)]
+        pipelines.append_to(pipelines.timed_calls(*logs, bound="20 seconds", late="60 days"), f"{root}/out", f"{root}/checkpoint")
+
+    run()
+    last = "2030-01-01T00:00:00Z INF mcp-call search {\"id\": -1}", "2030-01-01T00:00:30Z INF mcp-tool tool=search id=-1 elapsedMs=0"
+    t.spark.createDataFrame([(x,) for x in last], "value string").coalesce(1).write.mode("append").text(f"{root}/log")
+    run()
+    return t.spark.read.schema("id long, elapsed_ms long").parquet(f"{root}/out").filter("id >= 0").select(F.col("id").alias("event_id"), "elapsed_ms")

@@ -120,6 +120,15 @@ def tool_calls(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(dated | timed).select(*rest, ts.alias("ts"), seconds.alias("seconds"), part(2).alias("tool"), part(3).alias("args"))
 
 
+END = r"^(\S+) .*\bmcp-tool tool=(\w+) id=(-?\d+) elapsedMs=([\d.]+)\s*$"
+
+
+def call_ends(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(ts, tool, id, elapsed_ms) of the log lines that record a call's end."""
+    part = lambda k: F.regexp_extract(column, END, k)
+    return lines.filter(F.col(column).rlike(END)).select(F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("tool"), part(3).cast("long").alias("id"), part(4).cast("double").alias("elapsed_ms"))
+
+
 def call_lines(calls: DataFrame) -> DataFrame:
     """(value): the log lines of (ts, tool, args, elapsed_ms), the call and how long it took; tool_calls() reads the first."""
     ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.embedding import Model, embedder
+from tessera.sources import readers
 
 STRIKES = 3
 
@@ -98,3 +99,21 @@ def coalesced_scans(requests: DataFrame, scan: Callable[[], None], checkpoint: s
 def debounce(stream: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
     """Sessions of events closer than the gap, emitted once the watermark has passed them."""
     return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("started"), "n")
+
+
+def timed_calls(calls: DataFrame, ends: DataFrame, bound: str, late: str) -> DataFrame:
+    """(id, elapsed_ms) of each call in a stream of log lines, with the end of the same id at most `bound` later; null without one.
+
+    Lines may come up to `late` out of order. Behind that both sides' state is dropped and calls without an end come out.
+    """
+    begun = readers.tool_calls(calls).select(F.get_json_object("args", "$.id").cast("long").alias("id"), "ts").withWatermark("ts", late)
+    ended = readers.call_ends(ends).select(F.col("id").alias("end_id"), F.col("ts").alias("end_ts"), "elapsed_ms").withWatermark("end_ts", late)
+    within = (F.col("id") == F.col("end_id")) & (F.col("end_ts") >= F.col("ts")) & (F.col("end_ts") <= F.col("ts") + F.expr(f"interval {bound}"))
+    return begun.join(ended, within, "left_outer").select("id", F.col("elapsed_ms").cast("long").alias("elapsed_ms"))
+
+
+def append_to(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append what a stream makes of all there is to a Parquet table, and stop; the query tells of its progress."""
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
