@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import ingestion
 from tessera.archive import MODES, Archive
 from tessera.operators import vectors
 from tessera.operators.filters import SearchFilters, parse_date
@@ -43,8 +44,9 @@ def parser() -> argparse.ArgumentParser:
     vacuum = commands.add_parser("vacuum", help="delete what only old versions of the tables name")
     vacuum.add_argument("--keep", type=int, default=2)
     vacuum.add_argument("--hours", type=float, default=24)
-    ingest = commands.add_parser("ingest", help="parse a mail folder and print what was found")
+    ingest = commands.add_parser("ingest", help="parse a mail folder and print what was found; with --publish bring the archive up to it")
     ingest.add_argument("maildir")
+    ingest.add_argument("--publish", action="store_true")
     return out
 
 
@@ -71,6 +73,8 @@ def run(args: argparse.Namespace, archive: Archive) -> DataFrame:
     if args.command == "vacuum":
         gone = VersionLog(archive.spark, args.root).vacuum(args.keep, args.hours * 3600)
         return archive.spark.createDataFrame([(g,) for g in gone], "deleted string")
+    if args.command == "ingest" and args.publish:
+        return ingestion.counts(ingestion.ingest_maildir(archive.spark, args.root, args.maildir))
     if args.command == "ingest":
         return readers.parse_mail(readers.maildir(archive.spark, args.maildir)).drop("body_html")
     return {"folders": archive.folders, "status": archive.status, "doctor": archive.doctor}[args.command]()

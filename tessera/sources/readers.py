@@ -29,9 +29,13 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(leaf != "", F.concat_ws("/", folder_name(path, root), leaf))
 
 
+#: Local files without checksum files, whose names Hadoop can't make for names with colons, as mail that has been read has.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def maildir(spark: SparkSession, root: str) -> DataFrame:
     """(path, folder, mtime, size, content) of the messages below a root; unfinished deliveries in tmp are no messages."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", **PLAIN_FILES).load(root)
     mail = files.filter(F.col("path").rlike("/(cur|new)/[^/]+$"))
     return mail.select("path", folder_name(F.regexp_replace("path", "^file:/*", "/"), root).alias("folder"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
