@@ -132,6 +132,14 @@ def space_conflict(stored: dict[str, str | None], wanted: dict[str, str]) -> str
     return next((k for k, v in wanted.items() if stored.get(k) not in (None, v)), None)
 
 
+def space_conflicts(drift: Column, stored: dict[str, Column], wanted: dict[str, str]) -> Column:
+    """space_conflict() of columns."""
+    out = F.when(F.coalesce(drift, F.lit("")) != "", F.lit("drift"))
+    for key, value in wanted.items():
+        out = out.when(stored[key].isNotNull() & (stored[key] != value), F.lit(key))
+    return out
+
+
 def apply_values(current: DataFrame, changes: DataFrame) -> DataFrame:
     """(key, value) after changes (key, value, at): the latest of a key counts, and a null value deletes it."""
     last = changes.groupBy("key").agg(F.max_by("value", "at").alias("value"))

@@ -333,10 +333,15 @@ def vector_blob(t):
     return t.embeddings.select("vec_id", "embedding", blob.alias("blob")).select("vec_id", F.octet_length("blob").alias("n_bytes"), (back == F.col("embedding")).alias("same"))
 
 
-@query("select * from (values ('absent', null), ('same', null), ('other', 'model'), ('drift', 'drift')) v(state, conflict)")
+SPACES = "select label, case when label % 5 > 0 then concat('model-', cast(label % 2 as string)) end as model, cast(max({size}) as string) as dims, case when count(*) % 3 = 0 then 'moved' end as drift from {embeddings} group by label"
+
+
+@query(f"select label, case when drift is not null then 'drift' when model is not null and model <> 'model-1' then 'model' when dims <> '64' then 'dims' end as conflict from ({SPACES.format(size='len(embedding)', embeddings='embeddings')}) x")
 def space_guard(t):
-    cases = [("absent", {}), ("same", {"model": "m", "dims": "64"}), ("other", {"model": "x", "dims": "64"}), ("drift", {"drift": "1", "model": "m"})]
-    return t.spark.createDataFrame([(n, ingest.space_conflict(s, {"model": "m", "dims": "64"})) for n, s in cases], "state string, conflict string")
+    """Which labels' vectors must not be searched with a query of another model, by what is stored of them."""
+    stored = t.spark.sql(SPACES.replace("{size}", "size(embedding)"), embeddings=t.embeddings)
+    conflict = ingest.space_conflicts(F.col("drift"), {"model": F.col("model"), "dims": F.col("dims")}, {"model": "model-1", "dims": "64"})
+    return stored.select("label", conflict.alias("conflict"))
 
 
 @query("select vec_id, round(list_cosine_similarity(embedding::double[], case when vec_id % 50 = 0 then list_reverse(embedding::double[]) else embedding::double[] end), 6) < 0.999 as drifted from embeddings")

@@ -264,13 +264,18 @@ def eval_worst(t):
     return evalkit.ndcg(ranked(t), t.qrels, K).filter(F.col("ndcg") < evalkit.VERBOSE_BELOW).orderBy("ndcg", "query_id").limit(20)
 
 
-@query("select * from (values ('a', 'x', null, false, 'm1', 1.0::double), ('a', 'x', null, false, 'm2', 2.0::double), ('b', 'y', 'INBOX', true, null, null)) v(query_id, query, folder, expect_empty, message_id, grade)")
+@query("select 'q' || item_id as query_id, text as query, case when item_id % 3 = 0 then 'src' || item_id % 20 end as folder, item_id % 4 = 0 as expect_empty, case when item_id % 4 > 0 then (item_id + k) || '@docs' end as message_id, case when item_id % 4 > 0 then 1.0::double + k end as grade from benchmark cross join (values (0), (1)) x(k) where item_id % 4 > 0 or k = 0")
 def eval_queryset(t):
+    """All benchmark items as a labelled query set: written as its JSON, read back and checked."""
     import json
 
     from tessera.sources.readers import query_set
 
-    text = json.dumps({"queries": [{"id": "a", "query": "x", "relevant": ["m1", {"messageId": "m2", "grade": 2}]}, {"id": "b", "query": "y", "expectEmpty": True, "filters": {"folder": "INBOX"}}]})
+    def entry(r):
+        gold = {"expectEmpty": True} if r.item_id % 4 == 0 else {"relevant": [f"{r.item_id}@docs", {"messageId": f"{r.item_id + 1}@docs", "grade": 2}]}
+        return {"id": f"q{r.item_id}", "query": r.text, **gold, **({"filters": {"folder": f"src{r.item_id % 20}"}} if r.item_id % 3 == 0 else {})}
+
+    text = json.dumps({"queries": [entry(r) for r in t.benchmark.select("item_id", "text").collect()]})  # the stated query set
     rows = query_set(t.spark, text).select("query_id", "query", "folder", "expect_empty", F.explode_outer("relevant").alias("r"))
     return rows.select("query_id", "query", "folder", "expect_empty", "r.message_id", "r.grade")
 
