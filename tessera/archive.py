@@ -107,11 +107,12 @@ class Archive:
         return self._shaped(vectors.ranked(hits, order, "rank"), query)
 
     def _shaped(self, hits: DataFrame, query: str) -> DataFrame:
-        """Hits with what is shown of them; the snippet is of the words found, else the chunk's, else the body's start."""
+        """Hits with what is shown of them; the snippet is of the column that shows most of the words found, else the chunk's, else the body's start."""
         analyser = self.index.analyser if self.index else self.analyser
         tree = keyword.parse_query(query, analyser)
         term_of = (lambda w: "".join(parsing.porter_tokens(w))) if analyser == "porter" else str.lower
-        terms = sorted({t for p in keyword._phrases(tree) for t in p.terms}) if tree is not None else []
+        cells = [f for f in keyword.FIELDS if f in self.messages.columns]
+        phrases = keyword.snippet_phrases(tree, cells) if tree is not None else []
         attached = "attachment_id" in self.chunks.columns and "attachments" in self.tables
         chunk = self.chunks.select(F.col("id").alias("chunk_id"), "chunk_text", *(["attachment_id"] if attached else []))
         rows = F.broadcast(hits.drop("date_sent")).join(self.messages, "id").join(chunk, "chunk_id", "left")
@@ -119,7 +120,7 @@ class Archive:
             rows = rows.join(self.attachments.select(F.col("id").alias("attachment_id"), F.col("filename").alias("attachment")), "attachment_id", "left")
         else:
             rows = rows.withColumn("attachment", F.lit(None).cast("string"))
-        worded = parsing.column(lambda t, k: parsing.make_snippet(t, terms, term_of=term_of) if k else None, "string", "body_text", F.col("kw_rank").isNotNull())
+        worded = parsing.column(lambda found, *texts: parsing.best_snippet(list(texts), phrases, term_of=term_of) if found else None, "string", F.col("kw_rank").isNotNull(), *cells)
         shown = F.coalesce(worded, text.truncate(F.col("chunk_text"), fusion.SNIPPET), text.snippet(F.col("body_text"), fusion.SNIPPET))
         return rows.select("rank", "id", "message_id", "folder", "subject", "from_address", "from_name", "date_sent", shown.alias("snippet"), "score", "kw_rank", "vec_rank", "attachment").orderBy("rank")
 

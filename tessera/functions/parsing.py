@@ -12,6 +12,7 @@ import io
 import re
 import unicodedata
 import zipfile
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
@@ -422,6 +423,85 @@ def make_snippet(text: str | None, terms: list[str], width: int = 12, term_of: C
     return ("\u2026 " if best else "") + out + (" \u2026" if best + width < len(spans) else "")
 
 
+#: Scores of a window: a phrase it holds, one more place of that, and a window that begins with a sentence, or with the text.
+NEW_PHRASE, SAME_PHRASE, AT_SENTENCE, AT_START = 1000, 1, 100, 120
+
+
+def _tokens(text: str, term_of: Callable[[str], str]) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), term_of(m[0])) for m in re.finditer(r"[^\W_]+", text)]
+
+
+def _phrase_places(terms: list[str], phrases: list[tuple[tuple[str, ...], bool, bool]]) -> list[tuple[int, int]]:
+    """(place, number of the phrase) in order; a phrase is its terms, whether its last is a prefix, whether it must come first."""
+    out = []
+    for number, (wanted, prefix, anchored) in enumerate(phrases):
+        last = len(wanted) - 1
+        for at in range(1 if anchored and terms else len(terms) - last) if last >= 0 else ():
+            if at + last < len(terms) and all(terms[at + k].startswith(w) if prefix and k == last else terms[at + k] == w for k, w in enumerate(wanted)):
+                out.append((at, number))
+    return sorted(out)
+
+
+def _sentence_starts(text: str, tokens: list[tuple[int, int, str]]) -> list[int]:
+    """The tokens that begin the text, or follow a full stop or colon with nothing but blanks between."""
+    return [k for k, (begin, _, _) in enumerate(tokens) if not k or text[:begin].rstrip(" \t\r\n")[-1:] in (".", ":")]
+
+
+def best_snippet(cells: list[str | None], phrases: list[tuple[tuple[str, ...], bool, bool, tuple[int, ...]]], width: int = 12, term_of: Callable[[str], str] = str.lower, ellipsis: str = " \u2026 ") -> str:
+    """The window of `width` tokens, of all cells, that holds most different phrases; then most places, then a sentence's start.
+
+    phrases are (terms, prefix, anchored, numbers of the cells they count in). A window is centred on what it holds, or begins
+    with the sentence of a place; the first of equals is taken. Places are in brackets, overlapping ones in one pair.
+    """
+    best, shown = 0, (0, 0, [], [])
+    for number, cell in enumerate(cells):
+        tokens = _tokens(cell or "", term_of)
+        here = [(t, p, a) if number in where else ((), p, a) for t, p, a, where in phrases]
+        places = _phrase_places([t for _, _, t in tokens], here)
+        starts = _sentence_starts(cell or "", tokens) if places else []
+        held = [p for p, _ in places]
+
+        def worth(begin: int, places=places, held=held) -> tuple[int, list[tuple[int, int]]]:
+            inside = places[bisect_left(held, begin) : bisect_left(held, begin + width)]
+            kinds = len({n for _, n in inside})
+            return NEW_PHRASE * kinds + SAME_PHRASE * (len(inside) - kinds), inside
+
+        for at in held:
+            score, inside = worth(at)
+            if score > best:
+                first, last = inside[0][0], inside[-1][0] + len(here[inside[-1][1]][0])
+                slack = width - (last - first)
+                centred = first - (slack // 2 if slack >= 0 else -(-slack // 2))
+                best, shown = score, (number, max(0, min(centred, len(tokens) - width)), tokens, places)
+            sentence = starts[max(0, bisect_right(starts, at) - 1)]
+            if len(tokens) > width and sentence < at:
+                score = worth(sentence)[0] + (AT_SENTENCE if sentence else AT_START)
+                if score > best:
+                    best, shown = score, (number, sentence, tokens, places)
+    number, begin, tokens, places = shown
+    return _bracketed(cells[number] or "", begin, width, tokens or _tokens(cells[number] or "", term_of), places, phrases, ellipsis)
+
+
+def _bracketed(cell: str, begin: int, width: int, tokens, places, phrases, ellipsis: str) -> str:
+    end = min(begin + width, len(tokens))
+    spans: list[list[int]] = []
+    for at, n in places:
+        stop = at + len(phrases[n][0])
+        if spans and at < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], stop)
+        else:
+            spans.append([at, stop])
+    out, at = (ellipsis if begin else ""), (tokens[begin][0] if begin else 0)
+    for a, b in spans:
+        a, b = max(a, begin), min(b, end)
+        if a < b:
+            out += cell[at : tokens[a][0]] + "[" + cell[tokens[a][0] : tokens[b - 1][1]] + "]"
+            at = tokens[b - 1][1]
+    if end >= len(tokens):
+        return out + cell[at:]
+    return out + cell[at : tokens[end - 1][1]] + ellipsis
+
+
 # --- transcription scores ---
 def ocr_normalize(s: str | None) -> str:
     plain = re.sub(r"!\[[^\]]*\]\([^)]*\)", " ", s or "")

@@ -240,6 +240,11 @@ def _phrases(node) -> list[Phrase]:
     return [p for x in (node.phrases if isinstance(node, Near) else node.parts) for p in _phrases(x)]
 
 
+def snippet_phrases(tree, fields: list[str] | tuple[str, ...]) -> list[tuple[tuple[str, ...], bool, bool, tuple[int, ...]]]:
+    """The phrases of a query as parsing.best_snippet() takes them; fields are those of its cells."""
+    return [(p.terms, p.prefix, p.anchored, tuple(k for k, f in enumerate(fields) if f in p.fields)) for p in _phrases(tree)]
+
+
 def _wanted(term: Column, phrases: list[Phrase]) -> Column:
     whole = {t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)}
     tests = [term.isin(*sorted(whole))] if whole else []

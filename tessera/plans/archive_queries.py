@@ -250,10 +250,13 @@ def incremental_postings(t):
 
 @query()
 def keyword_snippet(t):
-    from tessera.functions.parsing import column, make_snippet
+    """The window of the best of the four columns for each of ten hits."""
+    from tessera.functions.parsing import best_snippet, column
 
-    top = searched(t, "the nere onble", 10).join(t.messages, "id")
-    return top.select("id", "score", column(lambda x: make_snippet(x, ["the", "nere", "onble"]), "string", "body_text").alias("snippet"))
+    text = "the nere onble"
+    phrases = keyword.snippet_phrases(keyword.parse_query(text), FIELDS)
+    top = searched(t, text, 10).join(t.messages, "id")
+    return top.select("id", "score", column(lambda *cells: best_snippet(list(cells), phrases), "string", *FIELDS).alias("snippet"))
 
 
 @query()

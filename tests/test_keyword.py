@@ -127,6 +127,32 @@ def test_stemmer_matches_sqlite():
     assert stemmed_tokens("Crème BRÛLÉE runs") == ["creme", "brule" if stem("brulee") == "brule" else stem("brulee"), "run"]
 
 
+SNIPPET_QUERIES = ["alpha", "alpha OR beta", '"alpha beta" OR gamma', "al* OR runs", "delta OR runs OR gamma", '"beta gamma" OR "gamma delta"', "subject : alpha OR beta", "^alpha OR runs"]
+
+
+@pytest.mark.parametrize("kind", ["plain", "porter"])
+def test_best_snippet_against_sqlite(kind):
+    """Windows over all columns, with sentences, on 200 texts."""
+    from tessera.functions.parsing import best_snippet, porter_tokens
+
+    rng = random.Random(9)
+    words = CLOSE_WORDS + [f"x{k}" for k in range(40)]
+    prose = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", " ", ". ", ": ", ", ", "\n", ".\t "]) for _ in range(n))
+    docs = [(i, rng.choice(["", "(", None]) if i % 9 == 0 else prose(rng.randrange(0, 9)), prose(rng.randrange(0, 90)), prose(rng.randrange(0, 40))) for i in range(200)]
+    con = sqlite3.connect(":memory:")
+    con.execute(f"create virtual table f using fts5(subject, from_name, from_address, body_text, attachment_names, attachment_text, tokenize='{'porter ' * (kind == 'porter')}unicode61')")
+    con.executemany("insert into f(rowid, subject, body_text, attachment_text) values (?, ?, ?, ?)", docs)
+    term_of = (lambda w: "".join(porter_tokens(w))) if kind == "porter" else str.lower
+    seen = 0
+    for query in SNIPPET_QUERIES:
+        phrases = K.snippet_phrases(K.parse_query(query, kind), K.FIELDS)
+        for i, said in con.execute("select rowid, snippet(f, -1, '[', ']', ' … ', 12) from f where f match ?", (query,)):
+            _, subject, body, attached = docs[i]
+            assert best_snippet([subject, None, None, body, None, attached], phrases, term_of=term_of) == said, (query, docs[i])
+            seen += 1
+    assert seen > 600
+
+
 def test_snippet():
     text = " ".join(f"w{i}" for i in range(30))
     assert make_snippet(text, ["w20", "w22"]) == "… " + " ".join(f"[w{i}]" if i in (20, 22) else f"w{i}" for i in range(11, 23)) + " …"
