@@ -281,3 +281,28 @@ def digest_runs(runs: Column) -> Column:
     line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
     return F.sha2(F.array_join(F.transform(runs, lambda r: F.concat(line(r), F.lit("\n"))), ""), 256)
 
+
+#: The ids' crc32 is folded bit by bit; then each lag at its multiples, and word by word where three of those in a row are equal.
+ORACLE = r"""
+with h as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) as h from documents),
+g as (select doc_id, w, len(w)::bigint as n, h % 10 = 0 and len(w) > 0 as made, h // 10 as g from h),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from (select *, case when n > 0 then g % n else 0 end as a from g)),
+t as materialized (select doc_id, n, i, case when made and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as w from (select *, unnest(range(n)) as i from p)),
+sizes as (select doc_id, max(n) as n from t group by doc_id),
+lags as (select doc_id, n, unnest(range(1, n // 4 + 1)) as q from sizes),
+multiples as (select doc_id, q, unnest(range((n - 1) // q)) as j from lags),
+same as (select m.doc_id, q, j from multiples m join t a on a.doc_id = m.doc_id and a.i = q * j join t b on b.doc_id = m.doc_id and b.i = q * (j + 1) where a.w = b.w),
+rows_of as (select doc_id, q, min(j) * q as first, max(j) * q as last from (select *, j - row_number() over (partition by doc_id, q order by j) as part from same) group by doc_id, q, part having count(*) >= 3),
+near as (select r.doc_id, q, first, unnest(range(greatest(first - q + 1, 0), least(last + q, n - q))) as i from rows_of r join sizes using (doc_id)),
+equal as (select x.doc_id, x.q, x.first, x.i from near x join t a on a.doc_id = x.doc_id and a.i = x.i join t b on b.doc_id = x.doc_id and b.i = x.i + x.q where a.w = b.w),
+stretches as (select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q, first order by i) as part from equal) group by doc_id, q, first, part having count(*) >= 3 * q and count(*) + q >= 6),
+runs as materialized (select doc_id, start, length, min(q) as period from stretches group by doc_id, start, length),
+best as (select doc_id, start, length, period from runs qualify row_number() over (partition by doc_id order by length / period::double desc, start, period) = 1),
+said as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(w, ' ' order by i) as kept from t anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+  sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from documents d left join best using (doc_id) left join said using (doc_id) left join kept using (doc_id)
+"""

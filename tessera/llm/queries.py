@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lexical, line_dedup, minmax_dedup, mixing, substring_dedup, urlfilter, warc
+from tessera.llm import lexical, line_dedup, minmax_dedup, mixing, periodic, substring_dedup, urlfilter, warc
 from tessera.llm.scratch import Scratch
 from tessera.session import spread
 
@@ -76,8 +76,6 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm import periodic
-
     out = periodic.periodic_runs(periodic.with_periods(_table(spark, sf_dir, "documents")), min_exp=4, min_len=6)
     best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
     exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
@@ -118,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op8_minmax_near_dup": minmax_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_ranked_search": lexical.ORACLE,
+    "op12_periodic_runs": periodic.ORACLE,
 }
