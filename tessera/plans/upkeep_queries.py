@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parsing
 from tessera.functions.embedding import InputTooLong
-from tessera.operators import archive, health, ingest, intervals, ocr, vectors
+from tessera.operators import archive, health, ingest, intervals, ocr, sketches, vectors
 from tessera.operators.archive import stamp
 from tessera.plans.archive_queries import ORACLES, QUERIES, A, C, M, S, kept, query, scratch_path, when
 from tessera.sources import readers
+from tessera.sources.versions import VersionLog
 
 __all__ = ["ORACLES", "QUERIES"]
 CONTEXT = 512
@@ -228,3 +229,19 @@ def timed_calls(t):
     t.spark.createDataFrame([(x,) for x in last], "value string").coalesce(1).write.mode("append").text(f"{root}/log")
     run()
     return t.spark.read.schema("id long, elapsed_ms long").parquet(f"{root}/out").filter("id >= 0").select(F.col("id").alias("event_id"), "elapsed_ms")
+
+
+@query("select event_type, count(*)::bigint as n, true as median_close, true as p95_close, true as users_close from events group by event_type")
+def value_sketches(t):
+    """Sketches of each kind and day, stored in two steps and merged over days; how close they are is told by the exact ranks and counts."""
+    log = VersionLog(t.spark, scratch_path(t.spark, "sketches"))
+    rows = t.events.select("event_type", F.to_date("ts").alias("day"), "value", "user_id")
+    for half in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        sketches.append(log, sketches.sketched(t.events.filter(half).select("event_type", F.to_date("ts").alias("day"), "value", "user_id"), ["event_type", "day"], "value", "user_id"), ["event_type", "day"])
+    whole = sketches.merged(log.read(sketches.TABLE), ["event_type"])
+    at = whole.select("event_type", "n", sketches.quantile("quantiles", 0.5).alias("m"), sketches.quantile("quantiles", 0.95).alias("p"), sketches.distinct_count("distinct").alias("users"))
+    share = lambda limit: F.count_if(F.col("value") <= F.col(limit)) / F.count(F.lit(1))
+    exact = rows.join(F.broadcast(at), "event_type").groupBy("event_type", "n", "users").agg(share("m").alias("m"), share("p").alias("p"), F.count_distinct("user_id").alias("exact"))
+    close = lambda c, want, by: F.abs(F.col(c) - want) <= by
+    tie = 2 * sketches.RANK_ERROR + 0.01  # a value that stands often is at many ranks
+    return exact.select("event_type", "n", close("m", 0.5, tie).alias("median_close"), close("p", 0.95, tie).alias("p95_close"), (F.abs(F.col("users") - F.col("exact")) <= 3 * sketches.DISTINCT_ERROR * F.col("exact") + 1).alias("users_close"))

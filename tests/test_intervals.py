@@ -90,3 +90,22 @@ def test_rollups(spark):
     out = {(r.sets, r.folder, r.status, r.engine, r.month): (r.attachments, r.messages, r.bytes) for r in rollups(parts, messages).collect()}
     assert out[15, None, None, None, None] == (3, 2, 16) and out[7, "a", None, None, None] == (2, 1, 15) and out[6, "a", None, None, "2026-01"] == (2, 1, 15)
     assert out[11, None, "done", None, None] == (2, 2, 11) and out[11, None, "pending", None, None] == (1, 1, 5) and out[13, None, None, "m", None] == (1, 1, 5) and len(out) == 9
+
+
+def test_sketches_of_parts_are_those_of_the_whole(spark, tmp_path):
+    from tessera.operators import sketches
+    from tessera.sources.versions import VersionLog
+
+    rows = spark.range(20_000).selectExpr("id % 3 as k", "id % 7 as day", "cast(pmod(id * 7919, 20011) as double) as v", "id % 900 as u")
+    log = VersionLog(spark, f"file://{tmp_path}/s")
+    for part in ("day < 3", "day = 3 and v < 9000", "day >= 3 and not (day = 3 and v < 9000)"):
+        sketches.append(log, sketches.sketched(rows.filter(part), ["k", "day"], "v", "u"), ["k", "day"])
+    held = log.read(sketches.TABLE)
+    assert held.count() == 21 and held.agg({"n": "sum"}).first()[0] == 20_000
+    exact = {r.k: sorted(r.v) for r in rows.groupBy("k").agg({"v": "collect_list"}).toDF("k", "v").collect()}
+    for made in (sketches.merged(held, ["k"]), sketches.sketched(rows, ["k"], "v", "u")):
+        for r in made.select("k", "n", sketches.distinct_count("distinct").alias("u"), *(sketches.quantile("quantiles", s).alias(f"q{s}") for s in (0.1, 0.5, 0.95))).collect():
+            assert r.n == len(exact[r.k]) and abs(r.u - 300) <= 15
+            for s in (0.1, 0.5, 0.95):
+                rank = sum(x <= r[f"q{s}"] for x in exact[r.k]) / r.n
+                assert abs(rank - s) <= 2 * sketches.RANK_ERROR
