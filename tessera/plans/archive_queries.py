@@ -819,6 +819,18 @@ def classify_log_errors(t):
     return t.events.select(error_kind(F.expr(LINE)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select kind, count(*)::bigint as n, max(event_id) as last from (select event_id, case event_id % 6 when 0 then 'locked' when 1 then 'dns' when 2 then 'network' when 3 then 'auth' when 4 then 'network' else 'other' end as kind from (select event_id from events order by event_id desc limit 50)) group by kind")
+def sync_error_tail(t):
+    """All events as lines of a log in several files; its last fifty are read from the end and told apart."""
+    from tessera.functions.text import error_kind
+
+    path = scratch_path(t.spark, "sync-log")
+    line = F.concat(F.expr(LINE), F.lit(" #"), F.col("event_id").cast("string")).alias("value")
+    t.events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line).write.text(path)
+    last = readers.tail(t.spark, path, 50).filter(F.col("file").rlike("/part-[^/]*$"))
+    return last.groupBy(error_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max(F.regexp_extract("value", "#(\\d+)$", 1).cast("long")).alias("last"))
+
+
 STATUS_CODE = "element_at(array(200, 400, 401, 404, 429, 500), cast(event_id % 6 as int) + 1)"
 
 

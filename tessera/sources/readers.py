@@ -7,7 +7,7 @@ import posixpath
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -146,6 +146,33 @@ def write_calls(calls: DataFrame, path: str) -> None:
     call_lines(calls).write.mode("append").text(path)
 
 
+def tail(spark: SparkSession, path: str, lines: int, chunk: int = 1 << 16) -> DataFrame:
+    """(value, file, back): the last lines of a log, kept in a file or in several in the order of their names; back counts from the end, from 1.
+
+    Each task reads a file from its end, in chunks until it has enough lines, so a log of any size costs what is shown of it. Empty
+    lines count; what is no UTF-8 is replaced. Hidden and checksum files are no part of a log.
+    """
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", **PLAIN_FILES).load(path).select("path")
+
+    def run(batches):
+        import pyarrow.fs
+
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(file if "://" in file or file.startswith("/") else file.replace("file:", "file://", 1))
+                with fs.open_input_file(at) as source:
+                    end, held = source.size(), b""
+                    while end and held.count(b"\n") <= lines:
+                        begin = max(0, end - chunk)
+                        held, end = source.read_at(end - begin, begin) + held, begin
+                found = held.decode("utf-8", "replace").removesuffix("\n").split("\n")[-lines:] if held else []
+                back = range(len(found), 0, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([file] * len(found), pa.string()), pa.array(back, pa.int64())], ["value", "file", "at"])
+
+    last = files.mapInArrow(run, "value string, file string, at long").orderBy(F.col("file").desc(), "at").limit(lines)
+    return last.select("value", "file", F.row_number().over(Window.orderBy(F.col("file").desc(), "at")).alias("back"))  # `lines` rows
+
+
 def status_of(value: Column) -> tuple[Column, Column]:
     """(finished, interval_s) of a status file's two lines; what is absent or can't be read is null."""
     line = lambda k: F.trim(F.get(F.split(value, "\n"), k))

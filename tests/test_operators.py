@@ -223,3 +223,15 @@ def test_spread_moves_only_what_cannot_be_split(spark, tmp_path):
     assert spread(many) is many
     joined = one.join(one.withColumnRenamed("id", "other").hint("merge"), F.col("id") == F.col("other"))
     assert spread(joined) is joined
+
+
+def test_tail_of_a_log(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "a.log").write_text("".join(f"old {k}\n" for k in range(500)))
+    (log / "b.log").write_bytes(b"")
+    (log / "c.log").write_text("n1\n\nn3 \u00e9\nunfinished")
+    said = lambda n, chunk=7: [(r.value, r.back) for r in readers.tail(spark, str(log), n, chunk).orderBy("back").collect()]
+    assert said(3) == [("unfinished", 1), ("n3 \u00e9", 2), ("", 3)]
+    assert said(6) == [("unfinished", 1), ("n3 \u00e9", 2), ("", 3), ("n1", 4), ("old 499", 5), ("old 498", 6)]
+    assert len(said(1000, 1 << 16)) == 504
