@@ -60,6 +60,11 @@ def baseline_diff(base: DataFrame, current: DataFrame) -> DataFrame:
 PAGE = ["attachment_id", "page"]
 
 
+def against(results: DataFrame, references: DataFrame) -> DataFrame:
+    """Each page's result with its reference; null where there is none, as a page that no one has written off has."""
+    return results.join(references.select(*PAGE, "reference"), PAGE, "left")
+
+
 def token_f1(pages: DataFrame) -> DataFrame:
     """(engine, attachment_id, page, f1) over multisets of tokens; failed pages, and those without any token, are left out.
 

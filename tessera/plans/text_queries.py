@@ -344,6 +344,20 @@ def ocr_truth_report(t):
     return t.ocr_pages.groupBy("engine").agg(F.count(F.lit(1)).alias("pages"), F.count_if(ok).alias("read"), F.count_if(ok & (F.trim("hypothesis") == "")).alias("empties"), F.round(F.count_if(ok) / F.count(F.lit(1)), 9).alias("coverage"))
 
 
+RESULTS = "select engine, attachment_id, page, hypothesis, error from ocr_pages"
+REFERENCES = "select attachment_id, page, reference from ocr_pages where engine = 'alpha' and attachment_id % 13 <> 0"
+
+
+@query(f"select engine, count(*)::bigint as pages, count(reference)::bigint as matched, count(*) filter (where error is null and reference = hypothesis)::bigint as exact, sum(length(reference))::bigint as chars from ({RESULTS}) r left join ({REFERENCES}) f using (attachment_id, page) group by engine", O)
+def join_page_references(t):
+    """Results and references are tables of their own that meet by attachment and page; some pages have no reference."""
+    results = t.ocr_pages.select("engine", "attachment_id", "page", "hypothesis", "error")
+    references = t.ocr_pages.filter("engine = 'alpha' and attachment_id % 13 <> 0").select("attachment_id", "page", "reference")
+    met = evalkit.against(results, references)
+    exact = F.count_if(F.col("error").isNull() & (F.col("reference") == F.col("hypothesis")))
+    return met.groupBy("engine").agg(F.count(F.lit(1)).alias("pages"), F.count("reference").alias("matched"), exact.alias("exact"), F.sum(F.char_length("reference")).alias("chars"))
+
+
 # --- mail folders ---
 MAIL = "Message-ID: <{0}@x.example>\r\nFrom: Ann <ann{0}@x.example>\r\nTo: b@x.example\r\nSubject: Note {0}\r\nDate: Thu, 01 Jan 2026 10:00:00 +0000\r\nReferences: <{1}@x.example>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n{2}\r\n"
 
