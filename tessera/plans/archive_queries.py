@@ -168,7 +168,14 @@ def filter_from_contains(t):
 
 # --- full text ---
 FIELDS = ("subject", "from_name", "from_address", "body_text")
-TOKENS = ", tok as (" + " union all ".join(f"select id, '{f}' as field, unnest(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+')) as term, unnest(range(len(regexp_extract_all(lower(coalesce({f}, '')), '[\\p{{L}}\\p{{N}}]+'))))::int as pos from messages" for f in FIELDS) + ")"
+def tokens_of(fields: tuple[str, ...], table: str = "messages") -> str:
+    """SQL for (id, field, term, pos) of a table's columns."""
+    words = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')".format
+    return ", tok as (" + " union all ".join(f"select id, '{f}' as field, unnest({words(f)}) as term, unnest(range(len({words(f)})))::int as pos from {table}" for f in fields) + ")"
+
+
+TOKENS = tokens_of(FIELDS)
+WITH_PARTS = ", full_messages as (select m.*, attachment_names, attachment_text from messages m left join (select message_id as mid, string_agg(filename, ' ' order by part_index) as attachment_names, string_agg(extracted_text, ' ' order by part_index) as attachment_text from attachments group by 1) on mid = m.id)"
 
 
 def near_places(phrases: list[tuple[str, int]], within: int) -> list[str]:
@@ -179,7 +186,7 @@ def near_places(phrases: list[tuple[str, int]], within: int) -> list[str]:
     return [f"{cte} select id, field, pos from ps p where k = {k} and exists (select 1 from ends e where e.id = p.id and e.field = p.field and p.pos between e.pos - {n + within} and e.pos)" for k, (_, n) in enumerate(phrases)]
 
 
-def bm25(phrases: list[str], condition: str = "true", limit: int | None = 20, alive: bool = True, extra: str = "", near: list[str] | None = None) -> str:
+def bm25(phrases: list[str], condition: str = "true", limit: int | None = 20, alive: bool = True, extra: str = "", near: list[str] | None = None, tokens: str = TOKENS) -> str:
     """phrases: SQL for (id, field, pos) of each; condition over tf0, tf1, ...; near: SQL for the places that count, where not all do."""
     occ = " union all ".join(f"select id, {k} as p from ({p}) x{k}" for k, p in enumerate(phrases))
     n = range(len(phrases))
@@ -190,7 +197,7 @@ def bm25(phrases: list[str], condition: str = "true", limit: int | None = 20, al
     cut = " union all ".join(f"select id, {k} as p from ({p}) z{k}" for k, p in enumerate(near or []))
     counts = f"dfs as (select {df} from every), cnt as (select id, {tf} from ({cut}) x group by id)" if near else f"dfs as (select {df} from every), cnt as (select * from every)"
     return (
-        f"{TOKENS}{extra}, occ as ({occ}), every as (select id, {tf} from occ group by id), {counts}, "
+        f"{tokens}{extra}, occ as ({occ}), every as (select id, {tf} from occ group by id), {counts}, "
         "sizes as (select m.id, count(t.id) as len from messages m left join tok t on t.id = m.id group by m.id), stats as (select count(*) as n, avg(len) as avglen from sizes) "
         f"select c.id, round(-({score}), 9) as score from cnt c join sizes s on s.id = c.id cross join stats cross join dfs "
         f"{'join messages m on m.id = c.id and m.deleted_at is null' if alive else ''} where {condition} "
@@ -230,6 +237,13 @@ fts("keyword_near", with_bm25([term("the"), term("this")], "tf0 > 0 and tf1 > 0"
 fts("keyword_near_phrases", with_bm25([PHRASE.format("of", "the"), term("this")], "tf0 > 0 and tf1 > 0", near=near_places([(PHRASE.format("of", "the"), 2), (term("this"), 1)], 12)), 'NEAR("of the" this, 12)')
 
 
+@query(bm25([term("readme"), term("the"), term("part")], tokens=WITH_PARTS + tokens_of((*FIELDS, "attachment_names", "attachment_text"), "full_messages")), M, A)
+def keyword_attachments(t):
+    """All six columns: names and texts of attachments count as the message's own."""
+    parts = archive.rollup_text(t.wide.attachments).withColumnRenamed("message_id", "id")
+    return keyword.search(t.wide.messages.join(parts, "id", "left"), "readme the part", 20, live(t.messages))
+
+
 @query(f"{TOKENS} select term, count(*)::bigint as n, count(distinct id)::bigint as docs from tok group by term", M)
 def tokenize(t):
     return keyword.postings(t.wide.messages).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
