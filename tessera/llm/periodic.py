@@ -262,18 +262,17 @@ def periodic_runs(
 
 def with_periods(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text_col): of a tenth of the ids, by their hash, the text's tail is made periodic."""
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n, h = F.size(words), F.crc32(F.col(id_col).cast("string").cast("binary"))
-    g = (h - h % 10) / 10
-    g = g.cast("long")
-    a = (g % n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    tail = F.slice(words, a + 1, p)
-    tail = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
-    made = F.array_join(F.concat(F.when(a > 0, F.slice(words, F.lit(1), a)).otherwise(F.array().cast("array<string>")), tail), " ")
+    h = F.crc32(F.col(id_col).cast("string").cast("binary"))
     plain = docs.select(id_col, text_col)
     chosen = F.coalesce(h % 10 == 0, F.lit(False))
-    changed = plain.filter(chosen).select(id_col, F.when(n > 0, made).otherwise(F.col(text_col)).alias(text_col))
+    # Step by step, so that a text is cut into words once.
+    words = F.regexp_extract_all(text_col, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = plain.filter(chosen).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words.alias("w"), ((h - h % 10) / 10).cast("long").alias("g"))
+    cut = cut.select("id", "text", "w", "g", F.size("w").alias("n")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    cut = cut.withColumn("p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("cast(ceil((n - a) / p) as int)"))), F.lit(1), F.col("n") - F.col("a"))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    changed = cut.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias(text_col))
     return changed.unionByName(plain.filter(~chosen))  # else all texts would be cut into words for a tenth
 
 
@@ -282,6 +281,7 @@ def digest_runs(runs: Column) -> Column:
     return F.sha2(F.array_join(F.transform(runs, lambda r: F.concat(line(r), F.lit("\n"))), ""), 256)
 
 
+
 #: The ids' crc32 is folded bit by bit; then each lag at its multiples, and word by word where three of those in a row are equal.
 ORACLE = r"""
 with h as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
