@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Keep = Callable[[DataFrame, str], DataFrame]
+#: A column's name, a row's value for it and the aggregate that merges values, be they rows' or merged ones.
+Merged = tuple[str, Column, Callable[[str], Column]]
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, payload: list[str], keep: Keep) -> DataFrame:
@@ -58,6 +60,35 @@ def in_intervals(points: DataFrame, intervals: DataFrame, at: str, begin: str, e
     return met.filter((F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end))).drop("_level", "_cell", "_salt")
 
 
+def over_intervals(points: DataFrame, intervals: DataFrame, at: str, begin: str, end: str, key: str, parts: list[Merged]) -> DataFrame:
+    """(key, and a column for each of parts) of the points with begin <= at <= end, for each interval that has any; times are timestamps.
+
+    parts are (column, a row's value, what merges values); they are merged as sum, min and max are. No pairs are made: points are merged
+    at every level of blocks of 2, 4, 8, ... microseconds, as far as intervals are long, and an interval is made up of two blocks a level
+    at most. So the work goes with the points and with the intervals, not with what an interval holds. Intervals of one key are one. What
+    ends before it begins, and nulls, meet nothing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = intervals.filter(F.col(begin) <= F.col(end)).select(key, micros(begin).alias("_lo"), (micros(end) + 1).alias("_hi"))
+    longest = held.agg(F.max(F.col("_hi") - F.col("_lo")).alias("n")).first().n or 1
+    levels = longest.bit_length()
+    merged = lambda rows, *by: rows.groupBy(*by).agg(*(merge(name).alias(name) for name, _, merge in parts))
+    names = [name for name, _, _ in parts]
+    blocks = merged(points.filter(F.col(at).isNotNull()).select(micros(at).alias("_block"), *(value.alias(name) for name, value, _ in parts)), "_block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    blocks = merged(blocks.select(every, "_block", *names).withColumn("_block", F.expr("shiftright(_block, _level)")), "_level", "_block")
+
+    def ends(k):
+        """The blocks of level k that begin or end an interval and that no block of level k + 1 inside it holds."""
+        one = F.lit(1).cast("long")
+        low, high = F.call_function("shiftright", F.col("_lo") + F.call_function("shiftleft", one, k) - 1, k), F.call_function("shiftright", F.col("_hi"), k)
+        odd = lambda c: c.bitwiseAND(one) == 1
+        return F.array(F.when((low < high) & odd(low), low), F.when((low < high) & odd(high), high - 1))
+
+    cover = held.select(key, every, "_lo", "_hi").select(key, "_level", F.explode(ends(F.col("_level"))).alias("_block")).filter("_block is not null")
+    return merged(cover.join(blocks, ["_level", "_block"]), key)
+
+
 def disc_at(values: str, share: float) -> Column:
     """The value at floor(share * n) of a group's sorted values, the last at most: from counts of distinct values, merged part by part."""
     return F.expr(f"percentile_disc({min(1.0, share + 1e-12)!r}D) within group (order by {values})")

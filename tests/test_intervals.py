@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import intervals
 from tessera.streaming import pipelines
@@ -109,3 +110,33 @@ def test_sketches_of_parts_are_those_of_the_whole(spark, tmp_path):
             for s in (0.1, 0.5, 0.95):
                 rank = sum(x <= r[f"q{s}"] for x in exact[r.k]) / r.n
                 assert abs(rank - s) <= 2 * sketches.RANK_ERROR
+
+
+def test_totals_over_intervals_without_pairs(spark):
+    """Intervals of no length to all, points on their ends, before 1970, nulls; a thousand intervals over all points make no million of rows."""
+    rng = random.Random(7)
+    zero = dt.datetime(1970, 1, 1)
+    time = lambda micros: None if micros is None else zero + dt.timedelta(microseconds=micros)
+    points = [(f"p{k}", rng.choice([None, rng.randrange(-3000, 3000), rng.randrange(10**12)]), rng.choice([None, 1, 5])) for k in range(300)]
+    at = [a for _, a, _ in points if a is not None]
+    spans = [(k, rng.choice(at) + rng.choice([-1, 0, 1]), rng.choice([0, 1, 2, 63, 64, 5000, 10**10, 2 * 10**12])) for k in range(120)]
+    spans = [(k, lo, lo + n) for k, lo, n in spans] + [(500, 10, 5), (501, None, 9), (502, at[0], at[0]), (503, at[1] + 1, at[1])]
+    rows = spark.createDataFrame([(n, time(a), v) for n, a, v in points], "name string, at timestamp_ntz, v long")
+    held = spark.createDataFrame([(k, time(a), time(b)) for k, a, b in spans], "span long, lo timestamp_ntz, hi timestamp_ntz")
+    parts = [("n", F.lit(1).cast("long"), F.sum), ("first", F.col("name"), F.min), ("total", F.col("v"), F.sum)]
+    got = {r.span: (r.n, r.first, r.total) for r in intervals.over_intervals(rows, held, "at", "lo", "hi", "span", parts).collect()}
+    want = {}
+    for k, lo, hi in spans:
+        if lo is not None and (inside := [(n, v) for n, a, v in points if a is not None and lo <= a <= hi]):
+            values = [v for _, v in inside if v is not None]
+            want[k] = (len(inside), min(n for n, _ in inside), sum(values) if values else None)
+    assert got == want
+    assert intervals.over_intervals(rows, held.limit(0), "at", "lo", "hi", "span", parts).count() == 0
+
+
+def test_files_of_scans_makes_no_pairs():
+    import inspect
+
+    from tessera.plans import upkeep_queries
+
+    assert "in_intervals" not in inspect.getsource(upkeep_queries.files_of_scans)
