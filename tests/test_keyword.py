@@ -4,6 +4,7 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.parsing import make_snippet, stem, stemmed_tokens
 from tessera.operators import keyword as K
@@ -194,3 +195,18 @@ def test_archive_search_stems(spark, tmp_path):
     assert set(hits) == {1, 2, 3, 5} and "[crème]" in hits[1] and "[running]" in hits[5]
     made.build_index(f"file://{tmp_path}/i")
     assert {r.id: r.snippet for r in made.search("runs creme", "keyword").collect()} == hits
+
+
+@pytest.mark.parametrize("looked_up", [1000, 1])
+def test_totals_of_postings_without_exploding_them_first(spark, monkeypatch, looked_up):
+    """Ids in several rows and null ids, terms in several fields; the same as from all postings."""
+    monkeypatch.setattr(K, "LOOKED_UP", looked_up)
+    rows = [(1, "a b", "b a a"), (1, "b", "c"), (2, None, "a z"), (3, "", ""), (4, "q q", None), (4, "q", "q"), (5, "a", "b"), (None, "a n", "n"), (None, "a", "")]
+    docs = spark.createDataFrame(rows, "id long, subject string, body_text string")
+    every = K.postings(docs)
+    want = every.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
+    assert sorted(map(tuple, K.vocabulary(docs).collect())) == sorted(map(tuple, want.collect()))
+    want = every.groupBy("id", "field").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first_term"), F.max("pos").alias("last_pos"))
+    assert sorted(map(str, K.field_totals(docs).collect())) == sorted(map(str, want.collect()))
+    plan = K.vocabulary(docs.filter("id in (2, 3, 5)"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and plan.count("Aggregate") == 1  # no set of ids beside the terms
