@@ -60,6 +60,13 @@ def _ranked(rows: DataFrame, names: list[str], k: int, order: list[str], rank: s
     return rows.withColumn(rank, place).filter(F.col(rank) <= k).select(named, *(c for c in rows.columns if c != "query"), rank)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, so that what a task makes of one does not go with the batches that it gets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -78,7 +85,7 @@ def _nearest(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         squares, best = (queries**2).sum(1), Best(len(queries), k)
-        for batch in batches:
+        for batch in _slices(batches):
             fits, vectors = _matrix(batch.column(2), queries.shape[1])
             ids, messages = (batch.column(j).filter(pa.array(fits)).to_numpy() for j in (0, 1))
             away = (vectors**2).sum(1)[:, None] + squares - 2 * vectors @ queries.T
@@ -139,7 +146,7 @@ def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, docs, length = shared.value[0], 0, 0
         df = np.zeros(len(terms), np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             docs, length = docs + batch.num_rows, length + (pa.compute.sum(batch.column(1)).as_py() or 0)
             np.add.at(df, _counts(batch, terms)[1], 1)
         numbers = np.concatenate([[-1, -2], np.arange(len(terms))])
@@ -154,18 +161,15 @@ def _scored(shared, idf: np.ndarray, avglen: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, often = shared.value
         best = Best(often.shape[1], k)
-        for batch in batches:
+        for batch in _slices(batches):
             row, term, tf = _counts(batch, terms)
             ids, length = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            part = idf[term] * (tf * (keyword.K1 + 1)) / (tf + keyword.K1 * (1 - keyword.B + keyword.B * length[row] / avglen))
-            for at in range(0, batch.num_rows, ROWS):
-                low, high = np.searchsorted(row, [at, at + ROWS])
-                dense = np.zeros((min(ROWS, batch.num_rows - at), len(terms)))
-                dense[row[low:high] - at, term[low:high]] = part[low:high]
-                scores = dense @ often
-                for q in range(often.shape[1]):
-                    hit = np.flatnonzero(scores[:, q])
-                    best.add(q, np.round(-scores[hit, q], 9), ids[at + hit], ids[at + hit])
+            dense = np.zeros((batch.num_rows, len(terms)))
+            dense[row, term] = idf[term] * (tf * (keyword.K1 + 1)) / (tf + keyword.K1 * (1 - keyword.B + keyword.B * length[row] / avglen))
+            scores = dense @ often
+            for q in range(often.shape[1]):
+                hit = np.flatnonzero(scores[:, q])
+                best.add(q, np.round(-scores[hit, q], 9), ids[hit], ids[hit])
         yield best.batch(["query", "score", "id", "owner"])
 
     return run
