@@ -1,15 +1,18 @@
 """What Python tasks hold does not go with the size of the batches that they get."""
 
 import inspect
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from tessera.functions import parsing as P
 from tessera.operators import batch_search
 from tessera.plans import text_queries, upkeep_queries
+from tessera.plans.registry import QUERIES
 from tessera.sources import readers
 
 
@@ -23,6 +26,37 @@ def test_a_column_function_holds_some_rows_at_a_time(spark):
     assert rows.filter("false").select(P.column(str, "string", "i")).collect() == []
 
 
+def test_results_leave_before_the_next_rows_are_read(spark, monkeypatch):
+    """A column function gives each slice's results as they are made, so a batch's are never there as a whole."""
+    made, run = [], []
+    monkeypatch.setattr(P.F, "arrow_udf", lambda function, returns: lambda *columns: run.append(function))
+    for shared in (False, True):
+        for names in (["i"], ["i", "j"]):
+            P.column_of(lambda *lists: made.append(len(lists[0])) or lists[-1], "long", *names, rows=100, shared=shared)
+    batch = pa.array(range(1000))
+    for function, batches in ((run[0], [batch, batch]), (run[1], [(batch, batch)] * 2)):
+        made.clear()
+        out = function(iter(batches))
+        assert len(next(out)) == 100 and made == [100]
+        assert sum(map(len, out)) == 1900 and made == [100] * 20
+    assert run[2](batch) == run[3](batch, batch) == batch
+
+
+@pytest.mark.parametrize("name", ["extract_ooxml"])
+def test_queries_over_texts_give_results_as_they_are_made(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    kinds = re.findall(r"ArrowEvalPython \[.*\], \[.*\], (\d+)", plan)
+    assert kinds == [str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)]
+
+
+def test_column_functions_of_one_select_share_a_process(spark):
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").cast("string").alias("s"))
+    alone, shared = (rows.select(*(P.column(lambda x, k=k: [x, k], "array<string>", "s", shared=way).alias(k) for k in "ab")) for way in (False, True))
+    assert alone.collect() == shared.collect() == [(([str(i), "a"]), ([str(i), "b"])) for i in range(1000)]
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") for df in (alone, shared)]
+    assert plans == [2, 1]
+
+
 def test_mail_is_parsed_some_messages_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(readers, "MESSAGES", 3)
     batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["x"])
