@@ -42,7 +42,7 @@ def test_results_leave_before_the_next_rows_are_read(spark, monkeypatch):
     assert run[2](batch) == run[3](batch, batch) == batch
 
 
-@pytest.mark.parametrize("name", ["extract_ooxml"])
+@pytest.mark.parametrize("name", ["extract_ooxml", "charset_ladder"])
 def test_queries_over_texts_give_results_as_they_are_made(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     kinds = re.findall(r"ArrowEvalPython \[.*\], \[.*\], (\d+)", plan)
