@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import keyword
@@ -17,6 +17,9 @@ from tessera.sources.versions import Conflict, VersionLog
 FANOUT, BASE = 4, 99
 #: Ids of a change that are looked up by value, so that row groups without them are not read; more are joined.
 LOOKED_UP, TRIES = 1000, 20
+#: Of so many documents about, and of so many of their postings, the ranges of a run's files are made; a file gets PER_FILE postings about,
+#: but there are no more than MOST_FILES, which Spark's shuffle writes side by side, without a sort that would hold and spill them.
+SAMPLED, SEEN, PER_FILE, MOST_FILES = 4096, 1 << 15, 1_000_000, 200
 
 
 @dataclass(frozen=True)
@@ -101,13 +104,38 @@ def _read(spark: SparkSession, path: str, name: str, part: str) -> DataFrame:
 def _write(docs: DataFrame, postings: DataFrame, gone: DataFrame, path: str) -> str:
     """Range-partitioned by term and document, so that a term of any frequency is spread over files."""
     spark, name = docs.sparkSession, f"run-{uuid.uuid4().hex}"
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/{name}/postings")
+    _ranged(postings, docs.select("id").count()).sortWithinPartitions("term", "id").write.parquet(f"{path}/{name}/postings")
     gone.write.parquet(f"{path}/{name}/gone")
-    sizes = _read(spark, path, name, "postings").groupBy("id").agg(F.max("len").alias("len"))
+    # Whatever has a posting has one at the start of a field.
+    sizes = _read(spark, path, name, "postings").filter("pos = 0").groupBy("id").agg(F.max("len").alias("len"))
     docs.select("id").join(sizes, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")).sortWithinPartitions("id").write.parquet(f"{path}/{name}/documents")
     return name
 
 
+def _ranged(postings: DataFrame, documents: int) -> DataFrame:
+    """Postings by ranges of (term, id). Spark's own ranges would need all postings made twice, first for their sample; here only those of some documents are."""
+    few = postings.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, documents // SAMPLED))) == 0)
+    seen = few.orderBy(F.xxhash64("id", "field", "pos")).limit(SEEN).select("term", "id", "len").collect()
+    if not seen or any(r.id is None for r in seen):
+        return postings.repartitionByRange("term", "id")
+    # Postings show long documents as often as they are long, so the mean length is the harmonic one.
+    total = documents * len(seen) / sum(1 / r.len for r in seen)
+    files = min(MOST_FILES, len(seen), 1 + int(total / PER_FILE))
+    places = sorted((r.term.encode(), r.id, r.term) for r in seen)
+    bounds = [places[k * len(places) // files][1:] for k in range(1, files)]
+    return postings.repartitionById(files, _file_of(bounds, 0, files - 1))
+
+
+def _file_of(bounds: list[tuple], first: int, last: int) -> Column:
+    """The number from first to last of the range that a posting falls into, by halves."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last + 1) // 2
+    ident, term = bounds[middle - 1]
+    above = (F.col("term") > term) | ((F.col("term") == term) & (F.col("id") >= F.lit(ident)))
+    return F.when(above, _file_of(bounds, middle, last)).otherwise(_file_of(bounds, first, middle - 1))
+
+
 def _live(spark: SparkSession, path: str, runs, part: str) -> DataFrame:
     """What the runs hold and no later one hides."""
     parts, hidden = [], None

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.parsing import make_snippet, stem, stemmed_tokens
 from tessera.operators import keyword as K
-from tessera.operators.index import KeywordIndex
+from tessera.operators import index as index_module
+from tessera.operators.index import KeywordIndex, _read
 
 RNG = random.Random(6)
 VOCABULARY = "alpha beta gamma delta eps zeta eta theta iota kappa running runs".split() + [f"word{i}" for i in range(60)]
@@ -210,3 +211,36 @@ def test_totals_of_postings_without_exploding_them_first(spark, monkeypatch, loo
     assert sorted(map(str, K.field_totals(docs).collect())) == sorted(map(str, want.collect()))
     plan = K.vocabulary(docs.filter("id in (2, 3, 5)"))._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct" not in plan.lower() and plan.count("Aggregate") == 1  # no set of ids beside the terms
+
+
+def test_texts_are_cut_into_terms_once(spark, tmp_path, monkeypatch):
+    """Ranges of the index's files are made of a few documents' postings; the files are disjoint ranges of (term, id), hot terms included."""
+    monkeypatch.setattr(index_module, "SAMPLED", 50)
+    monkeypatch.setattr(index_module, "PER_FILE", 3000)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text: str) -> str:
+        made.add(1)
+        return text
+
+    docs = spark.range(0, 2000, 1, 4).select("id", F.concat(F.lit("the the the "), (F.col("id") % 97).cast("string"), F.lit(" é𝄞x "), F.col("id").cast("string")).alias("t"))
+    texts = docs.select("id", F.udf(seen, "string")("t").alias("body_text"))
+    built = KeywordIndex.build(texts, f"file://{tmp_path}")
+    assert made.value < 2000 * 1.2
+    rows = built.postings.withColumn("file", F.input_file_name())
+    ends = sorted((r.lo.term.encode(), r.lo.id, r.hi.term.encode(), r.hi.id, r.n) for r in rows.groupBy("file").agg(F.min(F.struct("term", "id")).alias("lo"), F.max(F.struct("term", "id")).alias("hi"), F.count("*").alias("n")).collect())
+    assert len(ends) > 3 and all(a[2:4] < b[:2] for a, b in zip(ends, ends[1:], strict=False)) and max(e[-1] for e in ends) < 6000
+    expected = K.postings(docs.withColumnRenamed("t", "body_text"))
+    assert sorted(built.postings.collect()) == sorted(expected.collect())
+    assert built.n == 2000 and built.avglen == expected.count() / 2000
+    assert _read(spark, built.path, built.runs[0][0], "documents").filter("len < 6").count() == 0
+
+
+@pytest.mark.parametrize("made_of", [K.postings, K.field_totals, K.vocabulary])
+def test_a_pass_cuts_a_text_once(spark, made_of):
+    """Texts without terms, null ones among them, give no rows, and no plan cuts a text twice to leave them out."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "?!")], "id long, body_text string")
+    rows = made_of(docs)
+    assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("regexp_extract_all") == 1
+    got = sorted(map(tuple, rows.collect()))
+    assert got == {K.postings: [(1, "body_text", "a", 0, 3), (1, "body_text", "a", 2, 3), (1, "body_text", "b", 1, 3)], K.field_totals: [(1, "body_text", 3, "a", 2)], K.vocabulary: [("a", 2, 1), ("b", 1, 1)]}[made_of]
