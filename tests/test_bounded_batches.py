@@ -1,5 +1,6 @@
 """What Python tasks hold does not go with the size of the batches that they get."""
 
+import hashlib
 import inspect
 import re
 
@@ -93,3 +94,23 @@ def test_scores_do_not_depend_on_batches(batches):
 
     counted = pa.Table.from_batches(batch_search._frequencies(Shared)(iter([b.set_column(2, "terms", pa.array([[t for t in w if t in ("w1", "w2")] for w in b.column(2).to_pylist()], pa.list_(pa.string()))) for b in cut]))).to_pydict()
     assert dict(zip(counted["term"], counted["n"], strict=True)) == {-1: 1200, -2: sum(map(len, words)), 0: sum("w1" in w for w in words), 1: sum("w2" in w for w in words), 2: 0}
+
+
+def test_utf8_under_no_name_or_a_latin_one_does_not_reach_python(spark, monkeypatch):
+    """Of the ladder's texts only those under another name are Python's; a null text is null."""
+    documents = spark.createDataFrame([(k, None if k < 3 else "é" if k < 6 else "e") for k in range(9)], "doc_id long, text string").coalesce(1)
+    tables = type("Tables", (), {"documents": documents})
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    said = {r.doc_id: r.digest for r in upkeep_queries.charset_ladder(tables).collect()}
+    assert said == {k: None for k in range(3)} | {3: digest("é"), 4: digest("é"), 5: None} | {k: digest("e") for k in range(6, 9)}
+    monkeypatch.setattr(P, "decode_text", lambda data, name: None if data is None else "Python")
+    said = {r.doc_id: r.digest for r in upkeep_queries.charset_ladder(tables).collect()}
+    assert {k for k, x in said.items() if x == digest("Python")} == {4, 7}
+
+
+def test_bytes_decode_alike_in_spark_and_in_python(spark):
+    odd = [None, b"", b"a\0b", "é".encode(), "é".encode("latin-1"), "é".encode("utf-16"), b"\xed\xa0\x80", b"\xc0\x80", b"\xf4\x90\x80\x80", b"\xef\xbb\xbfa", b"\x81", "𝄞".encode()]
+    names = [None, "", "ASCII", "Latin_1", "utf_8", "UTF-8", "windows-1252", "utf-16", "shift_jis", "no such", "latin"]
+    rows = spark.createDataFrame([(i, j, data, name) for i, data in enumerate(odd) for j, name in enumerate(names)], "i int, j int, data binary, name string")
+    out = rows.select("i", "j", P.decoded(F.col("data"), F.col("name")).alias("text")).collect()
+    assert {(r.i, r.j): r.text for r in out} == {(i, j): P.decode_text(data, name) for i, data in enumerate(odd) for j, name in enumerate(names)}
