@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,13 +18,20 @@ STRIKES = 3
 
 
 def hashing_model(width: int = 64) -> Model:
-    """A deterministic stand-in for a model: unit vectors of hashed words."""
+    """A deterministic stand-in for a model: unit vectors of hashed words; zero only without words."""
 
-    def embed(text: str) -> np.ndarray:
-        v = np.zeros(width, np.float32)
+    def places(text: str) -> Iterator[tuple[int, int]]:
         for w in text.lower().split():
             h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "little") % width] += 1 if h[4] & 1 else -1
+            yield int.from_bytes(h[:4], "little") % width, 1 if h[4] & 1 else -1
+
+    def embed(text: str) -> np.ndarray:
+        v = np.zeros(width, np.float32)
+        for at, sign in places(text):
+            v[at] += sign
+        if not v.any():  # words that cancel each other count without signs
+            for at, _ in places(text):
+                v[at] += 1
         n = np.linalg.norm(v)
         return v / n if n else v
 

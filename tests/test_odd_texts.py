@@ -1,7 +1,10 @@
 """Queries whose SQL says the same of every text hold for texts that are null, empty, blank, long or hardly texts."""
 
+import numpy as np
+
 from tessera.functions import parsing as P
-from tessera.plans import text_queries
+from tessera.plans import archive_queries, text_queries
+from tessera.streaming import pipelines
 
 ODD = [
     None, "", " ", "\n\t\n", "\xa0", "　 ", "a\xa0\nb \nc　", "﻿a﻿ b", "\0zero\0", "bell\x07 \x0b \x0c", "\x1c\x1d", "￾￿",
@@ -25,3 +28,20 @@ def test_a_text_that_comes_back_otherwise_is_told(spark, monkeypatch):
     monkeypatch.setattr(text_queries, "through_docx", {"a b": "a  b", "cut": "cu", "": "x", "lost": None}.get)
     out = text_queries.extract_ooxml(tables(spark, documents=(["a b", "cut", "", "lost"], "doc_id long, text string"))).collect()
     assert [tuple(r) for r in sorted(out)] == [(0, "done", True), (1, "done", False), (2, "done", False), (3, "no_text", None)]
+
+
+def test_every_message_of_the_queue_has_a_unit_vector(spark):
+    """Also without a body, and with words that cancel each other in the hashing model."""
+    by_place, cancel = {}, []
+    for w in (f"w{k}" for k in range(400)):
+        v = pipelines.hashing_model()([w])[0][1]
+        at, sign = int(np.flatnonzero(v)[0]), int(v.sum())
+        if other := by_place.get((at, -sign)):
+            cancel.append(f"{other} {w}")
+        by_place[at, sign] = w
+    cancel += [f"document: {w}" for w in cancel]
+    assert cancel and all(abs(np.linalg.norm(v) - 1) < 1e-6 for _, v in pipelines.hashing_model()(cancel))
+    texts = ODD + cancel
+    messages = spark.createDataFrame([(k, x, None, None) for k, x in enumerate(texts)], "id long, body_text string, deleted_at timestamp, embedded_at timestamp")
+    out = archive_queries.stream_embed_queue(type("Tables", (), {"spark": spark, "messages": messages})).collect()
+    assert sorted(tuple(r) for r in out) == [(k, 64, 1.0) for k in range(len(texts))]
