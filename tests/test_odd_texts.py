@@ -1,9 +1,11 @@
 """Queries whose SQL says the same of every text hold for texts that are null, empty, blank, long or hardly texts."""
 
+import hashlib
+
 import numpy as np
 
 from tessera.functions import parsing as P
-from tessera.plans import archive_queries, text_queries
+from tessera.plans import archive_queries, text_queries, upkeep_queries
 from tessera.streaming import pipelines
 
 ODD = [
@@ -45,3 +47,10 @@ def test_every_message_of_the_queue_has_a_unit_vector(spark):
     messages = spark.createDataFrame([(k, x, None, None) for k, x in enumerate(texts)], "id long, body_text string, deleted_at timestamp, embedded_at timestamp")
     out = archive_queries.stream_embed_queue(type("Tables", (), {"spark": spark, "messages": messages})).collect()
     assert sorted(tuple(r) for r in out) == [(k, 64, 1.0) for k in range(len(texts))]
+
+
+def test_the_charset_ladder_has_every_text(spark):
+    """ASCII or not, under each of its three names; only a null text has no digest."""
+    texts = [x for x in [*ODD, "Stra\xdfe"] for _ in range(3)]
+    out = upkeep_queries.charset_ladder(tables(spark, documents=(texts, "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.digest for r in out} == {k: None if x is None else hashlib.md5(x.encode()).hexdigest() for k, x in enumerate(texts)}
